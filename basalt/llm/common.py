@@ -59,10 +59,12 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write and reread a table; ``free`` also frees the shuffle files of the steps before it."""
         path = self.paths[name] = f"{self.base}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        self.release()
+        if free:
+            self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -126,7 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     hits = made.join(bench.lengths.withColumnRenamed("sh", "h"), "h").select("__row", "at", F.explode("sizes").alias("words"))
     hits = scratch.save(hits.groupBy("__row", "words").agg(F.collect_set("at").alias("at")), "hits")
     texts = rows.select("__row", F.col(text).alias("t")).join(hits.select("__row").distinct(), "__row", "left_semi").groupBy("__row").agg(F.first("t").alias("t"))
-    anchors = scratch.save(with_shingles(texts, "t").select("__row", F.col("__sh").alias("sh")).join(hits, "__row"), "anchors")
+    anchors = scratch.save(with_shingles(texts, "t").select("__row", F.col("__sh").alias("sh")).join(hits, "__row"), "anchors", free=True)
 
     # All windows of an item's size that hold an anchor.
     last = F.greatest(F.size("sh") - (F.col("words") - SHINGLE + 1), F.lit(0))
@@ -142,7 +142,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     differ = "(fp ^ item_fp)"
     first = "case " + " ".join(f"when {differ} & {_mask(*b)} = 0 then {i}" for i, b in enumerate(bench.blocks)) + " end"
     near = probes.join(bench.hint(items), ["words", "block", "value"]).where(f"bit_count({differ}) <= {radius}").where(f"{first} = block")
-    near = scratch.save(near.select("__row", "words", "start", "total", "unit", "item_id", "item_total"), "near")
+    near = scratch.save(near.select("__row", "words", "start", "total", "unit", "item_id", "item_total"), "near", free=True)
 
     # Exact weighted Jaccard similarity of the multisets.
     source = anchors.select("__row", "words", "sh")

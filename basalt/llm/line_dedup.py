@@ -152,7 +152,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     counts = spark.sparkContext.broadcast(rarity(lines, least_words))
     indexed = index_lines(lines, counts, least_words, percent)
     place = F.struct("id", "h", "line")
-    classes = scratch.save(indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies")), "classes")
+    classes = scratch.save(indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies")), "classes", free=True)
 
     # Prefix join with length, positional and bitmap filters.
     post = classes.select("digest", F.col("own.n").alias("n"), F.col("own.bitmap").alias("bitmap"), F.posexplode("own.prefix").alias("at", "token"))
@@ -165,13 +165,13 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
         & (F.bit_count(F.col("bitmap_a").bitwiseXOR(F.col("bitmap_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
-    pairs = scratch.save(a.join(b, "token").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct(), "pairs")
+    pairs = scratch.save(a.join(b, "token").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct(), "pairs", free=True)
 
     # Exact similarity of the candidates' full token sets.
     wanted = spark.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
     sets = sets_of_lines(lines, wanted, least_words)
     mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    sets = scratch.save(sets.join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s")), "sets")
+    sets = scratch.save(sets.join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s")), "sets", free=True)
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links = scratch.save(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
@@ -183,7 +183,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     known = scratch.save(known.where("copies > 1 or links > 0").select("digest", "links", "earliest"), "known")
     places = index_places(lines, least_words)
     gone = places.join(known, "digest").where(F.col("earliest") < F.struct("id", "h", "line"))
-    gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sum("links").alias("n_links")), "gone")
+    gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sum("links").alias("n_links")), "gone", free=True)
     scratch.drop("classes", "pairs", "sets", "links", "known")
     return gone
 

@@ -119,19 +119,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
     # Buckets of several classes, and in each the smallest.
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = scratch.save(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    members = scratch.save(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members", free=True)
     pairs = members.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("other")).select(F.col("rep").alias("a"), F.col("other").alias("b"))
     wanted = members.select(F.col("rep").alias("__want")).distinct()
     texts = docs.select(key, text).join(wanted, F.col(key) == F.col("__want"), "left_semi")
     sets = sets_of(texts, text, key, k).groupBy("id").agg(F.min("s").alias("s"))
-    sets = scratch.save(sets, "sets")
+    sets = scratch.save(sets, "sets", free=True)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    links = scratch.save(confirmed(pairs), "links1")
+    links = scratch.save(confirmed(pairs), "links1", free=True)
     near = components(links, scratch)
 
     # Classes of one bucket that are still apart: each bucket's components first

@@ -60,5 +60,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents").select(COLUMNS), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = scratch.save(stage(spark, docs, sf_dir), name, free=True)
     return docs
