@@ -2,8 +2,8 @@
 
 Labelled documents are turned into latent-semantic vectors (a truncated
 singular value decomposition of hashed byte-trigram tf-idf).  At most
-``max_labelled`` labelled rows are fitted (a documented bound, chosen by a hash
-of their id), so vectors and projection have a fixed size and are broadcast.
+``max_labelled`` labelled rows are fitted (a documented bound; half for each
+label, chosen by a hash of their id), so vectors and projection have a fixed size and are broadcast.
 Every document's exact cosines with all labelled vectors are computed in blocks;
 its ``k`` nearest vote with their similarity as weight.
 
@@ -86,7 +86,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, k: int = 15, rank: int = 48, see
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = 3000, **options) -> Neighbours:
     """Fit on ``labels`` (key, label); rows that must not be learnt from are left out by the caller."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("double").alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key").limit(max_labelled)
+    drawn = [chosen.where(of).orderBy(F.xxhash64("__key"), "__key").limit(max_labelled // 2) for of in ("__label < 0.5", "__label >= 0.5")]
+    chosen = drawn[0].unionByName(drawn[1])
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")  # at most max_labelled rows
 
     def make():
