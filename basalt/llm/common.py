@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 M64 = (1 << 64) - 1
 GAMMA = 0x9E3779B97F4A7C15
 #: Bytes that end a word: space and the five control characters from tab to carriage return.
@@ -58,19 +58,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.pending = False
 
     def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """Write and reread a table; ``free`` also frees the shuffle files of the steps before it."""
+        """Write and reread a table.  With ``free`` the shuffle files that made it go before the
+        next step (not here, where the caller still holds the DataFrame)."""
+        self.release()
         path = self.paths[name] = f"{self.base}/{name}"
         df.write.option("compression", "zstd").parquet(path)
-        if free:
-            self.release()
+        self.pending = free
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of steps that are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of large steps that are written."""
+        if self.pending:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            self.pending = False
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -78,12 +82,19 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Texts are long: batches of Spark's usual 10,000 rows would fill a Python worker's memory.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 # -- code on the executors --------------------------------------------------------------
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that tasks
     can import it wherever they run."""
+    for name, value in ARROW_LIMITS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     sc = spark.sparkContext
     if getattr(sc, "_basalt_shipped", False):
         return

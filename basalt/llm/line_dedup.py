@@ -185,6 +185,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     gone = places.join(known, "digest").where(F.col("earliest") < F.struct("id", "h", "line"))
     gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sum("links").alias("n_links")), "gone", free=True)
     scratch.drop("classes", "pairs", "sets", "links", "known")
+    scratch.release()
     return gone
 
 

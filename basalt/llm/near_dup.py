@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     named = classes.select("d1", "d2", "rep").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = scratch.save(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
     scratch.drop("members", "sets", "links1", "links2", "links3", "apart1", "apart2", "classes")
+    scratch.release()
     out = signed_docs.select("id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), own).alias("component_id"))

@@ -83,7 +83,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, k: int = 15, rank: int = 48, see
     return Neighbours(idf, basis, unit(x @ basis).astype(np.float32), labels.astype(np.float32), k)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = 3000, **options) -> Neighbours:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = 2000, **options) -> Neighbours:
     """Fit on ``labels`` (key, label); rows that must not be learnt from are left out by the caller."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("double").alias("__label"))
     drawn = [chosen.where(of).orderBy(F.xxhash64("__key"), "__key").limit(max_labelled // 2) for of in ("__label < 0.5", "__label >= 0.5")]

@@ -30,8 +30,8 @@ from .common import lists, ship, text_udf, whole, with_fields
 MARK = "▁"
 #: An unknown character costs so much more than the worst piece (the library's value).
 UNKNOWN_PENALTY = 10.0
-#: Words kept between batches of a worker process; the table is emptied when it is full.
-MOST_WORDS = 200_000
+#: Words kept between the batches of a task; the table is emptied when it is full.
+MOST_WORDS = 150_000
 
 
 class Vocabulary:
@@ -141,19 +141,6 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    """One encoder for each model in a worker process, kept between its tasks."""
-    model = shared.value
-    key = hash(model)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(model))
-    return _ENCODERS[key]
-
-
 def _model(model: str | bytes) -> bytes:
     return model if isinstance(model, bytes) else open(model, "rb").read()  # noqa: SIM115
 
@@ -163,7 +150,7 @@ def encode(docs: DataFrame, model: str | bytes, text: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(_model(model))
 
     def make():
-        encoder = _encoder(shared)
+        encoder = Encoder(Vocabulary(shared.value))
 
         def work(_, texts: pa.Array) -> list:
             ids, bounds = encoder.encode(texts.to_pylist())
@@ -179,7 +166,7 @@ def decode(coded: DataFrame, model: str | bytes, ids: str = "ids", text: str = "
     shared = coded.sparkSession.sparkContext.broadcast(_model(model))
 
     def run(batches):
-        encoder = _encoder(shared)
+        encoder = Encoder(Vocabulary(shared.value))
         for column in batches:
             yield pa.array([encoder.decode(i.values.to_numpy()) if i.is_valid else "" for i in whole(column)], pa.string())
 
