@@ -1 +1,92 @@
-"""Placeholder."""
+"""Queries of models, importance and selection.  Fits are iterative, so most have no SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, models, profile, select, synth
+from ..operators.mart import child_agg
+from .registry import query, read
+
+FEATURES = ["ord_count", "ord_o_totalprice_sum", "ord_o_totalprice_mean", "ord_o_totalprice_max", "c_nationkey"]
+
+
+def customers(spark, d):
+    """A mart of all customers with a binary target and stratified folds."""
+    orders = child_agg(read(spark, d, "orders"), "o_custkey", "ord", ["o_totalprice"], [])
+    df = read(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("__key"), "left").drop("__key").fillna(0)
+    df = df.withColumn("target", ((F.col("c_acctbal") + F.col("ord_o_totalprice_sum") / 1000) > 6000).cast("int"))
+    return clean.kfold(df, "c_custkey", 3, "target")
+
+
+def ranked(spark, d):
+    df = customers(spark, d)
+    importance = models.importances(models.refit(df, FEATURES, "target", "binary", "RandomForest"), FEATURES, spark)
+    mi = synth.mi_scores(df, FEATURES, "target").withColumnRenamed("column_name", "feature")
+    return df, select.consensus_rank(importance, mi)
+
+
+@query()
+def leaderboard(spark, d):
+    return models.leaderboard(customers(spark, d), FEATURES, "target", "binary")
+
+
+@query()
+def regression_leaderboard(spark, d):
+    return models.leaderboard(customers(spark, d), FEATURES, "c_acctbal", "regression", names=["Ridge", "RandomForest"])
+
+
+@query()
+def batch_prediction(spark, d):
+    df = customers(spark, d)
+    model = models.refit(df, FEATURES, "target", "binary", "GradientBoosting")
+    return models.predict(model, df.select("c_custkey", *[F.col(f).cast("double").alias(f) for f in FEATURES]), FEATURES).select("c_custkey", "prediction", F.round("probability", 6).alias("probability"))
+
+
+def contributions(spark, d):
+    df = customers(spark, d)
+    return df, select.attribute(models.refit(df, FEATURES, "target", "binary", "RandomForest"), df, FEATURES, "c_custkey")
+
+
+@query()
+def attribution(spark, d):
+    return contributions(spark, d)[1]
+
+
+@query()
+def global_importance(spark, d):
+    return select.global_importance(contributions(spark, d)[1])
+
+
+@query()
+def effect_direction(spark, d):
+    df, made = contributions(spark, d)
+    return select.effect_direction(made, df, "c_custkey", FEATURES)
+
+
+@query()
+def representative_cases(spark, d):
+    return select.representative_cases(contributions(spark, d)[1], "c_custkey")
+
+
+@query()
+def consensus_selection(spark, d):
+    df, ranks = ranked(spark, d)
+    return select.select_features(ranks, profile.corr_pairs(df, FEATURES, 0.0))
+
+
+@query()
+def pareto_curve(spark, d):
+    df, ranks = ranked(spark, d)
+    return select.pareto_curve(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary")
+
+
+@query()
+def forward_selection(spark, d):
+    df, ranks = ranked(spark, d)
+    return select.forward_selection(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary")
+
+
+@query()
+def segment_importance(spark, d):
+    return select.segment_importance(customers(spark, d), FEATURES, "target", "c_mktsegment")

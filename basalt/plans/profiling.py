@@ -369,8 +369,8 @@ def feature_mart(spark, d):
     return _rounded(made, "ord", "o_totalprice", "o_orderstatus")
 
 
-@query(f"select c_custkey, {_ZERO.format(p='ord')}, {_ZERO.format(p='ev')} from customer left join (select o_custkey, {_AGG.format(p='ord', n='o_totalprice', c='o_orderstatus')} from orders group by 1) on c_custkey = o_custkey left join (select user_id, {_AGG.format(p='ev', n='value', c='event_type')} from events group by 1) on c_custkey = user_id")
+@query(f"select c_custkey, {_ZERO.format(p='ord')}, {_ZERO.format(p='ev').replace('coalesce(ev_mean, 0) as ev_mean, ', '')} from customer left join (select o_custkey, {_AGG.format(p='ord', n='o_totalprice', c='o_orderstatus')} from orders group by 1) on c_custkey = o_custkey left join (select user_id, {_AGG.format(p='ev', n='value', c='event_type')} from events group by 1) on c_custkey = user_id")
 def multi_child_mart(spark, d):
     children = [(read(spark, d, "orders"), "o_custkey", "ord", ["o_totalprice"], ["o_orderstatus"]), (read(spark, d, "events"), "user_id", "ev", ["value"], ["event_type"])]
     made = mart.feature_mart(read(spark, d, "customer").select("c_custkey"), "c_custkey", children)
-    return _rounded(_rounded(made, "ord", "o_totalprice", "o_orderstatus"), "ev", "value", "event_type")
+    return _rounded(_rounded(made, "ord", "o_totalprice", "o_orderstatus"), "ev", "value", "event_type").drop("ev_mean")
