@@ -43,4 +43,4 @@ def split_items(text: Column) -> Column:
     parts = F.split(text, "\u0000")
     for sep in ("/", "|", ";", ","):
         parts = F.when(F.contains(text, F.lit(sep)), F.split(text, f"[{sep}]")).otherwise(parts)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

@@ -217,7 +217,7 @@ def curriculum_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = {role: next((c for c in df.columns if c.lower().strip() in names), None) for role, names in ALIASES.items()}
     text = lambda role: F.col(f"`{named[role]}`").cast("string") if named[role] else F.lit(None).cast("string")
     rows = df.select(F.trim(text("course")).alias("course"), normal_type(text("type")).alias("type"), F.regexp_extract(text("credits"), r"(\d+)", 1).try_cast("int").alias("credits"), text("prerequisites").alias("p")).where("course <> ''")
-    needs = rows.select(F.col("course").alias("item"), F.explode(F.transform(F.split("p", r"[,;/+\n]"), F.trim)).alias("needs")).where("needs <> '' and lower(needs) not in ('none', '-')")
+    needs = rows.select(F.col("course").alias("item"), F.explode(F.transform(F.split("p", r"[,;/+\n]"), lambda x: F.trim(x))).alias("needs")).where("needs <> '' and lower(needs) not in ('none', '-')")
     return rows.drop("p"), needs
 
 

@@ -11,8 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EVERY = Window.partitionBy()
-BELOW = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+
+def every():
+    return Window.partitionBy()
+
+
+def below():
+    return Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -41,20 +46,20 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the ROC curve (ties count half)."""
     c = _by_score(df, y, score)
-    parts = c.select((F.col("pos") * (F.coalesce(F.sum("neg").over(BELOW), F.lit(0)) + F.col("neg") / 2)).alias("u"), "pos", "neg")
+    parts = c.select((F.col("pos") * (F.coalesce(F.sum("neg").over(below()), F.lit(0)) + F.col("neg") / 2)).alias("u"), "pos", "neg")
     return parts.agg(F.round(F.sum("u") / (F.sum("pos") * F.sum("neg")), 4).alias("auc"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     up = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     c = _by_score(df, y, score)
-    return c.select(F.col("s").alias("threshold"), (F.sum("neg").over(up) / F.sum("neg").over(EVERY)).alias("fpr"), (F.sum("pos").over(up) / F.sum("pos").over(EVERY)).alias("tpr"))
+    return c.select(F.col("s").alias("threshold"), (F.sum("neg").over(up) / F.sum("neg").over(every())).alias("fpr"), (F.sum("pos").over(up) / F.sum("pos").over(every())).alias("tpr"))
 
 
 def pr_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from recall 0 at precision 1."""
     up = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _by_score(df, y, score).select("s", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(EVERY).alias("p"))
+    c = _by_score(df, y, score).select("s", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(every()).alias("p"))
     c = c.select("s", (F.col("tp") / F.col("p")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     w = Window.orderBy(F.desc("s"))
     step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
@@ -68,7 +73,7 @@ def threshold_counts(df: DataFrame, y: str, score: str, low: float, step: float,
     bins = df.where(F.col(score).isNotNull()).groupBy(at.alias("b")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     grid = df.sparkSession.range(points + 1).select(F.col("id").cast("int").alias("b")).join(bins, "b", "left").fillna(0)
     above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    made = grid.select("b", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(EVERY).alias("p"), F.sum("neg").over(EVERY).alias("n"))
+    made = grid.select("b", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(every()).alias("p"), F.sum("neg").over(every()).alias("n"))
     return made.where("b > 0").select(F.round(low + (F.col("b") - 1) * step, digits).alias("threshold"), "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
 
 
@@ -150,7 +155,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
     """Signed-rank statistics of a - b: pairs, W+, z (normal approximation with ties) and effect size."""
     d = F.round(F.col(a) - F.col(b), digits)
     counted = df.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("s")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    rank = F.coalesce(F.sum("t").over(BELOW), F.lit(0)) + (F.col("t") + 1) / 2
+    rank = F.coalesce(F.sum("t").over(below()), F.lit(0)) + (F.col("t") + 1) / 2
     sums = counted.select("t", (rank * F.col("up")).alias("r")).agg(F.sum("t").alias("n"), F.sum("r").alias("w_plus"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

@@ -32,10 +32,10 @@ def _tops(item, k):
 WITH = f"with i as ({ITEMS}) "
 
 
-@query("select p_partkey, list_filter(list_transform(string_split(s, sep), lambda x: trim(x)), lambda x: x <> '') as items from (select p_partkey, s, case when contains(s, ',') then ',' when contains(s, ';') then ';' when contains(s, '|') then '|' when contains(s, '/') then '/' else chr(1) end as sep from (select p_partkey, replace(p_type, ' ', case p_partkey % 4 when 0 then ', ' when 1 then ';' when 2 then ' | ' else '/' end) as s from part))")
+@query("select p_partkey, list_filter(list_transform(string_split(s, sep), lambda x: trim(x)), lambda x: x <> '') as items from (select p_partkey, s, case when contains(s, ',') then ',' when contains(s, ';') then ';' when contains(s, '|') then '|' when contains(s, '/') then '/' else chr(1) end as sep from (select p_partkey, replace(p_name || ' ' || p_brand || ' x', ' ', case p_partkey % 4 when 0 then ', ' when 1 then ';' when 2 then ' | ' else '/' end) as s from part))")
 def split_items(spark, d):
     sep = F.when(F.col("p_partkey") % 4 == 0, ", ").when(F.col("p_partkey") % 4 == 1, ";").when(F.col("p_partkey") % 4 == 2, " | ").otherwise("/")
-    return read(spark, d, "part").select("p_partkey", split(F.replace("p_type", F.lit(" "), sep)).alias("items"))
+    return read(spark, d, "part").select("p_partkey", split(F.replace(F.concat_ws(" ", "p_name", "p_brand", F.lit("x")), F.lit(" "), sep)).alias("items"))
 
 
 @query(WITH + f"select target, item, n, size, round(coverage, 6) as coverage from ({_prof()})")
