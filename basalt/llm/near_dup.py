@@ -11,7 +11,9 @@ Large groups never become all pairs.  Documents with equal sets are one class.
 Within a bucket, classes are first compared with the bucket's smallest class;
 what that links needs no further comparison, so only classes of a bucket that
 are still apart are compared with each other, which makes the links' components
-complete.
+complete.  Those comparisons pass an exact bound first: a parity sketch of each
+set (512 bits, each the parity of the shingles that hash to it) differs in no
+more bits than the sets differ in shingles.
 
 Defined results: null or word-less texts have an empty set, link with nothing
 and are kept; rows with a null id are in no group and are kept (component null);
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import GAMMA, LOWER, Block, Scratch, by_doc, components, lists, map_blocks, mix64, shingles, signed, spans_hash, words
 
-SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SKETCH = 8  # longs of the parity sketch
+SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
 
 def shingle_sets(block: Block, k: int) -> list[np.ndarray]:
@@ -63,6 +66,13 @@ def signature(shingle_set: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def parity(shingle_set: np.ndarray) -> np.ndarray:
+    """Bit b: whether an odd number of shingles hash to it."""
+    slot = (mix64(shingle_set ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
+
+
 def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) -> DataFrame:
     """Set size, 128-bit set digest and band hashes of every document (no bands for empty sets)."""
 
@@ -82,7 +92,8 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
                     hashes.append(signed(h))
                 bounds.append(bounds[-1] + (bands if len(s) else 0))
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-            return [table.column("id"), np.array([len(s) for s in sets], np.int64), signed(d1), signed(d2), lists(flat, np.array(bounds), pa.int64())]
+            sketch = signed(np.concatenate([parity(s) for s in sets]))
+            return [table.column("id"), np.array([len(s) for s in sets], np.int64), signed(d1), signed(d2), lists(flat, np.array(bounds), pa.int64()), lists(sketch, SKETCH * np.arange(block.n + 1), pa.int64())]
 
         return work
 
@@ -113,7 +124,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     signed_docs = scratch.save(sign(docs, text, key, k, bands, rows), "signed")
     shown = signed_docs.where("id is not null and n_shingles > 0")
     # A class: all documents of one set, named after its smallest id.
-    classes = shown.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = shown.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes, "classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
 
@@ -148,16 +159,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     links2 = scratch.save(confirmed(tried).unionByName(links), "links2")
     near = components(links2, scratch)
     rest = scratch.save(apart(near), "apart2")
-    left = rest.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb"))
+    sketched = scratch.save(rest.join(classes.select("rep", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)]), "rep"), "sketched")
+    side = lambda x, y: sketched.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *[F.col(f"k{i}").alias(f"{y}{i}") for i in range(SKETCH)])
+    left, right = side("a", "p"), side("b", "q")
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(SKETCH)), F.lit(0))
+    most = F.expr(f"na + nb - 2 * (({percent}L * (na + nb) + {99 + percent}L) div {100 + percent}L)")
+    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb")) & (differ <= most)
     last = left.join(right, "bucket").where(close).select("a", "b").distinct()
     links3 = scratch.save(confirmed(last).unionByName(links2), "links3")
     near = scratch.save(components(links3, scratch), "near")
 
     named = classes.select("d1", "d2", "rep").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = scratch.save(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
-    scratch.drop("members", "sets", "links1", "links2", "links3", "apart1", "apart2", "classes")
+    scratch.drop("members", "sets", "links1", "links2", "links3", "apart1", "apart2", "sketched", "classes")
     scratch.release()
     out = signed_docs.select("id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
