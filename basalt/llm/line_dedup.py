@@ -12,7 +12,10 @@ index over prefixes, then length filter, positional filter and a bitmap bound on
 the symmetric difference, then the exact similarity.  The order comes from token
 counts over all lines, summed in ``2^RARITY_BITS`` hash slots, which is what is
 broadcast: any order that all lines share is exact, counts only make it
-selective.  Lines of equal sets are one class, so copies are not joined.
+selective.  Lines of equal sets are one class, so copies are not joined.  Only
+whether a line has an earlier match is asked, so groups of near copies never
+become all pairs: classes meet the earliest class of each posting list first,
+and only those without an earlier match meet all classes before them.
 
 Defined results: null text counts as empty and stays null; rows with equal id
 and text are one document (nothing in one removes a line of the other); null ids
@@ -145,8 +148,7 @@ def digest_filter(digest: DataFrame, name: str) -> np.ndarray:
 
 
 def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """(id, h, lines, n_links): of every document that loses lines, their numbers
-    and how many classes of other lines match them."""
+    """(id, h, lines): the numbers of the lines that go, of every document that loses any."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "line-dedup")
     lines = _lines(docs, text, key)
     counts = spark.sparkContext.broadcast(rarity(lines, least_words))
@@ -155,36 +157,48 @@ def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     classes = scratch.save(indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies")), "classes", free=True)
 
     # Prefix join with length, positional and bitmap filters.
-    post = classes.select("digest", F.col("own.n").alias("n"), F.col("own.bitmap").alias("bitmap"), F.posexplode("own.prefix").alias("at", "token"))
-    a = post.select("token", *(F.col(c).alias(f"{c}_a") for c in ("digest", "n", "bitmap", "at")))
-    b = post.select("token", *(F.col(c).alias(f"{c}_b") for c in ("digest", "n", "bitmap", "at")))
+    post = classes.select("digest", F.col("first.id").alias("id"), F.col("own.n").alias("n"), F.col("own.bitmap").alias("bitmap"), F.posexplode("own.prefix").alias("at", "token"))
+    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "id", "n", "bitmap", "at")))
     least = F.expr(f"({percent}L * (n_a + n_b) + {99 + percent}L) div {100 + percent}L")
     fits = (
-        (F.col("digest_a") < F.col("digest_b"))
+        (F.col("digest_a") != F.col("digest_b"))
+        & (F.coalesce("id_a", F.lit(-(1 << 63))) <= F.coalesce("id_b", F.lit(-(1 << 63))))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
         & (F.bit_count(F.col("bitmap_a").bitwiseXOR(F.col("bitmap_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
-    pairs = scratch.save(a.join(b, "token").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct(), "pairs", free=True)
-
-    # Exact similarity of the candidates' full token sets.
-    wanted = spark.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
-    sets = sets_of_lines(lines, wanted, least_words)
-    mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    sets = scratch.save(sets.join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s")), "sets", free=True)
-    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = scratch.save(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
-
-    # Of each class: the earliest line of the classes that match it.
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    matched = ways.join(classes.select(F.col("digest").alias("b"), "first"), "b").groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("links"))
-    known = classes.join(matched, F.col("digest") == F.col("a"), "left").select("digest", F.coalesce("links", F.lit(0)).alias("links"), F.least("first", F.coalesce("other", "first")).alias("earliest"), "copies")
-    known = scratch.save(known.where("copies > 1 or links > 0").select("digest", "links", "earliest"), "known")
+    earlier = lambda a, b: a.join(b, "token").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """(b, other): classes with an exact match among the candidates, and the earliest first place of those."""
+        wanted = spark.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
+        mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        sets = sets_of_lines(lines, wanted, least_words).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s"))
+        sets = scratch.save(sets, f"sets-{name}", free=True)
+        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        links = both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        found = links.join(classes.select(F.col("digest").alias("a"), "first"), "a").groupBy("b").agg(F.min("first").alias("other"))
+        found = scratch.save(found, f"found-{name}", free=True)
+        scratch.drop(f"sets-{name}")
+        return found
+
+    # First every class against the earliest class of its posting lists: that settles large
+    # groups of near copies.  Then what has no earlier match so far against all before it.
+    hubs = post.groupBy("token").agg(F.min(F.struct("id", "digest", "n", "bitmap", "at")).alias("m")).select("token", "m.*")
+    hub_links = linked(scratch.save(earlier(side(hubs, "a"), side(post, "b")), "pairs1", free=True), "hubs")
+    settled = hub_links.join(classes.select(F.col("digest").alias("b"), "first"), "b").where(F.col("other") < F.col("first")).select(F.col("b").alias("digest"))
+    open_post = scratch.save(classes.join(settled, "digest", "left_anti").select("digest"), "open", free=True).join(post, "digest")
+    rest_links = linked(scratch.save(earlier(side(post, "a"), side(open_post, "b")), "pairs2", free=True), "rest")
+
+    # Of each class: the earliest line that matches it, its own first line included.
+    matched = hub_links.unionByName(rest_links).groupBy("b").agg(F.min("other").alias("other"))
+    known = classes.join(matched, F.col("digest") == F.col("b"), "left").select("digest", F.least("first", F.coalesce("other", "first")).alias("earliest"), (F.col("other") < F.col("first")).alias("matched"), "copies")
+    known = scratch.save(known.where("copies > 1 or matched").select("digest", "earliest"), "known")
     places = index_places(lines, least_words)
     gone = places.join(known, "digest").where(F.col("earliest") < F.struct("id", "h", "line"))
-    gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sum("links").alias("n_links")), "gone", free=True)
-    scratch.drop("classes", "pairs", "sets", "links", "known")
+    gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines")), "gone", free=True)
+    scratch.drop("classes", "pairs1", "pairs2", "found-hubs", "found-rest", "open", "known")
     scratch.release()
     return gone
 
@@ -204,12 +218,12 @@ def index_places(lines: DataFrame, least_words: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, and n_lines, n_removed and n_links."""
-    gone = duplicate_lines(docs, text, key, percent, least_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__gone"), F.col("n_links").alias("__links"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_links")]
+    """``docs`` with repeated lines cut from the text, and n_lines and n_removed."""
+    gone = duplicate_lines(docs, text, key, percent, least_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__gone"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
     parts = F.split(F.col(text), "\n", -1)
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(text)
     out = [cleaned if c == text else F.col(f"`{c}`") for c in names]
-    return joined.select(*out, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select(*out, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
