@@ -53,7 +53,10 @@ class Vocabulary:
         if len(self.byte) != 256:
             raise ValueError("the model has no byte pieces")
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.longest = max(map(len, self.normal))
+        #: All endings of pieces; the value is a piece's score, or None for an ending that is no piece.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in self.normal for i in range(1, len(p))}
+        self.endings |= {p: s for p, (s, _) in self.normal.items()}
+        self.bytes_of = [bytes([self.byte_of[i]]) if k == 6 else p.encode() if k in (1, 4) else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         self.unknown = min(s for s, _ in self.normal.values()) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.normal):
             raise ValueError("a piece goes over a word's end")
@@ -93,7 +96,7 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Segment distinct words, in sorted order, reusing the scores of shared prefixes."""
-        normal, longest, unknown = self.v.normal, self.v.longest, self.v.unknown
+        normal, endings, unknown, none = self.v.normal, self.v.endings, self.v.unknown, float("-inf")
         best: list[float] = [0.0]
         back: list[int] = [0]
         before = ""
@@ -104,11 +107,20 @@ class Encoder:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, size + 1):
-                top, start = best[end - 1] + unknown, end - 1
-                for at in range(end - longest if end > longest else 0, end):
-                    piece = normal.get(word[at:end])
-                    if piece is not None and best[at] + piece[0] > top:
-                        top, start = best[at] + piece[0], at
+                # Longer and longer candidates, until no piece ends like them; ties go to the longest.
+                top, start, at = none, 0, end
+                while at:
+                    at -= 1
+                    score = endings.get(word[at:end], none)
+                    if score is None:
+                        continue
+                    if score == none:
+                        break
+                    score += best[at]
+                    if score >= top:
+                        top, start = score, at
+                if top <= best[end - 1] + unknown:
+                    top, start = best[end - 1] + unknown, end - 1
                 best.append(top)
                 back.append(start)
             ids: list[int] = []
@@ -134,10 +146,7 @@ class Encoder:
         return np.concatenate([*rows, np.zeros(0, np.int32)]), np.cumsum([0, *map(len, rows)])
 
     def decode(self, ids: np.ndarray) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([self.v.byte_of[i]]) if i in self.v.byte_of else self.v.pieces[i].encode() if self.v.kinds[i] in (1, 4) else b"")
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.v.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
