@@ -12,10 +12,10 @@ index over prefixes, then length filter, positional filter and a bitmap bound on
 the symmetric difference, then the exact similarity.  The order comes from token
 counts over all lines, summed in ``2^RARITY_BITS`` hash slots, which is what is
 broadcast: any order that all lines share is exact, counts only make it
-selective.  Lines of equal sets are one class, so copies are not joined.  Only
-whether a line has an earlier match is asked, so groups of near copies never
-become all pairs: classes meet the earliest class of each posting list first,
-and only those without an earlier match meet all classes before them.
+selective.  Lines of equal sets are one class, so copies are not joined but
+counted.  Every pair of classes that match is found, once: at the first token of
+the order that both hold.  Pairs are compared where their posting lists meet and
+summed there, so no pair is shuffled; AQE splits the lists that are hot.
 
 Defined results: null text counts as empty and stays null; rows with equal id
 and text are one document (nothing in one removes a line of the other); null ids
@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, Block, Scratch, blocks, lists, map_arrow, map_blocks, mix64, signed, spans_hash, words
 
 RARITY_BITS = 18
-#: Bits of the fixed-size filter that keeps lines without candidates out of the last shuffle.
-FILTER_BITS = 24
 
 
 def line_sets(block: Block, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +92,7 @@ def rarity(lines: DataFrame, least_words: int) -> np.ndarray:
 
 
 def index_lines(lines: DataFrame, counts, least_words: int, percent: int) -> DataFrame:
-    """Every compared line with its digest, place, size, bitmap and rarest-first prefix."""
+    """Every compared line with its digest, place, size, bitmap, prefix length and tokens from rare to common."""
 
     def make():
         slots = counts.value
@@ -105,102 +103,57 @@ def index_lines(lines: DataFrame, counts, least_words: int, percent: int) -> Dat
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((token, slots[(token & np.uint64(len(slots) - 1)).astype(np.int64)], owner))
             prefix = size - (percent * size + 99) // 100 + 1
-            place = np.arange(len(token)) - bounds[owner]
-            chosen = order[place < prefix[owner]]
             bit = np.uint64(1) << (mix64(token ^ np.uint64(0x5BD1E995)) >> np.uint64(58))
             bitmap = np.bitwise_or.reduceat(bit, bounds[:-1]) if len(size) else np.zeros(0, np.uint64)
             rows = pa.array(doc)
-            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(bitmap), lists(signed(token[chosen]), np.concatenate([[0], np.cumsum(prefix)]), pa.int64())]
+            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(bitmap), prefix.astype(np.int32), lists(signed(token[order]), bounds, pa.int64())]
 
         return work
 
-    return map_blocks(lines, "text", make, "digest long, id long, h long, line int, n int, bitmap long, prefix array<long>")
+    return map_blocks(lines, "text", make, "digest long, id long, h long, line int, n int, bitmap long, k int, s array<long>")
 
 
-def sets_of_lines(lines: DataFrame, wanted, least_words: int) -> DataFrame:
-    """(digest, s) of the lines whose digest may be in the filter ``wanted``."""
-
-    def make():
-        bits = wanted.value
-
-        def work(block: Block, _) -> list:
-            token, bounds, _, _ = line_sets(block, least_words)
-            digest = digests(token, bounds)
-            _, first = np.unique(digest, return_index=True)
-            slot = (digest[first] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            keep = np.sort(first[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1])
-            size = np.diff(bounds)[keep]
-            flat = np.concatenate([token[bounds[i] : bounds[i + 1]] for i in keep]) if len(keep) else token[:0]
-            return [signed(digest[keep]), lists(signed(flat), np.concatenate([[0], np.cumsum(size)]), pa.int64())]
-
-        return work
-
-    return map_blocks(lines, "text", make, "digest long, s array<long>")
-
+def linked_classes(classes: DataFrame, percent: int) -> DataFrame:
+    """(digest, other, linked_classes, linked_lines): of each class with links, the earliest first line, number and lines of the classes it matches."""
+    # A set of n tokens matches none but its equal where even n + 1 tokens that hold it are too many.
+    post = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("digest", "first", "copies", "n", "bitmap", "s", F.posexplode(F.slice("s", F.lit(1), F.col("k"))).alias("at", "token"))
+    least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}L) div {100 + percent}L")
+    fits = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.digest") < F.col("b.digest"))
+        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least)
+        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * least)
+        & F.exists(F.array(F.array_intersect("a.s", "b.s")), lambda x: (F.get(x, F.lit(0)) == F.col("a.token")) & (F.size(x) >= least))
+    )
+    end = lambda x, y: F.struct(F.col(f"{x}.digest").alias("digest"), F.col(f"{y}.first").alias("other"), F.col(f"{y}.copies").alias("n"))
+    both = post.alias("a").join(post.alias("b"), fits).select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
+    return both.groupBy("digest").agg(F.min("other").alias("other"), F.count("*").alias("linked_classes"), F.sum("n").alias("linked_lines"))
 
-def digest_filter(digest: DataFrame, name: str) -> np.ndarray:
-    """A bit for each digest's low ``FILTER_BITS`` bits: of a fixed size, with false hits but no misses."""
-    slot = F.col(name).bitwiseAND((1 << FILTER_BITS) - 1)
-    got = digest.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({name} & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return bits.view(np.uint8)
 
+def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
+    """(id, h, line, class_id, copies, linked_classes, linked_lines, gone) of every compared line.
 
-def duplicate_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """(id, h, lines): the numbers of the lines that go, of every document that loses any."""
+    A class is the lines of one token set and ``copies`` their number, lines of
+    equal rows included; its links are the other classes that match it, and
+    ``linked_lines`` the sum of their copies.  ``gone`` lines have an earlier
+    line in their class or in a linked one.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "line-dedup")
     lines = _lines(docs, text, key)
     counts = spark.sparkContext.broadcast(rarity(lines, least_words))
     indexed = index_lines(lines, counts, least_words, percent)
     place = F.struct("id", "h", "line")
-    classes = scratch.save(indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies")), "classes", free=True)
-
-    # Prefix join with length, positional and bitmap filters.
-    post = classes.select("digest", F.col("first.id").alias("id"), F.col("own.n").alias("n"), F.col("own.bitmap").alias("bitmap"), F.posexplode("own.prefix").alias("at", "token"))
-    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("digest", "id", "n", "bitmap", "at")))
-    least = F.expr(f"({percent}L * (n_a + n_b) + {99 + percent}L) div {100 + percent}L")
-    fits = (
-        (F.col("digest_a") != F.col("digest_b"))
-        & (F.coalesce("id_a", F.lit(-(1 << 63))) <= F.coalesce("id_b", F.lit(-(1 << 63))))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least)
-        & (F.bit_count(F.col("bitmap_a").bitwiseXOR(F.col("bitmap_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
-    )
-    earlier = lambda a, b: a.join(b, "token").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """(b, other): classes with an exact match among the candidates, and the earliest first place of those."""
-        wanted = spark.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
-        mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        sets = sets_of_lines(lines, wanted, least_words).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s"))
-        sets = scratch.save(sets, f"sets-{name}", free=True)
-        both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        links = both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-        found = links.join(classes.select(F.col("digest").alias("a"), "first"), "a").groupBy("b").agg(F.min("first").alias("other"))
-        found = scratch.save(found, f"found-{name}", free=True)
-        scratch.drop(f"sets-{name}")
-        return found
-
-    # First every class against the earliest class of its posting lists: that settles large
-    # groups of near copies.  Then what has no earlier match so far against all before it.
-    hubs = post.groupBy("token").agg(F.min(F.struct("id", "digest", "n", "bitmap", "at")).alias("m")).select("token", "m.*")
-    hub_links = linked(scratch.save(earlier(side(hubs, "a"), side(post, "b")), "pairs1", free=True), "hubs")
-    settled = hub_links.join(classes.select(F.col("digest").alias("b"), "first"), "b").where(F.col("other") < F.col("first")).select(F.col("b").alias("digest"))
-    open_post = scratch.save(classes.join(settled, "digest", "left_anti").select("digest"), "open", free=True).join(post, "digest")
-    rest_links = linked(scratch.save(earlier(side(post, "a"), side(open_post, "b")), "pairs2", free=True), "rest")
-
-    # Of each class: the earliest line that matches it, its own first line included.
-    matched = hub_links.unionByName(rest_links).groupBy("b").agg(F.min("other").alias("other"))
-    known = classes.join(matched, F.col("digest") == F.col("b"), "left").select("digest", F.least("first", F.coalesce("other", "first")).alias("earliest"), (F.col("other") < F.col("first")).alias("matched"), "copies")
-    known = scratch.save(known.where("copies > 1 or matched").select("digest", "earliest"), "known")
-    places = index_places(lines, least_words)
-    gone = places.join(known, "digest").where(F.col("earliest") < F.struct("id", "h", "line"))
-    gone = scratch.save(gone.groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("lines")), "gone", free=True)
-    scratch.drop("classes", "pairs1", "pairs2", "found-hubs", "found-rest", "open", "known")
+    classes = indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "k", "s")).alias("own"), F.count("*").alias("copies"))
+    classes = scratch.save(classes.select("digest", "first", "copies", "own.*"), "classes", free=True)
+    links = scratch.save(linked_classes(classes, percent), "links", free=True)
+    known = classes.select("digest", "first", "copies").join(links, "digest", "left")
+    known = known.select("digest", F.least("first", F.coalesce("other", "first")).alias("earliest"), "copies", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("linked_classes", "linked_lines")))
+    of_lines = index_places(lines, least_words).join(known, "digest")
+    out = scratch.save(of_lines.select("id", "h", "line", F.col("digest").alias("class_id"), "copies", "linked_classes", "linked_lines", (F.col("earliest") < place).alias("gone")), "lines", free=True)
+    scratch.drop("classes", "links")
     scratch.release()
-    return gone
+    return out
 
 
 def index_places(lines: DataFrame, least_words: int) -> DataFrame:
@@ -218,12 +171,16 @@ def index_places(lines: DataFrame, least_words: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, and n_lines and n_removed."""
-    gone = duplicate_lines(docs, text, key, percent, least_words).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("lines").alias("__gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
+    """``docs`` with repeated lines cut from the text, and n_lines, n_removed and line_classes: each compared line with its class and the class's links."""
+    of_lines = line_classes(docs, text, key, percent, least_words)
+    each = F.sort_array(F.collect_set(F.struct("line", "class_id", "copies", "linked_classes", "linked_lines", "gone")))
+    found = of_lines.groupBy("id", "h").agg(each.alias("__lines")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__lines")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "line_classes")]
+    joined = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
+    joined = joined.withColumn("__gone", F.transform(F.filter("__lines", lambda x: x["gone"]), lambda x: x["line"]))
     parts = F.split(F.col(text), "\n", -1)
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(text)
+    cleaned = F.when(F.size("__gone") > 0, rest).otherwise(F.col(text)).alias(text)
     out = [cleaned if c == text else F.col(f"`{c}`") for c in names]
-    return joined.select(*out, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    counts = (F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*out, *counts, F.coalesce("__lines", F.array().cast(found.schema["__lines"].dataType)).alias("line_classes"))
