@@ -4,7 +4,8 @@ A line is the set of its words (A-Z lower-cased).  Two lines match if the
 Jaccard similarity of their sets is at least ``percent`` / 100; a line goes if
 any earlier line of the table matches it.  Lines are ordered by document id, a
 hash of the document's text, and line number.  Lines of fewer than
-``least_words`` distinct words are neither compared nor removed.
+``least_words`` distinct words are neither compared nor removed; 1 compares all
+lines that have a word, as the registered query and the pipeline do.
 
 The join is the prefix-filter join of Xiao et al. ("Efficient similarity joins
 for near-duplicate detection"): tokens in one order from rare to common, an

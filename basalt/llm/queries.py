@@ -67,7 +67,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     links = F.aggregate("line_classes", F.lit(0).cast("long"), lambda n, x: n + x["linked_lines"])
     classes = F.transform("line_classes", lambda x: F.concat_ws(":", *(x[c].cast("string") for c in ("line", "class_id", "copies", "linked_classes", "linked_lines"))))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)

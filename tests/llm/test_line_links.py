@@ -4,6 +4,7 @@ import pytest
 
 pytest.importorskip("basalt.llm")
 from basalt.llm import line_dedup  # noqa: E402
+from basalt.llm.queries import queries  # noqa: E402
 
 from test_corpus_operators import LOW, WORD, corpus, frame  # noqa: E402
 
@@ -43,3 +44,14 @@ def test_no_link_is_lost(spark):
     assert sum(w[2] == 39 for w in want.values()) == 40
     cleaned = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert {(i, x.line): x.linked_lines for i, r in cleaned.items() for x in r.line_classes} == {k: w[3] for k, w in want.items()}
+
+
+def test_short_lines_are_compared(spark, tmp_path):
+    """Lines of one to four words: equal sets match, and four words match five that hold them."""
+    rows = corpus(3, 40) + near_copies(6) + ["a b c d", "a b c d e", "D c b a", "menu", "Menu", "by me\nby  me"]
+    want = check_links(spark, rows, 1)
+    assert want[len(rows) - 6, 0][1:] == (2, 1, 1, False) and want[len(rows) - 5, 0][4]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries()["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {i: sum(w[4] for (d, _), w in want.items() if d == i) for i in got}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(w[3] for (d, _), w in want.items() if d == i) for i in got}
