@@ -14,9 +14,8 @@ the symmetric difference, then the exact similarity.  The order comes from token
 counts over all lines, summed in ``2^RARITY_BITS`` hash slots, which is what is
 broadcast: any order that all lines share is exact, counts only make it
 selective.  Lines of equal sets are one class, so copies are not joined but
-counted.  Every pair of classes that match is found, once: at the first token of
-the order that both hold.  Pairs are compared where their posting lists meet and
-summed there, so no pair is shuffled; AQE splits the lists that are hot.
+counted.  Every pair of classes that match is found and counted once; AQE splits
+the posting lists that are hot.
 
 Defined results: null text counts as empty and stays null; rows with equal id
 and text are one document (nothing in one removes a line of the other); null ids
@@ -36,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, Block, Scratch, blocks, lists, map_arrow, map_blocks, mix64, signed, spans_hash, words
 
 RARITY_BITS = 18
+#: Bits of the fixed-size filter that keeps lines without candidates out of the last shuffle.
+FILTER_BITS = 24
 
 
 def line_sets(block: Block, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def rarity(lines: DataFrame, least_words: int) -> np.ndarray:
 
 
 def index_lines(lines: DataFrame, counts, least_words: int, percent: int) -> DataFrame:
-    """Every compared line with its digest, place, size, bitmap, prefix length and tokens from rare to common."""
+    """Every compared line with its digest, place, size, bitmap and rarest-first prefix."""
 
     def make():
         slots = counts.value
@@ -104,20 +105,53 @@ def index_lines(lines: DataFrame, counts, least_words: int, percent: int) -> Dat
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((token, slots[(token & np.uint64(len(slots) - 1)).astype(np.int64)], owner))
             prefix = size - (percent * size + 99) // 100 + 1
+            place = np.arange(len(token)) - bounds[owner]
+            chosen = order[place < prefix[owner]]
             bit = np.uint64(1) << (mix64(token ^ np.uint64(0x5BD1E995)) >> np.uint64(58))
             bitmap = np.bitwise_or.reduceat(bit, bounds[:-1]) if len(size) else np.zeros(0, np.uint64)
             rows = pa.array(doc)
-            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(bitmap), prefix.astype(np.int32), lists(signed(token[order]), bounds, pa.int64())]
+            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(bitmap), lists(signed(token[chosen]), np.concatenate([[0], np.cumsum(prefix)]), pa.int64())]
 
         return work
 
-    return map_blocks(lines, "text", make, "digest long, id long, h long, line int, n int, bitmap long, k int, s array<long>")
+    return map_blocks(lines, "text", make, "digest long, id long, h long, line int, n int, bitmap long, prefix array<long>")
 
 
-def linked_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """(digest, other, linked_classes, linked_lines): of each class with links, the earliest first line, number and lines of the classes it matches."""
+def sets_of_lines(lines: DataFrame, wanted, least_words: int) -> DataFrame:
+    """(digest, s) of the lines whose digest may be in the filter ``wanted``."""
+
+    def make():
+        bits = wanted.value
+
+        def work(block: Block, _) -> list:
+            token, bounds, _, _ = line_sets(block, least_words)
+            digest = digests(token, bounds)
+            _, first = np.unique(digest, return_index=True)
+            slot = (digest[first] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            keep = np.sort(first[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1])
+            size = np.diff(bounds)[keep]
+            flat = np.concatenate([token[bounds[i] : bounds[i + 1]] for i in keep]) if len(keep) else token[:0]
+            return [signed(digest[keep]), lists(signed(flat), np.concatenate([[0], np.cumsum(size)]), pa.int64())]
+
+        return work
+
+    return map_blocks(lines, "text", make, "digest long, s array<long>")
+
+
+def digest_filter(digest: DataFrame, name: str) -> np.ndarray:
+    """A bit for each digest's low ``FILTER_BITS`` bits: of a fixed size, with false hits but no misses."""
+    slot = F.col(name).bitwiseAND((1 << FILTER_BITS) - 1)
+    got = digest.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({name} & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+    return bits.view(np.uint8)
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes, a < b, that share a prefix token and pass the length, positional and bitmap filters."""
     # A set of n tokens matches none but its equal where even n + 1 tokens that hold it are too many.
-    post = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("digest", "first", "copies", "n", "bitmap", "s", F.posexplode(F.slice("s", F.lit(1), F.col("k"))).alias("at", "token"))
+    # Both sides of the join are one shuffle.
+    post = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("digest", "n", "bitmap", F.posexplode("prefix").alias("at", "token"))
     least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}L) div {100 + percent}L")
     fits = (
         (F.col("a.token") == F.col("b.token"))
@@ -125,10 +159,21 @@ def linked_classes(classes: DataFrame, percent: int) -> DataFrame:
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least)
         & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * least)
-        & F.exists(F.array(F.array_intersect("a.s", "b.s")), lambda x: (F.get(x, F.lit(0)) == F.col("a.token")) & (F.size(x) >= least))
     )
-    end = lambda x, y: F.struct(F.col(f"{x}.digest").alias("digest"), F.col(f"{y}.first").alias("other"), F.col(f"{y}.copies").alias("n"))
-    both = post.alias("a").join(post.alias("b"), fits).select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
+    return post.alias("a").join(post.alias("b"), fits).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
+
+
+def linked_classes(lines: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, least_words: int, percent: int) -> DataFrame:
+    """(digest, other, linked_classes, linked_lines): of each class with links, the earliest first line, number and lines of the classes it matches."""
+    wanted = lines.sparkSession.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
+    mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    sets = sets_of_lines(lines, wanted, least_words).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s"))
+    sets = scratch.save(sets.join(classes.select("digest", "first", "copies"), "digest"), "sets", free=True)
+    side = lambda x: sets.select(F.col("digest").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("s", "first", "copies")))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared))
+    end = lambda x, y: F.struct(F.col(x).alias("digest"), F.col(f"first_{y}").alias("other"), F.col(f"copies_{y}").alias("n"))
+    both = links.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
     return both.groupBy("digest").agg(F.min("other").alias("other"), F.count("*").alias("linked_classes"), F.sum("n").alias("linked_lines"))
 
 
@@ -145,9 +190,11 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
     counts = spark.sparkContext.broadcast(rarity(lines, least_words))
     indexed = index_lines(lines, counts, least_words, percent)
     place = F.struct("id", "h", "line")
-    classes = indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "k", "s")).alias("own"), F.count("*").alias("copies"))
+    classes = indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies"))
     classes = scratch.save(classes.select("digest", "first", "copies", "own.*"), "classes", free=True)
-    links = scratch.save(linked_classes(classes, percent), "links", free=True)
+    pairs = scratch.save(candidates(classes, percent), "pairs", free=True)
+    links = scratch.save(linked_classes(lines, classes, pairs, scratch, least_words, percent), "links", free=True)
+    scratch.drop("pairs", "sets")
     known = classes.select("digest", "first", "copies").join(links, "digest", "left")
     known = known.select("digest", F.least("first", F.coalesce("other", "first")).alias("earliest"), "copies", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("linked_classes", "linked_lines")))
     of_lines = index_places(lines, least_words).join(known, "digest")
