@@ -1,13 +1,12 @@
 """Quality rules: counting rules and n-gram perplexity bands.
 
-The language model is a modified Kneser-Ney model over the bytes of
-lower-cased words (each word padded with spaces).  Spark counts the n-grams of
-all documents; the model is held as sorted arrays of n-gram keys with
-probabilities and back-off weights, and looked up by binary search.  Keys pack
-an n-gram's bytes, so two n-grams never share a key.
-
-What is broadcast is bounded: while there are more than ``max_grams`` distinct
-n-grams of the highest order, the order falls by one (order 3 has at most 2^24).
+The language model is a modified Kneser-Ney model of one fixed order over the
+bytes of the lower-cased words of a document, joined by single spaces, so that
+n-grams cross the edges of words.  Keys pack an n-gram's bytes, so two n-grams
+never share a key.  Documents are dealt into buckets of about ``BUCKET_BYTES``;
+each bucket's distinct n-grams, in ``PARTS`` parts with sorted arrays, are
+counted, given their probabilities in the model's table, and joined back to the
+bucket, so nothing that grows with the corpus is broadcast or sent to the driver.
 
 A document is rejected if its log perplexity per byte lies outside its
 language's band, which reaches ``width`` interquartile ranges to either side of
@@ -23,18 +22,21 @@ no rows; a document without words has no perplexity and fails the base rules.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, Block, Scratch, by_doc, map_arrow, shingles, spans_hash, text_udf, with_fields, words
+from .common import LOWER, Block, Scratch, blocks, by_doc, lists, shingles, ship, signed, spans_hash, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes of text in a bucket of documents, and parts of the model (n-gram keys modulo a prime).
+BUCKET_BYTES = 4 << 20
+PARTS = 251
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -97,46 +99,96 @@ def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: in
     return keys, word
 
 
-def distinct_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, spans of each distinct word, the word number of every word, counts, and documents."""
+def text_grams(block: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of each document's words joined by spaces (``order - 1`` spaces before, one after), and each one's document."""
     low = LOWER[block.data]
-    starts, ends, doc = words(block)
-    _, first, inverse, count = np.unique(spans_hash(low, starts, ends), return_index=True, return_inverse=True, return_counts=True)
-    return low, starts[first], ends[first], inverse, count, doc
+    starts, ends, doc = words(block, low)
+    size = ends - starts + 1
+    word = np.repeat(np.arange(len(starts)), size)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + starts[word]
+    own = doc[word]
+    stream = np.where(at < ends[word], low[np.minimum(at, max(len(low) - 1, 0))], 32).astype(np.uint64)
+    before = np.arange(len(word)) - np.searchsorted(own, own)
+    keys = np.zeros(len(word), np.uint64)
+    for back in range(order - 1, -1, -1):
+        byte = np.full(len(word), 32, np.uint64)
+        byte[back:] = np.where(before[back:] >= back, stream[: len(word) - back], np.uint64(32))
+        keys = (keys << np.uint64(8)) | byte
+    return keys, own
 
 
-def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(gram, n) over all documents; every task sums its own rows first."""
+def counted_grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of some texts and their counts."""
+    found = []
+    for chunk in texts.chunks:
+        for block in blocks(chunk):
+            found.append(np.unique(text_grams(block, order)[0], return_counts=True))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import blocks
 
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list = []
+def bucket_grams(dealt: DataFrame, text: str, order: int) -> DataFrame:
+    """(bucket, part, grams, counts): the distinct n-grams of each bucket of documents, in parts."""
 
-        def merged() -> None:
-            nonlocal keys, counts
-            all_keys = np.concatenate([keys, *(k for k, _ in held)])
-            all_counts = np.concatenate([counts, *(c for _, c in held)])
-            keys, inverse = np.unique(all_keys, return_inverse=True)
-            counts = np.bincount(inverse, all_counts, minlength=len(keys)).astype(np.int64)
-            held.clear()
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = counted_grams(table.column("text"), order)
+        part = (keys % np.uint64(PARTS)).astype(np.int64)
+        at = np.argsort(part, kind="stable")
+        used, size = np.unique(part, return_counts=True)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        bucket = pa.array(np.full(len(used), table.column("__bucket")[0].as_py(), np.int64))
+        return pa.Table.from_arrays([bucket, pa.array(used), lists(signed(keys[at]), bounds, pa.int64()), lists(counts[at], bounds, pa.int64())], names=["bucket", "part", "grams", "counts"])
 
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                low, starts, ends, _, count, _ = distinct_words(block)
-                if not len(starts):
-                    continue
-                grams, word = word_grams(low, starts, ends, order)
-                found, inverse = np.unique(grams, return_inverse=True)
-                held.append((found, np.bincount(inverse, count[word], minlength=len(found)).astype(np.int64)))
-                if sum(len(k) for k, _ in held) > 2_000_000:
-                    merged()
-        merged()
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000])], names=["gram", "n"])
+    ship(dealt.sparkSession)
+    return dealt.select("__bucket", F.col(text).alias("text")).groupBy("__bucket").applyInArrow(run, "bucket long, part long, grams array<long>, counts array<long>")
 
-    return map_arrow(docs.select(text), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def count_grams(grams: DataFrame) -> DataFrame:
+    """(gram, n) over all buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        keys, inverse = np.unique(flat("grams"), return_inverse=True)
+        return pa.Table.from_arrays([pa.array(keys), pa.array(np.bincount(inverse, flat("counts"), minlength=len(keys)).astype(np.int64))], names=["gram", "n"])
+
+    return grams.groupBy("part").applyInArrow(run, "gram long, n long")
+
+
+def probabilities(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """(gram, p): what ``fit`` gives the n-grams of the highest order, as a table."""
+    levels = [counts.select("gram", "n")]
+    for n in range(order - 1, 0, -1):
+        levels.insert(0, scratch.save(levels[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * n) - 1).alias("gram")).agg(F.count("*").alias("n")), f"level{n}"))
+    below = None
+    for k, level in enumerate(levels, 1):
+        seen = dict(level.where("n <= 4").groupBy("n").count().collect())
+        d = discounts(*(float(seen.get(i, 0)) for i in (1, 2, 3, 4)))
+        step = F.array(*(F.lit(float(x)) for x in d))[F.least(F.col("n"), F.lit(3)).cast("int")]
+        own = level.select("gram", "n", step.alias("d"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("end"))
+        context = own.groupBy("context").agg(F.sum("n").alias("total"), *(F.count_if(F.least("n", F.lit(3)) == i).alias(f"n{i}") for i in (1, 2, 3)))
+        context = context.select("context", "total", sum(float(d[i]) * F.col(f"n{i}") for i in (1, 2, 3)).alias("held"))
+        joined = own.join(context, "context")
+        joined = joined.withColumn("lower", F.lit(1 / 256)) if below is None else joined.join(below.select(F.col("gram").alias("end"), F.col("p").alias("lower")), "end")
+        p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("held") / F.col("total") * F.col("lower")
+        below = scratch.save(joined.select("gram", p.alias("p")), f"probs{k}", free=True)
+    return below
+
+
+def priced_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(bucket, grams, costs): the buckets' n-grams with their negative log probabilities."""
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        keys, p = table.column("gram").to_numpy(), table.column("p").to_numpy()
+        at = np.argsort(keys)
+        wanted = asked.column("grams").combine_chunks()
+        cost = -np.log(p[at][np.searchsorted(keys, wanted.flatten().to_numpy(), sorter=at)])
+        bounds = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+        return pa.Table.from_arrays([asked.column("bucket"), asked.column("grams"), lists(cost, bounds, pa.float64())], names=["bucket", "grams", "costs"])
+
+    parted = model.select((F.col("gram") % PARTS).alias("part"), "gram", "p")
+    return grams.select("part", "bucket", "grams").groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(run, "bucket long, grams array<long>, costs array<double>")
 
 
 @dataclass
@@ -171,6 +223,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """Discounts of the counts 0, 1, 2 and 3 or more, from how many n-grams occur 1 to 4 times."""
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
+    return np.array([0.0] + [min(max(k - (k + 1) * y * b / a, 0.0), k) if a else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+
+
 def fit(keys: np.ndarray, counts: np.ndarray, order: int) -> KneserNey:
     """Modified Kneser-Ney (Chen and Goodman) from the counts of the highest order.
 
@@ -183,9 +241,7 @@ def fit(keys: np.ndarray, counts: np.ndarray, order: int) -> KneserNey:
         levels.insert(0, (own, c.astype(np.float64)))
     model, below = KneserNey([], [], [], []), None
     for n, (own, c) in enumerate(levels, 1):
-        n1, n2, n3, n4 = (float((c == k).sum()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        d = np.array([0.0] + [min(max(k - (k + 1) * y * b / a, 0.0), k) if a else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+        d = discounts(*(float((c == k).sum()) for k in (1, 2, 3, 4)))
         step = np.minimum(c, 3).astype(int)
         contexts, inverse = np.unique(own >> np.uint64(8), return_inverse=True)
         total = np.bincount(inverse, c)
@@ -200,46 +256,51 @@ def fit(keys: np.ndarray, counts: np.ndarray, order: int) -> KneserNey:
     return model
 
 
-def train(docs: DataFrame, scratch: Scratch, text: str = "text", order: int = 5, max_grams: int = 4_000_000) -> KneserNey:
-    counts = scratch.save(count_grams(docs, text, order), f"grams{order}", free=True)
-    while order > 3 and counts.count() > max_grams:
-        order -= 1
-        counts = scratch.save(counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams{order}")
-    got = counts.toArrow()
-    return fit(got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy(), order)
-
-
-def perplexity(model: KneserNey, block: Block) -> np.ndarray:
+def perplexity(grams: np.ndarray, costs: np.ndarray, block: Block, order: int) -> np.ndarray:
     """Mean negative log probability of a byte in each document; NaN without words."""
-    low, starts, ends, inverse, _, doc = distinct_words(block)
-    if not len(starts):
-        return np.full(block.n, np.nan)
-    keys, word = word_grams(low, starts, ends, model.order)
-    own, at = np.unique(keys, return_inverse=True)
-    cost = np.bincount(word, -model.log_probs(own)[at], minlength=len(starts))
-    size = (ends - starts + 1)[inverse]
+    keys, doc = text_grams(block, order)
+    own, at = np.unique(keys.astype(np.int64), return_inverse=True)
+    cost = costs[np.searchsorted(grams, own)][at] if len(own) else np.zeros(0)
     with np.errstate(invalid="ignore"):
-        return np.bincount(doc, cost[inverse], minlength=block.n) / np.bincount(doc, size, minlength=block.n)
+        return np.bincount(doc, cost, minlength=block.n) / np.bincount(doc, minlength=block.n)
 
 
-# -- the operator -----------------------------------------------------------------------
+def score(dealt: DataFrame, priced: DataFrame, text: str, order: int) -> DataFrame:
+    """``dealt`` documents without the text and bucket, with the counts and log_perplexity."""
+    names = [*COUNTS, "log_perplexity"]
+    others = [c for c in dealt.columns if c not in (text, "__bucket", *names)]
 
+    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        grams, costs = flat("grams"), flat("costs")
+        at = np.argsort(grams)
+        grams, costs = grams[at], costs[at]
+        texts = docs.column(text).combine_chunks()
+        values = [np.zeros(len(docs), np.int64) for _ in COUNTS] + [np.full(len(docs), np.nan)]
+        for block in blocks(texts):
+            for value, found in zip(values, [*rule_counts(block), perplexity(grams, costs, block, order)], strict=True):
+                value[block.rows] = found
+        arrays = [docs.column(c) for c in others] + [pa.array(v) for v in values]
+        return pa.Table.from_arrays(arrays, names=[*others, *names])
 
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, max_grams: int = 4_000_000, width: float = 3.5, least_words: int = 10) -> DataFrame:
-    """``docs`` without the text, with the counts, base_failed, log_perplexity and kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality-rules")
-    shared = spark.sparkContext.broadcast(train(docs, scratch, text, order, max_grams))
+    fields = [dealt.schema[c] for c in others] + [StructField(c, LongType()) for c in COUNTS] + [StructField("log_perplexity", DoubleType())]
+    return dealt.groupBy("__bucket").cogroup(priced.withColumnRenamed("bucket", "__bucket").groupBy("__bucket")).applyInArrow(run, StructType(fields))
 
-    def make():
-        model = shared.value
-        return lambda block, _: [*rule_counts(block), perplexity(model, block)]
 
-    names = [*COUNTS, "log_perplexity"]
-    fields = ", ".join(f"{c} long" for c in COUNTS) + ", log_perplexity double"
-    scored = with_fields(docs, text_udf(make, fields)(text), names).drop(text)
+# -- the operator -----------------------------------------------------------------------
+
+
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, width: float = 3.5, least_words: int = 10) -> DataFrame:
+    """``docs`` without the text, with the counts, base_failed, log_perplexity and kept."""
+    scratch = Scratch(docs.sparkSession, "quality-rules")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*docs.columns), F.lit(size // BUCKET_BYTES + 1)))
+    grams = scratch.save(bucket_grams(dealt, text, order), "grams", free=True)
+    model = probabilities(scratch.save(count_grams(grams), "counts", free=True), order, scratch)
+    priced = scratch.save(priced_grams(grams, model), "priced", free=True)
+    scored = score(dealt, priced, text, order)
     scored = scored.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    scored = scratch.save(scored, "scored")
+    scored = scratch.save(scored, "scored", free=True)
     fine = scored.where("not base_failed").groupBy(F.col(lang).alias("__lang"))
     spread = fine.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_words", 0.5).alias("__size"))
     spread = spread.select("__lang", "__size", F.col("q")[1].alias("__mid"), (width * (F.col("q")[2] - F.col("q")[0])).alias("__reach"))
