@@ -185,10 +185,10 @@ def priced_grams(grams: DataFrame, model: DataFrame) -> DataFrame:
         wanted = asked.column("grams").combine_chunks()
         cost = -np.log(p[at][np.searchsorted(keys, wanted.flatten().to_numpy(), sorter=at)])
         bounds = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
-        return pa.Table.from_arrays([asked.column("bucket"), asked.column("grams"), lists(cost, bounds, pa.float64())], names=["bucket", "grams", "costs"])
+        return pa.Table.from_arrays([asked.column("bucket"), asked.column("grams"), lists(cost.astype(np.float32), bounds, pa.float32())], names=["bucket", "grams", "costs"])
 
     parted = model.select((F.col("gram") % PARTS).alias("part"), "gram", "p")
-    return grams.select("part", "bucket", "grams").groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(run, "bucket long, grams array<long>, costs array<double>")
+    return grams.select("part", "bucket", "grams").groupBy("part").cogroup(parted.groupBy("part")).applyInArrow(run, "bucket long, grams array<long>, costs array<float>")
 
 
 @dataclass
@@ -298,9 +298,11 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order
     grams = scratch.save(bucket_grams(dealt, text, order), "grams", free=True)
     model = probabilities(scratch.save(count_grams(grams), "counts", free=True), order, scratch)
     priced = scratch.save(priced_grams(grams, model), "priced", free=True)
+    scratch.drop(*(name for name in list(scratch.paths) if name != "priced"))
     scored = score(dealt, priced, text, order)
     scored = scored.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     scored = scratch.save(scored, "scored", free=True)
+    scratch.drop("priced")
     fine = scored.where("not base_failed").groupBy(F.col(lang).alias("__lang"))
     spread = fine.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_words", 0.5).alias("__size"))
     spread = spread.select("__lang", "__size", F.col("q")[1].alias("__mid"), (width * (F.col("q")[2] - F.col("q")[0])).alias("__reach"))
