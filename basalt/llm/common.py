@@ -8,11 +8,13 @@ document), so a task's memory does not depend on how many documents it reads.
 
 from __future__ import annotations
 
-import gc
+import hashlib
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -40,48 +42,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and all runs on one machine."""
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given
+    if not re.match(r"local(\[|$)", master := spark.sparkContext.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN_DIR[0]
 
 
+#: Lets Spark delete an execution's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Executions in this block leave no shuffle files behind: what they made is written by then."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Intermediate tables of one operator, written to the shared folder and read back.
 
     Writing cuts the lineage, so that an executor lost later costs only the
-    step it was working on; ``drop`` deletes a table that no later step reads.
+    step it was working on; ``drop`` deletes tables that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
-        self.pending = False
 
-    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """Write and reread a table.  With ``free`` the shuffle files that made it go before the
-        next step (not here, where the caller still holds the DataFrame)."""
-        self.release()
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and reread a table."""
         path = self.paths[name] = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        self.pending = free
+        with shuffles_deleted(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of large steps that are written."""
-        if self.pending:
-            gc.collect()
-            self.spark._jvm.System.gc()
-            self.pending = False
-
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever the case of its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, i = f"__{stem}", 0
+        while name in taken:
+            name, i = f"__{stem}_{i}", i + 1
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that results of these names don't replace; Spark compares names without case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Texts are long: batches of Spark's usual 10,000 rows would fill a Python worker's memory.
 ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -157,33 +188,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODES = mix64((np.arange(1, 257, dtype=np.uint64)) * np.uint64(GAMMA)) | np.uint64(1)
-_BASE, _POWERS = 0x5851F42D4C957F2D, []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        if n > 8 * BLOCK_BYTES:  # tables for one very long document are not kept
-            return out[0], out[1]
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+#: Keeps the first n bytes of a little-endian 64-bit integer.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: equal spans, equal hashes."""
+    """64-bit hash of each byte span: its eight-byte pieces go through a mixing function one after another."""
+    size = ends - starts
+    h = mix64(size.astype(np.uint64) * np.uint64(GAMMA))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(GAMMA))
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    short = size <= LONG_SPAN
+    live = None if short.all() else np.flatnonzero(short)
+    at, left = (starts, size) if live is None else (starts[live], size[live])
+    while len(at):
+        piece = mix64((h if live is None else h[live]) * np.uint64(GAMMA) + (eight[at] & _FIRST[np.minimum(left, 8)]))
+        if live is None:
+            h = piece
+        else:
+            h[live] = piece
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~short):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def set_digests(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each set (runs of distinct hashes): two sums over its members, mixed apart, and its size."""
+    size = np.diff(bounds).astype(np.uint64)
+    return tuple(mix64(run_sums(mix64(members ^ np.uint64(salt)), bounds) + size * np.uint64(GAMMA)) for salt in (0xA5A3564D1F2C8B77, 0x3C79AC492BA7B653))
+
+
+def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of each run, modulo 2^64."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
 
 
 def words(block: Block, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,7 +371,7 @@ def text_udf(make: Callable[[], Callable[[Block, pa.Array], list]], ddl: str):
 
 
 def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:
-    """``df`` with the struct's fields as columns; columns of these names are replaced."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    made = df.select(*kept, struct.alias("__made"))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col(f"__made.`{n}`") for n in names])
+    """``df`` with the struct's fields as columns; columns of these names, in whatever case, are replaced."""
+    kept, (made,) = others(df, *names), fresh(df, "made")
+    out = df.select(*map(quoted, kept), struct.alias(made))
+    return out.select(*map(quoted, kept), *[F.col(made)[n].alias(n) for n in names])

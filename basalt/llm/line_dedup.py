@@ -3,232 +3,480 @@
 A line is the set of its words (A-Z lower-cased).  Two lines match if the
 Jaccard similarity of their sets is at least ``percent`` / 100; a line goes if
 any earlier line of the table matches it.  Lines are ordered by document id, a
-hash of the document's text, and line number.  Lines of fewer than
-``least_words`` distinct words are neither compared nor removed; 1 compares all
-lines that have a word, as the registered query and the pipeline do.
+hash of the document's id and text, and line number.  Lines of fewer than
+``least_words`` distinct words are neither compared nor removed; the default
+compares all lines that have a word.
 
 The join is the prefix-filter join of Xiao et al. ("Efficient similarity joins
-for near-duplicate detection"): tokens in one order from rare to common, an
-index over prefixes, then length filter, positional filter and a bitmap bound on
-the symmetric difference, then the exact similarity.  The order comes from token
-counts over all lines, summed in ``2^RARITY_BITS`` hash slots, which is what is
-broadcast: any order that all lines share is exact, counts only make it
-selective.  Lines of equal sets are one class, so copies are not joined but
-counted.  Every pair of classes that match is found and counted once; AQE splits
-the posting lists that are hot.
+for near-duplicate detection"): tokens in one order from rare to common,
+posting lists over prefixes, then length filter, positional filter and a bound
+on the symmetric difference from a parity sketch, then the exact similarity.
+The order comes from token counts over all lines in ``2^SLOT_BITS`` hash slots,
+a broadcast of fixed size: any order that all lines share is exact, counts only
+make it selective.  Lines of equal sets are one class, so copies are not joined
+but counted.
+
+Pairs are never emitted.  Posting lists are dealt to tasks by token; a first
+join finds the postings that have any candidate, and only these are dealt again
+with their whole sets, which are cut from the text at the place of the class's
+first line.  There every pair is checked once, in the list of its first common
+token, and leaves only counts: each class's links, the lines behind them and the
+earliest of them.  A list of more than ``most_postings`` entries is split into
+fragments, and every two fragments meet in a task of their own.
 
 Defined results: null text counts as empty and stays null; rows with equal id
 and text are one document (nothing in one removes a line of the other); null ids
-sort first; an empty table gives no rows; other columns pass through and columns
-named like a result are replaced.
+sort first; very long texts and lines are compared whole; an empty table gives
+no rows; other columns pass through, and columns named like a result, in
+whatever case, are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, Scratch, blocks, lists, map_arrow, map_blocks, mix64, signed, spans_hash, words
+from .common import GAMMA, LOWER, Block, Scratch, blocks, fresh, lists, map_arrow, map_blocks, mix64, others, quoted, set_digests, signed, spans_hash, words
 
-RARITY_BITS = 18
-#: Bits of the fixed-size filter that keeps lines without candidates out of the last shuffle.
+SLOT_BITS = 22
+#: Token counts travel as compressed pieces of the slot table.
+PIECES = 64
+#: Bits of the fixed-size filter for first lines of classes with candidates.
 FILTER_BITS = 24
+#: Postings in a task of the first join, and bytes of sets in a task of the second.
+TASK_POSTINGS, TASK_SET_BYTES = 100_000, 16 << 20
+#: Candidate pairs that a task looks at together.
+PAIRS_AT_ONCE = 1 << 19
 
 
-def line_sets(block: Block, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct token hashes (sorted by line), bounds of each compared line, its document and its number."""
+# -- lines and their tokens -------------------------------------------------------------
+
+
+def line_sets(block: Block, codes: np.ndarray, least_words: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of each compared line, rarest first by ``codes``; the lines' bounds, documents and numbers.
+
+    ``wanted`` chooses lines by document and number before they are taken apart.
+    """
     low = LOWER[block.data]
     starts, ends, doc = words(block, low)
-    breaks = np.concatenate([[0], np.cumsum(low == 10)])
-    line = breaks[starts] if len(starts) else np.zeros(0, np.int64)
-    number = line - breaks[block.offs[doc]] if len(starts) else line
-    token, group = spans_hash(low, starts, ends), doc * (int(breaks[-1]) + 1) + line
-    order = np.lexsort((token, group))
-    token, group, doc, number = token[order], group[order], doc[order], number[order]
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-    token, group, doc, number = token[fresh], group[fresh], doc[fresh], number[fresh]
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(token)))
+    none = np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none
+    breaks = np.flatnonzero(low == 10)
+    line = np.searchsorted(breaks, starts)
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    line_doc, number = doc[first], line[first] - np.searchsorted(breaks, block.offs[doc[first]])
+    size = np.diff(np.append(first, len(line)))
+    if wanted is not None:
+        keep = wanted(line_doc, number)
+        of_word = np.repeat(keep, size)
+        starts, ends, line_doc, number, size = starts[of_word], ends[of_word], line_doc[keep], number[keep], size[keep]
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none
+    raw, owner = spans_hash(low, starts, ends), np.repeat(np.arange(len(size)), size)
+    code = codes[(raw & np.uint64(len(codes) - 1)).astype(np.int64)]
+    # One sort by line, count and token; its key has as many bits of the token as fit.
+    bits = int(len(size)).bit_length()
+    key = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (code.astype(np.uint64) << np.uint64(48 - bits)) | (raw >> np.uint64(16 + bits))
+    order = np.argsort(key)
+    token, key = raw[order], key[order]
+    if ((key[1:] == key[:-1]) & (token[1:] != token[:-1])).any():
+        order = np.lexsort((raw, code, owner))
+        token = raw[order]
+    owner = owner[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+    token, owner = token[new], owner[new]
+    size = np.bincount(owner, minlength=len(size))
     long = size >= least_words
     keep = np.repeat(long, size)
-    bounds = np.concatenate([[0], np.cumsum(size[long])])
-    return token[keep], bounds, doc[at[long]], number[at[long]]
+    return token[keep], np.concatenate([[0], np.cumsum(size[long])]), line_doc[long], number[long]
 
 
-def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of each run, modulo 2^64."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of which a match must share one; none where even a set of one more token that holds this one is too large to match."""
+    return np.where(100 * size >= percent * (size + 1), size - (percent * size + 99) // 100 + 1, 0)
 
 
-def digests(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit digest of each line's token set, in two rounds over its members and its size."""
-    return mix64(sums(token, bounds) + mix64(sums(mix64(token), bounds) + np.diff(bounds).astype(np.uint64)))
+def parity(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits in two words, each the parity of the tokens that hash to it: two sets differ in no fewer tokens than bits."""
+    if len(bounds) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = mix64(token ^ np.uint64(0x5BD1E9955BD1E995))
+    bit, upper = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(1)).astype(bool)
+    return tuple(np.bitwise_xor.reduceat(np.where(upper == half, bit, np.uint64(0)), bounds[:-1]) for half in (False, True))
 
 
 def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return docs.select(quoted(key).cast("long").alias("id"), F.xxhash64(quoted(key).cast("long"), quoted(text)).alias("h"), quoted(text).alias("text"))
 
 
-def rarity(lines: DataFrame, least_words: int) -> np.ndarray:
-    """Counts of all tokens of compared lines, in hash slots."""
+def token_codes(lines: DataFrame) -> np.ndarray:
+    """A code for each hash slot that rises with the number of words in it: the number up to 4096, then its logarithm."""
+    each = (1 << SLOT_BITS) // PIECES
+    codec = "zstd"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for block in blocks(batch.column(0)):
-                token = line_sets(block, least_words)[0]
-                total += np.bincount((token & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total))
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
-
-    got = map_arrow(lines.select("text"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.int64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+                low = LOWER[block.data]
+                starts, ends, _ = words(block, low)
+                np.add.at(total, (spans_hash(low, starts, ends) & np.uint64(len(total) - 1)).astype(np.int64), 1)
+        pieces = [pa.compress(total[i * each : (i + 1) * each].tobytes(), codec, asbytes=True) for i in range(PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.array(pieces, pa.binary())], names=["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(pa.decompress(counts.as_buffer(), 8 * each, codec), np.int64)
+                sums[piece] = sums[piece] + got if piece in sums else got
+        made = []
+        for n in sums.values():
+            code = np.minimum(n, 4096) + (256 * np.log2(np.maximum(n, 4096) / 4096)).astype(np.int64)
+            made.append(np.minimum(code, 65535).astype(np.uint16).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(made, pa.binary())], names=["piece", "codes"])
+
+    counted = map_arrow(lines.select("text"), count, "piece long, counts binary").repartition(PIECES, "piece")
+    out = np.zeros(1 << SLOT_BITS, np.uint16)
+    for row in map_arrow(counted, add, "piece long, codes binary").toArrow().to_pylist():
+        out[row["piece"] * each : (row["piece"] + 1) * each] = np.frombuffer(row["codes"], np.uint16)
     return out
 
 
-def index_lines(lines: DataFrame, counts, least_words: int, percent: int) -> DataFrame:
-    """Every compared line with its digest, place, size, bitmap and rarest-first prefix."""
+def index_lines(lines: DataFrame, shared, least_words: int, percent: int) -> DataFrame:
+    """Every compared line with its digest, place, size, sketch and those prefix tokens that occur elsewhere."""
 
     def make():
-        slots = counts.value
+        codes = shared.value
 
         def work(block: Block, table: pa.Table) -> list:
-            token, bounds, doc, number = line_sets(block, least_words)
+            token, bounds, doc, number = line_sets(block, codes, least_words)
             size = np.diff(bounds)
+            at = np.arange(len(token)) - np.repeat(bounds[:-1], size)
             owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((token, slots[(token & np.uint64(len(slots) - 1)).astype(np.int64)], owner))
-            prefix = size - (percent * size + 99) // 100 + 1
-            place = np.arange(len(token)) - bounds[owner]
-            chosen = order[place < prefix[owner]]
-            bit = np.uint64(1) << (mix64(token ^ np.uint64(0x5BD1E995)) >> np.uint64(58))
-            bitmap = np.bitwise_or.reduceat(bit, bounds[:-1]) if len(size) else np.zeros(0, np.uint64)
+            chosen = (at < prefix_sizes(size, percent)[owner]) & (codes[(token & np.uint64(len(codes) - 1)).astype(np.int64)] > 1)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[chosen], minlength=len(size)))])
+            d1, d2 = set_digests(token, bounds)
+            s1, s2 = parity(token, bounds)
             rows = pa.array(doc)
-            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(bitmap), lists(signed(token[chosen]), np.concatenate([[0], np.cumsum(prefix)]), pa.int64())]
+            return [signed(d1), signed(d2), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32), size.astype(np.int32), signed(s1), signed(s2), lists(signed(token[chosen]), cuts, pa.int64()), lists(at[chosen].astype(np.int32), cuts, pa.int32())]
 
         return work
 
-    return map_blocks(lines, "text", make, "digest long, id long, h long, line int, n int, bitmap long, prefix array<long>")
+    return map_blocks(lines, "text", make, "d1 long, d2 long, id long, h long, line int, n int, s1 long, s2 long, tokens array<long>, at array<int>")
 
 
-def sets_of_lines(lines: DataFrame, wanted, least_words: int) -> DataFrame:
-    """(digest, s) of the lines whose digest may be in the filter ``wanted``."""
+# -- posting lists ----------------------------------------------------------------------
 
-    def make():
-        bits = wanted.value
-
-        def work(block: Block, _) -> list:
-            token, bounds, _, _ = line_sets(block, least_words)
-            digest = digests(token, bounds)
-            _, first = np.unique(digest, return_index=True)
-            slot = (digest[first] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            keep = np.sort(first[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1])
-            size = np.diff(bounds)[keep]
-            flat = np.concatenate([token[bounds[i] : bounds[i + 1]] for i in keep]) if len(keep) else token[:0]
-            return [signed(digest[keep]), lists(signed(flat), np.concatenate([[0], np.cumsum(size)]), pa.int64())]
 
-        return work
+def candidate_pairs(token: np.ndarray, tile: np.ndarray, piece: np.ndarray, n: np.ndarray, at: np.ndarray, sketch: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings of one list that pass the length, positional and sketch filters, in bounded portions.
 
-    return map_blocks(lines, "text", make, "digest long, s array<long>")
-
-
-def digest_filter(digest: DataFrame, name: str) -> np.ndarray:
-    """A bit for each digest's low ``FILTER_BITS`` bits: of a fixed size, with false hits but no misses."""
-    slot = F.col(name).bitwiseAND((1 << FILTER_BITS) - 1)
-    got = digest.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({name} & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
-    return bits.view(np.uint8)
-
-
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes, a < b, that share a prefix token and pass the length, positional and bitmap filters."""
-    # A set of n tokens matches none but its equal where even n + 1 tokens that hold it are too many.
-    # Both sides of the join are one shuffle.
-    post = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("digest", "n", "bitmap", F.posexplode("prefix").alias("at", "token"))
-    least = F.expr(f"({percent}L * (a.n + b.n) + {99 + percent}L) div {100 + percent}L")
-    fits = (
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.digest") < F.col("b.digest"))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least)
-        & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) <= F.col("a.n") + F.col("b.n") - 2 * least)
-    )
-    return post.alias("a").join(post.alias("b"), fits).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
-
-
-def linked_classes(lines: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, least_words: int, percent: int) -> DataFrame:
-    """(digest, other, linked_classes, linked_lines): of each class with links, the earliest first line, number and lines of the classes it matches."""
-    wanted = lines.sparkSession.sparkContext.broadcast(digest_filter(pairs.select(F.explode(F.array("a", "b")).alias("d")), "d"))
-    mates = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    sets = sets_of_lines(lines, wanted, least_words).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("s").alias("s"))
-    sets = scratch.save(sets.join(classes.select("digest", "first", "copies"), "digest"), "sets", free=True)
-    side = lambda x: sets.select(F.col("digest").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("s", "first", "copies")))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared))
-    end = lambda x, y: F.struct(F.col(x).alias("digest"), F.col(f"first_{y}").alias("other"), F.col(f"copies_{y}").alias("n"))
-    both = links.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select("e.*")
-    return both.groupBy("digest").agg(F.min("other").alias("other"), F.count("*").alias("linked_classes"), F.sum("n").alias("linked_lines"))
-
-
-def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """(id, h, line, class_id, copies, linked_classes, linked_lines, gone) of every compared line.
+    Postings of a split list meet in the tile of their two fragments only
+    (``tile`` names it, ``piece`` is the posting's fragment).
+    """
+    if not len(token):
+        return
+    order = np.lexsort((n, token, tile))
+    token, tile, piece, n, at = token[order], tile[order], piece[order], n[order].astype(np.int64), at[order].astype(np.int64)
+    sketch = [s[order] for s in sketch]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])
+    run, top = np.cumsum(new), int(n.max()) + 1
+    last = np.searchsorted(run * top + n, run * top + np.minimum(100 * n // percent, top - 1), "right")
+    many = last - np.arange(len(last)) - 1
+    total, place = np.concatenate([[0], np.cumsum(many)]), 0
+    while place < len(many):
+        end = max(place + 1, int(np.searchsorted(total, total[place] + PAIRS_AT_ONCE, "right")) - 1)
+        for start in range(0, int(total[end] - total[place]), PAIRS_AT_ONCE):  # one list may be longer than a portion
+            k = np.arange(start, min(start + PAIRS_AT_ONCE, int(total[end] - total[place]))) + total[place]
+            i = np.searchsorted(total, k, "right") - 1
+            j = i + 1 + k - total[i]
+            least = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
+            fit = np.minimum(n[i] - at[i], n[j] - at[j]) >= least
+            i, j, least = i[fit], j[fit], least[fit]
+            differ = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch)
+            fit = (differ <= n[i] + n[j] - 2 * least) & ((tile[i] < 0) | (piece[i] != piece[j]) | (tile[i] >> 32 == (tile[i] & 0xFFFFFFFF)))
+            if fit.any():
+                yield order[i[fit]], order[j[fit]]
+        place = end
+
+
+def posting_rows(classes: DataFrame, hot: dict[int, int], n_buckets: int) -> DataFrame:
+    """The classes' postings, dealt by token to buckets; each row packs those of many classes for one bucket.
+
+    ``hot`` has the number of fragments of each list that is split.
+    """
+    names = np.array(sorted(hot), np.int64)
+    pieces = np.array([hot[int(t)] for t in names], np.int64)
 
-    A class is the lines of one token set and ``copies`` their number, lines of
-    equal rows included; its links are the other classes that match it, and
-    ``linked_lines`` the sum of their copies.  ``gone`` lines have an earlier
-    line in their class or in a linked one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def deal() -> pa.RecordBatch:
+            flat = [np.concatenate(x) for x in zip(*held, strict=True)]
+            bucket = bucket_of(flat[0], flat[1], n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            cuts = np.append(first, len(bucket))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(used), *(lists(x[order], cuts, k) for x, k in zip(flat, kinds, strict=True))], names=["bucket", "token", "tile", "piece", "number", "n", "at", "s1", "s2"])
+
+        for batch in batches:
+            column = {c: batch.column(c) for c in batch.schema.names}
+            many = column["tokens"].value_lengths().to_numpy()
+            token, at = column["tokens"].flatten().to_numpy(), column["at"].flatten().to_numpy()
+            own = np.repeat(np.arange(len(many)), many)
+            rest = [column[c].to_numpy()[own] for c in ("number", "n")]
+            ends = [column[c].to_numpy()[own] for c in ("s1", "s2")]
+            tile, piece = np.full(len(token), -1, np.int64), np.zeros(len(token), np.int32)
+            if len(names):
+                place = np.minimum(np.searchsorted(names, token), len(names) - 1)
+                split = np.flatnonzero(names[place] == token)
+                parts = pieces[place[split]]
+                mine = (mix64(rest[0][split]) % parts.astype(np.uint64)).astype(np.int64)
+                # A posting of fragment f goes to the tiles (0, f) ... (f, f) ... (f, last).
+                copy = np.repeat(np.arange(len(split)), parts)
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(parts) - parts, parts)
+                take = np.concatenate([np.delete(np.arange(len(token)), split), split[copy]])
+                tiles = (np.minimum(mine[copy], other) << 32) | np.maximum(mine[copy], other)
+                tile, piece = np.concatenate([tile[: len(token) - len(split)], tiles]), np.concatenate([piece[: len(token) - len(split)], mine[copy].astype(np.int32)])
+                token, at, rest, ends = token[take], at[take], [x[take] for x in rest], [x[take] for x in ends]
+            held.append([token, tile, piece, rest[0], rest[1], at, *ends])
+            size += len(token)
+            if size >= 2 * TASK_POSTINGS:
+                yield deal()
+                held, size = [], 0
+        if size:
+            yield deal()
+
+    schema = "bucket long, token array<long>, tile array<long>, piece array<int>, number array<long>, n array<int>, at array<int>, s1 array<long>, s2 array<long>"
+    return map_arrow(classes.select("number", "n", "s1", "s2", "tokens", "at"), run, schema)
+
+
+def bucket_of(token: np.ndarray, tile: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix64(mix64(token) + tile.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def active_postings(postings: DataFrame, n_buckets: int, percent: int) -> DataFrame:
+    """(number, token, tile, piece, at) of the postings with a candidate in their list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "tile", "piece", "number", "n", "at", "s1", "s2"]
+        held = [[batch.column(c).flatten().to_numpy() for c in names] for batch in batches]
+        if not held:
+            return
+        token, tile, piece, number, n, at, s1, s2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        active = np.zeros(len(token), bool)
+        for i, j in candidate_pairs(token, tile, piece, n, at, [s1.view(np.uint64), s2.view(np.uint64)], percent):
+            active[i] = active[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[active]) for x in (number, token, tile, piece, at)], names=["number", "token", "tile", "piece", "at"])
+
+    return map_arrow(postings.repartition(n_buckets, "bucket"), run, "number long, token long, tile long, piece int, at int")
+
+
+def hot_tokens(classes: DataFrame, codes: np.ndarray, shared, most_postings: int) -> dict[int, int]:
+    """Fragments of each posting list of more than ``most_postings`` entries, from exact counts.
+
+    Only slots with that many words can hold such a token, so the counting job
+    runs only where there are any.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "line-dedup")
-    lines = _lines(docs, text, key)
-    counts = spark.sparkContext.broadcast(rarity(lines, least_words))
-    indexed = index_lines(lines, counts, least_words, percent)
-    place = F.struct("id", "h", "line")
-    classes = indexed.groupBy("digest").agg(F.min(place).alias("first"), F.first(F.struct("n", "bitmap", "prefix")).alias("own"), F.count("*").alias("copies"))
-    classes = scratch.save(classes.select("digest", "first", "copies", "own.*"), "classes", free=True)
-    pairs = scratch.save(candidates(classes, percent), "pairs", free=True)
-    links = scratch.save(linked_classes(lines, classes, pairs, scratch, least_words, percent), "links", free=True)
-    scratch.drop("pairs", "sets")
-    known = classes.select("digest", "first", "copies").join(links, "digest", "left")
-    known = known.select("digest", F.least("first", F.coalesce("other", "first")).alias("earliest"), "copies", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("linked_classes", "linked_lines")))
-    of_lines = index_places(lines, least_words).join(known, "digest")
-    out = scratch.save(of_lines.select("id", "h", "line", F.col("digest").alias("class_id"), "copies", "linked_classes", "linked_lines", (F.col("earliest") < place).alias("gone")), "lines", free=True)
-    scratch.drop("classes", "links")
-    scratch.release()
+    limit = np.uint16(min(most_postings, 4095))
+    if codes.max() <= limit:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
+        for batch in batches:
+            token = batch.column(0).flatten().to_numpy()
+            own, n = np.unique(token[codes[token & (len(codes) - 1)] > limit], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["token", "n"])
+
+    counted = map_arrow(classes.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > most_postings)
+    return {r.token: -(-r.n // most_postings) for r in counted.collect()}
+
+
+# -- exact similarity -------------------------------------------------------------------
+
+
+def place_filter(first: DataFrame) -> np.ndarray:
+    """A bit for each first line's place, by the low bits of a hash: of a fixed size, with false hits but no misses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = place_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            word, where = np.unique(slot >> 5, return_inverse=True)
+            bits = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(bits, where, np.int64(1) << (slot & 31))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
+
+    got = map_arrow(first.select("h", "line"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
-def index_places(lines: DataFrame, least_words: int) -> DataFrame:
-    """(digest, id, h, line) of every compared line."""
+def place_slots(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (mix64(h.astype(np.int64).view(np.uint64) + line.astype(np.uint64) * np.uint64(GAMMA)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def sets_at(lines: DataFrame, shared, places, least_words: int) -> DataFrame:
+    """(d1, d2, s): the sets, rarest token first, of the lines whose place may be in the filter ``places``."""
 
     def make():
+        codes, bits = shared.value, places.value
+
         def work(block: Block, table: pa.Table) -> list:
-            token, bounds, doc, number = line_sets(block, least_words)
-            rows = pa.array(doc)
-            return [signed(digests(token, bounds)), table.column("id").take(rows), table.column("h").take(rows), number.astype(np.int32)]
+            h = table.column("h").to_numpy()
+
+            def wanted(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+                slot = place_slots(h[doc], number)
+                return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+            token, bounds, _, _ = line_sets(block, codes, least_words, wanted)
+            d1, d2 = set_digests(token, bounds)
+            return [signed(d1), signed(d2), lists(signed(token), bounds, pa.int64())]
 
         return work
 
-    return map_blocks(lines, "text", make, "digest long, id long, h long, line int")
+    return map_blocks(lines, "text", make, "d1 long, d2 long, s array<long>")
+
+
+def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> DataFrame:
+    """Of each class, in each task: its links, the lines behind them and the earliest place of a linked class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        column = {c: table.column(c).combine_chunks() for c in table.column_names if c != "s"}
+        number, token, tile, piece, at = (column[c].to_numpy() for c in ("number", "token", "tile", "piece", "at"))
+        # A row comes again where its first line does; lists of one token hold a class once.
+        order = np.lexsort((number, token, tile))
+        again = np.zeros(len(number), bool)
+        again[1:] = (number[order][1:] == number[order][:-1]) & (token[order][1:] == token[order][:-1]) & (tile[order][1:] == tile[order][:-1])
+        row = order[~again]
+        own, first, cls = np.unique(number[row], return_index=True, return_inverse=True)
+        take = row[first]
+        sets = table.column("s").take(pa.array(take)).combine_chunks()
+        size = sets.value_lengths().to_numpy().astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        sketch = parity(flat.view(np.uint64), bounds)
+        _, local = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(own)), size)
+        spot = np.arange(len(flat)) - bounds[owner]
+        by = np.lexsort((local, owner))
+        local, spot, width = local[by], spot[by], int(local.max()) + 1
+        place = column["place"].take(pa.array(take))
+        ident, h, line = (place.field(c) for c in ("id", "h", "line"))
+        known = (~np.asarray(ident.is_null())).astype(np.int8)
+        rank = np.empty(len(own), np.int64)
+        rank[np.lexsort((line.to_numpy(), h.to_numpy(), ident.fill_null(0).to_numpy(), known))] = np.arange(len(own))
+        at_rank = np.argsort(rank)
+        copies = column["copies"].take(pa.array(take)).to_numpy()
+        links, linked, earliest = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.full(len(own), len(own))
+        for i, j in candidate_pairs(token[row], tile[row], piece[row], size[cls], at[row], [s[cls] for s in sketch], percent):
+            for low in range(0, len(i), step := max(1, (4 << 20) // max(int(size.max()), 1))):
+                x, y, spot_x = cls[i[low : low + step]], cls[j[low : low + step]], at[row[i[low : low + step]]]
+                pair_x, of_x = spread(bounds, x)
+                pair_y, of_y = spread(bounds, y)
+                key_x, key_y = pair_x * width + local[of_x], pair_y * width + local[of_y]
+                hit = np.minimum(np.searchsorted(key_y, key_x), len(key_y) - 1)
+                common = key_y[hit] == key_x
+                shared_tokens = np.bincount(pair_x[common], minlength=len(x))
+                lowest = np.full(len(x), 1 << 62)
+                np.minimum.at(lowest, pair_x[common], spot[of_x][common])
+                good = (lowest == spot_x) & (100 * shared_tokens >= percent * (size[x] + size[y] - shared_tokens))
+                x, y = x[good], y[good]
+                for a, b in ((x, y), (y, x)):
+                    links += np.bincount(a, minlength=len(own))
+                    np.add.at(linked, a, copies[b])
+                    np.minimum.at(earliest, a, rank[b])
+        some = np.flatnonzero(links)
+        other = place.take(pa.array(at_rank[earliest[some]]))
+        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(links[some]), pa.array(linked[some]), *(other.field(c) for c in ("id", "h", "line"))], names=["number", "links", "linked", "id", "h", "line"])
+
+    return map_arrow(rows.repartition(n_buckets, "bucket"), run, "number long, links long, linked long, id long, h long, line int")
+
+
+def spread(bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the runs ``own``: the place in ``own`` and the index of each of their members."""
+    size = bounds[own + 1] - bounds[own]
+    pair = np.repeat(np.arange(len(own)), size)
+    return pair, np.arange(len(pair)) + np.repeat(bounds[own] - (np.cumsum(size) - size), size)
+
+
+# -- the operator -----------------------------------------------------------------------
+
+
+def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 1, most_postings: int = 100_000) -> DataFrame:
+    """(id, h, line, class_id, copies, linked_classes, linked_lines, gone) of every compared line that has a copy or a link.
+
+    A class is the lines of one token set and ``copies`` their number, lines of
+    equal rows included; its links are the other classes that match it, and
+    ``linked_lines`` the sum of their copies.  ``gone`` lines have an earlier
+    line in their class or in a linked one.  A line that isn't listed is a class
+    of its own without links.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "line-dedup")
+    lines = _lines(docs, text, key)
+    codes = token_codes(lines)
+    shared = spark.sparkContext.broadcast(codes)
+    indexed = scratch.save(index_lines(lines, shared, least_words, percent), "indexed")
+    place = F.struct("id", "h", "line")
+    classes = indexed.groupBy("d1", "d2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first(F.struct("n", "s1", "s2", "tokens", "at")).alias("own"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("number"), "d1", "d2", "place", "copies", "own.*"), "classes")
+    places = scratch.save(indexed.select("d1", "d2", "id", "h", "line"), "places")
+    scratch.drop("indexed")
+
+    n_postings = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    n_buckets = max(n_postings // TASK_POSTINGS + 1, spark.sparkContext.defaultParallelism)
+    postings = posting_rows(classes, hot_tokens(classes, codes, shared, most_postings), n_buckets)
+    active = scratch.save(active_postings(postings, n_buckets, percent), "active")
+    firsts = classes.join(active.select("number").distinct(), "number", "left_semi").select("number", "d1", "d2", "place", "copies", "n")
+    firsts = scratch.save(firsts, "firsts")
+    bits = spark.sparkContext.broadcast(place_filter(firsts.select("place.*")))
+    sets = sets_at(lines, shared, bits, least_words).join(firsts, ["d1", "d2"]).select("number", "place", "copies", "s")
+    n_bytes = active.join(firsts.select("number", "n"), "number").agg(F.sum(8 * F.col("n") + 80)).first()[0] or 0
+    n_buckets = max(n_bytes // TASK_SET_BYTES + 1, spark.sparkContext.defaultParallelism)
+    rows = active.withColumn("bucket", F.pmod(F.xxhash64("token", "tile"), F.lit(n_buckets))).join(sets, "number")
+    links = confirmed_links(rows, shared, n_buckets, percent)
+    other = F.min(F.struct("id", "h", "line")).alias("other")
+    links = scratch.save(links.groupBy("number").agg(F.sum("links").alias("linked_classes"), F.sum("linked").alias("linked_lines"), other), "links")
+    scratch.drop("active", "firsts")
+
+    known = classes.select("number", "d1", "d2", "place", "copies").join(links, "number", "left").where("copies > 1 or linked_classes > 0")
+    known = known.select("d1", "d2", F.least("place", F.coalesce("other", "place")).alias("earliest"), "copies", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("linked_classes", "linked_lines")))
+    found = places.join(known, ["d1", "d2"])
+    class_id = F.lower(F.concat(F.lpad(F.hex("d1"), 16, "0"), F.lpad(F.hex("d2"), 16, "0"))).alias("class_id")
+    out = scratch.save(found.select("id", "h", "line", class_id, "copies", "linked_classes", "linked_lines", (F.col("earliest") < place).alias("gone")), "lines")
+    scratch.drop("classes", "places", "links")
+    return out
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, least_words: int = 5) -> DataFrame:
-    """``docs`` with repeated lines cut from the text, and n_lines, n_removed and line_classes: each compared line with its class and the class's links."""
-    of_lines = line_classes(docs, text, key, percent, least_words)
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with repeated lines cut from the text, and n_lines, n_removed and line_classes: each line with a copy or a link, its class and the class's links."""
+    of_lines = line_classes(docs, text, key, **options)
+    of_id, of_text, found_lines, cut = fresh(docs, "id", "h", "lines", "cut")
     each = F.sort_array(F.collect_set(F.struct("line", "class_id", "copies", "linked_classes", "linked_lines", "gone")))
-    found = of_lines.groupBy("id", "h").agg(each.alias("__lines")).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__lines")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "line_classes")]
-    joined = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    joined = joined.withColumn("__gone", F.transform(F.filter("__lines", lambda x: x["gone"]), lambda x: x["line"]))
-    parts = F.split(F.col(text), "\n", -1)
-    rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    cleaned = F.when(F.size("__gone") > 0, rest).otherwise(F.col(text)).alias(text)
-    out = [cleaned if c == text else F.col(f"`{c}`") for c in names]
-    counts = (F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return joined.select(*out, *counts, F.coalesce("__lines", F.array().cast(found.schema["__lines"].dataType)).alias("line_classes"))
+    found = of_lines.groupBy("id", "h").agg(each.alias(found_lines)).withColumnsRenamed({"id": of_id, "h": of_text})
+    own = quoted(key).cast("long")
+    joined = docs.join(found, own.eqNullSafe(F.col(of_id)) & (F.xxhash64(own, quoted(text)) == F.col(of_text)), "left")
+    joined = joined.withColumn(cut, F.transform(F.filter(found_lines, lambda x: x["gone"]), lambda x: x["line"]))
+    parts = F.split(quoted(text), "\n", -1)
+    rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(cut), i)), "\n")
+    cleaned = F.when(F.size(cut) > 0, rest).otherwise(quoted(text)).alias(text)
+    names = others(docs, "n_lines", "n_removed", "line_classes")
+    counts = (F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*(cleaned if c == text else quoted(c) for c in names), *counts, F.coalesce(found_lines, F.array().cast(found.schema[found_lines].dataType)).alias("line_classes"))

@@ -172,7 +172,7 @@ def probabilities(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
         joined = own.join(context, "context")
         joined = joined.withColumn("lower", F.lit(1 / 256)) if below is None else joined.join(below.select(F.col("gram").alias("end"), F.col("p").alias("lower")), "end")
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("held") / F.col("total") * F.col("lower")
-        below = scratch.save(joined.select("gram", p.alias("p")), f"probs{k}", free=True)
+        below = scratch.save(joined.select("gram", p.alias("p")), f"probs{k}")
     return below
 
 
@@ -295,13 +295,13 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order
     scratch = Scratch(docs.sparkSession, "quality-rules")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*docs.columns), F.lit(size // BUCKET_BYTES + 1)))
-    grams = scratch.save(bucket_grams(dealt, text, order), "grams", free=True)
-    model = probabilities(scratch.save(count_grams(grams), "counts", free=True), order, scratch)
-    priced = scratch.save(priced_grams(grams, model), "priced", free=True)
+    grams = scratch.save(bucket_grams(dealt, text, order), "grams")
+    model = probabilities(scratch.save(count_grams(grams), "counts"), order, scratch)
+    priced = scratch.save(priced_grams(grams, model), "priced")
     scratch.drop(*(name for name in list(scratch.paths) if name != "priced"))
     scored = score(dealt, priced, text, order)
     scored = scored.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    scored = scratch.save(scored, "scored", free=True)
+    scored = scratch.save(scored, "scored")
     scratch.drop("priced")
     fine = scored.where("not base_failed").groupBy(F.col(lang).alias("__lang"))
     spread = fine.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_words", 0.5).alias("__size"))

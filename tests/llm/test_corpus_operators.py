@@ -89,7 +89,7 @@ def test_line_dedup(spark):
         keep = []
         for x in (t or "").split("\n"):
             s = set(WORD.findall(x.translate(LOW)))
-            if len(s) >= 5:
+            if s:
                 gone = any(100 * len(s & o) >= 80 * len(s | o) for o in seen)
                 seen.append(s)
                 if gone:

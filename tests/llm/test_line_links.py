@@ -29,10 +29,15 @@ def brute(rows, least_words):
     return out
 
 
-def check_links(spark, rows, least_words):
+def listed(want):
+    """Lines with a copy or a link."""
+    return {k: w[1:] for k, w in want.items() if w[1] > 1 or w[2]}
+
+
+def check_links(spark, rows, least_words, **options):
     want = brute(rows, least_words)
-    got = {(r.id, r.line): r for r in line_dedup.line_classes(frame(spark, rows), least_words=least_words).collect()}
-    assert {k: (r.copies, r.linked_classes, r.linked_lines, r.gone) for k, r in got.items()} == {k: w[1:] for k, w in want.items()}
+    got = {(r.id, r.line): r for r in line_dedup.line_classes(frame(spark, rows), least_words=least_words, **options).collect()}
+    assert {k: (r.copies, r.linked_classes, r.linked_lines, r.gone) for k, r in got.items()} == listed(want)
     ids = {(want[k][0], r.class_id) for k, r in got.items()}
     assert len(ids) == len({s for s, _ in ids}) == len({c for _, c in ids})
     return want
@@ -42,8 +47,8 @@ def test_no_link_is_lost(spark):
     rows = corpus(2) + near_copies()
     want = check_links(spark, rows, 5)
     assert sum(w[2] == 39 for w in want.values()) == 40
-    cleaned = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert {(i, x.line): x.linked_lines for i, r in cleaned.items() for x in r.line_classes} == {k: w[3] for k, w in want.items()}
+    cleaned = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows), least_words=5).collect()}
+    assert {(i, x.line): x.linked_lines for i, r in cleaned.items() for x in r.line_classes} == {k: w[2] for k, w in listed(want).items()}
 
 
 def test_short_lines_are_compared(spark, tmp_path):
@@ -55,3 +60,19 @@ def test_short_lines_are_compared(spark, tmp_path):
     got = {r.doc_id: r for r in queries()["op7_line_dedup"](spark, str(tmp_path)).collect()}
     assert {i: r.n_removed for i, r in got.items()} == {i: sum(w[4] for (d, _), w in want.items() if d == i) for i in got}
     assert {i: r.n_links for i, r in got.items()} == {i: sum(w[3] for (d, _), w in want.items() if d == i) for i in got}
+
+
+def test_split_posting_lists(spark):
+    """Lists of more than a few entries are split into fragments; no link is lost or counted twice."""
+    check_links(spark, corpus(5, 30) + near_copies(60), 1, most_postings=7)
+
+
+def test_long_lines_and_hash_swaps(spark):
+    """A line of thousands of words is compared whole; Thue-Morse words, equal under a polynomial hash modulo 2^64, are not."""
+    long = [f"w{i}" for i in range(3000)]
+    swap = "ab"
+    while len(swap) < 1024:
+        swap += swap.translate(str.maketrans("ab", "ba"))
+    rows = [" ".join(long), " ".join(long[:2400]), " ".join(long[:2399]), swap, swap.translate(str.maketrans("ab", "ba"))]
+    want = check_links(spark, rows, 1)
+    assert [want[i, 0][4] for i in range(5)] == [False, True, True, False, False] and want[2, 0][2] == 1
