@@ -82,7 +82,7 @@ class Scratch:
         """Write and reread a table."""
         path = self.paths[name] = f"{self.base}/{name}"
         with shuffles_deleted(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -315,6 +315,38 @@ def crc_bucket(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+# -- filters of a fixed size ------------------------------------------------------------
+
+FILTER_BITS = 24
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of a column of longs, by the low bits of a hash: of a fixed size, with false hits but no misses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(batch.column(0).to_numpy())
+            word, where = np.unique(slot >> 5, return_inverse=True)
+            bits = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(bits, where, np.int64(1) << (slot & 31))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
+
+    with shuffles_deleted(keys.sparkSession):
+        got = map_arrow(keys, run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = _slots(keys)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+
+
 # -- connected components ---------------------------------------------------------------
 
 
@@ -349,20 +381,20 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def text_udf(make: Callable[[], Callable[[Block, pa.Array], list]], ddl: str):
-    """An Arrow UDF from a text column to a struct with the fields of ``ddl``.
+def text_udf(make: Callable[..., Callable[..., list]], ddl: str):
+    """An Arrow UDF from a text column, and others, to a struct with the fields of ``ddl``.
 
     ``make()`` runs once in a task and returns the function from a block (and
-    the Arrow slice with its texts) to the fields' columns.
+    the Arrow slices of its rows, the texts first) to the fields' columns.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work, target = make(), arrow_schema(ddl)
-        for column in batches:
-            column = whole(column)
+        for columns in batches:
+            column, *more = map(whole, columns if isinstance(columns, tuple) else (columns,))
             out = [pa.array([], pa.struct(target))]
             for block in blocks(column):
-                made = work(block, column.slice(block.first, block.n))
+                made = work(block, *(c.slice(block.first, block.n) for c in (column, *more)))
                 out.append(pa.StructArray.from_arrays([whole(c).cast(t) if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, t) for c, t in zip(made, target.types, strict=True)], fields=list(target)))
             yield pa.concat_arrays(out)
 

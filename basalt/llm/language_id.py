@@ -2,19 +2,20 @@
 
 Texts are cut into windows of ``WINDOW`` bytes (the last one padded); the whole
 text is covered.  Filters of several widths over byte embeddings, rectified and
-max-pooled over a window, feed a softmax layer.  Training is plain numpy on at
-most ``per_lang`` labelled documents of each language (a documented bound, drawn
-by a hash of their id).  A text's prediction is the mean of its windows'
-probabilities, weighted by their bytes.
+max-pooled over a window, feed a softmax layer.  Training is plain numpy on all
+windows of about ``per_lang`` labelled documents of each language (a documented
+bound on rows, drawn by a hash of their id).  A text's prediction is the mean of
+its windows' probabilities, weighted by their bytes.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-documents are judged one by one, so ties, repeated rows, null ids and empty
-tables need no care; without any labelled row everything is ``und``.
+documents are judged one by one and whole, however long, so ties, repeated rows,
+null ids and empty tables need no care; without any labelled row everything is
+``und``.  Other columns pass through and columns named like a result, in whatever
+case, are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, text_udf, with_fields
+from .common import Block, quoted, text_udf, with_fields
 
 WINDOW, WIDTHS, EMBED, FILTERS = 64, (2, 3, 4), 8, 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: A softmax over more languages than this is refused.
+MOST_LANGS = 10_000
 
 
 @dataclass
@@ -72,23 +74,21 @@ def cut(raw: np.ndarray) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def fit(texts: list[str], langs: list[str], windows_each: int = 6, epochs: int = 6, seed: int = 5) -> ByteConv:
-    """Adam on softmax cross-entropy, over a few windows of every labelled text."""
+def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 5) -> ByteConv:
+    """Adam on softmax cross-entropy, over all windows of every labelled text; each language weighs the same."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    count = [langs.count(n) for n in names]
-    x, y, w = [], [], []
+    number = {n: i for i, n in enumerate(names)}
+    x, y = [], []
     for text, lang in zip(texts, langs, strict=True):
         windows = cut(np.frombuffer(text.encode(), np.uint8))
-        pick = rng.permutation(len(windows))[:windows_each]
-        x.append(windows[pick])
-        y += [names.index(lang)] * len(pick)
-        w += [1 / count[names.index(lang)]] * len(pick)
+        x.append(windows)
+        y += [number[lang]] * len(windows)
     model = ByteConv(names, rng.normal(0, 0.3, (256, EMBED)), [rng.normal(0, (k * EMBED) ** -0.5, (k * EMBED, FILTERS)) for k in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], np.zeros((FILTERS * len(WIDTHS), len(names))), np.zeros(len(names)))
     if not names or not y:
         return model
-    x, y, w = np.concatenate(x), np.array(y), np.array(w)
-    w = w / w.mean()
+    x, y = np.concatenate(x), np.array(y)
+    w = len(y) / len(names) / np.bincount(y, minlength=len(names)).clip(1)[y]
     params = [model.embed, *model.filters, *model.bias, model.out, model.out_bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -133,19 +133,15 @@ def _gradients(model: ByteConv, x: np.ndarray, y: np.ndarray, w: np.ndarray) ->
     return [embed, *filters, *bias, act.T @ p, p.sum(0)]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, piece: int = 2048, max_rows: int = 20_000, **options) -> ByteConv:
-    """Fit on about ``per_lang`` rows of each language and at most ``max_rows`` in all.
-
-    Rows are drawn by a hash of their id; of a long text a piece of ``piece``
-    characters at a hashed place is taken.
-    """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("__lang")).count()
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(12)), F.greatest(F.length(text) - piece, F.lit(1))).cast("int") + 1
-    rows = labelled.join(sizes.select("__lang", (per_lang / F.col("count")).alias("__share")), F.col(lang) == F.col("__lang")).where(draw < F.col("__share"))
-    rows = rows.select(F.col(lang).alias("lang"), F.substring(F.col(text), place, F.lit(piece)).alias("text"), draw.alias("draw")).orderBy("draw", "text").limit(max_rows)
-    got = rows.toArrow()
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 100, max_rows: int = 20_000, **options) -> ByteConv:
+    """Fit on the whole texts of about ``per_lang`` rows of each language and at most ``max_rows`` in all, drawn by a hash of their id."""
+    rows = docs.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.pmod(F.xxhash64(quoted(key), F.lit(11)), F.lit(1 << 30)).alias("draw"))
+    rows = rows.where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    shares = docs.sparkSession.createDataFrame([(r[0], int(per_lang / r[1] * (1 << 30))) for r in sizes], "lang string, most long")
+    got = rows.join(F.broadcast(shares), "lang").where("draw < most").orderBy("draw", "text", "lang").limit(max_rows).toArrow()
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), **options)
 
 
@@ -159,7 +155,7 @@ def identify(docs: DataFrame, model: ByteConv, text: str = "text", at_once: int
 
         def work(block: Block, texts: pa.Array) -> list:
             lang, score = ["und"] * block.n, np.zeros(block.n)
-            letters = [i for i, t in enumerate(texts) if model.langs and (s := t.as_py()) and _LETTER.search(s)]
+            letters = [i for i, t in enumerate(texts) if model.langs and (s := t.as_py()) and any(map(str.isalpha, s))]
             if not letters:
                 return [lang, score]
             cuts = [cut(block.data[block.offs[i] : block.offs[i + 1]]) for i in letters]

@@ -40,15 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, LOWER, Block, Scratch, blocks, fresh, lists, map_arrow, map_blocks, mix64, others, quoted, set_digests, signed, spans_hash, words
+from .common import LOWER, Block, Scratch, blocks, fresh, in_filter, key_filter, lists, map_arrow, map_blocks, mix64, others, quoted, set_digests, signed, spans_hash, words
 
 SLOT_BITS = 22
 #: Token counts travel as compressed pieces of the slot table.
 PIECES = 64
-#: Bits of the fixed-size filter for first lines of classes with candidates.
-FILTER_BITS = 24
 #: Postings in a task of the first join, and bytes of sets in a task of the second.
 TASK_POSTINGS, TASK_SET_BYTES = 100_000, 16 << 20
+#: Places in the prefix up to which an earlier common token is looked for before the sets are intersected.
+MOST_AHEAD = 16
 #: Candidate pairs that a task looks at together.
 PAIRS_AT_ONCE = 1 << 19
 
@@ -185,31 +185,43 @@ def candidate_pairs(token: np.ndarray, tile: np.ndarray, piece: np.ndarray, n: n
     """
     if not len(token):
         return
-    order = np.lexsort((n, token, tile))
-    token, tile, piece, n, at = token[order], tile[order], piece[order], n[order].astype(np.int64), at[order].astype(np.int64)
-    sketch = [s[order] for s in sketch]
+    order = by_list(token, tile, n)
+    token, tile, piece, n = token[order], tile[order], piece[order], n[order].astype(np.int64)
+    rest, sketch = n - at[order], [s[order] for s in sketch]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])
     run, top = np.cumsum(new), int(n.max()) + 1
     last = np.searchsorted(run * top + n, run * top + np.minimum(100 * n // percent, top - 1), "right")
     many = last - np.arange(len(last)) - 1
     total, place = np.concatenate([[0], np.cumsum(many)]), 0
+    split = bool((tile >= 0).any())
     while place < len(many):
+        # A posting has no more partners than its list, whose length is bounded.
         end = max(place + 1, int(np.searchsorted(total, total[place] + PAIRS_AT_ONCE, "right")) - 1)
-        for start in range(0, int(total[end] - total[place]), PAIRS_AT_ONCE):  # one list may be longer than a portion
-            k = np.arange(start, min(start + PAIRS_AT_ONCE, int(total[end] - total[place]))) + total[place]
-            i = np.searchsorted(total, k, "right") - 1
-            j = i + 1 + k - total[i]
-            least = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
-            fit = np.minimum(n[i] - at[i], n[j] - at[j]) >= least
-            i, j, least = i[fit], j[fit], least[fit]
-            differ = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch)
-            fit = (differ <= n[i] + n[j] - 2 * least) & ((tile[i] < 0) | (piece[i] != piece[j]) | (tile[i] >> 32 == (tile[i] & 0xFFFFFFFF)))
-            if fit.any():
-                yield order[i[fit]], order[j[fit]]
+        i = np.repeat(np.arange(place, end), many[place:end])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[place])
+        fit = np.flatnonzero((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j]))
+        i, j = i[fit], j[fit]
+        most = n[i] + n[j] - 2 * ((percent * (n[i] + n[j]) + 99 + percent) // (100 + percent))
+        fit = sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= most
+        if split:
+            fit &= (tile[i] < 0) | (piece[i] != piece[j]) | (tile[i] >> 32 == (tile[i] & 0xFFFFFFFF))
+        if fit.any():
+            yield order[i[fit]], order[j[fit]]
         place = end
 
 
+def by_list(token: np.ndarray, tile: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Order by tile, token and size."""
+    if (tile < 0).all() and n.max() < 1 << 16:
+        key = (token.view(np.uint64) >> np.uint64(16) << np.uint64(16)) | n.astype(np.uint64)
+        order = np.argsort(key)
+        key, token = key[order] >> np.uint64(16), token[order]
+        if not ((key[1:] == key[:-1]) & (token[1:] != token[:-1])).any():  # else two tokens agree in their first 48 bits
+            return order
+    return np.lexsort((n, token, tile))
+
+
 def posting_rows(classes: DataFrame, hot: dict[int, int], n_buckets: int) -> DataFrame:
     """The classes' postings, dealt by token to buckets; each row packs those of many classes for one bucket.
 
@@ -224,7 +236,7 @@ def posting_rows(classes: DataFrame, hot: dict[int, int], n_buckets: int) -> Dat
         def deal() -> pa.RecordBatch:
             flat = [np.concatenate(x) for x in zip(*held, strict=True)]
             bucket = bucket_of(flat[0], flat[1], n_buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
             used, first = np.unique(bucket[order], return_index=True)
             cuts = np.append(first, len(bucket))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
@@ -308,29 +320,8 @@ def hot_tokens(classes: DataFrame, codes: np.ndarray, shared, most_postings: int
 # -- exact similarity -------------------------------------------------------------------
 
 
-def place_filter(first: DataFrame) -> np.ndarray:
-    """A bit for each first line's place, by the low bits of a hash: of a fixed size, with false hits but no misses."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = place_slots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            word, where = np.unique(slot >> 5, return_inverse=True)
-            bits = np.zeros(len(word), np.int64)
-            np.bitwise_or.at(bits, where, np.int64(1) << (slot & 31))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
-
-    got = map_arrow(first.select("h", "line"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
-def place_slots(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (mix64(h.astype(np.int64).view(np.uint64) + line.astype(np.uint64) * np.uint64(GAMMA)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
 def sets_at(lines: DataFrame, shared, places, least_words: int) -> DataFrame:
-    """(d1, d2, s): the sets, rarest token first, of the lines whose place may be in the filter ``places``."""
+    """(d1, d2, s): the sets, rarest token first, of the lines whose place (the document's hash and the line's number) may be in the filter ``places``."""
 
     def make():
         codes, bits = shared.value, places.value
@@ -339,8 +330,7 @@ def sets_at(lines: DataFrame, shared, places, least_words: int) -> DataFrame:
             h = table.column("h").to_numpy()
 
             def wanted(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
-                slot = place_slots(h[doc], number)
-                return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+                return in_filter(bits, h[doc] ^ number)
 
             token, bounds, _, _ = line_sets(block, codes, least_words, wanted)
             d1, d2 = set_digests(token, bounds)
@@ -374,10 +364,11 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
         bounds = np.concatenate([[0], np.cumsum(size)])
         sketch = parity(flat.view(np.uint64), bounds)
         _, local = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(own)), size)
-        spot = np.arange(len(flat)) - bounds[owner]
-        by = np.lexsort((local, owner))
-        local, spot, width = local[by], spot[by], int(local.max()) + 1
+        width = int(local.max()) + 1
+        local_sorted, spot = sorted_members(local, bounds)
+        ahead = np.full((len(own), min(int(at.max()), MOST_AHEAD)), -1, np.int32)  # each class's rarest tokens
+        inside = np.arange(ahead.shape[1]) < size[:, None]
+        ahead[inside] = local[(bounds[:-1, None] + np.arange(ahead.shape[1]))[inside]]
         place = column["place"].take(pa.array(take))
         ident, h, line = (place.field(c) for c in ("id", "h", "line"))
         known = (~np.asarray(ident.is_null())).astype(np.int8)
@@ -387,11 +378,13 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
         copies = column["copies"].take(pa.array(take)).to_numpy()
         links, linked, earliest = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.full(len(own), len(own))
         for i, j in candidate_pairs(token[row], tile[row], piece[row], size[cls], at[row], [s[cls] for s in sketch], percent):
+            first = ~shared_ahead(ahead, cls[i], at[row[i]], cls[j], at[row[j]])
+            i, j = i[first], j[first]
             for low in range(0, len(i), step := max(1, (4 << 20) // max(int(size.max()), 1))):
                 x, y, spot_x = cls[i[low : low + step]], cls[j[low : low + step]], at[row[i[low : low + step]]]
                 pair_x, of_x = spread(bounds, x)
                 pair_y, of_y = spread(bounds, y)
-                key_x, key_y = pair_x * width + local[of_x], pair_y * width + local[of_y]
+                key_x, key_y = pair_x * width + local_sorted[of_x], pair_y * width + local_sorted[of_y]
                 hit = np.minimum(np.searchsorted(key_y, key_x), len(key_y) - 1)
                 common = key_y[hit] == key_x
                 shared_tokens = np.bincount(pair_x[common], minlength=len(x))
@@ -410,6 +403,29 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
     return map_arrow(rows.repartition(n_buckets, "bucket"), run, "number long, links long, linked long, id long, h long, line int")
 
 
+def sorted_members(local: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each run in ascending order, and where in the run each stood."""
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(len(size)), size)
+    spot = np.arange(len(local)) - bounds[owner]
+    a, b = int(size.max()).bit_length(), int(local.max()).bit_length()
+    if int(len(size)).bit_length() + a + b < 63:
+        key = np.sort((owner << (a + b)) | (local << a) | spot)
+        return (key >> a) & ((1 << b) - 1), key & ((1 << a) - 1)
+    by = np.lexsort((local, owner))
+    return local[by], spot[by]
+
+
+def shared_ahead(ahead: np.ndarray, x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """Whether two classes share one of the ``ahead`` tokens before the places ``at_x`` and ``at_y``."""
+    out = np.zeros(len(x), bool)
+    for k in range(int(min(at_x.max(initial=0), ahead.shape[1]))):
+        own = np.flatnonzero((at_x > k) & (at_y > 0) & ~out)
+        theirs = np.arange(ahead.shape[1]) < at_y[own, None]
+        out[own] = ((ahead[y[own]] == ahead[x[own], k][:, None]) & theirs).any(1)
+    return out
+
+
 def spread(bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the runs ``own``: the place in ``own`` and the index of each of their members."""
     size = bounds[own + 1] - bounds[own]
@@ -446,7 +462,7 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
     active = scratch.save(active_postings(postings, n_buckets, percent), "active")
     firsts = classes.join(active.select("number").distinct(), "number", "left_semi").select("number", "d1", "d2", "place", "copies", "n")
     firsts = scratch.save(firsts, "firsts")
-    bits = spark.sparkContext.broadcast(place_filter(firsts.select("place.*")))
+    bits = spark.sparkContext.broadcast(key_filter(firsts.select(F.col("place.h").bitwiseXOR(F.col("place.line").cast("long")).alias("k"))))
     sets = sets_at(lines, shared, bits, least_words).join(firsts, ["d1", "d2"]).select("number", "place", "copies", "s")
     n_bytes = active.join(firsts.select("number", "n"), "number").agg(F.sum(8 * F.col("n") + 80)).first()[0] or 0
     n_buckets = max(n_bytes // TASK_SET_BYTES + 1, spark.sparkContext.defaultParallelism)

@@ -17,8 +17,9 @@ more bits than the sets differ in shingles.
 
 Defined results: null or word-less texts have an empty set, link with nothing
 and are kept; rows with a null id are in no group and are kept (component null);
-an id that comes with several texts is one document, linked if any of them is
-(by the set that sorts first); an empty table gives no rows.
+an id that comes with several texts is one document, linked if any of them is;
+very long texts are compared whole; an empty table gives no rows; only the id
+and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, LOWER, Block, Scratch, by_doc, components, lists, map_blocks, mix64, shingles, signed, spans_hash, words
+from .common import GAMMA, LOWER, Block, Scratch, by_doc, components, fresh, in_filter, key_filter, lists, map_blocks, mix64, quoted, set_digests, shingles, signed, spans_hash, words
 
 SKETCH = 8  # longs of the parity sketch
 SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -81,8 +82,7 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
 
         def work(block: Block, table: pa.Table) -> list:
             sets = shingle_sets(block, k)
-            d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-            d2 = np.array([mix64(s ^ np.uint64(GAMMA)).sum(dtype=np.uint64) for s in sets], np.uint64)
+            d1, d2 = set_digests(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
             hashes, bounds = [], [0]
             for s in sets:
                 if len(s):
@@ -97,21 +97,28 @@ def sign(docs: DataFrame, text: str, key: str, k: int, bands: int, rows: int) ->
 
         return work
 
-    return map_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "text", make, SIGNED)
+    return map_blocks(docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text")), "text", make, SIGNED)
 
 
-def sets_of(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """(id, s): the full shingle set of every row."""
+def sets_of(docs: DataFrame, text: str, key: str, k: int, wanted) -> DataFrame:
+    """(d1, d2, s): the shingle sets of the documents whose id may be in the filter ``wanted``."""
 
     def make():
+        bits = wanted.value
+
         def work(block: Block, table: pa.Table) -> list:
-            sets = shingle_sets(block, k)
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            return [table.column("id"), lists(signed(np.concatenate(sets)), bounds, pa.int64())]
+            ids = table.column("id")
+            some = np.flatnonzero(in_filter(bits, ids.fill_null(0).to_numpy()))
+            if not len(some):
+                return [np.zeros(0, np.int64), np.zeros(0, np.int64), lists(np.zeros(0, np.int64), np.zeros(1, np.int64), pa.int64())]
+            sets = [shingle_sets(Block(block.data[block.offs[i] : block.offs[i + 1]], block.offs[i : i + 2] - block.offs[i], 0), k)[0] for i in some]
+            flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            d1, d2 = set_digests(flat, bounds)
+            return [signed(d1), signed(d2), lists(signed(flat), bounds, pa.int64())]
 
         return work
 
-    return map_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "text", make, "id long, s array<long>")
+    return map_blocks(docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text")), "text", make, "d1 long, d2 long, s array<long>")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
@@ -120,58 +127,66 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     Two documents are linked if ``100 * |intersection| >= percent * |union|``;
     a component is named after its smallest id, which alone is kept.
     """
-    scratch = Scratch(docs.sparkSession, "near-dup")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dup")
     signed_docs = scratch.save(sign(docs, text, key, k, bands, rows), "signed")
     shown = signed_docs.where("id is not null and n_shingles > 0")
-    # A class: all documents of one set, named after its smallest id.
+    # A class: all documents of one set, by the set's 128-bit digest; its number is unique, whatever the ids.
     classes = shown.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = scratch.save(classes, "classes")
-    buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    classes = scratch.save(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select("number", "n", F.explode("bands").alias("bucket"))
 
-    # Buckets of several classes, and in each the smallest.
-    hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    # Buckets of several classes, and in each the one of the smallest number.
+    hubs = buckets.groupBy("bucket").agg(F.min("number").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = scratch.save(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
-    pairs = members.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("other")).select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    wanted = members.select(F.col("rep").alias("__want")).distinct()
-    texts = docs.select(key, text).join(wanted, F.col(key) == F.col("__want"), "left_semi")
-    sets = sets_of(texts, text, key, k).groupBy("id").agg(F.min("s").alias("s"))
+    pairs = members.where("number <> hub").groupBy("number").agg(F.min("hub").alias("b")).select(F.col("number").alias("a"), "b")
+    wanted = scratch.save(members.select("number").distinct().join(classes.select("number", "rep", "d1", "d2"), "number"), "wanted")
+    bits = spark.sparkContext.broadcast(key_filter(wanted.select("rep")))
+    sets = sets_of(docs, text, key, k, bits).join(wanted.select("number", "d1", "d2"), ["d1", "d2"]).groupBy("number").agg(F.first("s").alias("s"))
     sets = scratch.save(sets, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("number").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("number").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    links = scratch.save(confirmed(pairs), "links1")
+    # An id with several sets is one document: its classes are linked.
+    several = shown.groupBy("id").agg(*(f(c).alias(f"{n}{c}") for c in ("d1", "d2") for n, f in (("low_", F.min), ("high_", F.max)))).where("low_d1 <> high_d1 or low_d2 <> high_d2")
+    of_id = shown.join(several.select("id"), "id", "left_semi").select("id", "d1", "d2").join(classes.select("number", "d1", "d2"), ["d1", "d2"]).select("id", "number")
+    one_document = of_id.join(of_id.groupBy("id").agg(F.min("number").alias("b")), "id").where("number <> b").select(F.col("number").alias("a"), "b")
+
+    links = scratch.save(confirmed(pairs).unionByName(one_document), "links1")
     near = components(links, scratch)
 
     # Classes of one bucket that are still apart: each bucket's components first
     # meet by one member each, then, where that did not link them, by all.
     def apart(near: DataFrame) -> DataFrame:
-        placed = members.select("bucket", "rep", "n").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = members.select("bucket", "number", "n").join(near.select(F.col("id").alias("number"), "component"), "number", "left").withColumn("component", F.coalesce("component", "number"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         return placed.join(mixed.select("bucket", "low"), "bucket")
 
     rest = scratch.save(apart(near), "apart1")
-    heads = rest.groupBy("bucket", "component").agg(F.min("rep").alias("b"), F.first("low").alias("low"))
+    heads = rest.groupBy("bucket", "component").agg(F.min("number").alias("b"), F.first("low").alias("low"))
     firsts = heads.where("component = low").select("bucket", F.col("b").alias("a"))
     tried = heads.where("component <> low").join(firsts, "bucket").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links2 = scratch.save(confirmed(tried).unionByName(links), "links2")
     near = components(links2, scratch)
     rest = scratch.save(apart(near), "apart2")
-    sketched = scratch.save(rest.join(classes.select("rep", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)]), "rep"), "sketched")
-    side = lambda x, y: sketched.select("bucket", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *[F.col(f"k{i}").alias(f"{y}{i}") for i in range(SKETCH)])
-    left, right = side("a", "p"), side("b", "q")
+    # Sets of matching sizes are in one size range or in neighbouring ones, which splits a bucket of many classes.
+    sketched = rest.join(classes.select("number", *[F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH)]), "number")
+    sketched = scratch.save(sketched.withColumn("range", F.floor(F.log("n") / np.log(101 / percent)).cast("int")), "sketched")
+    side = lambda x, y, near_by: sketched.select("bucket", near_by.alias("range"), F.col("number").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *[F.col(f"k{i}").alias(f"{y}{i}") for i in range(SKETCH)])
+    left, right = side("a", "p", F.col("range")), side("b", "q", F.explode(F.array(*(F.col("range") + i for i in (-1, 0, 1)))))
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(SKETCH)), F.lit(0))
     most = F.expr(f"na + nb - 2 * (({percent}L * (na + nb) + {99 + percent}L) div {100 + percent}L)")
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb")) & (differ <= most)
-    last = left.join(right, "bucket").where(close).select("a", "b").distinct()
+    last = left.join(right, ["bucket", "range"]).where(close).select("a", "b").distinct()
     links3 = scratch.save(confirmed(last).unionByName(links2), "links3")
     near = scratch.save(components(links3, scratch), "near")
 
-    named = classes.select("d1", "d2", "rep").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = scratch.save(named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "named")
-    scratch.drop("members", "sets", "links1", "links2", "links3", "apart1", "apart2", "sketched", "classes")
+    numbered = classes.select("d1", "d2", "rep", "number").join(near.select(F.col("id").alias("number"), "component"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    named = numbered.join(numbered.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    named = scratch.save(named.select("d1", "d2", "component_id"), "named")
+    scratch.drop("members", "wanted", "sets", "links1", "links2", "links3", "apart1", "apart2", "sketched", "near", "classes")
     out = signed_docs.select("id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), own).alias("component_id"))
@@ -180,5 +195,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose document is not kept."""
-    gone = near_duplicates(docs, text, key, **options).where("not kept").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    ids = near_duplicates(docs, text, key, **options).where("not kept").select(F.col("id").alias(gone)).distinct()
+    return docs.join(ids, quoted(key).cast("long") == F.col(gone), "left_anti")

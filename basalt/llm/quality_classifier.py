@@ -7,11 +7,16 @@ label, chosen by a hash of their id), so vectors and projection have a fixed siz
 Every document's exact cosines with all labelled vectors are computed in blocks;
 its ``k`` nearest vote with their similarity as weight.
 
+A labelled document is none of its own neighbours, so its label is no input of
+its own score.
+
 Defined results: null counts as an empty text; a text without trigrams, or whose
 neighbours all have a similarity of zero, gets the mean label as its score;
-documents are scored one by one, so ties, repeated rows, null ids and empty
-tables need no care; without any labelled row every score is 0.5.  Of labels
-that repeat an id the smallest counts; null labels and ids are left out.
+documents are scored one by one and whole, however long, so ties, repeated rows,
+null ids and empty tables need no care; without any labelled row every score is
+0.5.  Of labels that repeat an id the smallest counts, of texts that do the one
+that sorts first; null labels and ids are left out.  Other columns pass through
+and columns named like a result, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, lists, map_blocks, text_udf, with_fields
+from .common import Block, lists, map_blocks, quoted, text_udf, with_fields
 
 DIM = 4096
 
@@ -48,15 +53,20 @@ class Neighbours:
     vectors: np.ndarray  # labelled x rank, of length 1
     labels: np.ndarray
     k: int
+    ids: np.ndarray | None = None  # of the labelled documents, sorted
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         return unit(unit(np.log1p(counts) * self.idf) @ self.basis)
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        """Weighted share of label 1 among each row's nearest labelled vectors."""
+    def score(self, counts: np.ndarray, ids: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
+        """Weighted share of label 1 among each row's nearest labelled vectors; those of its own id (``ids`` where ``known``) are left out."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosine = self.embed(counts) @ self.vectors.T
+        if ids is not None and self.ids is not None:
+            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+            own = np.flatnonzero((self.ids[at] == ids) & known)
+            cosine[own, at[own]] = -np.inf
         k = min(self.k, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
@@ -88,14 +98,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("double").alias("__label"))
     drawn = [chosen.where(of).orderBy(F.xxhash64("__key"), "__key").limit(max_labelled // 2) for of in ("__label < 0.5", "__label >= 0.5")]
     chosen = drawn[0].unionByName(drawn[1])
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")  # at most max_labelled rows
+    rows = docs.select(quoted(key).alias("__key"), quoted(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    rows = rows.groupBy("__key", "__label").agg(F.min("__text").alias("__text"))  # at most max_labelled rows, however often ids repeat
 
     def make():
         def work(block: Block, table: pa.Table) -> list:
             counts = np.concatenate([trigram_counts(b) for b in _few(block)])
             row, feature = np.nonzero(counts)
             bounds = np.searchsorted(row, np.arange(block.n + 1))
-            return [table.column("__key"), table.column("__label"), lists(feature, bounds, pa.int32()), lists(counts[row, feature].astype(np.int32), bounds, pa.int32())]
+            return [table.column("__key").cast(pa.int64()), table.column("__label"), lists(feature, bounds, pa.int32()), lists(counts[row, feature].astype(np.int32), bounds, pa.int32())]
 
         return work
 
@@ -103,7 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     counts = np.zeros((got.num_rows, DIM), np.float32)
     for i, (f, n) in enumerate(zip(got.column("feature"), got.column("n"), strict=True)):
         counts[i, np.asarray(f.values)] = np.asarray(n.values)
-    return fit(counts, got.column("label").to_numpy(), **options)
+    model = fit(counts, got.column("label").to_numpy(), **options)
+    model.ids = got.column("id").to_numpy()
+    return model
 
 
 def _few(block: Block, most: int = 256):
@@ -113,19 +126,20 @@ def _few(block: Block, most: int = 256):
         yield Block(block.data[offs[0] : offs[-1]], offs - offs[0], block.first + i)
 
 
-def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
-        def work(block: Block, _) -> list:
-            score = np.concatenate([model.score(trigram_counts(b)) for b in _few(block)]).astype(np.float64)
+        def work(block: Block, _, ids: pa.Array) -> list:
+            known, ids = np.asarray(ids.is_valid()), ids.fill_null(0).to_numpy()
+            score = np.concatenate([model.score(trigram_counts(b), ids[own], known[own]) for b in _few(block) for own in [slice(b.first - block.first, b.first - block.first + b.n)]]).astype(np.float64)
             return [score, (score >= threshold).astype(np.int32)]
 
         return work
 
-    return with_fields(docs, text_udf(make, "score double, predicted int")(text), ["score", "predicted"])
+    return with_fields(docs, text_udf(make, "score double, predicted int")(quoted(text), quoted(key).cast("long")), ["score", "predicted"])
 
 

@@ -16,8 +16,10 @@ square root of the ratio.
 
 Defined results: null text counts as empty and has no words; a null lang is a
 language of its own; documents are judged one by one against statistics of the
-whole table, so repeated rows count as often as they occur; an empty table gives
-no rows; a document without words has no perplexity and fails the base rules.
+whole table, so repeated rows count as often as they occur; very long texts are
+read whole, in the bucket that they fill; an empty table gives no rows; a
+document without words has no perplexity and fails the base rules; other columns
+pass through and columns named like a result, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, Block, Scratch, blocks, by_doc, lists, shingles, ship, signed, spans_hash, words
+from .common import LOWER, Block, Scratch, blocks, by_doc, fresh, lists, others, quoted, shingles, ship, signed, spans_hash, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Bytes of text in a bucket of documents, and parts of the model (n-gram keys modulo a prime).
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
 PARTS = 251
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -86,19 +88,6 @@ def rule_counts(block: Block) -> list[np.ndarray]:
 # -- the language model -----------------------------------------------------------------
 
 
-def word_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of words padded with ``order - 1`` spaces before and one after, and each one's word."""
-    size = ends - starts + 1  # predicted bytes: the word's and the space after
-    word = np.repeat(np.arange(len(starts)), size)
-    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + starts[word]
-    keys = np.zeros(len(word), np.uint64)
-    for back in range(order - 1, -1, -1):
-        pos = at - back
-        inside = (pos >= starts[word]) & (pos < ends[word])
-        keys = (keys << np.uint64(8)) | np.where(inside, data[np.clip(pos, 0, len(data) - 1)], 32).astype(np.uint64)
-    return keys, word
-
-
 def text_grams(block: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of each document's words joined by spaces (``order - 1`` spaces before, one after), and each one's document."""
     low = LOWER[block.data]
@@ -129,7 +118,7 @@ def counted_grams(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(inverse, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
 
 
-def bucket_grams(dealt: DataFrame, text: str, order: int) -> DataFrame:
+def bucket_grams(dealt: DataFrame, text: str, bucket: str, order: int) -> DataFrame:
     """(bucket, part, grams, counts): the distinct n-grams of each bucket of documents, in parts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -138,11 +127,11 @@ def bucket_grams(dealt: DataFrame, text: str, order: int) -> DataFrame:
         at = np.argsort(part, kind="stable")
         used, size = np.unique(part, return_counts=True)
         bounds = np.concatenate([[0], np.cumsum(size)])
-        bucket = pa.array(np.full(len(used), table.column("__bucket")[0].as_py(), np.int64))
+        bucket = pa.array(np.full(len(used), table.column("bucket")[0].as_py(), np.int64))
         return pa.Table.from_arrays([bucket, pa.array(used), lists(signed(keys[at]), bounds, pa.int64()), lists(counts[at], bounds, pa.int64())], names=["bucket", "part", "grams", "counts"])
 
     ship(dealt.sparkSession)
-    return dealt.select("__bucket", F.col(text).alias("text")).groupBy("__bucket").applyInArrow(run, "bucket long, part long, grams array<long>, counts array<long>")
+    return dealt.select(quoted(bucket).alias("bucket"), quoted(text).alias("text")).groupBy("bucket").applyInArrow(run, "bucket long, part long, grams array<long>, counts array<long>")
 
 
 def count_grams(grams: DataFrame) -> DataFrame:
@@ -265,26 +254,29 @@ def perplexity(grams: np.ndarray, costs: np.ndarray, block: Block, order: int) -
         return np.bincount(doc, cost, minlength=block.n) / np.bincount(doc, minlength=block.n)
 
 
-def score(dealt: DataFrame, priced: DataFrame, text: str, order: int) -> DataFrame:
+def score(dealt: DataFrame, priced: DataFrame, text: str, bucket: str, order: int) -> DataFrame:
     """``dealt`` documents without the text and bucket, with the counts and log_perplexity."""
     names = [*COUNTS, "log_perplexity"]
-    others = [c for c in dealt.columns if c not in (text, "__bucket", *names)]
+    kept = others(dealt, text, bucket, *names)
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
         grams, costs = flat("grams"), flat("costs")
         at = np.argsort(grams)
         grams, costs = grams[at], costs[at]
-        texts = docs.column(text).combine_chunks()
         values = [np.zeros(len(docs), np.int64) for _ in COUNTS] + [np.full(len(docs), np.nan)]
-        for block in blocks(texts):
-            for value, found in zip(values, [*rule_counts(block), perplexity(grams, costs, block, order)], strict=True):
-                value[block.rows] = found
-        arrays = [docs.column(c) for c in others] + [pa.array(v) for v in values]
-        return pa.Table.from_arrays(arrays, names=[*others, *names])
+        first = 0
+        for chunk in docs.column(text).chunks:
+            for block in blocks(chunk):
+                rows = slice(first + block.first, first + block.first + block.n)
+                for value, found in zip(values, [*rule_counts(block), perplexity(grams, costs, block, order)], strict=True):
+                    value[rows] = found
+            first += len(chunk)
+        arrays = [docs.column(c) for c in kept] + [pa.array(v) for v in values]
+        return pa.Table.from_arrays(arrays, names=[*kept, *names])
 
-    fields = [dealt.schema[c] for c in others] + [StructField(c, LongType()) for c in COUNTS] + [StructField("log_perplexity", DoubleType())]
-    return dealt.groupBy("__bucket").cogroup(priced.withColumnRenamed("bucket", "__bucket").groupBy("__bucket")).applyInArrow(run, StructType(fields))
+    fields = [dealt.schema[c] for c in kept] + [StructField(c, LongType()) for c in COUNTS] + [StructField("log_perplexity", DoubleType())]
+    return dealt.groupBy(quoted(bucket)).cogroup(priced.withColumnRenamed("bucket", bucket).groupBy(quoted(bucket))).applyInArrow(run, StructType(fields))
 
 
 # -- the operator -----------------------------------------------------------------------
@@ -293,20 +285,23 @@ def score(dealt: DataFrame, priced: DataFrame, text: str, order: int) -> DataFra
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, width: float = 3.5, least_words: int = 10) -> DataFrame:
     """``docs`` without the text, with the counts, base_failed, log_perplexity and kept."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(*docs.columns), F.lit(size // BUCKET_BYTES + 1)))
-    grams = scratch.save(bucket_grams(dealt, text, order), "grams")
+    bucket, of_lang, mid, reach, typical = fresh(docs, "bucket", "lang", "mid", "reach", "words")
+    docs = docs.drop(*(c for c in docs.columns if c not in others(docs, *COUNTS, "base_failed", "log_perplexity", "kept")))
+    size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    plain = [quoted(c) for c, kind in docs.dtypes if "<" not in kind and kind != "variant"]
+    dealt = docs.withColumn(bucket, F.pmod(F.xxhash64(*plain), F.lit(size // BUCKET_BYTES + 1)))
+    grams = scratch.save(bucket_grams(dealt, text, bucket, order), "grams")
     model = probabilities(scratch.save(count_grams(grams), "counts"), order, scratch)
     priced = scratch.save(priced_grams(grams, model), "priced")
     scratch.drop(*(name for name in list(scratch.paths) if name != "priced"))
-    scored = score(dealt, priced, text, order)
+    scored = score(dealt, priced, text, bucket, order)
     scored = scored.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     scored = scratch.save(scored, "scored")
     scratch.drop("priced")
-    fine = scored.where("not base_failed").groupBy(F.col(lang).alias("__lang"))
-    spread = fine.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_words", 0.5).alias("__size"))
-    spread = spread.select("__lang", "__size", F.col("q")[1].alias("__mid"), (width * (F.col("q")[2] - F.col("q")[0])).alias("__reach"))
-    judged = scored.join(spread, F.col(lang).eqNullSafe(F.col("__lang")), "left")
-    reach = F.col("__reach") * F.sqrt(F.greatest(F.lit(1.0), F.col("__size") / F.col("n_words")))
-    inside = F.abs(F.col("log_perplexity") - F.col("__mid")) <= reach
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("__lang", "__size", "__mid", "__reach")
+    fine = scored.where("not base_failed").groupBy(quoted(lang).alias(of_lang))
+    spread = fine.agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_words", 0.5).alias(typical))
+    spread = spread.select(of_lang, typical, F.col("q")[1].alias(mid), (width * (F.col("q")[2] - F.col("q")[0])).alias(reach))
+    judged = scored.join(spread, quoted(lang).eqNullSafe(F.col(of_lang)), "left")
+    wide = F.col(reach) * F.sqrt(F.greatest(F.lit(1.0), F.col(typical) / F.col("n_words")))
+    inside = F.abs(F.col("log_perplexity") - F.col(mid)) <= wide
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(of_lang, typical, mid, reach)

@@ -9,8 +9,8 @@ no mandatory trigram scans every document.
 
 Index and patterns cover whole texts.  Defined results: null counts as an empty
 text, which has no spans; documents are judged one by one, so ties, repeated
-rows, null ids and empty tables need no care; other columns pass through and
-columns named like a result are replaced.
+rows, null ids, very long texts and empty tables need no care; other columns pass
+through and columns named like a result, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +25,13 @@ from pyspark.sql import DataFrame
 
 from .common import LOWER, Block, text_udf, with_fields
 
+try:  # Python's own pattern parser, which older versions keep elsewhere
+    from re import _constants as C
+    from re import _parser
+except ImportError:
+    import sre_constants as C
+    import sre_parse as _parser
+
 # -- Boolean trigram queries ------------------------------------------------------------
 # A query is True, ("has", trigram), ("and", queries) or ("or", queries).
 

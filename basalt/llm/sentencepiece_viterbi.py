@@ -8,12 +8,15 @@ trie: forward scores of the prefix that a word shares with the one before it
 are kept, and only the rest is computed.  Each word gets the segmentation of
 highest total score; characters in no piece are coded as byte pieces.
 
-Decoding joins pieces and bytes and turns marks back into spaces.
+Decoding turns the marks of pieces back into spaces and joins them with the
+bytes of byte pieces.  A mark (U+2581) that is in the text itself is coded by its
+bytes, so it comes back as it was.
 
 Defined results: null text stays null in ``ids``'s place (no ids) and decodes to
 an empty text; empty texts have no ids; very long texts are coded whole; rows
 are coded one by one, so ties, repeated rows, null ids and empty tables need no
-care; other columns pass through and columns named like a result are replaced.
+care; other columns pass through and columns named like a result, in whatever
+case, are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import lists, ship, text_udf, whole, with_fields
 
 MARK = "▁"
+#: Stands for a mark of the text itself among its words (no marked word looks like it).
+OWN_MARK = "x" + MARK
 #: An unknown character costs so much more than the worst piece (the library's value).
 UNKNOWN_PENALTY = 10.0
 #: Words kept between the batches of a task; the table is emptied when it is full.
@@ -57,7 +62,7 @@ class Vocabulary:
         #: All endings of pieces; the value is a piece's score, or None for an ending that is no piece.
         self.endings: dict[str, float | None] = {p[i:]: None for p in self.normal for i in range(1, len(p))}
         self.endings |= {p: s for p, (s, _) in self.normal.items()}
-        self.bytes_of = [bytes([self.byte_of[i]]) if k == 6 else p.encode() if k in (1, 4) else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
+        self.bytes_of = [bytes([self.byte_of[i]]) if k == 6 else p.replace(MARK, " ").encode() if k in (1, 4) else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         self.unknown = min(s for s, _ in self.normal.values()) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.normal):
             raise ValueError("a piece goes over a word's end")
@@ -134,19 +139,29 @@ class Encoder:
             self.known[word] = array("i", ids[::-1])
             before = word
 
+    def cut(self, text: str) -> list[str]:
+        """Marked words; a mark in the text itself is a word of its own and is coded by its bytes."""
+        first, *rest = text.split(MARK)
+        out = self.v.words.findall(MARK + first.replace(" ", MARK))
+        for part in rest:
+            out.append(OWN_MARK)
+            out += self.v.words.findall(part.replace(" ", MARK))
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row bounds of a batch."""
-        cut = [self.v.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [self.cut(t) if t else [] for t in texts]
         fresh = set().union(*cut).difference(self.known)
         if len(self.known) + len(fresh) > MOST_WORDS:
             self.known.clear()
             fresh = set().union(*cut)
-        self.learn(list(fresh))
+        self.learn(list(fresh - {OWN_MARK}))
+        self.known[OWN_MARK] = array("i", [self.v.byte[b] for b in MARK.encode()])
         rows = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *(len(r) // 4 for r in rows)])
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.v.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.v.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 

@@ -3,7 +3,8 @@
 Defined results: a null url, or one without ``://``, has an empty host and an
 empty path, fits no rule and gets the default verdict.  Rows are judged one by
 one, so ties, repeated rows, very long urls and empty tables need no care.
-Other columns pass through; columns named like a result are replaced.
+Other columns pass through; columns named like a result, in whatever case, are
+replaced.
 """
 
 from __future__ import annotations

@@ -74,6 +74,30 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_of_several_texts_are_one_document(spark):
+    a, b = "a b c d e f g h i j k l m n", "o p q r s t u v w x y z aa bb"
+    rows = [(5, a), (5, b), (9, a + " more"), (10, b + " more"), (11, "z " + a), (12, None)]
+    got = {(r.id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5, True), (9, 5, False), (10, 5, False), (11, 5, False), (12, 12, True)}
+
+
+def test_no_shared_shingle_no_link(spark):
+    """Texts that a polynomial hash modulo 2^64 can't tell apart."""
+    swap = "ab"
+    while len(swap) < 1024:
+        swap += swap.translate(str.maketrans("ab", "ba"))
+    rows = [(1, swap), (2, swap.translate(str.maketrans("ab", "ba"))), (3, "x " * 3000), (4, "y " * 3000)]
+    assert {r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2, 3, 4}
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f\nmenu", 1, 2, 3, 4), (2, "a b c d e f\nmenu", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int, ID int, __lines int, N_REMOVED int")
+    assert [r["__gone"] for r in near_dup.drop_near_duplicates(df).collect()] == [1]
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.text, r.n_removed, r.ID) for r in got] == [("a b c d e f\nmenu", 0, 2), ("", 2, 6)] and "N_REMOVED" not in got[0].asDict()
+
+
 def test_components_of_chains(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)] + [(1000, 1001 + i) for i in range(50)]
@@ -112,6 +136,7 @@ def test_line_dedup_odd_rows(spark):
 def brute_leaks(docs, items):
     tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    has = lambda w, own: any(w[i : i + len(own)] == own for i in range(len(w) - len(own) + 1))
     spread = Counter(g for i in items for g in grams(tokens(i)))
     weight = lambda g: 8 if not spread[g] else max(1, 8 - (spread[g].bit_length() - 1))
     out = {}
@@ -119,6 +144,8 @@ def brute_leaks(docs, items):
         w = tokens(text)
         for i, item in enumerate(items):
             want, size, best = grams(tokens(item)), len(tokens(item)), 0
+            if 0 < size < 5 and has(w, tokens(item)):
+                best = 1
             for s in range(max(1, len(w) - size + 1)) if want else ():
                 own = grams(w[s : s + size])
                 low = sum(weight(g) * min(own[g], want[g]) for g in own)
@@ -140,7 +167,7 @@ def test_decontamination(spark):
             at = rng.randrange(len(passage))
             passage[at : at + 1] = rng.choice([[], [word()], [passage[at], word()]])
         docs.append(" ".join(word() for _ in range(rng.randint(0, 30))) + " " + ", ".join(passage).title() + ".\n" + " ".join(word() for _ in range(rng.randint(0, 30))))
-    docs += [None, "", items[3], items[3], " ".join(word() for _ in range(50))]
+    docs += [None, "", items[3], items[3], " ".join(word() for _ in range(50)), "this is Too  short.", "too long, short"]
     want = brute_leaks(docs, items)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     df = frame(spark, docs)
@@ -154,6 +181,26 @@ def test_decontamination(spark):
     assert decontaminate.flag_leaks(df, bench.limit(0)).where("not kept").count() == 0
 
 
+def test_items_are_compared_whole(spark):
+    """An item of thousands of words, of which documents have nine tenths or seven tenths, and passages near the threshold."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
+    long = [word() for _ in range(4700)]
+    items = [" ".join(long)] + [" ".join(word() for _ in range(60)) for _ in range(6)]
+    docs = [" ".join(long[:4300]), " ".join(long[:3300])]
+    for i in range(40):  # three changed words take up to 15 of 56 shingles: from 0.6 to 0.9
+        passage = items[1 + i % 6].split()
+        for at in rng.sample(range(60), 1 + i % 3):
+            passage[at] = word()
+        docs.append(" ".join([word(), *passage, word()]))
+    df, bench = frame(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: (r.n_items, round(r.similarity, 6)) for r in decontaminate.flag_leaks(df, bench).collect()}
+    want = brute_leaks(docs[2:], items[1:])
+    assert got[0][0] == 1 and 0.9 < got[0][1] < 0.93 and got[1] == (0, 0.0)
+    assert {d: g for d, g in got.items() if d > 1 and g[0]} == {d + 2: (1, s) for (d, _), s in want.items()}
+    assert 5 < len(want) < 40
+
+
 def test_packed_fingerprints(spark):
     """The packed counters give the fingerprint that counting bit by bit gives."""
     from pyspark.sql import functions as F
@@ -162,8 +209,9 @@ def test_packed_fingerprints(spark):
     df = spark.createDataFrame(list(enumerate(hashes)), "k long, sh array<long>")
     weights = spark.createDataFrame([(hashes[0][0], 3)], "sh long, weight int")
     got = {r.k: r.fp for r in decontaminate.fingerprints(df, "k", F.broadcast(weights)).collect()}
+    assert got == {r.k: r.fp for r in decontaminate.fingerprints(df, "k", F.broadcast(weights), 32).collect()}
     for k, own in enumerate(hashes):
-        w = [3 if h == hashes[0][0] else 8 for h in own]
+        w = [decontaminate.COUNTED[2 if h == hashes[0][0] else 7] for h in own]
         bits = sum(1 << b for b in range(64) if 2 * sum(x for h, x in zip(own, w, strict=True) if (h >> b) & 1) > sum(w))
         assert got[k] % (1 << 64) == bits
 

@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("basalt.llm")
 from basalt.llm import chat, language_id, quality_classifier, quality_rules, secrets, sentencepiece_viterbi, url_filter  # noqa: E402
-from basalt.llm.common import blocks  # noqa: E402
+from basalt.llm.common import Block, blocks  # noqa: E402
 from basalt.llm.queries import CHAT_TOKENIZER, PIECE_MODEL, URL_RULES, queries  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -86,9 +86,9 @@ def test_quality_rules_run(spark, documents):
 
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
-    data = np.frombuffer(bytes(rng.choice(list(b"abcd"), 400)), np.uint8)
-    starts, ends = np.array([0, 50, 90]), np.array([40, 80, 400])
-    keys, _ = quality_rules.word_grams(data, starts, ends, 3)
+    letters = bytes(rng.choice(list(b"abcd"), 400))
+    data = np.frombuffer(b" ".join((letters[:40], letters[50:80], letters[90:])), np.uint8)
+    keys, _ = quality_rules.text_grams(Block(data, np.array([0, len(data)]), 0), 3)
     own, count = np.unique(keys, return_counts=True)
     model = quality_rules.fit(own, count, 3)
     for context in (b"ab", b"  ", b"zz", b" a"):
