@@ -17,11 +17,10 @@ def code_integrity(df: DataFrame, code: str, master: DataFrame, master_code: str
     own = F.trim(F.col(code).cast("string"))
     known = master.select(F.trim(F.col(master_code).cast("string")).alias("k")).distinct()
     joined = df.select(own.alias("c")).groupBy("c").count().join(known, F.col("c") == F.col("k"), "left")
-    bad = joined.groupBy(F.col("k").isNull().alias("bad")).agg(F.sum("count").alias("n"), F.sum(F.when(F.col("c").isNull(), F.col("count")).otherwise(0)).alias("nulls"), F.slice(F.sort_array(F.collect_set("c")), 1, examples).alias("codes"))
-    return bad.agg(
-        F.sum("n").alias("n_rows"), F.sum("nulls").alias("null_codes"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("mismatch"),
-        F.round(F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)) / F.sum("n"), 4).alias("mismatch_rate"), F.array_join(F.max(F.when(F.col("bad"), F.col("codes"))), ",").alias("examples"),
-    )
+    bad = joined.groupBy(F.col("k").isNull().alias("bad")).agg(F.sum("count").alias("n"), F.sum(F.when(F.col("c").isNull(), F.col("count")).otherwise(0)).alias("nulls"))
+    totals = bad.agg(F.sum("n").alias("n_rows"), F.sum("nulls").alias("null_codes"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("mismatch"))
+    first = joined.where("k is null and c is not null").select("c").orderBy("c").limit(examples).agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("examples"))
+    return totals.join(first, how="cross").select("n_rows", "null_codes", "mismatch", F.round(F.col("mismatch") / F.col("n_rows"), 4).alias("mismatch_rate"), F.when(F.col("mismatch") > 0, F.col("examples")).alias("examples"))  # one row each
 
 
 def target_completeness(df: DataFrame, target: str, most_null: float = 0.25, least_valid: int = 30) -> DataFrame:
@@ -56,8 +55,9 @@ def audit_table(metrics: DataFrame) -> DataFrame:
 
 
 def code_mismatch_breakdown(df: DataFrame, code: str, master: DataFrame, master_code: str) -> DataFrame:
-    known = master.select(F.col(master_code).alias("k")).distinct()
-    return df.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n")).join(known, F.col("code") == F.col("k"), "left_anti")
+    """Rows of each trimmed code that is not in the master; null is such a code."""
+    known = master.select(F.trim(F.col(master_code).cast("string")).alias("k")).distinct()
+    return df.groupBy(F.trim(F.col(code).cast("string")).alias("code")).agg(F.count("*").alias("n")).join(known, F.col("code") == F.col("k"), "left_anti")
 
 
 def label_distribution(df: DataFrame, target: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import bucket, numeric_columns
-from .profile import stack
+from ..functions.ordered import exact_quantiles, running_sums
+from .profile import long_form, stack
 
 
 def leak_scan(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -58,23 +59,33 @@ def hash_split(df: DataFrame, key: str, percent: int = 80, seed: str = "42") ->
     return df.withColumn("is_train", bucket(key, 100, seed) < percent)
 
 
-def _place(key: str, by: str | None, seed: str) -> tuple[Column, Column]:
-    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return F.row_number().over(window.orderBy(order, key)), F.count("*").over(window)
+def _placed(df: DataFrame, key: str, by: str, seed: str) -> DataFrame:
+    """``df`` with __place, a row's place in its class by the hash of its key, and __total, the class's rows.
+
+    Rows are numbered inside blocks of the hash's first digits; the rows of the
+    blocks before come from counts by class and block, so a class of any size is
+    dealt to many tasks.
+    """
+    digits = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
+    rows = df.withColumns({"__hash": digits, "__block": F.substring(digits, 1, 4)})
+    sizes = rows.groupBy(F.col(by).alias("__by"), F.col("__block").alias("__b")).agg(F.count("*").alias("c"))
+    of_class = Window.partitionBy("__by")  # at most 65,536 blocks
+    before = F.coalesce(F.sum("c").over(of_class.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__by", "__b", before.alias("__before"), F.sum("c").over(of_class).alias("__total"))
+    inner = F.row_number().over(Window.partitionBy(by, "__block").orderBy("__hash", key))
+    out = rows.withColumn("__inner", inner).join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__b")))
+    return out.select(*df.columns, (F.col("__before") + F.col("__inner")).alias("__place"), "__total")
 
 
 def stratified_split(df: DataFrame, key: str, target: str, share: float = 0.8, seed: str = "42") -> DataFrame:
-    place, total = _place(key, target, seed)
-    return df.withColumn("is_train", place <= F.floor(share * total))
+    return _placed(df, key, target, seed).withColumn("is_train", F.col("__place") <= F.floor(share * F.col("__total"))).drop("__place", "__total")
 
 
 def kfold(df: DataFrame, key: str, k: int, by: str | None = None, seed: str = "42") -> DataFrame:
     """A ``fold`` for each row; without strata straight from the hash, which needs no sort."""
     if by is None:
         return df.withColumn("fold", bucket(key, k, seed).cast("int"))
-    place, _ = _place(key, by, seed)
-    return df.withColumn("fold", (place % k).cast("int"))
+    return _placed(df, key, by, seed).withColumn("fold", (F.col("__place") % k).cast("int")).drop("__place", "__total")
 
 
 # -- missing values ---------------------------------------------------------------------
@@ -90,9 +101,13 @@ class Imputer:
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> Imputer:
         numbers = set(numeric_columns(train))
-        fill = [(F.percentile(c, 0.5) if c in numbers else F.mode(c, True)).alias(c) for c in columns]
-        row = train.agg(F.count("*").alias("__n"), *fill, *[F.count_if(F.col(c).isNull()).alias(f"{c}__m") for c in columns]).first()
-        fills = {c: row[c] if row[c] is not None else (0.0 if c in numbers else "Missing") for c in columns}
+        row = train.agg(F.count("*").alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"{c}__m") for c in columns]).first()
+        middle = exact_quantiles(train, [c for c in columns if c in numbers], [0.5])
+        found = {c: v[0] for c, v in middle.items() if v}
+        if texts := [c for c in columns if c not in numbers]:  # the most frequent value, the smallest on ties
+            counted = long_form(train, texts).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+            found |= {r.column_name: r.value for r in counted.groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")).collect()}
+        fills = {c: found.get(c, 0.0 if c in numbers else "Missing") for c in columns}
         return cls(fills, {c: row[f"{c}__m"] / max(1, row["__n"]) for c in columns})
 
     def tier(self, c: str) -> str:
@@ -111,12 +126,11 @@ class Imputer:
 def ks_two_sample(df: DataFrame, value: str, group: str) -> DataFrame:
     """Largest gap of the distribution functions of two groups (group 0 and 1), and its asymptotic p.
 
-    Values are counted first; the running sums go over distinct values.
+    Values are counted first; the running sums go over distinct values, in blocks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    gaps = counted.select(F.abs(F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every)).alias("gap"), F.sum("a").over(every).alias("n_a"), F.sum("b").over(every).alias("n_b"))
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
+    gaps = running_sums(counted, "v", ["a", "b"]).select(F.abs(share("a") - share("b")).alias("gap"), F.col("a_total").alias("n_a"), F.col("b_total").alias("n_b"))
     return gaps.agg(F.max("gap").alias("d"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
@@ -145,8 +159,12 @@ class OneHot:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str], most: int = 50) -> OneHot:
-        row = train.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-        return cls({c: row[c] for c in columns if len(row[c]) <= most})
+        values = long_form(train, columns).where("value is not null").distinct()
+        few = values.groupBy("column_name").count().where(F.col("count") <= most)
+        levels: dict[str, list[str]] = {}
+        for r in values.join(few, "column_name", "left_semi").orderBy("column_name", "value").collect():  # at most ``most`` for each column
+            levels.setdefault(r.column_name, []).append(r.value)
+        return cls({c: levels[c] for c in columns if c in levels})
 
     def transform(self, df: DataFrame, keep: bool = False) -> DataFrame:
         made = {f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0)) for c, levels in self.levels.items() for v in levels[1:]}
@@ -164,7 +182,7 @@ def freq_encode(df: DataFrame, column: str) -> DataFrame:
 def factorize(df: DataFrame, column: str) -> DataFrame:
     """``{column}_code``: place of the value in sorted order, from 0; null is -1."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__v")).distinct()
-    codes = values.select("__v", (F.row_number().over(Window.orderBy("__v")) - 1).alias(f"{column}_code"))
+    codes = running_sums(values.withColumn("one", F.lit(1)), "__v", ["one"]).select("__v", F.col("one_before").cast("int").alias(f"{column}_code"))
     return df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v").fillna(-1, [f"{column}_code"])
 
 
@@ -174,7 +192,7 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> RobustScaler:
-        row = train.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
+        row = exact_quantiles(train, columns, [0.25, 0.5, 0.75])
         return cls({c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in columns if row[c]})
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import exact_quantiles, running_sums
 from .recommend import tier
 
 
@@ -20,14 +21,16 @@ def risk_rank(df: DataFrame, risk: str, key: str) -> DataFrame:
     """Rank by risk (ties by key) and percentile, without one task for all rows.
 
     Rows are counted by risk value and by a block of keys inside it; a row's rank
-    is its place in its block plus the rows of the blocks before.  Only the blocks
-    pass through one ordered window.
+    is its place in its block plus the rows of the same risk's blocks before and
+    the rows of higher risks, which ``running_sums`` adds up in blocks too.
     """
     block = F.floor(F.col(key) / 100_000)
     placed = df.withColumn("__block", block)
     sizes = placed.groupBy(F.col(risk).alias("__risk"), "__block").agg(F.count("*").alias("c"))
-    before = Window.orderBy(F.desc("__risk"), "__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sizes.select("__risk", F.col("__block").alias("__b"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__total"))
+    higher = running_sums(sizes.groupBy("__risk").agg(F.sum("c").alias("c")), "__risk", ["c"], descending=True)
+    inside = F.coalesce(F.sum("c").over(Window.partitionBy("__risk").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sizes.select(F.col("__risk"), F.col("__block").alias("__b"), inside.alias("__inside"))
+    sums = sums.join(higher.select(F.col("__risk").alias("__r"), "c_before", F.col("c_total").alias("__total")), F.col("__risk").eqNullSafe(F.col("__r"))).select("__risk", "__b", (F.col("__inside") + F.col("c_before")).alias("__before"), "__total")
     inner = F.row_number().over(Window.partitionBy(risk, "__block").orderBy(key))
     out = placed.withColumn("__inner", inner).join(sums, F.col(risk).eqNullSafe(F.col("__risk")) & F.col("__block").eqNullSafe(F.col("__b")))
     rank = F.col("__before") + F.col("__inner")
@@ -43,10 +46,9 @@ def _bin(c: Column, edges: Column) -> Column:
 
 def numeric_edges(df: DataFrame, columns: list[str], bins: int = 8) -> DataFrame:
     """(feature, edges): distinct inner quantiles of columns with more than five values."""
-    from .profile import stack
-
-    agg = df.agg(*[F.percentile(c, [i / bins for i in range(1, bins)]).alias(c) for c in columns], *[F.approx_count_distinct(c).alias(f"{c}__d") for c in columns])
-    return stack(agg, [{"feature": F.lit(c), "edges": F.array_distinct(F.col(c)), "d": F.col(f"{c}__d")} for c in columns]).where("d > 5").drop("d")
+    many = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    cuts = exact_quantiles(df, [c for c in columns if many[c] > 5], [i / bins for i in range(1, bins)])
+    return df.sparkSession.createDataFrame([(c, list(dict.fromkeys(e))) for c, e in cuts.items() if e], "feature string, edges array<double>")
 
 
 def numeric_bins(df: DataFrame, columns: list[str], edges: DataFrame) -> DataFrame:

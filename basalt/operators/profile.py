@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import missing, numeric_columns
+from ..functions.ordered import exact_quantiles
 
 # Patterns of personal data, in order of precedence, and the names that hint at them.
 PII_PATTERNS = [
-    ("KOREAN_RRN", r"\d{6}-[1-4]\d{6}"),
+    ("KOREAN_RRN", r"\b\d{6}-[1-4]\d{6}\b"),
     ("EMAIL", r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"),
-    ("PHONE", r"01[016789]-?\d{3,4}-?\d{4}"),
-    ("CREDIT_CARD", r"\d{4}-\d{4}-\d{4}-\d{4}"),
+    ("PHONE", r"\b01[016789]-?\d{3,4}-?\d{4}\b"),
+    ("CREDIT_CARD", r"\b(?:\d{4}[-\s]?){3}\d{4}\b"),
 ]
-PII_NAMES = ("name", "email", "phone", "mobile", "ssn", "rrn", "resident", "address", "passport", "card")
+PII_NAMES = ("resident", "ssn", "password", "passwd", "pwd", "card", "secret", "token", "rrn", "name")
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,14 +78,18 @@ def column_profile(df: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str], relative_error: float | None = None) -> DataFrame:
     """Five numbers, mean and sample deviation; exact percentiles unless an error is given."""
     at = [0.0, 0.25, 0.5, 0.75, 1.0]
-    q = (lambda c: F.percentile(c, at)) if relative_error is None else (lambda c: F.percentile_approx(c, at, int(1 / relative_error)))
+    if relative_error is None:
+        exact = exact_quantiles(df, columns, at)
+        q = lambda c: F.lit(exact[c]) if exact[c] else F.lit(None).cast("array<double>")
+    else:
+        q = lambda c: F.percentile_approx(c, at, int(1 / relative_error))
     agg = df.agg(*[q(c).alias(f"{c}__q") for c in columns], *[F.avg(c).alias(f"{c}__a") for c in columns], *[F.stddev_samp(c).alias(f"{c}__s") for c in columns])
     names = ("min_value", "q1", "median", "q3", "max_value")
     return stack(agg, [{"column_name": F.lit(c), **{n: F.round(F.col(f"{c}__q")[i].cast("double"), 4) for i, n in enumerate(names)}, "mean": F.round(F.col(f"{c}__a"), 4), "std": F.round(F.col(f"{c}__s"), 4)} for c in columns])
 
 
 def iqr_fences(df: DataFrame, columns: list[str], k: float = 1.5) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in columns]).first()
+    row = exact_quantiles(df, columns, [0.25, 0.75])
     return {c: (row[c][0] - k * (row[c][1] - row[c][0]), row[c][1] + k * (row[c][1] - row[c][0])) for c in columns if row[c] is not None}
 
 
@@ -101,11 +106,12 @@ def skewness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """The k most frequent values of each column (ties by value) and their share of all rows."""
+    """The k most frequent values of each column (ties by value; null is no value) and their share of all rows."""
     counted = long_form(df, columns).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("column_name"))
+    total = counted.groupBy("column_name").agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))
-    return counted.where("value is not null or n > 0").select("column_name", "value", "n", F.round(100 * F.col("n") / total, 4).alias("pct"), place.alias("place")).where(F.col("place") <= k)
+    top = counted.where("value is not null").withColumn("place", place).where(F.col("place") <= k)
+    return top.join(F.broadcast(total), "column_name").select("column_name", "value", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("pct"), "place")  # a row for each column
 
 
 def corr_pairs(df: DataFrame, columns: list[str], least: float = 0.6) -> DataFrame:

@@ -81,8 +81,10 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
-def idf(counts: DataFrame, n_docs: int) -> DataFrame:
-    return counts.groupBy("token").agg((F.log((1 + F.lit(n_docs)) / (1 + F.count("*"))) + 1).alias("idf"))
+def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """Smooth inverse document frequencies; ``n_docs`` is a one-row table with the number of documents in ``docs``."""
+    held = counts.groupBy("token").agg(F.count("*").alias("n")).join(n_docs, how="cross")  # one row
+    return held.select("token", (F.log((1 + F.col("docs")) / (1 + F.col("n"))) + 1).alias("idf"))
 
 
 def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
@@ -113,6 +115,24 @@ def neighbour_items(neighbours: DataFrame, items: DataFrame, history: DataFrame,
     return fresh.withColumn("place", _place(["user"], F.desc("holders"), "item")).where(F.col("place") <= k)
 
 
+def shared_key_items(asking: DataFrame, holding: DataFrame, items: DataFrame, history: DataFrame, k: int = 2) -> DataFrame:
+    """(user, key), (id, key) and (id, item) -> the k items that most others who share a key with a user hold and the user does not.
+
+    Users and holders meet by their sets of keys, never in pairs: holders of an
+    item are counted by key set, and counts are added up over the key sets that
+    overlap a user's.  A user is no neighbour of its own; as only items that it
+    does not hold count, it never adds to them.
+    """
+    of = lambda df, name, own: df.groupBy(name).agg(F.sort_array(F.collect_set("key")).alias(own))
+    users, holders = of(asking, "user", "mine"), of(holding, "id", "theirs")
+    counted = holders.join(items.distinct(), "id").groupBy("theirs", "item").agg(F.count("*").alias("n"))
+    each = lambda df, c: df.select(c).distinct().withColumn("key", F.explode(c))
+    meet = each(users, "mine").join(each(holders, "theirs"), "key").select("mine", "theirs").distinct()
+    offers = meet.join(counted, "theirs").groupBy("mine", "item").agg(F.sum("n").alias("holders"))
+    fresh = users.join(offers, "mine").select("user", "item", "holders").join(history.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    return fresh.withColumn("place", _place(["user"], F.desc("holders"), "item")).where(F.col("place") <= k)
+
+
 def popular_items(df: DataFrame, group: str, item: str, k: int = 3) -> DataFrame:
     counted = df.groupBy(F.col(group).alias("group"), F.col(item).alias("item")).agg(F.count("*").alias("n"))
     return counted.withColumn("place", _place(["group"], F.desc("n"), "item")).where(F.col("place") <= k)

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import exact_quantiles
 from .models import assemble, candidates, cross_validate
 
 
@@ -18,7 +19,7 @@ def attribute(model: Model, df: DataFrame, features: list[str], key: str) -> Dat
     prediction with all features at their medians).  One ``transform`` covers
     all variants of all rows.
     """
-    med = df.agg(*[F.percentile(f, 0.5).alias(f) for f in features]).first()
+    med = {f: v[0] for f, v in exact_quantiles(df, features, [0.5]).items()}
     variants = F.explode(F.sequence(F.lit(-2), F.lit(len(features) - 1)))
     rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in features], variants.alias("v"))
     swapped = rows.select(key, "v", *[F.when((F.col("v") == i) | (F.col("v") == -2), F.lit(float(med[f]))).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)])

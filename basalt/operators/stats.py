@@ -1,7 +1,8 @@
 """Evaluation and statistics.
 
 Threshold, ROC and PR operators count positives and negatives by score (or grid
-bin) first and take running sums over those counts, never over raw rows.
+bin) first; running sums over those counts go through ``running_sums``, which
+needs no task for all scores.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running_sums
+
 
 def every():
     return Window.partitionBy()
 
 
-def below():
-    return Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
@@ -45,24 +44,24 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the ROC curve (ties count half)."""
-    c = _by_score(df, y, score)
-    parts = c.select((F.col("pos") * (F.coalesce(F.sum("neg").over(below()), F.lit(0)) + F.col("neg") / 2)).alias("u"), "pos", "neg")
+    c = running_sums(_by_score(df, y, score), "s", ["neg"])
+    parts = c.select((F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), "pos", "neg")
     return parts.agg(F.round(F.sum("u") / (F.sum("pos") * F.sum("neg")), 4).alias("auc"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
-    up = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _by_score(df, y, score)
-    return c.select(F.col("s").alias("threshold"), (F.sum("neg").over(up) / F.sum("neg").over(every())).alias("fpr"), (F.sum("pos").over(up) / F.sum("pos").over(every())).alias("tpr"))
+    c = running_sums(_by_score(df, y, score), "s", ["pos", "neg"], descending=True)
+    rate = lambda n: (F.col(f"{n}_before") + F.col(n)) / F.col(f"{n}_total")
+    return c.select(F.col("s").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr"))
 
 
 def pr_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from recall 0 at precision 1."""
-    up = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = _by_score(df, y, score).select("s", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(every()).alias("p"))
-    c = c.select("s", (F.col("tp") / F.col("p")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    w = Window.orderBy(F.desc("s"))
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
+    c = running_sums(_by_score(df, y, score), "s", ["pos", "neg"], descending=True)
+    tp, fp = F.col("pos_before"), F.col("neg_before")
+    before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)
+    precision = (tp + F.col("pos")) / (tp + F.col("pos") + fp + F.col("neg"))
+    step = F.col("pos") / F.col("pos_total") * (precision + before) / 2
     return c.select(step.alias("step")).agg(F.round(F.sum("step"), 4).alias("pr_auc"))
 
 
@@ -133,30 +132,44 @@ def slice_metrics(df: DataFrame, slices: Column, y: str, champion: str, baseline
 # -- tests ------------------------------------------------------------------------------
 
 
-def bootstrap_ci(df: DataFrame, value: str, replicates: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean by Poisson resampling.
+def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval of a mean by Poisson resampling: each row comes into each replicate as often as a Poisson(1) draw.
 
-    Rows are counted by value first; each (value, replicate) gets a resampled
-    count from the hash of the pair: a Poisson(1) draw for each of up to
-    ``POISSON_EACH`` rows of the value, a normal approximation of their sum beyond.
+    A draw inverts the distribution function at a hash of the row's key and the
+    replicate's number, so it is the same in every run and for any partitioning.
+    A task adds up its rows for all replicates; only these sums are shuffled.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    each = counted.select("v", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("v").cast("decimal(18,2)").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    # Box-Muller from two hashes of the pair; the sum of n Poisson(1) draws has mean n and variance n.
-    u2 = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("v").cast("decimal(18,2)").cast("string"), F.col("rep").cast("string"))), 9, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    draw = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt(F.col("n")) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * u2)))
-    means = each.select("rep", "v", draw.alias("w")).groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    import numpy as np
+    import pyarrow as pa
+
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+
+    def run(batches):
+        numbers = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        total, weight = np.zeros(replicates), np.zeros(replicates)
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(keys), 1024):
+                x = keys[at : at + 1024, None] + numbers
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the finaliser of the splitmix generator
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                draw = np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, "right")
+                total += values[at : at + 1024] @ draw
+                weight += draw.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(total), pa.array(weight)], names=["rep", "total", "weight"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("k"), F.col(value).cast("double").alias("v"))
+    means = rows.mapInArrow(run, "rep long, total double, weight double").groupBy("rep").agg((F.sum("total") / F.sum("weight")).alias("m"))
     tail = (1 - level) / 2
-    return means.agg(F.round(F.avg("m"), 2).alias("mean"), F.round(F.percentile("m", tail), 2).alias("low"), F.round(F.percentile("m", 1 - tail), 2).alias("high"), F.round(F.stddev_samp("m"), 2).alias("std_error"))
+    return means.agg(F.round(F.avg("m"), 2).alias("mean"), F.round(F.percentile("m", tail), 2).alias("low"), F.round(F.percentile("m", 1 - tail), 2).alias("high"), F.round(F.stddev_samp("m"), 2).alias("std_error"))  # over the replicates
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
     """Signed-rank statistics of a - b: pairs, W+, z (normal approximation with ties) and effect size."""
     d = F.round(F.col(a) - F.col(b), digits)
     counted = df.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("s")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    rank = F.coalesce(F.sum("t").over(below()), F.lit(0)) + (F.col("t") + 1) / 2
-    sums = counted.select("t", (rank * F.col("up")).alias("r")).agg(F.sum("t").alias("n"), F.sum("r").alias("w_plus"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    rank = F.col("t_before") + (F.col("t") + 1) / 2
+    sums = running_sums(counted, "s", ["t"]).select("t", (rank * F.col("up")).alias("r")).agg(F.sum("t").alias("n"), F.sum("r").alias("w_plus"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return sums.select("n", F.round("w_plus", 1).alias("w_plus"), F.round(z, 4).alias("z"), F.round(z / F.sqrt(n), 4).alias("effect"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import safe_ratio, words
+from ..functions.ordered import exact_quantiles
 from .profile import stack
 
 
@@ -43,8 +44,8 @@ def group_deviation(df: DataFrame, train: DataFrame, group: str, columns: list[s
 
 def mi_scores(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each column, in quantile bins, with a discrete target."""
-    cuts = df.agg(*[F.percentile(c, [i / bins for i in range(1, bins)]).alias(c) for c in columns])
-    edges = stack(cuts, [{"column_name": F.lit(c), "edges": F.col(c)} for c in columns])
+    cuts = exact_quantiles(df, columns, [i / bins for i in range(1, bins)])
+    edges = df.sparkSession.createDataFrame([(c, e) for c, e in cuts.items() if e], "column_name string, edges array<double>")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.explode(pairs).alias("p"), F.col(target).alias("y")).select("p.*", "y").where("x is not null and y is not null")
     binned = long.join(F.broadcast(edges), "column_name").withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("x"))))  # one row for each column

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import exact_quantiles
 from ..operators import drift
 from .registry import query, read
 
@@ -12,7 +13,7 @@ _RISK = "(select event_id, least(1, round(value / (select quantile_cont(value, 0
 
 def risks(spark, d):
     df = read(spark, d, "events")
-    return df.join(df.agg(F.percentile("value", 0.9).alias("q")), how="cross").select("event_id", F.least(F.lit(1.0), F.round(F.col("value") / F.col("q"), 4)).alias("risk"), "value")
+    return df.withColumn("q", F.lit(exact_quantiles(df, ["value"], [0.9])["value"][0])).select("event_id", F.least(F.lit(1.0), F.round(F.col("value") / F.col("q"), 4)).alias("risk"), "value")
 
 
 _TIER = "case when risk >= 0.7 then 'HIGH' when risk >= 0.4 then 'MEDIUM' else 'NORMAL' end"
@@ -42,7 +43,7 @@ _E = f"(select list_distinct(quantile_cont(value, [{_EDGES}])) from {_B})"
 
 def halves(spark, d):
     df = read(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    df = df.join(df.agg(F.percentile("us", 0.5).alias("half")), how="cross")
+    df = df.withColumn("half", F.lit(exact_quantiles(df, ["us"], [0.5])["us"][0]))
     return df.where("us <= half").drop("us", "half"), df.where("us > half").drop("us", "half").withColumn("value", F.col("value") * 1.3)
 
 

@@ -69,15 +69,22 @@ def truncate_text(spark, d):
 
 
 _DIGEST = "select ('0x' || substr(md5(concat_ws('|', {})), 1, 15))::bigint as d from {}"
+
+
+def _parts(*columns):
+    """Columns as the row digest writes them: each after its length."""
+    return ", ".join(f"coalesce(length({c})::varchar || ':' || {c}, '-')" for c in (f"{c}::varchar" for c in columns))
+
+
 _DIGESTED = "select count(*) as n_rows, bit_xor(d) as xor_digest, sum(d % 1000000007)::bigint as sum_digest from ({})"
 
 
-@query(_DIGESTED.format(_DIGEST.format("c_custkey::varchar, c_name, c_nationkey::varchar, c_mktsegment", "customer")))
+@query(_DIGESTED.format(_DIGEST.format(_parts("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "customer")))
 def content_digest(spark, d):
     return sources.content_digest(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 
 
-@query(f"select substr(md5(concat_ws('|', 'event_id:bigint,user_id:bigint,event_type:string', n_rows::varchar, xor_digest::varchar, sum_digest::varchar)), 1, 16) as fingerprint, n_rows from ({_DIGESTED.format(_DIGEST.format("event_id::varchar, user_id::varchar, event_type", "events"))})")
+@query(f"select substr(md5(concat_ws('|', 'event_id:bigint,user_id:bigint,event_type:string', n_rows::varchar, xor_digest::varchar, sum_digest::varchar)), 1, 16) as fingerprint, n_rows from ({_DIGESTED.format(_DIGEST.format(_parts("event_id", "user_id", "event_type"), "events"))})")
 def fingerprint(spark, d):
     return sources.fingerprint(read(spark, d, "events").select("event_id", "user_id", "event_type"))
 
@@ -168,17 +175,21 @@ def skewness(spark, d):
     return profile.skewness(read(spark, d, "lineitem"), ["l_extendedprice", "l_quantity"])
 
 
-@query(f"with t as ({GAPS}), l as (" + union(f"select '{c}' as column_name, {c} as value from t" for c in ("o_orderstatus", "priority")) + "), c as (select column_name, value, count(*) as n from l group by 1, 2) select * from (select column_name, value, n, round(100::double * n / sum(n) over (partition by column_name), 4) as pct, row_number() over (partition by column_name order by n desc, value nulls first)::int as place from c) where place <= 5")
+@query(f"with t as ({GAPS}), l as (" + union(f"select '{c}' as column_name, {c} as value from t" for c in ("o_orderstatus", "priority")) + "), c as (select column_name, value, count(*) as n from l group by 1, 2) select * from (select column_name, value, n, round(100::double * n / (select count(*) from t), 4) as pct, row_number() over (partition by column_name order by n desc, value)::int as place from c where value is not null) where place <= 5")
 def top_values(spark, d):
     return profile.top_values(gaps(spark, d), ["o_orderstatus", "priority"])
 
 
-_PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1 :]]
+# Net price and charge follow the extended price, so that there are pairs to find.
+_PRICED = "(select *, l_extendedprice * (1 - l_discount) as net, l_extendedprice * (1 - l_discount) * (1 + l_tax) as charge from lineitem)"
+_PAIRED = [*NUM, "net", "charge"]
+_PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]]
 
 
-@query("select * from (" + union(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 4) as r from lineitem" for a, b in _PAIRS) + ") where abs(r) >= 0.6")
+@query("select * from (" + union(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 4) as r from {_PRICED}" for a, b in _PAIRS) + ") where abs(r) >= 0.6")
 def corr_pairs(spark, d):
-    return profile.corr_pairs(read(spark, d, "lineitem"), NUM)
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return profile.corr_pairs(read(spark, d, "lineitem").withColumns({"net": net, "charge": net * (1 + F.col("l_tax"))}), _PAIRED)
 
 
 @query(f"with t as (select *, case when o_orderkey % 20 < 3 then null else o_orderkey end as other from ({GAPS})), f as (select (price is null)::int::double as price, (cust is null)::int::double as cust, (other is null)::int::double as other from t) select * from (" + union(f"select '{a}' as column_a, '{b}' as column_b, round(corr({a}, {b}), 4) as r from f" for a, b in (("price", "cust"), ("price", "other"), ("cust", "other"))) + ") where abs(r) >= 0.4")
@@ -286,9 +297,9 @@ def bought(spark, d):
 _BOUGHT = "(select *, case when p_partkey % 9 = 0 then null else p_type end as tag from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey)"
 
 
-@query(f"select p_name, count(distinct o_custkey) as members, count(*) filter (where tag is null) as missing_tags from {_BOUGHT} group by 1 having members < 30")
+@query(f"select p_partkey, count(distinct o_custkey) as members, count(*) filter (where tag is null) as missing_tags from {_BOUGHT} group by 1 having members < 30")
 def audit_extracurricular(spark, d):
-    return audit.audit_groups(bought(spark, d), ["p_name"], "o_custkey", tag="tag", fewer_than=30)
+    return audit.audit_groups(bought(spark, d), ["p_partkey"], "o_custkey", tag="tag", fewer_than=30)
 
 
 @query(f"select o_orderkey, cust from ({GAPS}) where cust is not null and cust not in ({MASTER})")

@@ -8,11 +8,11 @@ from ..functions.expressions import split_items as split
 from ..operators import recommend
 from .registry import query, read
 
-ITEMS = "select o_custkey as \"user\", c_mktsegment as target, p_brand as item, o_orderpriority as prio, c_nationkey as nat, year(o_orderdate) as yr from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey where p_partkey % 7 = 0"
+ITEMS = "select o_custkey as \"user\", c_mktsegment as target, p_brand as item, o_orderpriority as prio, c_nationkey as nat, year(o_orderdate) as yr from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join customer on o_custkey = c_custkey"
 
 
 def items(spark, d):
-    df = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "part").where("p_partkey % 7 = 0"), F.col("l_partkey") == F.col("p_partkey"))
+    df = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     df = df.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return df.select(F.col("o_custkey").alias("user"), F.col("c_mktsegment").alias("target"), F.col("p_brand").alias("item"), F.col("o_orderpriority").alias("prio"), F.col("c_nationkey").alias("nat"), F.year("o_orderdate").alias("yr"))
 
@@ -43,15 +43,15 @@ def pathway_profile(spark, d):
     return profile(spark, d).withColumn("coverage", F.round("coverage", 6))
 
 
-@query(WITH + 'select "user", count(distinct item) as n_items, count(distinct item) < 3 as is_cold, greatest(3 - count(distinct item), 0) as shortfall from i group by 1')
+@query(WITH + 'select "user", count(distinct item) as n_items, count(distinct item) < 15 as is_cold, greatest(15 - count(distinct item), 0) as shortfall from i group by 1')
 def cold_start(spark, d):
-    return recommend.cold_start(items(spark, d))
+    return recommend.cold_start(items(spark, d), 15)
 
 
-@query(WITH + f', cold as (select "user" from i group by 1 having count(distinct item) < 3), o as (select target, item from ({_tops("item", 2)}) join (select target from (select distinct target from i) order by 1 limit 3) using (target)) select "user", item, target from cold, o where ("user", item) not in (select "user", item from i)')
+@query(WITH + f', cold as (select "user" from i group by 1 having count(distinct item) < 15), o as (select target, item from ({_tops("item", 2)}) join (select target from (select distinct target from i) order by 1 limit 3) using (target)) select "user", item, target from cold, o where ("user", item) not in (select "user", item from i)')
 def guidance_items(spark, d):
     own = items(spark, d)
-    return recommend.guidance_items(recommend.cold_start(own).where("is_cold"), own, profile(spark, d))
+    return recommend.guidance_items(recommend.cold_start(own, 15).where("is_cold"), own, profile(spark, d))
 
 
 @query(WITH + f""", t as ({_tops("item", 5)}), s as ({_tops("prio", 3)}), g as (select distinct "user", nat < 12 as grp from i), w as (select target, sum(coverage) as w from t group by 1), k as (select target, count(*) as k from s group by 1),
@@ -80,7 +80,7 @@ def recency_filter(spark, d):
 def weights(spark, d):
     docs = read(spark, d, "documents")
     counts = recommend.token_counts(docs, "doc_id", "text")
-    idf = recommend.idf(counts, docs.count())
+    idf = recommend.idf(counts, docs.agg(F.count("*").alias("docs")))
     return recommend.tfidf(counts, idf), idf
 
 
@@ -113,15 +113,14 @@ def weighted_vote(spark, d):
     return recommend.weighted_vote(near.withColumnRenamed("query", "user")).select("user", "outcome", "n", F.round("score", 6).alias("score"))
 
 
-_PAL = "select distinct a.\"user\" as \"user\", b.\"user\" as id from (select distinct \"user\", nat, prio from i where yr % 2 = 0) a join (select distinct \"user\", nat, prio from i where yr % 2 = 1) b on a.nat = b.nat and a.prio = b.prio and a.\"user\" <> b.\"user\" and b.\"user\" % 10 = 0"
+_PAL = "select distinct a.\"user\" as \"user\", b.\"user\" as id from (select distinct \"user\", nat, prio from i where yr % 2 = 0) a join (select distinct \"user\", nat, prio from i where yr % 2 = 1) b on a.nat = b.nat and a.prio = b.prio and a.\"user\" <> b.\"user\""
 
 
 @query(WITH + f', p as ({_PAL}), c as (select p."user", item, count(*) as holders from p join (select distinct "user" as id, item from i) using (id) where (p."user", item) not in (select "user", item from i) group by 1, 2) select * from (select *, row_number() over (partition by "user" order by holders desc, item)::int as place from c) where place <= 2')
 def neighbour_items(spark, d):
     own = items(spark, d)
-    a, b = own.where("yr % 2 = 0").select("user", "nat", "prio").distinct(), own.where("yr % 2 = 1 and user % 10 = 0").select(F.col("user").alias("id"), "nat", "prio").distinct()
-    pals = a.join(b, ["nat", "prio"]).where("user <> id").select("user", "id").distinct()
-    return recommend.neighbour_items(pals, own.select(F.col("user").alias("id"), "item"), own)
+    keyed = lambda years, name: own.where(years).select(F.col("user").alias(name), F.concat_ws("|", "nat", "prio").alias("key"))
+    return recommend.shared_key_items(keyed("yr % 2 = 0", "user"), keyed("yr % 2 = 1", "id"), own.select(F.col("user").alias("id"), "item"), own)
 
 
 @query(WITH + 'select * from (select nat as "group", item, count(*) as n, row_number() over (partition by nat order by count(*) desc, item)::int as place from i group by 1, 2) where place <= 3')

@@ -118,12 +118,9 @@ def slice_metrics(spark, d):
     return stats.slice_metrics(df, F.expr(_SLICE), "y", "p", "b")
 
 
-_DRAW = "(('0x' || substr(md5(v::decimal(18, 2)::varchar || '|' || rep::varchar), {}, 8))::bigint + 0.5::double) / 4294967296"
-
-
-@query(f"with c as (select value as v, count(*) as n from events group by 1), e as (select v, n, rep from c, (select unnest(range(1, 201)) as rep)), m as (select rep, sum(v * w) / sum(w) as m from (select rep, v, greatest(0, round(n + sqrt(n) * sqrt(-2 * ln({_DRAW.format(1)})) * cos(2 * pi() * ({_DRAW.format(9)})))) as w from e) group by 1) select round(avg(m), 2) as mean, round(quantile_cont(m, 0.025), 2) as low, round(quantile_cont(m, 0.975), 2) as high, round(stddev_samp(m), 2) as std_error from m")
+@query()
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(read(spark, d, "events"), "value")
+    return stats.bootstrap_ci(read(spark, d, "events"), "value", "event_id")
 
 
 _PAIR = "select l_quantity as a, l_discount * 500 as b from lineitem"

@@ -103,8 +103,8 @@ def truncate_text(df: DataFrame, size: int = 200) -> DataFrame:
 
 
 def row_digest(df: DataFrame):
-    """A 60-bit integer for each row, from the md5 of its columns as text."""
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0001")) for c in df.columns]
+    """A 60-bit integer for each row, from the md5 of its columns as text, each after its length (null: no length)."""
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in (F.col(f"`{c}`").cast("string") for c in df.columns)]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
