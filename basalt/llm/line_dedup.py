@@ -46,7 +46,7 @@ SLOT_BITS = 22
 #: Token counts travel as compressed pieces of the slot table.
 PIECES = 64
 #: Postings in a task of the first join, and bytes of sets in a task of the second.
-TASK_POSTINGS, TASK_SET_BYTES = 100_000, 16 << 20
+TASK_POSTINGS, TASK_SET_BYTES = 100_000, 12 << 20
 #: Places in the prefix up to which an earlier common token is looked for before the sets are intersected.
 MOST_AHEAD = 16
 #: Candidate pairs that a task looks at together.
@@ -56,15 +56,12 @@ PAIRS_AT_ONCE = 1 << 19
 # -- lines and their tokens -------------------------------------------------------------
 
 
-def line_sets(block: Block, codes: np.ndarray, least_words: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each compared line, rarest first by ``codes``; the lines' bounds, documents and numbers.
-
-    ``wanted`` chooses lines by document and number before they are taken apart.
-    """
+def line_sets(block: Block, codes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of each compared line, rarest first by ``codes``; the lines' bounds, documents and numbers."""
     low = LOWER[block.data]
     starts, ends, doc = words(block, low)
-    none = np.zeros(0, np.int64)
     if not len(starts):
+        none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none
     breaks = np.flatnonzero(low == 10)
     line = np.searchsorted(breaks, starts)
@@ -73,25 +70,6 @@ def line_sets(block: Block, codes: np.ndarray, least_words: int, wanted: Callabl
     first = np.flatnonzero(new)
     line_doc, number = doc[first], line[first] - np.searchsorted(breaks, block.offs[doc[first]])
     size = np.diff(np.append(first, len(line)))
-    if wanted is not None:
-        keep = wanted(line_doc, number)
-        of_word = np.repeat(keep, size)
-        starts, ends, line_doc, number, size = starts[of_word], ends[of_word], line_doc[keep], number[keep], size[keep]
-        if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none
-    raw, owner = spans_hash(low, starts, ends), np.repeat(np.arange(len(size)), size)
-    code = codes[(raw & np.uint64(len(codes) - 1)).astype(np.int64)]
-    # One sort by line, count and token; its key has as many bits of the token as fit.
-    bits = int(len(size)).bit_length()
-    key = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (code.astype(np.uint64) << np.uint64(48 - bits)) | (raw >> np.uint64(16 + bits))
-    order = np.argsort(key)
-    token, key = raw[order], key[order]
-    if ((key[1:] == key[:-1]) & (token[1:] != token[:-1])).any():
-        order = np.lexsort((raw, code, owner))
-        token = raw[order]
-    owner = owner[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     token, owner = token[new], owner[new]
     size = np.bincount(owner, minlength=len(size))
     long = size >= least_words
@@ -99,6 +77,18 @@ def line_sets(block: Block, codes: np.ndarray, least_words: int, wanted: Callabl
     return token[keep], np.concatenate([[0], np.cumsum(size[long])]), line_doc[long], number[long]
 
 
+def chosen_lines(block: Block, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Block:
+    """The lines that ``wanted`` chooses by document and number, each as a document of a new block."""
+    breaks = np.flatnonzero(block.data == 10)
+    start = np.sort(np.concatenate([block.offs[:-1], breaks + 1]), kind="stable")
+    end = np.sort(np.concatenate([breaks, block.offs[1:]]), kind="stable")
+    doc = np.sort(np.concatenate([np.arange(block.n), np.searchsorted(block.offs, breaks, "right") - 1]), kind="stable")
+    keep = wanted(doc, np.arange(len(doc)) - np.searchsorted(doc, doc))
+    size = (end - start)[keep]
+    offs = np.concatenate([[0], np.cumsum(size)])
+    return Block(block.data[np.arange(offs[-1]) + np.repeat(start[keep] - offs[:-1], size)], offs, 0)
+
+
 def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
     """Tokens of which a match must share one; none where even a set of one more token that holds this one is too large to match."""
     return np.where(100 * size >= percent * (size + 1), size - (percent * size + 99) // 100 + 1, 0)
@@ -332,7 +322,7 @@ def sets_at(lines: DataFrame, shared, places, least_words: int) -> DataFrame:
             def wanted(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
                 return in_filter(bits, h[doc] ^ number)
 
-            token, bounds, _, _ = line_sets(block, codes, least_words, wanted)
+            token, bounds, _, _ = line_sets(chosen_lines(block, wanted), codes, least_words)
             d1, d2 = set_digests(token, bounds)
             return [signed(d1), signed(d2), lists(signed(token), bounds, pa.int64())]
 
