@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.  All but the
 last return the columns of ``documents``.
+
+Defined results: a null text is scored as an empty one, keeps its lines, is no
+copy and no leak, and has no ids; an empty text likewise; rows that repeat an id
+and a text are one document in every stage and stay or go together; of rows with
+a null id none is a copy; texts of any length are read whole; an empty table
+gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -53,12 +59,16 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Classifier and encoder have no SQL form; tests/llm holds brute-force versions of the stages.
+#: Classifier and encoder have no SQL form; tests/llm/test_edges.py checks every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents").select(COLUMNS), Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
