@@ -110,3 +110,13 @@ def care_list(df: DataFrame, key: str, risk: str, factors: str) -> DataFrame:
 
     made = care_prescription(risk_tier(df, risk), risk, factors)
     return made.select(key, F.round(risk, 4).alias("probability"), "tier", "care", F.concat_ws(", ", F.slice(factors, 1, 2)).alias("top_factors"))
+
+
+def save_baseline(edges: DataFrame, numbers: DataFrame, categories: DataFrame, folder: str) -> None:
+    """Edges and counts of a baseline as Parquet, to be compared with later records."""
+    for name, df in (("edges", edges), ("numbers", numbers), ("categories", categories)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_baseline(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("edges", "numbers", "categories"))

@@ -35,14 +35,14 @@ def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(ready)
 
 
-def candidates(task: str, n_features: int, n_classes: int = 2, seed: int = 42) -> dict:
-    """Estimators by name, with the two baselines."""
+def candidates(task: str, n_features: int, n_classes: int = 2, seed: int = 42, trees: int = 100, rounds: int = 100, hidden: tuple[int, ...] = (128, 64)) -> dict:
+    """Estimators by name, with the one-split baseline; ``trees`` are bagged, ``rounds`` boosted."""
     if task == "regression":
-        return {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=20, seed=seed), "GradientBoosting": GBTRegressor(maxIter=10, maxDepth=4, seed=seed)}
-    boosted = GBTClassifier(maxIter=10, maxDepth=4, seed=seed)
+        return {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed), "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)}
+    boosted = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)
     return {
-        "OneSplit": DecisionTreeClassifier(maxDepth=1), "LogisticRegression": LogisticRegression(), "RandomForest": RandomForestClassifier(numTrees=20, seed=seed),
-        "GradientBoosting": boosted if task == "binary" else OneVsRest(classifier=boosted), "NeuralNet": MultilayerPerceptronClassifier(layers=[n_features, 32, 16, n_classes], maxIter=30, seed=seed),
+        "OneSplit": DecisionTreeClassifier(maxDepth=1), "LogisticRegression": LogisticRegression(), "RandomForest": RandomForestClassifier(numTrees=trees, seed=seed),
+        "GradientBoosting": boosted if task == "binary" else OneVsRest(classifier=boosted), "NeuralNet": MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=30, seed=seed),
     }
 
 
@@ -56,26 +56,25 @@ def evaluate(predicted: DataFrame, task: str) -> dict[str, float]:
 
 
 def cross_validate(data: DataFrame, estimator, task: str, k: int) -> tuple[dict[str, float], float]:
-    """Mean fold metrics and the training score of the first fold; ``data`` has a fold column."""
-    scores, train_score = [], 0.0
+    """Mean fold metrics and the mean training score; ``data`` has a fold column."""
+    scores, trained = [], []
     for fold in range(k):
         train = data.where(F.col("fold") != fold)
         model = estimator.fit(train)
         scores.append(evaluate(model.transform(data.where(F.col("fold") == fold)), task))
-        if fold == 0:
-            train_score = next(iter(evaluate(model.transform(train), task).values()))
-    return {m: sum(s[m] for s in scores) / k for m in scores[0]}, train_score
+        trained.append(next(iter(evaluate(model.transform(train), task).values())))
+    return {m: sum(s[m] for s in scores) / k for m in scores[0]}, sum(trained) / k
 
 
-def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: int = 3, fold: str = "fold", names: list[str] | None = None) -> DataFrame:
+def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: int = 3, fold: str = "fold", names: list[str] | None = None, **sizes) -> DataFrame:
     """One row for each model: score, all metrics, overfit gap, time and rank; failures keep a row.
 
-    ``df`` has a column of fold numbers, the same for all models.
+    ``df`` has a column of fold numbers, the same for all models; ``sizes`` go to ``candidates``.
     """
     data = assemble(df, features, target).withColumn("fold", F.col(fold)).cache()
     n_classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0]) + 1
     rows = [("GlobalStat", *_global(data, task, k), 0.0, 0.0, None)]
-    for name, estimator in candidates(task, len(features), n_classes).items():
+    for name, estimator in candidates(task, len(features), n_classes, **sizes).items():
         if names and name not in names and name not in BASELINES:
             continue
         began = time.time()
@@ -89,11 +88,31 @@ def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: i
     out = df.sparkSession.createDataFrame(rows, "model string, score double, metrics map<string,double>, overfit_gap double, seconds double, error string")
     gap = F.col("overfit_gap")
     out = out.withColumns({"is_baseline": F.col("model").isin(*BASELINES), "overfit": F.when(gap > 0.15, "High").when(gap > 0.08, "Moderate").otherwise("Low")})
-    base = F.max(F.when(F.col("model") == "GlobalStat", F.col("score"))).over(Window.partitionBy())
-    out = out.withColumn("lift_pct", F.when(base != 0, 100 * (F.col("score") - base) / F.abs(base)))
+    for column, model in (("lift_pct", "GlobalStat"), ("lift_segment_pct", "OneSplit")):
+        base = F.max(F.when(F.col("model") == model, F.col("score"))).over(Window.partitionBy())  # over a row for each model
+        out = out.withColumn(column, F.when(base != 0, 100 * (F.col("score") - base) / F.abs(base)))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "model")))
 
 
+def leaderboard_labels(board: DataFrame, best: str) -> DataFrame:
+    """``board`` (model, rank, is_baseline) with each model's role, family and complexity."""
+    m = F.col("model")
+    role = F.when(m == best, "champion").when(m == "GlobalStat", "baseline: overall statistic").when(m == "OneSplit", "baseline: segment rule").when(F.col("rank") <= 2, "runner-up").otherwise("alternative")
+    family = F.when(m.isin(*BASELINES), "heuristic baseline").when(m.contains("Boosting"), "boosted trees").when(m.contains("Net"), "neural network").when(m.contains("Forest"), "bagged trees").when(m.rlike("Logistic|Ridge|Elastic"), "linear").otherwise("machine learning")
+    cost = F.when(m == "GlobalStat", "minimal").when((m == "OneSplit") | m.rlike("Logistic|Ridge"), "low").when(m.contains("Net"), "high").otherwise("medium")
+    return board.withColumns({"role": role, "family": family, "complexity": cost})
+
+
+def legacy_comparison(board: DataFrame, best: str, legacy: str | None = None) -> DataFrame:
+    """The champion against a named model, else against the best-ranked baseline, else against the runner-up: scores and lift."""
+    named = F.lower("model").contains((legacy or "").lower()) if legacy else F.lit(False)
+    order = F.struct(F.when(named, 0).when(F.col("is_baseline"), 1).when(F.col("rank") == 2, 2).otherwise(3), "rank")
+    old = board.where(F.col("model") != best).agg(F.min_by(F.struct("model", "score"), order).alias("o"))
+    new = board.where(F.col("model") == best).select(F.col("model").alias("champion"), F.col("score").alias("champion_score"))
+    lift = 100 * (F.col("champion_score") - F.col("o.score")) / F.greatest(F.abs("o.score"), F.lit(1e-6))
+    return new.join(old, how="cross").select(F.col("o.model").alias("legacy"), "champion", F.round("o.score", 4).alias("legacy_score"), F.round("champion_score", 4).alias("champion_score"), F.round(lift, 2).alias("lift_pct"))  # one row each
+
+
 def _global(data: DataFrame, task: str, k: int) -> tuple[float, dict[str, float]]:
     """The constant model: majority class or mean of the other folds."""
     totals = []
@@ -109,11 +128,11 @@ def champion(board: DataFrame) -> str:
     return board.where("not is_baseline and score is not null").orderBy("rank").first().model
 
 
-def refit(df: DataFrame, features: list[str], target: str, task: str, name: str) -> Model:
+def refit(df: DataFrame, features: list[str], target: str, task: str, name: str, **sizes) -> Model:
     """A named model on all rows."""
     data = assemble(df, features, target)
     n_classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0]) + 1
-    return candidates(task, len(features), n_classes)[name].fit(data)
+    return candidates(task, len(features), n_classes, **sizes)[name].fit(data)
 
 
 def importances(model: Model, features: list[str], spark) -> DataFrame:

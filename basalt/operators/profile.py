@@ -66,7 +66,19 @@ def health_score(view: DataFrame, n_pii: int) -> DataFrame:
 
 def health_grade(scores: DataFrame, score: str = "health_score") -> DataFrame:
     s = F.col(score)
-    return scores.withColumn("grade", F.when(s >= 90, "A").when(s >= 75, "B").when(s >= 60, "C").otherwise("D"))
+    return scores.withColumn("grade", F.when(s >= 85, "A").when(s >= 70, "B").otherwise("C"))
+
+
+def skew_grade(skew: Column) -> Column:
+    return F.when(F.abs(skew) <= 0.5, "symmetric").when(F.abs(skew) <= 1.5, "mildly skewed").otherwise("strongly skewed")
+
+
+def ks_grade(p: Column) -> Column:
+    return F.when(p >= 0.05, "preserved").when(p >= 0.01, "slightly shifted").otherwise("distorted")
+
+
+def overfit_grade(gap: Column) -> Column:
+    return F.when(gap <= 0.05, "best").when(gap <= 0.12, "adequate").otherwise("overfitted")
 
 
 def column_profile(df: DataFrame) -> DataFrame:

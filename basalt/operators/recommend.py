@@ -67,6 +67,14 @@ def recency_filter(df: DataFrame, year: str, reference: int, years: int) -> Data
     return df.join(kept, how="cross").where((F.col(year) >= reference - years) | (F.col("__n") == 0)).drop("__n")
 
 
+def recency_report(df: DataFrame, year: str, reference: int, years: int) -> DataFrame:
+    """Rows that the recency filter removes, and their share."""
+    old = F.count_if(~F.coalesce(F.col(year) >= reference - years, F.lit(False)))
+    row = df.agg(F.count("*").alias("n_rows"), old.alias("old"))
+    removed = F.when(F.col("old") < F.col("n_rows"), F.col("old")).otherwise(0)  # all rows stay where none is recent
+    return row.select("n_rows", removed.alias("removed"), F.round(100 * removed / F.greatest("n_rows", F.lit(1)), 2).alias("removed_pct"))
+
+
 # -- neighbours -------------------------------------------------------------------------
 
 
@@ -115,6 +123,13 @@ def neighbour_items(neighbours: DataFrame, items: DataFrame, history: DataFrame,
     return fresh.withColumn("place", _place(["user"], F.desc("holders"), "item")).where(F.col("place") <= k)
 
 
+def shared_items(neighbours: DataFrame, items: DataFrame, history: DataFrame) -> DataFrame:
+    """(user, id, shared): the items that a user and each of its neighbours both hold."""
+    own = history.select("user", "item").distinct()
+    both = neighbours.select("user", "id").distinct().join(items.select("id", "item").distinct(), "id").join(own, ["user", "item"])
+    return both.groupBy("user", "id").agg(F.sort_array(F.collect_set("item")).alias("shared"))
+
+
 def shared_key_items(asking: DataFrame, holding: DataFrame, items: DataFrame, history: DataFrame, k: int = 2) -> DataFrame:
     """(user, key), (id, key) and (id, item) -> the k items that most others who share a key with a user hold and the user does not.
 
@@ -186,6 +201,13 @@ def credit_simulation(taken: DataFrame, planned: DataFrame, types: DataFrame, re
     return got.join(required, "type").select("user", "type", "completed", "planned", projected.alias("projected"), F.round(F.least(F.lit(100.0), 100 * projected / F.col("needed")), 2).alias("pct"), (projected >= F.col("needed")).alias("is_safe"))
 
 
+def remaining_mandatory(taken: DataFrame, planned: DataFrame, mandatory: DataFrame) -> DataFrame:
+    """(user, item) of the mandatory items that a user has neither taken nor planned; there are few mandatory items."""
+    users = taken.select("user").unionByName(planned.select("user")).distinct()
+    held = taken.select("user", "item").unionByName(planned.select("user", "item"))
+    return users.join(F.broadcast(mandatory.select("item").distinct()), how="cross").join(held, ["user", "item"], "left_anti")
+
+
 def guardrails(df: DataFrame, domain: str) -> DataFrame:
     """``allowed`` and ``reason`` (the first rule that is broken) of candidate rows.
 
@@ -220,47 +242,100 @@ def care_prescription(df: DataFrame, risk: str, factors: str) -> DataFrame:
 
 # -- rule parsing -----------------------------------------------------------------------
 
-# Header names of curriculum tables and how course types are written.
-ALIASES = {"course": ("course", "course_name", "subject", "name"), "type": ("type", "category", "course_type"), "credits": ("credits", "credit", "units"), "prerequisites": ("prerequisites", "prerequisite", "prereq", "requires")}
-TYPES = {"mandatory": ("mandatory", "required", "core"), "elective": ("elective", "optional")}
+# Header names of curriculum tables, in the order in which they are looked for.
+ALIASES = {
+    "course": ("과목명", "교과목명", "교과목", "과목", "교과목_명", "과목_명", "course_name", "course", "subject", "target_course", "course_title"),
+    "prerequisites": ("선수과목", "선수과목명", "선수교과목", "선수과목들", "선수과목(콤마구분)", "선수_과목", "선수_교과목", "선수이수과목", "prerequisite", "prerequisites", "prereq", "prereqs", "prerequisite_courses"),
+    "type": ("이수구분", "구분", "과목구분", "이수체계", "교과구분", "이수_구분", "course_type", "type", "classification", "category"),
+    "credits": ("학점", "이수학점", "학점수", "단위수", "credit", "credits", "point"),
+}
+# Course types and their short forms.
+TYPES = {"전공필수": "전필", "전필": "전필", "전공선택": "전선", "전선": "전선", "전공기초": "전기", "전공심화": "전심", "교양필수": "교필", "교필": "교필", "교양선택": "교선", "교선": "교선", "일반선택": "일선", "일선": "일선"}
+#: More header names and English course types, which the library adds.
+MORE_ALIASES = {"credits": ("units",), "prerequisites": ("requires",), "course": ("name",)}
+ENGLISH_TYPES = {"mandatory": ("mandatory", "required", "core"), "elective": ("elective", "optional")}
+#: A course's name in a sentence.
+NAME = "[가-힣A-Za-z0-9_]+"
+# How sentences state prerequisites and course types.
+NEEDS_LIST = rf"({NAME})\s*(?:의|은|는)?\s*선수\s*(?:과목|교과목)?\s*(?:은|는|:)\s*([가-힣A-Za-z0-9_,\s]+)"
+NEEDS_ONE = rf"({NAME})\s*(?:과목|교과목)?\s*(?:을|를|은|는)?\s*(?:수강하려면|이수하려면|들으려면|수강하기\s*위해|이수하기\s*위해|듣기\s*위해)[^.\n]*?({NAME})\s*(?:과목|교과목)?\s*(?:을|를)?\s*(?:선수|필수|먼저|선이수)\s*(?:이수|수강|들어야)"
+TYPE_LIST = r"(전공필수|전필|전공선택|전선|교양필수|교필)\s*(?:과목|교과목)?\s*(?:은|는|:)\s*([가-힣A-Za-z0-9_,\s]+)"
+# The credits that a line or a table row asks for, and their names in results.
+CREDITS = {"total": ("총학점", r"(?:총\s*(?:이수)?학점|졸업학점|전체학점)\s*[:=\s]*(\d+)"), "mandatory": ("전필", r"(?:전공필수|전필)\s*[:=\s]*(\d+)"), "elective": ("전선", r"(?:전공선택|전선)\s*[:=\s]*(\d+)"), "general": ("교양", r"(?:교양|교양학점)\s*[:=\s]*(\d+)")}
+#: Words that are no course.
+FILLERS = ("반드시", "과목", "교과목", "필수", "선수")
+NO_NEEDS = ("nan", "none", "-", "없음", "")
 
 
 def normal_type(c: Column) -> Column:
-    low, out = F.lower(F.trim(c)), F.lit("other")
-    for name, words in TYPES.items():
-        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
-    return out
+    """The short form of a course type; English types as mandatory or elective; others as they are."""
+    own = F.trim(c)
+    out = own
+    for name, words in ENGLISH_TYPES.items():
+        out = F.when(F.lower(own).rlike("|".join(words)), name).otherwise(out)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), own), out)
+
+
+def clean_course(token: Column) -> Column:
+    """A course's name without the word for course, a particle, or the word for must."""
+    t = F.trim(F.regexp_replace(F.trim(token), "(?:과목|교과목)$", ""))
+    t = F.trim(F.regexp_replace(t, "(?:을|를|은|는|이|가|의)$", ""))
+    return F.trim(F.regexp_replace(t, r"^(?:반드시|필수|선수)\s*", ""))
 
 
 def curriculum_rules(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(course, type, credits) and (item, needs) from a curriculum table of any header spelling."""
-    named = {role: next((c for c in df.columns if c.lower().strip() in names), None) for role, names in ALIASES.items()}
+    """(course, type, credits) and (item, needs) from a curriculum table, Korean or English, of any header spelling."""
+    named = {role: next((c for a in (*names, *MORE_ALIASES.get(role, ())) for c in df.columns if a in c.strip().lower()), None) for role, names in ALIASES.items()}
     text = lambda role: F.col(f"`{named[role]}`").cast("string") if named[role] else F.lit(None).cast("string")
-    rows = df.select(F.trim(text("course")).alias("course"), normal_type(text("type")).alias("type"), F.regexp_extract(text("credits"), r"(\d+)", 1).try_cast("int").alias("credits"), text("prerequisites").alias("p")).where("course <> ''")
-    needs = rows.select(F.col("course").alias("item"), F.explode(F.transform(F.split("p", r"[,;/+\n]"), lambda x: F.trim(x))).alias("needs")).where("needs <> '' and lower(needs) not in ('none', '-')")
+    credits = F.trim(F.regexp_replace(text("credits"), "학점|credits?|units?", "")).try_cast("double").cast("int")
+    rows = df.select(F.trim(text("course")).alias("course"), normal_type(text("type")).alias("type"), credits.alias("credits"), F.trim(text("prerequisites")).alias("p")).where("lower(course) not in ('', 'nan', 'none')")
+    given = rows.where(~F.lower("p").isin(*NO_NEEDS))
+    needs = given.select(F.col("course").alias("item"), F.explode(F.transform(F.split("p", r"[,;/+\n\r]+"), lambda x: F.trim(x))).alias("needs")).where("needs <> ''").distinct()
     return rows.drop("p"), needs
 
 
 def text_rules(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rules in the lines of a corpus of documents: (key, line_no, kind, subject, value), first pattern wins."""
-    lines = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    patterns = [
+    """Rules in the lines of a corpus of documents, Korean or English: (key, line_no, kind, subject, value).
+
+    Of the patterns for prerequisites and types the first that a line has counts;
+    a line without one may state several credit requirements.
+    """
+    lines = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
+    lines = lines.select(key, "line_no", F.regexp_replace(F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")), r"^[-*•\d.]+\s*", "").alias("line")).where("line <> ''")
+    rule = lambda kind, subject, value: F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), value.alias("value"))
+    part = lambda pattern, i: F.regexp_extract("line", pattern, i)
+    names = lambda pattern: F.transform(F.split(F.trim(part(pattern, 2)), r"[,/및\s]+"), clean_course)
+    real = lambda x: (x != "") & ~x.isin(*FILLERS)
+    none = F.array().cast("array<struct<kind:string,subject:string,value:string>>")
+
+    owner = clean_course(part(NEEDS_LIST, 1))
+    listed = F.when(owner != "", F.transform(F.filter(names(NEEDS_LIST), real), lambda x: rule("prerequisite", owner, x))).otherwise(none)
+    wants, needed = clean_course(part(NEEDS_ONE, 1)), clean_course(part(NEEDS_ONE, 2))
+    single = F.when((wants != "") & real(needed), F.array(rule("prerequisite", wants, needed))).otherwise(none)
+    typed = F.transform(F.filter(names(TYPE_LIST), lambda x: (F.length(x) >= 2) & ~x.rlike(r"^\d+$")), lambda x: rule("type", x, normal_type(part(TYPE_LIST, 1))))
+    credits = F.filter(F.array(*[F.when(F.col("line").rlike(p), rule("credits", F.lit(name), part(p, 1))) for name, p in CREDITS.values()]), lambda x: x.isNotNull())
+    out = credits
+    english = [
         ("prerequisite", r"(?i)^\s*(.+?)\s+requires\s+(.+?)\s*\.?\s*$"),
         ("prerequisite", r"(?i)^\s*prerequisites? (?:for|of)\s+(.+?)\s*:\s*(.+?)\s*\.?\s*$"),
         ("type", r"(?i)^\s*(.+?)\s+is\s+(?:an?\s+)?(mandatory|required|core|elective|optional)\b.*$"),
         ("credits", r"(?i)^.*?\b(total|mandatory|elective)\s+credits?\D*(\d+).*$"),
     ]
-    hit = F.lit(None).cast("struct<kind:string,subject:string,value:string>")
-    for kind, p in reversed(patterns):
-        hit = F.when(F.col("line").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", p, 1).alias("subject"), F.regexp_extract("line", p, 2).alias("value"))).otherwise(hit)
-    return lines.select(key, "line_no", hit.alias("r")).where("r is not null").select(key, "line_no", "r.*")
-
-
-def requirement_cells(docs: DataFrame, key: str, cells: list[str]) -> DataFrame:
-    """Credit requirements found anywhere in a row's cells; of several in a document the last counts."""
-    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in cells])
-    out = docs.select(F.col(key), F.posexplode(F.split(line, "\n")).alias("line_no", "line")).select(key, "line_no", *[F.regexp_extract("line", rf"(?i){n}\D*(\d+)", 1).try_cast("int").alias(n) for n in ("total", "mandatory", "elective", "semester")])
-    return out.groupBy(key).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in ("total", "mandatory", "elective", "semester")])
+    for kind, p in reversed(english):
+        out = F.when(F.col("line").rlike(p), F.array(rule(kind, part(p, 1), part(p, 2)))).otherwise(out)
+    for pattern, found in ((TYPE_LIST, typed), (NEEDS_ONE, single), (NEEDS_LIST, listed)):
+        out = F.when(F.col("line").rlike(pattern), found).otherwise(out)
+    return lines.select(key, "line_no", F.explode(out).alias("r")).select(key, "line_no", "r.*")
+
+
+def requirement_cells(docs: DataFrame, key: str, cells: list[str], order: str | None = None) -> DataFrame:
+    """Credit requirements found anywhere in a row's cells, Korean or English; of several of a key the last counts (by ``order`` and line)."""
+    line = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in cells])
+    number = lambda name, p: F.coalesce(F.nullif(F.regexp_extract("line", p, 1), F.lit("")), F.regexp_extract("line", rf"(?i){name}\D*(\d+)", 1)).try_cast("int")
+    patterns = {name: p for name, (_, p) in CREDITS.items()} | {"total": r"(?:총학점|졸업학점|총이수학점|전체학점)\s*[:=\s]*(\d+)", "semester": r"학기당\s*[:=\s]*(\d+)"}
+    rows = docs.select(F.col(key), (F.col(order) if order else F.lit(0)).alias("row_no"), F.posexplode(F.split(line, "\n")).alias("line_no", "line"))
+    found = rows.select(key, "row_no", "line_no", *[number(n, p).alias(n) for n, p in patterns.items()])
+    return found.groupBy(key).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct("row_no", "line_no"))).alias(n) for n in patterns])
 
 
 def json_rules(docs: DataFrame, key: str, column: str) -> DataFrame:

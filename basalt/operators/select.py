@@ -116,21 +116,21 @@ def elbow(curve: DataFrame, at_least: int = 3, retention: float = 0.97, gain: fl
     return step.withColumn("is_elbow", F.col("k") == F.coalesce(first, F.max("k").over(Window.partitionBy())))
 
 
-def pareto_curve(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, model: str = "RandomForest") -> DataFrame:
+def pareto_curve(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, model: str = "RandomForest", **sizes) -> DataFrame:
     """Cross-validated score of the first 1, 2, ... features; ``df`` has a fold column."""
     rows = []
     for size in range(1, len(ranked) + 1):
         data = assemble(df, ranked[:size], target)
-        metrics, _ = cross_validate(data, candidates(task, size)[model], task, k)
+        metrics, _ = cross_validate(data, candidates(task, size, **sizes)[model], task, k)
         rows.append((size, float(next(iter(metrics.values())))))
     return elbow(df.sparkSession.createDataFrame(rows, "k int, score double"))
 
 
-def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, tolerance: float = 0.0, model: str = "RandomForest") -> DataFrame:
+def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, tolerance: float = 0.0, model: str = "RandomForest", **sizes) -> DataFrame:
     """Add features one by one; one that lowers the best score by more than the tolerance is left out."""
     rows, kept, best = [], [], float("-inf")
     for f in ranked:
-        metrics, _ = cross_validate(assemble(df, [*kept, f], target), candidates(task, len(kept) + 1)[model], task, k)
+        metrics, _ = cross_validate(assemble(df, [*kept, f], target), candidates(task, len(kept) + 1, **sizes)[model], task, k)
         score = float(next(iter(metrics.values())))
         keep = score >= best - tolerance
         rows.append((len(rows) + 1, f, score, keep))
@@ -141,19 +141,65 @@ def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str,
     return out.withColumns({"lift": F.col("score") - F.lag("score").over(w), "total_lift": F.col("score") - F.first("score").over(w)})
 
 
-def segment_importance(df: DataFrame, features: list[str], target: str, segment: str, least: int = 15) -> DataFrame:
+def segment_importance(df: DataFrame, features: list[str], target: str, segment: str, least: int = 15, **sizes) -> DataFrame:
     """Importances in every segment (segments are few), with their spread; too small ones use all rows."""
     from .models import importances, refit
 
-    every = importances(refit(df, features, target, "binary", "RandomForest"), features, df.sparkSession)
+    every = importances(refit(df, features, target, "binary", "RandomForest", **sizes), features, df.sparkSession)
     out = every.withColumn("segment", F.lit("ALL"))
     for row in df.groupBy(segment).agg(F.count("*").alias("n"), F.countDistinct(target).alias("c")).orderBy(segment).collect():
-        own = every if row.n < least or row.c < 2 else importances(refit(df.where(F.col(segment).eqNullSafe(row[0])), features, target, "binary", "RandomForest"), features, df.sparkSession)
+        own = every if row.n < least or row.c < 2 else importances(refit(df.where(F.col(segment).eqNullSafe(row[0])), features, target, "binary", "RandomForest", **sizes), features, df.sparkSession)
         out = out.unionByName(own.withColumn("segment", F.lit(str(row[0]))))
     w = Window.partitionBy("feature")
     return out.withColumns({"divergence": F.max("importance").over(w) - F.min("importance").over(w), "top_segment": F.max_by("segment", F.struct("importance", "segment")).over(w)})
 
 
+def screen_features(df: DataFrame, features: list[str], target: str, task: str, above: int = 50, keep: int = 30, **sizes) -> list[str]:
+    """All features if there are at most ``above``; else the ``keep`` most important ones of a first fit."""
+    if len(features) <= above:
+        return features
+    from .models import importances, refit
+
+    first = importances(refit(df, features, target, task, "RandomForest", **sizes), features, df.sparkSession)
+    chosen = {r.feature for r in first.orderBy(F.desc("importance"), "feature").limit(keep).collect()}
+    return [f for f in features if f in chosen]
+
+
+def scout(df: DataFrame, features: list[str], target: str, task: str, k: int = 3, **sizes) -> DataFrame:
+    """Boosted trees (bagged ones for several classes) on the screened features: each one's importance and the cross-validated score."""
+    from .models import importances, refit
+
+    own = screen_features(df, features, target, task, **sizes)
+    name = "RandomForest" if task == "multiclass" else "GradientBoosting"
+    n_classes = 0 if task == "regression" else int(df.agg(F.max(target)).first()[0]) + 1
+    metrics, _ = cross_validate(assemble(df, own, target), candidates(task, len(own), n_classes, **sizes)[name], task, k)
+    score = metrics.get("auc", next(iter(metrics.values())))
+    made = importances(refit(df, own, target, task, name, **sizes), own, df.sparkSession)
+    return made.withColumns({"score": F.lit(float(score)), "rank": F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))})  # a row for each feature
+
+
+def feature_ab(df: DataFrame, base: list[str], engineered: list[str], target: str, task: str, k: int = 5, model: str = "GradientBoosting", **sizes) -> DataFrame:
+    """Two feature sets on the same folds: fold scores, lift, paired t-test and folds won by the engineered set."""
+    from .models import evaluate
+    from .stats import t_p
+
+    scores: list[list[float]] = []
+    for features in (base, engineered):
+        data, own = assemble(df, features, target), []
+        for fold in range(k):
+            fitted = candidates(task, len(features), **sizes)[model].fit(data.where(F.col("fold") != fold))
+            own.append(float(next(iter(evaluate(fitted.transform(data.where(F.col("fold") == fold)), task).values()))))
+        scores.append(own)
+    a, b = (sum(s) / k for s in scores)
+    gaps = [y - x for x, y in zip(*scores, strict=True)]
+    mean = sum(gaps) / k
+    spread = (sum((g - mean) ** 2 for g in gaps) / (k - 1)) ** 0.5
+    p = 1.0 if not spread else t_p(mean / (spread / k**0.5), k - 1)
+    lift = round(100 * (b - a) / max(abs(a), 1e-4), 2)
+    row = (*scores, a, b, lift, p, p < 0.05 and lift > 0, sum(g > 0 for g in gaps))
+    return df.sparkSession.createDataFrame([row], "base_scores array<double>, engineered_scores array<double>, base_mean double, engineered_mean double, lift_pct double, p_value double, is_significant boolean, folds_won int")
+
+
 def segment_insights(segments: DataFrame, lift: float = 0.2, k: int = 2) -> DataFrame:
     """The strongest features of each segment that stand out against all rows."""
     base = segments.where("segment = 'ALL'").select("feature", F.col("importance").alias("base"))

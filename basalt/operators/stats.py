@@ -11,8 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ..functions.ordered import running_sums
+from ..functions.ordered import exact_quantiles, running_sums
 
 
 def every():
@@ -97,6 +98,15 @@ def threshold_sweep(df: DataFrame, y: str, score: str, fn_cost: float = 10.0) ->
     return picked.select(F.explode(F.array(*[F.struct(F.lit(n).alias("goal"), F.col(n).alias("r")) for n in names])).alias("x")).select("x.goal", "x.r.*")
 
 
+def threshold_curve(df: DataFrame, y: str, score: str, fn_cost: float = 10.0, points: int = 20) -> DataFrame:
+    """Precision, recall and cost at so many thresholds spread over the grid of the sweep."""
+    t = threshold_counts(df, y, score, 0.01, 0.01, 99)
+    step = max(1, 99 // points)
+    div = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
+    at = F.round((F.col("threshold") - 0.01) * 100).cast("int")
+    return t.where((at % step == 0) & (at < step * points)).select("threshold", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), (fn_cost * F.col("fn") + F.col("fp")).alias("cost"))
+
+
 def regression_metrics(df: DataFrame, y: str, predicted: str) -> DataFrame:
     e = F.col(y) - F.col(predicted)
     return df.agg(F.round(1 - F.sum(e * e) / (F.var_pop(y) * F.count(y)), 4).alias("r2"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
@@ -122,6 +132,18 @@ def cf_threshold(df: DataFrame, y: str, score: str, points: int = 10) -> DataFra
     return m.select("i", F.round("cut", 4).alias("cut"), F.round((pos * f1("tp", "fp", "fn") + neg * f1("tn", "fn", "fp")) / (pos + neg), 4).alias("weighted_f1"))
 
 
+def slice_bands(df: DataFrame, column: str) -> Column:
+    """Bands of a column: ages up to 29, to 49 and above; thirds of other numbers; the three most frequent values of a text (null else)."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, NumericType):
+        if "age" in column.lower():
+            return F.when(c <= 29, "up to 29").when(c <= 49, "30 to 49").when(c.isNotNull(), "50 and above")
+        low, high = exact_quantiles(df, [column], [0.33, 0.66])[column]
+        return F.when(c <= low, "low").when(c <= high, "middle").when(c.isNotNull(), "high")
+    top = df.where(c.isNotNull()).groupBy(c.alias("v")).count().orderBy(F.desc("count"), "v").limit(3).collect()
+    return F.when(c.isin([r.v for r in top]), c)
+
+
 def slice_metrics(df: DataFrame, slices: Column, y: str, champion: str, baseline: str, least: int = 5) -> DataFrame:
     """Accuracy of two predictions in every slice of at least so many rows."""
     acc = lambda c: F.avg((F.col(c) == F.col(y)).cast("double"))
@@ -165,14 +187,14 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 1000, le
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
-    """Signed-rank statistics of a - b: pairs, W+, z (normal approximation with ties) and effect size."""
+    """Signed-rank statistics of a - b: pairs, W+, z (normal approximation with ties), effect size, and whether there are five pairs at least."""
     d = F.round(F.col(a) - F.col(b), digits)
     counted = df.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("s")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
     rank = F.col("t_before") + (F.col("t") + 1) / 2
     sums = running_sums(counted, "s", ["t"]).select("t", (rank * F.col("up")).alias("r")).agg(F.sum("t").alias("n"), F.sum("r").alias("w_plus"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.select("n", F.round("w_plus", 1).alias("w_plus"), F.round(z, 4).alias("z"), F.round(z / F.sqrt(n), 4).alias("effect"))
+    return sums.select("n", F.round("w_plus", 1).alias("w_plus"), F.round(z, 4).alias("z"), F.round(z / F.sqrt(n), 4).alias("effect"), (F.col("n") >= 5).alias("is_sufficient"))
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -42,6 +42,21 @@ def group_deviation(df: DataFrame, train: DataFrame, group: str, columns: list[s
     return joined.withColumns(made).drop("__g", *[f"{c}__{s}" for c in columns for s in ("mean", "all", "base")])
 
 
+def group_columns(df: DataFrame, columns: list[str], least: int = 2, most: int = 15) -> list[str]:
+    """The categorical columns of 2 to 15 values, which group deviations are taken in."""
+    row = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first()
+    return [c for c in columns if least <= row[c] <= most]
+
+
+def synthesis_audit(df: DataFrame, numbers: list[str], categories: list[str], selected: list[str], least_skew: float = 1.5) -> DataFrame:
+    """Every candidate feature with its type, formula and whether it was selected."""
+    row = df.agg(*[F.min(c).alias(f"{c}__m") for c in numbers], *[F.skewness(c).alias(c) for c in numbers]).first()
+    rows = [(f"log1p_{c}", "log transform", f"log1p({c})") for c in numbers if row[c] is not None and row[f"{c}__m"] >= 0 and abs(row[c]) > least_skew]
+    rows += [(f"{a}_per_{b}", "ratio", f"{a} / {b}") for i, a in enumerate(numbers[:5]) for b in numbers[i + 1 : 5]]
+    rows += [(f"{c}_dev_from_{g}_avg", "group deviation", f"{c} - mean({c} by {g})") for g in group_columns(df, categories) for c in numbers[:3]]
+    return df.sparkSession.createDataFrame([(*r, r[0] in selected) for r in rows], "feature string, type string, formula string, selected boolean")
+
+
 def mi_scores(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each column, in quantile bins, with a discrete target."""
     cuts = exact_quantiles(df, columns, [i / bins for i in range(1, bins)])

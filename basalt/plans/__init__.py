@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, drifting, modelling, profiling, recommending, statistics
+from . import cleaning, deriving, drifting, modelling, profiling, recommending, statistics
 from .registry import QUERIES, SQL
 
-_ = (cleaning, drifting, modelling, profiling, recommending, statistics)
+_ = (cleaning, deriving, drifting, modelling, profiling, recommending, statistics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ from .registry import query, read
 FEATURES = ["ord_count", "ord_o_totalprice_sum", "ord_o_totalprice_mean", "ord_o_totalprice_max", "c_nationkey"]
 
 
+#: Sizes that keep the registered fits short; the operators' defaults are 100 trees and rounds.
+SIZES = {"trees": 20, "rounds": 10, "hidden": (32, 16)}
+
+
 def customers(spark, d):
     """A mart of all customers with a binary target and stratified folds."""
     orders = child_agg(read(spark, d, "orders"), "o_custkey", "ord", ["o_totalprice"], [])
@@ -21,31 +25,31 @@ def customers(spark, d):
 
 def ranked(spark, d):
     df = customers(spark, d)
-    importance = models.importances(models.refit(df, FEATURES, "target", "binary", "RandomForest"), FEATURES, spark)
+    importance = models.importances(models.refit(df, FEATURES, "target", "binary", "RandomForest", **SIZES), FEATURES, spark)
     mi = synth.mi_scores(df, FEATURES, "target").withColumnRenamed("column_name", "feature")
     return df, select.consensus_rank(importance, mi)
 
 
 @query()
 def leaderboard(spark, d):
-    return models.leaderboard(customers(spark, d), FEATURES, "target", "binary")
+    return models.leaderboard(customers(spark, d), FEATURES, "target", "binary", **SIZES)
 
 
 @query()
 def regression_leaderboard(spark, d):
-    return models.leaderboard(customers(spark, d), FEATURES, "c_acctbal", "regression", names=["Ridge", "RandomForest"])
+    return models.leaderboard(customers(spark, d), FEATURES, "c_acctbal", "regression", names=["Ridge", "ElasticNet", "RandomForest"], **SIZES)
 
 
 @query()
 def batch_prediction(spark, d):
     df = customers(spark, d)
-    model = models.refit(df, FEATURES, "target", "binary", "GradientBoosting")
+    model = models.refit(df, FEATURES, "target", "binary", "GradientBoosting", **SIZES)
     return models.predict(model, df.select("c_custkey", *[F.col(f).cast("double").alias(f) for f in FEATURES]), FEATURES).select("c_custkey", "prediction", F.round("probability", 6).alias("probability"))
 
 
 def contributions(spark, d):
     df = customers(spark, d)
-    return df, select.attribute(models.refit(df, FEATURES, "target", "binary", "RandomForest"), df, FEATURES, "c_custkey")
+    return df, select.attribute(models.refit(df, FEATURES, "target", "binary", "RandomForest", **SIZES), df, FEATURES, "c_custkey")
 
 
 @query()
@@ -78,15 +82,26 @@ def consensus_selection(spark, d):
 @query()
 def pareto_curve(spark, d):
     df, ranks = ranked(spark, d)
-    return select.pareto_curve(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary")
+    return select.pareto_curve(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
 
 
 @query()
 def forward_selection(spark, d):
     df, ranks = ranked(spark, d)
-    return select.forward_selection(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary")
+    return select.forward_selection(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
 
 
 @query()
 def segment_importance(spark, d):
-    return select.segment_importance(customers(spark, d), FEATURES, "target", "c_mktsegment")
+    return select.segment_importance(customers(spark, d), FEATURES, "target", "c_mktsegment", **SIZES)
+
+
+@query()
+def feature_ab(spark, d):
+    df = customers(spark, d).withColumn("order_share", F.col("ord_o_totalprice_max") / (F.col("ord_o_totalprice_sum") + 1))
+    return select.feature_ab(df, FEATURES, [*FEATURES, "order_share"], "target", "binary", 3, **SIZES)
+
+
+@query()
+def scout(spark, d):
+    return select.scout(customers(spark, d), FEATURES, "target", "binary", **SIZES)

@@ -137,7 +137,7 @@ def health_score(spark, d):
     return profile.health_score(profile.overview(flag_rows(spark, d)), 2)
 
 
-@query(f"select health_score, case when health_score >= 90 then 'A' when health_score >= 75 then 'B' when health_score >= 60 then 'C' else 'D' end as grade from ({_HEALTH})")
+@query(f"select health_score, case when health_score >= 85 then 'A' when health_score >= 70 then 'B' else 'C' end as grade from ({_HEALTH})")
 def health_grade(spark, d):
     return profile.health_grade(profile.health_score(profile.overview(flag_rows(spark, d)), 2))
 

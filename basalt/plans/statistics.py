@@ -130,7 +130,7 @@ def pair(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_discount") * 500).alias("b"))
 
 
-@query(f"with d as (select round(a - b, 6) as d from ({_PAIR})), c as (select abs(d) as s, count(*) as t, count(*) filter (where d > 0) as up from d where d <> 0 group by 1), r as (select t, (coalesce(sum(t) over (order by s rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2::double) * up as r from c), x as (select sum(t)::bigint as n, sum(r) as w, sum(t::double * t * t - t) as ties from r) select n, round(w, 1) as w_plus, round((w - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48), 4) as z, round((w - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(n), 4) as effect from x")
+@query(f"with d as (select round(a - b, 6) as d from ({_PAIR})), c as (select abs(d) as s, count(*) as t, count(*) filter (where d > 0) as up from d where d <> 0 group by 1), r as (select t, (coalesce(sum(t) over (order by s rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2::double) * up as r from c), x as (select sum(t)::bigint as n, sum(r) as w, sum(t::double * t * t - t) as ties from r) select n, round(w, 1) as w_plus, round((w - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48), 4) as z, round((w - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(n), 4) as effect, n >= 5 as is_sufficient from x")
 def wilcoxon(spark, d):
     return stats.wilcoxon(pair(spark, d), "a", "b")
 

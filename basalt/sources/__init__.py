@@ -57,9 +57,16 @@ def read_source(spark: SparkSession, url: str, **options) -> DataFrame:
     return spark.table(url) if kind == "table" else spark.read.format(kind).options(**options).load(url)
 
 
+#: What makes a database session read-only, by the scheme of its url.
+READ_ONLY = {"postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY", "mysql": "SET SESSION TRANSACTION READ ONLY", "mariadb": "SET SESSION TRANSACTION READ ONLY", "sqlite": "PRAGMA query_only = ON"}
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
-    """A database table or read-only query; ``partition`` (column, low, high, parts) reads in parallel."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    """A database table or read-only query, over a read-only session where the database has one; ``partition`` (column, low, high, parts) reads in parallel."""
+    reader = spark.read.format("jdbc").option("url", url)
+    if statement := READ_ONLY.get(url.split(":")[1] if url.count(":") > 1 else ""):
+        reader = reader.option("sessionInitStatement", statement)
+    reader = reader.options(**options)
     if partition:
         column, low, high, parts = partition
         reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
@@ -69,9 +76,27 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
 def query_over_files(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """A read-only query over named DataFrames."""
     check_read_only(sql)
+    before = {name: spark.table(name) for name in tables if any(t.isTemporary for t in spark.catalog.listTables() if t.name == name.lower())}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    out = spark.sql(sql)  # resolved by now, so the views can go again
+    for name in tables:
+        spark.catalog.dropTempView(name)
+        if name in before:
+            before[name].createOrReplaceTempView(name)
+    return out
+
+
+def list_tables(spark: SparkSession, source: str | None = None, **options) -> DataFrame:
+    """(table_name) of a database, of a folder of files (their base names), or of the session's catalog."""
+    if source is None:
+        return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()], "table_name string")
+    if detect_kind(source) == "jdbc":
+        found = read_jdbc(spark, source, query="select table_name from information_schema.tables", **options)
+        return found.toDF("table_name")
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return spark.createDataFrame([(n.rsplit(".", 1)[0],) for n in names if n.rsplit(".", 1)[-1].lower() in FORMATS], "table_name string")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
