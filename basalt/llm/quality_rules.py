@@ -282,7 +282,7 @@ def score(dealt: DataFrame, priced: DataFrame, text: str, bucket: str, order: in
 # -- the operator -----------------------------------------------------------------------
 
 
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, width: float = 3.5, least_words: int = 10) -> DataFrame:
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = 5, width: float = 2.5, least_words: int = 10) -> DataFrame:
     """``docs`` without the text, with the counts, base_failed, log_perplexity and kept."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
     bucket, of_lang, mid, reach, typical = fresh(docs, "bucket", "lang", "mid", "reach", "words")

@@ -116,7 +116,7 @@ def test_perplexity_verdict(spark):
     for lang in langs:
         fine = [r for r in rows if r.lang == lang and not r.base_failed]
         q = [at([r.log_perplexity for r in fine], p) for p in (0.25, 0.5, 0.75)]
-        bands[lang] = (q[1], 3.5 * (q[2] - q[0]), at([r.n_words for r in fine], 0.5))
+        bands[lang] = (q[1], 2.5 * (q[2] - q[0]), at([r.n_words for r in fine], 0.5))
     for r in rows:
         mid, reach, size = bands[r.lang]
         inside = r.n_words and abs(r.log_perplexity - mid) <= reach * max(1, size / r.n_words) ** 0.5
