@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a query side that may be broadcast.
+MOST_BROADCAST = 1_000_000
+
+
 def _place(by: list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
@@ -103,8 +107,16 @@ def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
-    """The k most similar corpus documents of every query (ties by id), by an inverted index."""
-    hits = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a")).join(corpus.select("id", "token", F.col("weight").alias("b")), "token")
+    """The k most similar corpus documents of every query (ties by id), by an inverted index.
+
+    Query tokens are broadcast if there are at most ``MOST_BROADCAST``: common
+    words then need no task of their own, and as ``tfidf`` deals the corpus by
+    document, sums are complete without a shuffle.  More are joined by token.
+    """
+    asked = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a"))
+    if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        asked = F.broadcast(asked)
+    hits = asked.join(corpus.select("id", "token", F.col("weight").alias("b")), "token")
     sims = hits.groupBy("query", "id").agg(F.round(F.sum(F.col("a") * F.col("b")), digits).alias("sim"))
     return sims.withColumn("place", _place(["query"], F.desc("sim"), "id")).where(F.col("place") <= k)
 
