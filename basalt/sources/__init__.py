@@ -73,6 +73,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return reader.option("dbtable", f"({check_read_only(query)}) t" if query else table).load()
 
 
+def query_rows(spark: SparkSession, url: str, query: str, **options) -> int:
+    """Rows of a read-only database query, counted by the database."""
+    return read_jdbc(spark, url, query=f"select count(*) as n from ({check_read_only(query)}) q", **options).first()[0]
+
+
 def query_over_files(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """A read-only query over named DataFrames."""
     check_read_only(sql)
@@ -144,8 +149,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return content_digest(df).select(F.substring(F.md5(F.concat_ws("|", F.lit(schema), "n_rows", "xor_digest", "sum_digest")), 1, 16).alias("fingerprint"), "n_rows")
 
 
-def freeze(splits: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> DataFrame:
-    """Write each split and return the manifest: rows and a SHA-256 over the files' digests."""
+def freeze(splits: dict[str, DataFrame], folder: str, fmt: str = "parquet", seed: int | None = None, features: list[str] | None = None) -> DataFrame:
+    """Write each split and return the manifest: rows, share of all rows, a SHA-256 over the files' digests, seed and features."""
     spark = next(iter(splits.values())).sparkSession
     rows = []
     for name, df in splits.items():
@@ -153,7 +158,9 @@ def freeze(splits: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> D
         df.write.mode("errorifexists").option("header", True).format(fmt).save(path)
         back = spark.read.option("header", True).format(fmt).load(path)
         rows.append((name, path, back.count(), file_digest(spark, path)))
-    manifest = spark.createDataFrame(rows, "split string, path string, n_rows long, sha256 string")
+    total = sum(r[2] for r in rows) or 1
+    rows = [(*r, round(r[2] / total, 4), seed, features or sorted(set().union(*(df.columns for df in splits.values())))) for r in rows]
+    manifest = spark.createDataFrame(rows, "split string, path string, n_rows long, sha256 string, ratio double, seed long, features array<string>")
     manifest.write.json(f"{folder}/manifest")
     return manifest
 
@@ -184,6 +191,17 @@ class FeatureStore:
             make(df).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path), hit
 
+    def clear(self, older_than: float = 0.0) -> list[str]:
+        """Delete the tables that were written more than so many seconds ago; returns their names."""
+        import time
+
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s for s in (fs.listStatus(top) if fs.exists(top) else []) if time.time() - s.getModificationTime() / 1000 >= older_than]
+        for s in old:
+            fs.delete(s.getPath(), True)
+        return [s.getPath().getName() for s in old]
+
     def warm(self, df: DataFrame, tasks: dict) -> DataFrame:
         return self.spark.createDataFrame([(t, self.get(t, df, make)[1]) for t, make in tasks.items()], "task string, hit boolean")
 

@@ -167,3 +167,12 @@ def test_listing_and_views(spark, tmp_path):
     got = sources.query_over_files(spark, {"kept_view": spark.range(9)}, "select count(*) as n from kept_view")
     assert got.first().n == 9 and spark.table("kept_view").count() == 3
     spark.catalog.dropTempView("kept_view")
+
+
+def test_manifest_and_clearing(spark, tmp_path):
+    made = sources.freeze({"train": spark.range(8), "test": spark.range(2)}, f"{tmp_path}/frozen", seed=7, features=["id"]).collect()
+    assert {r.split: (r.n_rows, r.ratio, r.seed, r.features) for r in made} == {"train": (8, 0.8, 7, ["id"]), "test": (2, 0.2, 7, ["id"])}
+    assert all(r.intact for r in sources.verify_frozen(spark, f"{tmp_path}/frozen").collect())
+    store = sources.FeatureStore(spark, f"{tmp_path}/store")
+    assert not store.get("t", spark.range(3), lambda df: df)[1] and store.get("t", spark.range(3), lambda df: df)[1]
+    assert store.clear(3600) == [] and len(store.clear()) == 1 and not store.get("t", spark.range(3), lambda df: df)[1]
