@@ -50,7 +50,7 @@ TASK_POSTINGS, TASK_SET_BYTES = 100_000, 12 << 20
 #: Places in the prefix up to which an earlier common token is looked for before the sets are intersected.
 MOST_AHEAD = 16
 #: Candidate pairs that a task looks at together.
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 18
 
 
 # -- lines and their tokens -------------------------------------------------------------
@@ -383,7 +383,7 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
         for i, j in candidate_pairs(token[row], tile[row], piece[row], size[cls], at[row], [s[cls] for s in sketch], percent):
             first = ~shared_ahead(ahead, cls[i], at[row[i]], cls[j], at[row[j]])
             i, j = i[first], j[first]
-            for low in range(0, len(i), step := max(1, (4 << 20) // max(int(size.max()), 1))):
+            for low in range(0, len(i), step := max(1, (1 << 20) // max(int(size.max()), 1))):
                 x, y, spot_x = cls[i[low : low + step]], cls[j[low : low + step]], at[row[i[low : low + step]]]
                 pair_x, of_x = spread(bounds, x)
                 pair_y, of_y = spread(bounds, y)
