@@ -11,9 +11,9 @@ read back.
 
 Defined results: turns are ordered by turn (null first), then role and text, so
 ties and repeated rows have one order; null role or text counts as empty; a
-null conv_id is a conversation of its own; an empty table gives no rows; other
-columns are not read.  A conversation is one sequence for the model and is
-rendered in one task, as long as it is.
+row without a conv_id belongs to no conversation and is one of its own; an empty
+table gives no rows; other columns are not read.  A conversation is one sequence
+for the model and is rendered in one task, as long as it is.
 """
 
 from __future__ import annotations
@@ -104,7 +104,9 @@ def format_chats(conversations: DataFrame, tokenizer_path: str, loss_role: str =
     content = tokenizer_path if tokenizer_path.lstrip().startswith("{") else open(tokenizer_path, encoding="utf-8").read()  # noqa: SIM115
     shared = spark.sparkContext.broadcast(content)
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chats = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", alone.alias("alone"), turn.alias("t"))
+    chats = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
 
     def run(batches):
         from tokenizers import Tokenizer

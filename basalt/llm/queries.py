@@ -98,9 +98,9 @@ def queries() -> dict:
 # A conversation's texts in order; escapes add a character before each backslash and each "<".
 _OP5 = r"""
 with turns as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
-  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, null, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, null, 1, 'assistant', '\### Assistant: </turn> ok'),
 sized as (
   select *, length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '<', '')))
     + length(role) + 6 + 2 + 8 as size from turns)
@@ -109,7 +109,7 @@ select conv_id, count(*) as n_turns,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(size) as bigint) as formatted_chars
-from sized group by conv_id
+from sized group by conv_id, alone
 """
 
 _OP10 = r"""
