@@ -232,3 +232,7 @@ def t_p(t: float, df: int) -> float:
 
 def significance(p: float) -> str:
     return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "ns"
+
+
+def significance_label(p: Column) -> Column:
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")

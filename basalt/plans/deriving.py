@@ -271,3 +271,61 @@ def bool_flags(spark, d):
     df = read(spark, d, "customer").select("c_mktsegment", F.col("c_acctbal").isNull().alias("k"))
     fitted = clean.FeaturePipeline([], clean.Imputer(), clean.OneHot({}), clean.RobustScaler({}))
     return fitted.transform(df).groupBy("c_mktsegment", "k").agg(F.count("*").alias("n"))
+
+
+# -- attributions of a linear score over customers, whose contributions are known --
+
+_PARTS = {"c_acctbal": "(c_acctbal - 4500) / 1000", "c_custkey": "((c_custkey % 11) - 5) / 4::double", "c_nationkey": "(c_nationkey - 12) / 30::double"}
+_TOTAL = " + ".join(_PARTS.values())
+_MADE = "(" + union(f"select c_custkey as key, '{c}' as feature, {e} as contribution, {_TOTAL} as prediction, {c}::double as x from customer" for c, e in _PARTS.items()) + ")"
+
+
+def linear(spark, d):
+    df = read(spark, d, "customer").withColumn("key", F.col("c_custkey"))
+    parts = {"c_acctbal": (F.col("c_acctbal") - 4500) / 1000, "c_custkey": ((F.col("c_custkey") % 11) - 5) / 4.0, "c_nationkey": (F.col("c_nationkey") - 12) / 30.0}
+    total = parts["c_acctbal"] + parts["c_custkey"] + parts["c_nationkey"]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("contribution")) for n, c in parts.items()]))
+    return df, df.select("key", total.alias("prediction"), rows.alias("r")).select("key", "r.*", "prediction")
+
+
+@query(f"with g as (select feature, avg(abs(contribution)) as m from {_MADE} group by 1) select feature, round(m, 6) as mean_abs, round(100 * m / sum(m) over (), 4) as share_pct, row_number() over (order by m desc, feature)::int as rank, 100 * m / sum(m) over () < 1.5 as is_noise from g")
+def contribution_importance(spark, d):
+    return select.global_importance(linear(spark, d)[1]).select("feature", F.round("mean_abs", 6).alias("mean_abs"), F.round("share_pct", 4).alias("share_pct"), "rank", "is_noise")
+
+
+@query(f"with g as (select feature, corr(x, contribution) as r from {_MADE} group by 1) select feature, case when r > 0.05 then 'positive' when r < -0.05 then 'negative' else 'non-linear' end as direction from g")
+def contribution_direction(spark, d):
+    df, made = linear(spark, d)
+    return select.effect_direction(made, df.select("key", *_PARTS), "key", list(_PARTS)).select("feature", "direction")
+
+
+@query(f"with p as (select distinct key, prediction from {_MADE}), m as (select quantile_disc(prediction, 0.5) as mid from p), c as ((select 'highest' as \"case\", key from p order by prediction desc, key desc limit 1) union all (select 'median', key from p, m order by abs(prediction - mid), key limit 1) union all (select 'lowest', key from p order by prediction, key limit 1)) select * from (select \"case\", key, feature, round(contribution, 6) as contribution, row_number() over (partition by \"case\" order by abs(contribution) desc, feature)::int as place from {_MADE} join c using (key)) where place <= 2")
+def contribution_cases(spark, d):
+    return select.representative_cases(linear(spark, d)[1], "key", 2).select("case", "key", "feature", F.round("contribution", 6).alias("contribution"), "place")
+
+
+@query(f"with i as ({_RANKED}), m as (select feature, 1 - importance as mi from i), r as (select i.feature, row_number() over (order by importance desc, i.feature) as r1, row_number() over (order by mi desc, i.feature) as r2 from i join m using (feature)), s as (select feature, 0.65::double * r1 + 0.35::double * r2 as score from r) select feature, round(score, 6) as score, row_number() over (order by score, feature)::int as rank from s")
+def rank_consensus(spark, d):
+    own = ranked(spark, d)
+    made = select.consensus_rank(own.select("feature", "importance"), own.select("feature", (1 - F.col("importance")).alias("mi")))
+    return made.select("feature", F.round("score", 6).alias("score"), "rank")
+
+
+_SEGMENTS = union(f"select '{c}' as feature, l_returnflag as segment, round(avg({c}), 9) as importance from lineitem group by 2 union all select '{c}', 'ALL', round(avg({c}) * {k}, 9) from lineitem" for c, k in (("l_discount", 0.7), ("l_tax", 1.0), ("l_quantity", 0.0)))
+
+
+@query(f"with s as ({_SEGMENTS}), b as (select feature, importance as base from s where segment = 'ALL'), p as (select s.*, base, row_number() over (partition by segment order by importance desc, feature)::int as place from s join b using (feature) where segment <> 'ALL') select feature, segment, importance, base, place from p where place <= 2 and importance > 1.2 * base")
+def segment_insights(spark, d):
+    rows = None
+    for c, k in (("l_discount", 0.7), ("l_tax", 1.0), ("l_quantity", 0.0)):
+        df = read(spark, d, "lineitem")
+        own = df.groupBy(F.col("l_returnflag").alias("segment")).agg(F.round(F.avg(c), 9).alias("importance")).unionByName(df.agg(F.round(F.avg(c) * k, 9).alias("importance")).withColumn("segment", F.lit("ALL")))
+        own = own.withColumn("feature", F.lit(c))
+        rows = own if rows is None else rows.unionByName(own)
+    return select.segment_insights(rows).select("feature", "segment", "importance", "base", "place")
+
+
+@query("select c_nationkey, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end as label from (select c_nationkey, (c_nationkey + 1) / 250::double as p from customer group by 1)")
+def significance(spark, d):
+    p = (F.col("c_nationkey") + 1) / 250
+    return read(spark, d, "customer").select("c_nationkey").distinct().select("c_nationkey", stats.significance_label(p).alias("label"))
