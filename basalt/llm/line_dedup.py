@@ -45,8 +45,12 @@ from .common import LOWER, Block, Scratch, blocks, fresh, in_filter, key_filter,
 SLOT_BITS = 22
 #: Token counts travel as compressed pieces of the slot table.
 PIECES = 64
-#: Postings in a task of the first join, and bytes of sets in a task of the second.
-TASK_POSTINGS, TASK_SET_BYTES = 100_000, 12 << 20
+#: Postings in a bucket of the first join, and bytes of sets in a bucket of the second.
+BUCKET_POSTINGS, BUCKET_SET_BYTES = 100_000, 12 << 20
+#: Buckets go to at most so many tasks, which take them one after another.
+MOST_TASKS = 50_000
+#: Posting lists that may be split, as a power of two: a list is split beyond this share of all postings at the latest.
+MOST_SPLIT_BITS = 20
 #: Places in the prefix up to which an earlier common token is looked for before the sets are intersected.
 MOST_AHEAD = 16
 #: Candidate pairs that a task looks at together.
@@ -267,7 +271,7 @@ def posting_rows(classes: DataFrame, hot: dict[int, int], n_buckets: int) -> Dat
                 token, at, rest, ends = token[take], at[take], [x[take] for x in rest], [x[take] for x in ends]
             held.append([token, tile, piece, rest[0], rest[1], at, *ends])
             size += len(token)
-            if size >= 2 * TASK_POSTINGS:
+            if size >= 2 * BUCKET_POSTINGS:
                 yield deal()
                 held, size = [], 0
         if size:
@@ -285,25 +289,43 @@ def active_postings(postings: DataFrame, n_buckets: int, percent: int) -> DataFr
     """(number, token, tile, piece, at) of the postings with a candidate in their list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "tile", "piece", "number", "n", "at", "s1", "s2"]
-        held = [[batch.column(c).flatten().to_numpy() for c in names] for batch in batches]
-        if not held:
-            return
-        token, tile, piece, number, n, at, s1, s2 = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        active = np.zeros(len(token), bool)
-        for i, j in candidate_pairs(token, tile, piece, n, at, [s1.view(np.uint64), s2.view(np.uint64)], percent):
-            active[i] = active[j] = True
-        yield pa.RecordBatch.from_arrays([pa.array(x[active]) for x in (number, token, tile, piece, at)], names=["number", "token", "tile", "piece", "at"])
+        for table in whole_buckets(batches):
+            token, tile, piece, number, n, at, s1, s2 = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("token", "tile", "piece", "number", "n", "at", "s1", "s2"))
+            active = np.zeros(len(token), bool)
+            for i, j in candidate_pairs(token, tile, piece, n, at, [s1.view(np.uint64), s2.view(np.uint64)], percent):
+                active[i] = active[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[active]) for x in (number, token, tile, piece, at)], names=["number", "token", "tile", "piece", "at"])
 
-    return map_arrow(postings.repartition(n_buckets, "bucket"), run, "number long, token long, tile long, piece int, at int")
+    return map_arrow(dealt(postings, n_buckets), run, "number long, token long, tile long, piece int, at int")
+
+
+def dealt(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows with their buckets together, each bucket in one task."""
+    return rows.repartition(min(n_buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one bucket after another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a < b and held[-1].column("bucket")[0].as_py() != bucket[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def hot_tokens(classes: DataFrame, codes: np.ndarray, shared, most_postings: int) -> dict[int, int]:
     """Fragments of each posting list of more than ``most_postings`` entries, from exact counts.
 
     Only slots with that many words can hold such a token, so the counting job
-    runs only where there are any.
+    runs only where there are any.  The caller sees to it that there are no more
+    than ``2^MOST_SPLIT_BITS`` such lists.
     """
     limit = np.uint16(min(most_postings, 4095))
     if codes.max() <= limit:
@@ -348,10 +370,10 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
     """Of each class, in each task: its links, the lines behind them and the earliest place of a linked class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is None or not table.num_rows:
-            return
+        for table in whole_buckets(batches):
+            yield of_bucket(table)
+
+    def of_bucket(table: pa.Table) -> pa.RecordBatch:
         column = {c: table.column(c).combine_chunks() for c in table.column_names if c != "s"}
         number, token, tile, piece, at = (column[c].to_numpy() for c in ("number", "token", "tile", "piece", "at"))
         # A row comes again where its first line does; lists of one token hold a class once.
@@ -401,9 +423,9 @@ def confirmed_links(rows: DataFrame, shared, n_buckets: int, percent: int) -> Da
                     np.minimum.at(earliest, a, rank[b])
         some = np.flatnonzero(links)
         other = place.take(pa.array(at_rank[earliest[some]]))
-        yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(links[some]), pa.array(linked[some]), *(other.field(c) for c in ("id", "h", "line"))], names=["number", "links", "linked", "id", "h", "line"])
+        return pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(links[some]), pa.array(linked[some]), *(other.field(c) for c in ("id", "h", "line"))], names=["number", "links", "linked", "id", "h", "line"])
 
-    return map_arrow(rows.repartition(n_buckets, "bucket"), run, "number long, links long, linked long, id long, h long, line int")
+    return map_arrow(dealt(rows, n_buckets), run, "number long, links long, linked long, id long, h long, line int")
 
 
 def sorted_members(local: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -460,15 +482,15 @@ def line_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", perce
     scratch.drop("indexed")
 
     n_postings = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    n_buckets = max(n_postings // TASK_POSTINGS + 1, spark.sparkContext.defaultParallelism)
-    postings = posting_rows(classes, hot_tokens(classes, codes, shared, most_postings), n_buckets)
+    n_buckets = max(n_postings // BUCKET_POSTINGS + 1, spark.sparkContext.defaultParallelism)
+    postings = posting_rows(classes, hot_tokens(classes, codes, shared, max(most_postings, n_postings >> MOST_SPLIT_BITS)), n_buckets)
     active = scratch.save(active_postings(postings, n_buckets, percent), "active")
     firsts = classes.join(active.select("number").distinct(), "number", "left_semi").select("number", "d1", "d2", "place", "copies", "n")
     firsts = scratch.save(firsts, "firsts")
     bits = spark.sparkContext.broadcast(key_filter(firsts.select(F.col("place.h").bitwiseXOR(F.col("place.line").cast("long")).alias("k"))))
     sets = sets_at(lines, shared, bits, least_words).join(firsts, ["d1", "d2"]).select("number", "place", "copies", "s")
     n_bytes = active.join(firsts.select("number", "n"), "number").agg(F.sum(8 * F.col("n") + 80)).first()[0] or 0
-    n_buckets = max(n_bytes // TASK_SET_BYTES + 1, spark.sparkContext.defaultParallelism)
+    n_buckets = max(n_bytes // BUCKET_SET_BYTES + 1, spark.sparkContext.defaultParallelism)
     rows = active.withColumn("bucket", F.pmod(F.xxhash64("token", "tile"), F.lit(n_buckets))).join(sets, "number")
     links = confirmed_links(rows, shared, n_buckets, percent)
     other = F.min(F.struct("id", "h", "line")).alias("other")
