@@ -8,13 +8,15 @@ document), so a task's memory does not depend on how many documents it reads.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -137,9 +139,28 @@ def ship(spark: SparkSession) -> None:
     sc._basalt_shipped = True
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run``, after which the worker's free memory goes back to the system.
+
+    Python workers stay for the next task; what numpy and Arrow have freed would
+    otherwise stay with them, also while they are idle beside other workers.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 # -- text blocks ------------------------------------------------------------------------
@@ -399,7 +420,7 @@ def text_udf(make: Callable[..., Callable[..., list]], ddl: str):
             yield pa.concat_arrays(out)
 
     ship(SparkSession.active())
-    return F.arrow_udf(run, ddl, F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(trimmed(run), ddl, F.ArrowUDFType.SCALAR_ITER)
 
 
 def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:

@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, ship, text_udf, whole, with_fields
+from .common import lists, ship, text_udf, trimmed, whole, with_fields
 
 MARK = "▁"
 #: Stands for a mark of the text itself among its words (no marked word looks like it).
@@ -59,9 +60,6 @@ class Vocabulary:
         if len(self.byte) != 256:
             raise ValueError("the model has no byte pieces")
         self.byte_of = {i: b for b, i in self.byte.items()}
-        #: All endings of pieces; the value is a piece's score, or None for an ending that is no piece.
-        self.endings: dict[str, float | None] = {p[i:]: None for p in self.normal for i in range(1, len(p))}
-        self.endings |= {p: s for p, (s, _) in self.normal.items()}
         self.bytes_of = [bytes([self.byte_of[i]]) if k == 6 else p.replace(MARK, " ").encode() if k in (1, 4) else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
         self.unknown = min(s for s, _ in self.normal.values()) - UNKNOWN_PENALTY
         if any(MARK in p.lstrip(MARK) for p in self.normal):
@@ -70,6 +68,13 @@ class Vocabulary:
         self.words = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if not any("\n" in p for p in self.normal) else rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+    @cached_property
+    def endings(self) -> dict[str, float | None]:
+        """All endings of pieces with a piece's score, or None for an ending that is no piece; decoding needs none."""
+        out: dict[str, float | None] = {p[i:]: None for p in self.normal for i in range(1, len(p))}
+        return out | {p: s for p, (s, _) in self.normal.items()}
+
+
 def _fields(data: bytes):
     """(number, value) of the fields of a protocol-buffer message."""
     at = 0
@@ -195,6 +200,6 @@ def decode(coded: DataFrame, model: str | bytes, ids: str = "ids", text: str = "
             yield pa.array([encoder.decode(i.values.to_numpy()) if i.is_valid else "" for i in whole(column)], pa.string())
 
     ship(coded.sparkSession)
-    return coded.withColumn(text, F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(ids))
+    return coded.withColumn(text, F.arrow_udf(trimmed(run), "string", F.ArrowUDFType.SCALAR_ITER)(ids))
 
 
