@@ -81,7 +81,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    coded = sentencepiece_viterbi.encode_decode(docs, PIECE_MODEL)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

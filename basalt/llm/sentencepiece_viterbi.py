@@ -103,7 +103,7 @@ def _fields(data: bytes):
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, array] = {}  # ids as 32-bit integers
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def learn(self, words: list[str]) -> None:
         """Segment distinct words, in sorted order, reusing the scores of shared prefixes."""
@@ -141,7 +141,7 @@ class Encoder:
                 piece = normal.get(word[start:end])
                 ids += [piece[1]] if piece is not None else [self.v.byte[b] for b in reversed(word[start:end].encode())]
                 end = start
-            self.known[word] = array("i", ids[::-1])
+            self.known[word] = array("i", ids[::-1]).tobytes()
             before = word
 
     def cut(self, text: str) -> list[str]:
@@ -161,7 +161,7 @@ class Encoder:
             self.known.clear()
             fresh = set().union(*cut)
         self.learn(list(fresh - {OWN_MARK}))
-        self.known[OWN_MARK] = array("i", [self.v.byte[b] for b in MARK.encode()])
+        self.known[OWN_MARK] = array("i", [self.v.byte[b] for b in MARK.encode()]).tobytes()
         rows = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *(len(r) // 4 for r in rows)])
 
@@ -190,6 +190,22 @@ def encode(docs: DataFrame, model: str | bytes, text: str = "text") -> DataFrame
     return with_fields(docs, text_udf(make, "ids array<int>")(text), ["ids"])
 
 
+def encode_decode(docs: DataFrame, model: str | bytes, text: str = "text", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with ids and the text that these decode to: ``decode(encode(docs))`` in one pass through a worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model))
+
+    def make():
+        encoder = Encoder(Vocabulary(shared.value))
+
+        def work(_, texts: pa.Array) -> list:
+            ids, bounds = encoder.encode(texts.to_pylist())
+            return [lists(ids, bounds, pa.int32()), [encoder.decode(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]]
+
+        return work
+
+    return with_fields(docs, text_udf(make, f"ids array<int>, {decoded} string")(text), ["ids", decoded])
+
+
 def decode(coded: DataFrame, model: str | bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ids; a null list decodes to an empty text."""
     shared = coded.sparkSession.sparkContext.broadcast(_model(model))

@@ -82,6 +82,8 @@ def test_round_trip_of_marks(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(df, PIECE_MODEL), PIECE_MODEL).orderBy("doc_id").collect()
     assert [r.decoded for r in got] == texts
+    both = sentencepiece_viterbi.encode_decode(df, PIECE_MODEL).orderBy("doc_id").collect()
+    assert [(r.ids, r.decoded) for r in both] == [(r.ids, r.decoded) for r in got]
 
 
 def test_odd_conversations(spark):
