@@ -47,7 +47,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their SentencePiece ids, and whether these decode to the text."""
-    coded = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs.select(COLUMNS), PIECE_MODEL), PIECE_MODEL)
+    coded = sentencepiece_viterbi.encode_decode(docs.select(COLUMNS), PIECE_MODEL)
     return coded.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded").withColumn("n_ids", F.size("ids").cast("long"))
 
 
