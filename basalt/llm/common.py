@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 18
 M64 = (1 << 64) - 1
 GAMMA = 0x9E3779B97F4A7C15
-#: Bytes that end a word: space and the five control characters from tab to carriage return.
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII lower-casing as a byte table.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -252,13 +249,18 @@ def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return data + (data - np.uint8(65) < 26) * np.uint8(32)
+
+
 def words(block: Block, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+`` of a block."""
     data = block.data if data is None else data
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    space = SPACE[data]
+    space = (data == 32) | (data - np.uint8(9) < 5)
     before, after = np.empty_like(space), np.empty_like(space)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
@@ -267,7 +269,7 @@ def words(block: Block, data: np.ndarray | None = None) -> tuple[np.ndarray, np.
     after[edges - 1] = True
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
-    return starts, ends, np.searchsorted(block.offs, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(block.n), np.diff(np.searchsorted(starts, block.offs)))
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

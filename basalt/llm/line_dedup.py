@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Block, Scratch, blocks, fresh, in_filter, key_filter, lists, map_arrow, map_blocks, mix64, others, quoted, set_digests, signed, spans_hash, words
+from .common import Block, Scratch, blocks, fresh, in_filter, key_filter, lists, lower, map_arrow, map_blocks, mix64, others, quoted, set_digests, signed, spans_hash, words
 
 SLOT_BITS = 22
 #: Token counts travel as compressed pieces of the slot table.
@@ -62,13 +62,13 @@ PAIRS_AT_ONCE = 1 << 18
 
 def line_sets(block: Block, codes: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of each compared line, rarest first by ``codes``; the lines' bounds, documents and numbers."""
-    low = LOWER[block.data]
+    low = lower(block.data)
     starts, ends, doc = words(block, low)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none
     breaks = np.flatnonzero(low == 10)
-    line = np.searchsorted(breaks, starts)
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.concatenate([[0], np.searchsorted(starts, breaks), [len(starts)]])))
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -133,7 +133,7 @@ def token_codes(lines: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for block in blocks(batch.column(0)):
-                low = LOWER[block.data]
+                low = lower(block.data)
                 starts, ends, _ = words(block, low)
                 np.add.at(total, (spans_hash(low, starts, ends) & np.uint64(len(total) - 1)).astype(np.int64), 1)
         pieces = [pa.compress(total[i * each : (i + 1) * each].tobytes(), codec, asbytes=True) for i in range(PIECES)]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, LOWER, Block, Scratch, by_doc, components, fresh, in_filter, key_filter, lists, map_blocks, mix64, quoted, set_digests, shingles, signed, spans_hash, words
+from .common import GAMMA, Block, Scratch, by_doc, components, fresh, in_filter, key_filter, lists, lower, map_blocks, mix64, quoted, set_digests, shingles, signed, spans_hash, words
 
 SKETCH = 8  # longs of the parity sketch
 SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -37,7 +37,7 @@ SIGNED = "id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch
 
 def shingle_sets(block: Block, k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each document; A-Z lower-cased."""
-    low = LOWER[block.data]
+    low = lower(block.data)
     starts, ends, doc = words(block, low)
     hashes, bounds = spans_hash(low, starts, ends), by_doc(doc, block.n)
     return [np.unique(shingles(hashes[bounds[i] : bounds[i + 1]], k)) for i in range(block.n)]

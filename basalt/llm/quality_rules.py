@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, Block, Scratch, blocks, by_doc, fresh, lists, others, quoted, shingles, ship, signed, spans_hash, words
+from .common import Block, Scratch, blocks, by_doc, fresh, lists, lower, others, quoted, shingles, ship, signed, spans_hash, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -90,7 +90,7 @@ def rule_counts(block: Block) -> list[np.ndarray]:
 
 def text_grams(block: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of each document's words joined by spaces (``order - 1`` spaces before, one after), and each one's document."""
-    low = LOWER[block.data]
+    low = lower(block.data)
     starts, ends, doc = words(block, low)
     size = ends - starts + 1
     word = np.repeat(np.arange(len(starts)), size)
