@@ -370,6 +370,29 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
 
 
+# -- ranks ------------------------------------------------------------------------------
+
+
+def ranked(df: DataFrame, scratch: Scratch, order: list, name: str) -> DataFrame:
+    """``df`` with ``rank`` from 0 on in the given order, which must tell all rows apart.
+
+    A range sort: rows are numbered inside their partition, and only the partitions'
+    sizes come to the driver.  The sorted table stays in ``scratch`` as ``name``.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = scratch.save(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()), name)
+    part = F.shiftright("rank", 33)
+    sizes = sorted(map(tuple, held.groupBy(part.alias("part")).agg(F.count("*")).collect()))
+    before = dict(zip([p for p, _ in sizes], np.cumsum([0, *(c for _, c in sizes)]).tolist(), strict=False))
+    if not before:
+        return held
+    base = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)) if len(before) <= 1000 else None
+    if base is not None:
+        return held.withColumn("rank", F.element_at(base, part) + F.col("rank").bitwiseAND(F.lit((1 << 33) - 1)))
+    starts = df.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")
+    return held.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("rank", F.col("__before") + F.col("rank").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, "rank")
+
+
 # -- connected components ---------------------------------------------------------------
 
 

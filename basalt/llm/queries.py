@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, near_dup, quality_classifier, quality_rules, secrets, sentencepiece_viterbi, url_filter
+from . import chat, decontaminate, importance, language_id, line_dedup, near_dup, packing, quality_classifier, quality_rules, secrets, sentencepiece_viterbi, url_filter, vector_codes
 from .common import crc_bucket, table
 
 #: Vocabulary files of public tokenizers (parameters of the operators).
@@ -91,8 +91,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    coded = vector_codes.with_group_sum(coded, "label", "error", "label_error")
+    code = F.array_join(F.transform("code", lambda i: F.lpad(F.lower(F.hex(i.cast("long"))), 2, "0")), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.sha2(F.lit(books.text()), 256).alias("codebooks_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), CHAT_TOKENIZER)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_chat_format, op6_language_id, op7_line_dedup, op8_minhash_near_dedup, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_decontamination, op5_chat_format, op6_language_id, op7_line_dedup, op8_minhash_near_dedup, op9_sentencepiece, op10_url_filter, op11_vector_codes, op12_best_fit_packing, op13_importance_resampling)}
 
 
 # A conversation's texts in order; escapes add a character before each backslash and each "<".
@@ -129,5 +146,37 @@ select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict fro
 """
 
 
+def _op11() -> str:
+    """Lloyd rounds over parts, by brute force."""
+    steps = []
+    for i in range(5):
+        # Each part's nearest entry of codebook i.
+        steps.append(f"""near{i} as materialized (
+  select vec_id, part, min_by(entry, (d, entry)) as entry, min(d) as d from (
+    select c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) as d
+    from comp c join book{i} b on c.part = b.part and c.pos = b.pos group by c.vec_id, c.part, b.entry) group by vec_id, part)""")
+        if i < 4:
+            steps.append(f"""mean{i} as (
+  select n.part, n.entry, c.pos, sum(c.x)::bigint as s, count(*) as k from near{i} n join comp c on c.vec_id = n.vec_id and c.part = n.part group by n.part, n.entry, c.pos),
+book{i + 1} as materialized (
+  select b.part, b.entry, b.pos, case when m.k is null then b.x else (m.s - ((m.s % m.k) + m.k) % m.k) // m.k end as x
+  from book{i} b left join mean{i} m on b.part = m.part and b.entry = m.entry and b.pos = m.pos)""")
+    return f"""
+with kept as materialized (
+  select vec_id, label, embedding, len(embedding) // 4 as w, row_number() over (order by vec_id) - 1 as place from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+comp as materialized (
+  select vec_id, place, (i - 1) // w as part, (i - 1) % w as pos, floor(1024 * embedding[i]::double)::bigint as x
+  from (select *, unnest(range(1, len(embedding) + 1)) as i from kept)),
+book0 as materialized (select part, place as entry, pos, x from comp where place < 256),
+{", ".join(steps)},
+coded as (
+  select vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, sum(d)::bigint as error from near4 group by vec_id),
+hashed as (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from book4)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join kept using (vec_id), hashed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": _OP5, "op10_url_filter": _OP10}
+    return {"op5_chat_format": _OP5, "op10_url_filter": _OP10, "op11_vector_codes": _op11()}
