@@ -62,30 +62,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[
     return out
 
 
-def block_of(df: DataFrame, order: str, blocks: int = 128) -> Column:
-    """Blocks of rows that follow each other in the order of a column of distinct values; null comes first, in block -1.
+def block_of(df: DataFrame, order: str, blocks: int = 128, by: tuple[str, ...] = ()) -> Column:
+    """Blocks of rows that follow each other in the order of a column of distinct values (distinct inside each group ``by``); null comes first, in block -1.
 
     The bounds are values of a sample by hash, so they are the same in every use.
     """
-    sample = [r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(32 * blocks).collect()]
-    sample.sort()
-    edges = sorted(set(sample[:: max(1, len(sample) // blocks)])) if len(sample) > blocks else []
-    inside = F.size(F.filter(F.array(*map(F.lit, edges)).cast(f"array<{df.schema[order].dataType.simpleString()}>"), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    keys = [*by, order]
+    sample = [tuple(r) for r in df.where(F.col(order).isNotNull()).select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(32 * blocks).collect()]
+    sample.sort(key=lambda r: [(v is not None, v) for v in r])
+    edges = list(dict.fromkeys(sample[:: max(1, len(sample) // blocks)])) if len(sample) > blocks else []
+    kinds = [df.schema[k].dataType for k in keys]
+    edge = lambda r: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r, kinds, strict=True))])
+    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    inside = F.size(F.filter(F.array(*map(edge, edges)), lambda e: e <= own)) if edges else F.lit(0)
     return F.when(F.col(order).isNull(), F.lit(-1)).otherwise(inside)
 
 
-def running_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """``df``, one row for each value of ``order``, with ``{c}_before``, the sum of ``c`` over the rows before, and ``{c}_total``.
+def running_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, one row for each value of ``order`` (in each group ``by``), with ``{c}_before``, the sum of ``c`` over the rows before, and ``{c}_total``.
 
-    Sums by block go through an ordered window of at most a few hundred rows;
-    the rows of a block are added up in a window of their own.
+    Sums by block go through an ordered window of at most a few hundred rows (and
+    one for each group); the rows of a block are added up in a window of their own.
     """
     direction = F.desc if descending else F.asc
-    blocked = df.withColumn("__block", block_of(df, order))
-    by_block = blocked.groupBy("__block").agg(*[F.sum(c).alias(c) for c in sums])
-    earlier = Window.orderBy(direction("__block")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    ends = by_block.select("__block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in sums], *[F.sum(c).over(every).alias(f"{c}_total") for c in sums])
-    inner = Window.partitionBy("__block").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = blocked.withColumns({f"{c}_inner": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums}).join(F.broadcast(ends), "__block")  # a row for each block
-    return out.select(*df.columns, *[(F.col(f"{c}_inner") + F.col(f"__{c}")).alias(f"{c}_before") for c in sums], *[f"{c}_total" for c in sums])
+    blocked = df.withColumn("__block", block_of(df, order, by=by))
+    names = [f"__by{i}" for i in range(len(by))]
+    by_block = blocked.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("__block").alias("__of_block")).agg(*[F.sum(c).alias(c) for c in sums])
+    earlier = Window.partitionBy(*names).orderBy(direction("__of_block")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*names)
+    ends = by_block.select(*names, "__of_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__earlier_{c}") for c in sums], *[F.sum(c).over(every).alias(f"{c}_total") for c in sums])
+    inner = Window.partitionBy(*by, "__block").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocked.withColumns({f"{c}_inner": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums})
+    same = F.col("__block") == F.col("__of_block")
+    for c, n in zip(by, names, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    out = inside.join(ends if by else F.broadcast(ends), same)  # without groups a row for each block
+    return out.select(*df.columns, *[(F.col(f"{c}_inner") + F.col(f"__earlier_{c}")).alias(f"{c}_before") for c in sums], *[f"{c}_total" for c in sums])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.distributions import kolmogorov_tail
 from ..functions.expressions import bucket, numeric_columns
 from ..functions.ordered import exact_quantiles, running_sums
 from .profile import long_form, stack
@@ -119,19 +120,35 @@ class Imputer:
         out = df.withColumns(flags) if flags else df
         return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.fills.items()})
 
+    def check(self, df: DataFrame, least: int = 10, level: float = 0.01) -> DataFrame:
+        """Whether filling keeps the distribution of each number with more than ``least`` values: these against all values after filling, all columns in one pass."""
+        numbers = [c for c in numeric_columns(df) if c in self.fills]
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"), F.lit(self.fills[c]).cast("double").alias("fill")) for c in numbers])).alias("p")).select("p.*")
+        counted = long.groupBy("column_name", F.coalesce("x", "fill").alias("v")).agg(F.count("x").alias("a"), F.count("*").alias("b"))
+        out = ks_by(counted, ("column_name",), level).where(F.col("n_a") > least)
+        return out.select("column_name", F.col("n_a").alias("n_valid"), F.col("n_b").alias("n_filled"), F.round("d", 4).alias("ks_stat"), F.round("p_value", 4).alias("p_value"), F.col("is_same").alias("is_preserved"))
+
     def log(self, spark) -> DataFrame:
         return spark.createDataFrame([(c, round(self.ratios[c], 4), self.tier(c), str(v)) for c, v in self.fills.items()], "column_name string, missing_ratio double, tier string, fill string")
 
 
-def ks_two_sample(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Largest gap of the distribution functions of two groups (group 0 and 1), and its asymptotic p.
+def ks_by(counted: DataFrame, by: tuple[str, ...] = (), level: float = 0.01) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test of counts ``a`` and ``b`` by value ``v``, for each group: largest gap of the distribution functions, sizes, p and whether p reaches ``level`` (null where one side is empty).
 
-    Values are counted first; the running sums go over distinct values, in blocks.
+    The running sums go over distinct values, in blocks; p is asymptotic with the
+    small-sample correction of the statistic.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
-    gaps = running_sums(counted, "v", ["a", "b"]).select(F.abs(share("a") - share("b")).alias("gap"), F.col("a_total").alias("n_a"), F.col("b_total").alias("n_b"))
-    return gaps.agg(F.max("gap").alias("d"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    share = lambda c: F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_total"))
+    gaps = running_sums(counted, "v", ["a", "b"], by=by).select(*by, F.abs(share("a") - share("b")).alias("gap"), F.col("a_total").alias("n_a"), F.col("b_total").alias("n_b"))
+    out = gaps.groupBy(*by).agg(F.max("gap").alias("d"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    root = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    p = kolmogorov_tail((root + 0.12 + F.try_divide(F.lit(0.11), root)) * F.col("d"))
+    return out.withColumn("p_value", p).withColumn("is_same", F.col("p_value") >= level)
+
+
+def ks_two_sample(df: DataFrame, value: str, group: str) -> DataFrame:
+    """``ks_by`` of the values of group 0 and group 1."""
+    return ks_by(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b")))
 
 
 def ks_p_value(d: float, n_a: int, n_b: int) -> float:

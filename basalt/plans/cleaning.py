@@ -85,10 +85,25 @@ def impute_apply(spark, d):
     return fitted.transform(df.where("l_orderkey % 2 = 1")).select("l_orderkey", "l_linenumber", "qty_is_missing", "qty")
 
 
-@query("with c as (select l_extendedprice as v, count(*) filter (where g = 0) as a, count(*) filter (where g = 1) as b from (select *, (l_returnflag = 'R')::int as g from lineitem) group by 1), r as (select abs(sum(a) over (order by v) / sum(a) over ()::double - sum(b) over (order by v) / sum(b) over ()::double) as gap, sum(a) over () as na, sum(b) over () as nb from c) select round(max(gap), 6) as d, max(na)::bigint as n_a, max(nb)::bigint as n_b from r")
+#: P(K > x) of Kolmogorov's distribution, of the corrected statistic.
+_KS_X = "((sqrt(na * nb / (na + nb)::double) + 0.12 + 0.11 / sqrt(na * nb / (na + nb)::double)) * d)"
+_KS_P = "case when x < 1 then 1 - sqrt(2 * pi()) / greatest(x, 1e-9) * (select sum(exp(-power(2 * k - 1, 2) * pi() * pi() / (8 * power(greatest(x, 1e-9), 2)))) from range(1, 21) as r(k)) else 2 * (select sum(case when k % 2 = 1 then 1 else -1 end * exp(-2::double * k * k * x * x)) from range(1, 21) as r(k)) end"
+
+
+@query(f"with c as (select l_extendedprice as v, count(*) filter (where g = 0) as a, count(*) filter (where g = 1) as b from (select *, (l_returnflag = 'R')::int as g from lineitem) group by 1), r as (select abs(sum(a) over (order by v) / sum(a) over ()::double - sum(b) over (order by v) / sum(b) over ()::double) as gap, sum(a) over () as na, sum(b) over () as nb from c), m as (select max(gap) as d, max(na)::bigint as na, max(nb)::bigint as nb from r), x as (select *, {_KS_X} as x from m), p as (select *, {_KS_P} as p from x) select round(d, 6) as d, na as n_a, nb as n_b, round(p, 6) as p_value, p >= 0.01 as is_same from p")
 def ks_two_sample(spark, d):
     df = read(spark, d, "lineitem").withColumn("g", (F.col("l_returnflag") == "R").cast("int"))
-    return clean.ks_two_sample(df, "l_extendedprice", "g").withColumn("d", F.round("d", 6))
+    return clean.ks_two_sample(df, "l_extendedprice", "g").withColumns({c: F.round(c, 6) for c in ("d", "p_value")})
+
+
+# Columns with more and more nulls; the last has too few values to be tested.
+_HOLES = {"qty": ("l_quantity", "l_partkey % 12 = 0"), "tax": ("l_tax", "l_partkey % 200 = 0"), "price": ("l_extendedprice", "l_suppkey % 3 > 0"), "discount": ("l_discount", "l_orderkey % 5000 = 0"), "rare": ("l_tax", "l_orderkey > 2 or l_linenumber > 5"), "whole": ("l_discount", "false")}
+
+
+@query("with t as (select " + ", ".join(f"case when {h} then null else {c} end as {n}" for n, (c, h) in _HOLES.items()) + " from lineitem), long as (" + union(f"select '{n}' as column_name, {n} as x, coalesce({n}, (select median({n}) from t), 0) as v from t" for n in _HOLES) + f"), c as (select column_name, v, count(x) as a, count(*) as b from long group by 1, 2), r as (select column_name, abs(sum(a) over w / sum(a) over (partition by column_name)::double - sum(b) over w / sum(b) over (partition by column_name)::double) as gap, sum(a) over (partition by column_name) as na, sum(b) over (partition by column_name) as nb from c window w as (partition by column_name order by v)), m as (select column_name, max(gap) as d, max(na)::bigint as na, max(nb)::bigint as nb from r group by 1 having max(na) > 10), x as (select *, {_KS_X} as x from m), p as (select *, {_KS_P} as p from x) select column_name, na as n_valid, nb as n_filled, round(d, 4) as ks_stat, round(greatest(0, least(1, p)), 4) as p_value, p >= 0.01 as is_preserved from p")
+def imputation_check(spark, d):
+    df = read(spark, d, "lineitem").select(*[F.expr(f"case when {h} then null else {c} end").alias(n) for n, (c, h) in _HOLES.items()])
+    return clean.Imputer.fit(df, list(_HOLES)).check(df)
 
 
 @query(union(f"select '{c}' as column_name, count(distinct {c}) as distinct_values, count(distinct {c}) > 50 as dropped from part" for c in ("p_brand", "p_type", "p_name")))

@@ -140,6 +140,74 @@ def paired_t(spark, d):
     return stats.paired_t(pair(spark, d), "a", "b")
 
 
+# Sold pieces of each part that came back and that were kept, for sizes of parts.
+_RETURNS = "select p_size as g, sum(l_quantity) filter (where l_returnflag = 'R') as a, sum(l_quantity) filter (where l_returnflag = 'A') as b from lineitem join part on l_partkey = p_partkey group by l_partkey, p_size"
+
+
+def returns(spark, d):
+    sold = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", F.col("p_size").alias("g")), F.col("l_partkey") == F.col("p_partkey"))
+    of = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
+    return sold.groupBy("l_partkey", "g").agg(of("R").alias("a"), of("A").alias("b")).drop("l_partkey")
+
+
+def simpson(f: str, low: str, high: str, n: int = 2000) -> str:
+    """SQL of an integral of ``f`` (an expression of x) by Simpson's rule."""
+    at = f"({low} + i * ({high} - {low}) / {n}::double)"
+    return f"(select sum(({f.replace('{x}', at)}) * case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end) * ({high} - {low}) / {3 * n}::double from range({n + 1}) as r(i))"
+
+
+#: P(Z > z) in SQL, by integration.
+_TAIL = "0.5::double - " + simpson("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "0::double", "z")
+
+
+def _rational(q: str, top: tuple, bottom: tuple) -> str:
+    horner = lambda c: " + ".join(["(" * (len(c) - 1) + str(c[0])]) + "".join(f" * {q} + {x})" for x in c[1:])
+    return f"({horner(top)}) / ({horner(bottom)})"
+
+
+# The coefficients of Acklam's approximation of the normal quantile.
+_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1)
+_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661906416, 1)
+#: |z| with P(Z > z) = p.
+_QUANTILE = f"case when least(p, 1 - p) < 0.02425 then abs({_rational('sqrt(-2 * ln(least(p, 1 - p)))', _C, _D)}) else abs((p - 0.5) * {_rational('((p - 0.5) * (p - 0.5))', _A, _B)}) end"
+_LABEL = "case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end"
+
+
+@query(
+    f"""with d as (select g, round(b - a, 6) as d from ({_RETURNS}) where a is not null and b is not null),
+pairs as (select g, count(*) as n_pairs, avg(d) as lift from d group by g),
+c as (select g, abs(d) as s, count(*) as t, count(*) filter (where d > 0) as up from d where d <> 0 group by g, s),
+r as (select *, 2 * coalesce(sum(t) over (partition by g order by s rows between unbounded preceding and 1 preceding), 0) + t + 1 as r from c),
+x as (select g, sum(t)::bigint as n, sum(r * up)::bigint as w2, sum(t::double * t * t - t) as ties, sum(r * t)::bigint as total, flatten(list(list_transform(range(t), lambda i: [r::double]))) as ranks from r group by g),
+e as (select g, case when n <= 50 then list_sum(list_slice(list_reduce(list_prepend(list_transform(range(total + 1), lambda i: case when i = 0 then 1::double else 0::double end), ranks), lambda ways, k: list_transform(ways, lambda v, i: v + case when i > k[1]::int then ways[i - k[1]::int] else 0 end)), w2 + 1, total + 1)) / power(2, n) end as exact from x),
+z as (select x.*, e.exact, (w2 / 2::double - n::double * (n + 1) / 4) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from x join e using (g)),
+p as (select *, case when n < 5 then 0.5 when n <= 50 then exact else {_TAIL} end as p from z)
+select g, n_pairs, coalesce(n, 0) as n, round(case when n >= 5 then w2 / 2::double else 0 end, 2) as w_plus, round(coalesce(p, 0.5), 6) as p_value,
+round(coalesce(case when n < 5 or p <= 0 or p >= 1 then 0 when n <= 50 then {_QUANTILE} else abs(z) end / sqrt(n), 0), 3) as effect_size_r,
+case when n >= 5 then {_LABEL} else 'insufficient' end as significance, round(lift, 4) as mean_lift from pairs left join p using (g)"""
+)
+def wilcoxon_test(spark, d):
+    return stats.wilcoxon_test(returns(spark, d), "a", "b", by=("g",))
+
+
+# Student's t by the substitution t = sqrt(n - 1) * tan(x), under which the density is a power of a cosine.
+_T_TAIL = "2 * exp(lgamma(n / 2::double) - lgamma((n - 1) / 2::double)) / sqrt(pi()) * " + simpson("power(cos({x}), n - 2)", "atan(abs(t) / sqrt(n - 1))", "(pi() / 2)")
+
+
+@query(
+    f"""with d as (select g, a::double as x, b::double as y, (b - a)::double as d from ({_RETURNS}) where a is not null and b is not null),
+s as (select g, count(*) as n, avg(x) as ma, avg(y) as mb, avg(d) as md, stddev_samp(d) as sd, min(d) as lo, max(d) as hi, count(*) filter (where d > 0) as b_wins from d group by g),
+t as (select *, case when n > 1 and lo < hi then md / (sd / sqrt(n)) end as t, round(100 * (mb - ma) / greatest(abs(ma), 1e-4), 2) as lift_pct from s),
+p as (select *, case when n < 2 or (lo = hi and lo = 0) then 1 when lo = hi then 0 else {_T_TAIL} end as p from t)
+select g, n, round(ma, 4) as mean_a, round(mb, 4) as mean_b, lift_pct, b_wins, round(t, 4) as t, round(p, 6) as p_value, p < 0.05 and lift_pct > 0 as is_significant,
+case when p < 0.05 and lift_pct > 0 then 'b is better' when p < 0.05 then 'b is worse' else 'no difference shown' end as verdict from p"""
+)
+def paired_t_test(spark, d):
+    return stats.paired_t_test(returns(spark, d), "a", "b", by=("g",))
+
+
 @query("select 'toxic' as column_name, count(distinct toxic) as distinct_values, 'binary' as task from labels union all select 'o_orderstatus', count(distinct o_orderstatus), 'multiclass' from orders union all select 'o_totalprice', count(distinct o_totalprice), 'regression' from orders")
 def task_type(spark, d):
     from ..operators.models import task_type as detect
