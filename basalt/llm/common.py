@@ -108,6 +108,11 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a key column, as ``arrow_schema`` names it."""
+    return {"bigint": "long"}.get(kind := df.schema[name].dataType.simpleString(), kind)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

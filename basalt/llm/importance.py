@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, Scratch, blocks, lower, map_arrow, map_blocks, quoted, ranked
+from .common import Block, Scratch, blocks, kind_of, lower, map_arrow, map_blocks, quoted, ranked
 
 BUCKETS, WORDS = 10000, 3
 #: Words up to this length move a CRC on by table; longer ones go through zlib.
@@ -241,7 +241,7 @@ def weigh(docs: DataFrame, target: DataFrame, text: str = "text", key: str = "do
 
         return work
 
-    weighed = map_blocks(docs.select(quoted(key).alias("id"), quoted(text).alias("text")), "text", make, f"id {docs.schema[key].dataType.simpleString().replace('bigint', 'long')}, n_words long, n_features long, weight long")
+    weighed = map_blocks(docs.select(quoted(key).alias("id"), quoted(text).alias("text")), "text", make, f"id {kind_of(docs, key)}, n_words long, n_features long, weight long")
     return weighed.withColumn("score", F.col("weight") + gumbel(F.col("id"), seed)).withColumnRenamed("id", key)
 
 

@@ -199,7 +199,9 @@ def candidate_pairs(token: np.ndarray, tile: np.ndarray, piece: np.ndarray, n: n
     new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])
     run, top = np.cumsum(new), int(n.max()) + 1
     last = np.searchsorted(run * top + n, run * top + np.minimum(100 * n // percent, top - 1), "right")
-    many = last - np.arange(len(last)) - 1
+    # Partners are no smaller, so the first common token is among the few that a match of two sets of this size must leave.
+    indexed = at[order] <= n - (2 * percent * n + 99 + percent) // (100 + percent)
+    many = np.where(indexed, last - np.arange(len(last)) - 1, 0)
     total, place = np.concatenate([[0], np.cumsum(many)]), 0
     split = bool((tile >= 0).any())
     while place < len(many):
@@ -516,7 +518,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     joined = docs.join(found, own.eqNullSafe(F.col(of_id)) & (F.xxhash64(own, quoted(text)) == F.col(of_text)), "left")
     joined = joined.withColumn(cut, F.transform(F.filter(found_lines, lambda x: x["gone"]), lambda x: x["line"]))
     parts = F.split(quoted(text), "\n", -1)
-    rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(cut), i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
+    rest = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     cleaned = F.when(F.size(cut) > 0, rest).otherwise(quoted(text)).alias(text)
     names = others(docs, "n_lines", "n_removed", "line_classes")
     counts = (F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAMMA, Block, Scratch, lists, map_arrow, map_blocks, mix64, quoted, ranked, spans_hash
+from .common import GAMMA, Block, Scratch, kind_of, lists, map_arrow, map_blocks, mix64, quoted, ranked, spans_hash
 
 # -- ids --------------------------------------------------------------------------------
 
@@ -273,8 +273,8 @@ def cut_pieces(docs: DataFrame, model: bytes, end: int, tokens: int, text: str,
 
         return work
 
-    schema = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return map_blocks(docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("text")), "text", make, schema)
+    schema = f"id {kind_of(docs, key)}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return map_blocks(docs.select(quoted(key).alias("id"), quoted(text).alias("text")), "text", make, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = 2, tokens: int = 1024, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), with_ids: bool = False) -> DataFrame:
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             sequence, offset = shared.value(batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    placed = map_arrow(slim, place, "id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long")
+    placed = map_arrow(slim, place, f"id {kind_of(docs, key)}, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long")
     if with_ids:
         placed = placed.join(pieces.select("row", "ids"), "row")
     return placed.drop("row").withColumnRenamed("id", key)

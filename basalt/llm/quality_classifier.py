@@ -3,12 +3,13 @@
 Labelled documents are turned into latent-semantic vectors (a truncated
 singular value decomposition of hashed byte-trigram tf-idf).  At most
 ``max_labelled`` labelled rows are fitted (a documented bound; half for each
-label, chosen by a hash of their id), so vectors and projection have a fixed size and are broadcast.
+label, chosen by a hash of their text), so vectors and projection have a fixed size and are broadcast.
 Every document's exact cosines with all labelled vectors are computed in blocks;
 its ``k`` nearest vote with their similarity as weight.
 
-A labelled document is none of its own neighbours, so its label is no input of
-its own score.
+Labelled documents of the same text are none of a document's neighbours, so a
+label is no input of its own document's score.  Ids only tie labels to texts:
+documents with other ids get the same scores.
 
 Defined results: null counts as an empty text; a text without trigrams, or whose
 neighbours all have a similarity of zero, gets the mean label as its score;
@@ -53,20 +54,20 @@ class Neighbours:
     vectors: np.ndarray  # labelled x rank, of length 1
     labels: np.ndarray
     k: int
-    ids: np.ndarray | None = None  # of the labelled documents, sorted
+    texts: np.ndarray | None = None  # hashes of the labelled texts, sorted
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         return unit(unit(np.log1p(counts) * self.idf) @ self.basis)
 
-    def score(self, counts: np.ndarray, ids: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
-        """Weighted share of label 1 among each row's nearest labelled vectors; those of its own id (``ids`` where ``known``) are left out."""
+    def score(self, counts: np.ndarray, texts: np.ndarray | None = None) -> np.ndarray:
+        """Weighted share of label 1 among each row's nearest labelled vectors; those of its own text (by its hash in ``texts``) are left out."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosine = self.embed(counts) @ self.vectors.T
-        if ids is not None and self.ids is not None:
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            own = np.flatnonzero((self.ids[at] == ids) & known)
-            cosine[own, at[own]] = -np.inf
+        if texts is not None and self.texts is not None:
+            low, high = (np.searchsorted(self.texts, texts, side) for side in ("left", "right"))
+            row = np.repeat(np.arange(len(texts)), high - low)
+            cosine[row, np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high, high - low)] = -np.inf
         k = min(self.k, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
@@ -96,26 +97,28 @@ def fit(counts: np.ndarray, labels: np.ndarray, k: int = 15, rank: int = 48, see
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", max_labelled: int = 2000, **options) -> Neighbours:
     """Fit on ``labels`` (key, label); rows that must not be learnt from are left out by the caller."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("double").alias("__label"))
-    drawn = [chosen.where(of).orderBy(F.xxhash64("__key"), "__key").limit(max_labelled // 2) for of in ("__label < 0.5", "__label >= 0.5")]
-    chosen = drawn[0].unionByName(drawn[1])
-    rows = docs.select(quoted(key).alias("__key"), quoted(text).alias("__text")).join(F.broadcast(chosen), "__key")
-    rows = rows.groupBy("__key", "__label").agg(F.min("__text").alias("__text"))  # at most max_labelled rows, however often ids repeat
+    own = F.coalesce(quoted(text), F.lit(""))
+    of_key = docs.select(quoted(key).alias("__key"), F.struct(own.alias("t"), F.xxhash64(own).alias("h")).alias("__text"))
+    known = of_key.select("__key", F.col("__text.h").alias("__h")).join(chosen, "__key")
+    drawn = [known.where(of).orderBy("__h", "__key").limit(max_labelled // 2) for of in ("__label < 0.5", "__label >= 0.5")]
+    rows = of_key.join(F.broadcast(drawn[0].unionByName(drawn[1]).select("__key", "__label").distinct()), "__key")
+    rows = rows.groupBy("__key", "__label").agg(F.min("__text").alias("__own")).select("__label", "__own.*")  # at most max_labelled rows, however often ids repeat
 
     def make():
         def work(block: Block, table: pa.Table) -> list:
             counts = np.concatenate([trigram_counts(b) for b in _few(block)])
             row, feature = np.nonzero(counts)
             bounds = np.searchsorted(row, np.arange(block.n + 1))
-            return [table.column("__key").cast(pa.int64()), table.column("__label"), lists(feature, bounds, pa.int32()), lists(counts[row, feature].astype(np.int32), bounds, pa.int32())]
+            return [table.column("h"), table.column("__label"), lists(feature, bounds, pa.int32()), lists(counts[row, feature].astype(np.int32), bounds, pa.int32())]
 
         return work
 
-    got = map_blocks(rows, "__text", make, "id long, label double, feature array<int>, n array<int>").toArrow().sort_by("id")
+    got = map_blocks(rows, "t", make, "h long, label double, feature array<int>, n array<int>").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     counts = np.zeros((got.num_rows, DIM), np.float32)
     for i, (f, n) in enumerate(zip(got.column("feature"), got.column("n"), strict=True)):
         counts[i, np.asarray(f.values)] = np.asarray(n.values)
     model = fit(counts, got.column("label").to_numpy(), **options)
-    model.ids = got.column("id").to_numpy()
+    model.texts = got.column("h").to_numpy()
     return model
 
 
@@ -126,20 +129,18 @@ def _few(block: Block, most: int = 256):
         yield Block(block.data[offs[0] : offs[-1]], offs - offs[0], block.first + i)
 
 
-def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: Neighbours, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
-        def work(block: Block, _, ids: pa.Array) -> list:
-            known, ids = np.asarray(ids.is_valid()), ids.fill_null(0).to_numpy()
-            score = np.concatenate([model.score(trigram_counts(b), ids[own], known[own]) for b in _few(block) for own in [slice(b.first - block.first, b.first - block.first + b.n)]]).astype(np.float64)
+        def work(block: Block, _, texts: pa.Array) -> list:
+            texts = texts.to_numpy()
+            score = np.concatenate([model.score(trigram_counts(b), texts[b.first - block.first :][: b.n]) for b in _few(block)]).astype(np.float64)
             return [score, (score >= threshold).astype(np.int32)]
 
         return work
 
-    return with_fields(docs, text_udf(make, "score double, predicted int")(quoted(text), quoted(key).cast("long")), ["score", "predicted"])
-
-
+    return with_fields(docs, text_udf(make, "score double, predicted int")(quoted(text), F.xxhash64(F.coalesce(quoted(text), F.lit("")))), ["score", "predicted"])

@@ -204,5 +204,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.round_trip and r.n_ids == len(r.ids) for r in after)
 
 
-def test_all_eleven_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 14))
+
+
+def test_scores_do_not_depend_on_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    scores = []
+    for number in ("doc_id", "cast(1000003 * doc_id % 7919 - 3000 as long)"):
+        own = docs.selectExpr(f"{number} as doc_id", "text", "doc_id as was")
+        model = quality_classifier.train(own, labels.selectExpr(f"{number} as doc_id", "quality"), max_labelled=40)
+        scores.append({r.was: r.score for r in quality_classifier.score_quality(own, model).collect()})
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 50
+
+
+def test_many_removed_lines_of_one_document(spark):
+    lines = [f"line number{i} of the long text" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::2], "a line that stays"]))], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).select("doc_id", "text", "n_removed").collect()}
+    assert out[2].text == "a line that stays" and out[2].n_removed == 10_000
