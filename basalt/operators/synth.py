@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import safe_ratio, words
-from ..functions.ordered import exact_quantiles
+from ..functions.distributions import digamma
+from ..functions.expressions import bucket, safe_ratio, words
+from ..functions.ordered import exact_quantiles, running_sums
 from .profile import stack
 
 
@@ -70,6 +71,72 @@ def mi_scores(df: DataFrame, columns: list[str], target: str, bins: int = 10) ->
     return cell.groupBy("column_name").agg(F.round(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))), 4).alias("mi"))
 
 
+#: Bits of a value's place between the ends of its column, and of the noise that orders equal values.
+VALUE_BITS, NOISE_BITS = 36, 26
+
+
+def mi_nearest(df: DataFrame, columns: list[str], target: str, key: list[str], k: int = 3, block: int = 100_000) -> DataFrame:
+    """Mutual information (nats) of each number with a discrete target, by nearest neighbours (Ross, "Mutual information between discrete and continuous data sets").
+
+    A row's radius reaches to its k-th neighbour of the same class (or as many as
+    there are) along one column, and m rows of any class lie nearer; the estimate is
+    digamma(N) + mean(digamma(k) - digamma(class size) - digamma(m)), at least 0.
+    Values become integers between the column's ends, and equal ones are set apart
+    by a hash of the row's ``key``, so the result is the same for any partitioning.
+
+    Rows are numbered by running sums and dealt to blocks of that many distinct
+    places of a class; a block also gets the k places on either side, so every
+    neighbour is at hand and no class meets in one task.  Rows inside a radius come
+    from the running count at its two ends.
+
+    Null and NaN values and null targets are left out, and so are classes of one
+    row; a constant column has 0.
+    """
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    ends = df.where(F.col(target).isNotNull()).agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(value.values()) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    wide = [(i, c) for i, c in enumerate(columns) if ends[f"lo{i}"] is not None and ends[f"lo{i}"] < ends[f"hi{i}"]]
+    flat = df.sparkSession.createDataFrame([(c, 0.0) for c in columns if c not in {w for _, w in wide}], "column_name string, mi double")
+    if not wide:
+        return flat
+    row = F.concat_ws(",", *[F.col(c).cast("string") for c in key])
+    noise = lambda c: bucket(F.concat(row, F.lit(f",{c}")), 1 << NOISE_BITS)
+    place = lambda i, c: F.floor((value[c] - ends[f"lo{i}"]) / (ends[f"hi{i}"] - ends[f"lo{i}"]) * ((1 << VALUE_BITS) - 1)).cast("long")
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), (F.shiftleft(place(i, c), NOISE_BITS) + noise(c)).alias("x")) for i, c in wide])
+    rows = df.where(F.col(target).isNotNull()).select(F.explode(pairs).alias("p"), F.col(target).alias("y")).select("p.*", "y").where("x is not null")
+    counted = rows.groupBy("c", "y", "x").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    counted = counted.persist()
+    numbered = running_sums(counted, "x", ["n", "one"], by=("c", "y")).where("n_total > 1").select("c", "y", "x", "n", F.col("n_total").alias("size"), F.col("one_before").alias("at")).persist()
+
+    own, inside = F.floor(F.col("at") / block), F.col("at") % block
+    near = F.array_compact(F.array(own, F.when((inside < k) & (own > 0), own - 1), F.when(inside >= block - k, own + 1)))
+    dealt = numbered.withColumn("own", own).withColumn("block", F.explode(near))
+    line = Window.partitionBy("c", "y", "block").orderBy("x")
+    beside = [F.struct(F.abs(f("x", j).over(line) - F.col("x")).alias("d"), f("n", j).over(line).alias("n")) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    others = F.array_sort(F.filter(F.array(F.struct(F.lit(0).cast("long").alias("d"), (F.col("n") - 1).alias("n")), *beside), lambda b: b["d"].isNotNull()))
+    reach = F.least(F.lit(k), F.col("size") - 1)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
+    radius = lambda kth: F.aggregate("others", start, lambda s, b: F.when(s["n"] >= kth, s).otherwise(F.struct((s["n"] + b["n"]).alias("n"), b["d"].alias("d"))), lambda s: s["d"])
+    reached = dealt.withColumn("others", others).where("block = own").withColumn("reach", reach).withColumn("half", F.greatest(radius(F.col("reach")) - 1, F.lit(0).cast("long")))
+    reached = reached.select("c", "x", "n", "size", "reach", (F.col("x") + F.col("half")).alias("high"), (F.col("x") - F.col("half") - 1).alias("low")).persist()
+
+    # How many rows stand at or before each place that is asked for.
+    asked = [reached.select("c", F.col(e).alias("x"), F.lit(0).cast("long").alias("n")) for e in ("low", "high")]
+    points = numbered.select("c", "x", "n").unionByName(asked[0]).unionByName(asked[1]).groupBy("c", "x").agg(F.sum("n").alias("n")).persist()
+    upto = running_sums(points, "x", ["n"], by=("c",)).select(F.col("c").alias("pc"), F.col("x").alias("px"), (F.col("n_before") + F.col("n")).alias("upto"))
+    joined = reached
+    for e in ("low", "high"):
+        joined = joined.join(upto.select("pc", "px", F.col("upto").alias(f"upto_{e}")), (F.col("c") == F.col("pc")) & (F.col(e) == F.col("px"))).drop("pc", "px")
+    m = (F.col("upto_high") - F.col("upto_low")).cast("double")
+    terms = digamma(F.col("reach").cast("double")) - digamma(F.col("size").cast("double")) - digamma(m)
+    # Whole billionths add up to the same sum in any order.
+    made = joined.groupBy("c").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.round(terms * 1e9).cast("decimal(20,0)")).cast("double") / 1e9).alias("terms"))
+    mi = F.round(F.greatest(digamma(F.col("total").cast("double")) + F.col("terms") / F.col("total"), F.lit(0.0)), 4)
+    found = made.select(F.col("c").alias("column_name"), mi.alias("mi")).collect()  # a row for each column
+    for held in (counted, numbered, reached, points):
+        held.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], flat.schema).unionByName(flat)
+
+
 def mi_gate(scores: DataFrame, k: int = 6) -> DataFrame:
     return scores.orderBy(F.desc("mi"), "column_name").limit(k)
 

@@ -186,6 +186,28 @@ def mi_scores(spark, d):
     return synth.mi_scores(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag")
 
 
+def _digamma(x: str) -> str:
+    z = f"({x} + 6::double)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - " + " - ".join(f"1 / ({x} + {i}::double)" for i in range(6)) + ")"
+
+
+_MI = ("l_quantity", "l_extendedprice", "l_discount")
+_BESIDE = ", ".join(f"abs({f}(x, {j}) over w - x)" for f in ("lag", "lead") for j in (1, 2, 3))
+
+
+@query(
+    "with long as ("
+    + union(f"select '{c}' as c, l_returnflag as y, (floor(({c} - (select min({c}) from lineitem)) / (select max({c}) - min({c}) from lineitem) * 68719476735::double)::bigint << 26) + ('0x' || substr(md5(l_orderkey || ',' || l_linenumber || ',{c}'), 1, 8))::bigint % 67108864 as x from lineitem" for c in _MI)
+    + f"), near as (select c, y, x, count(*) over (partition by c, y) as size, list_sort(list_filter([{_BESIDE}], lambda d: d is not null)) as beside from long window w as (partition by c, y order by x)), "
+    + "r as (select c, x, size, least(3, size - 1) as k, greatest(beside[least(3, size - 1)] - 1, 0) as half from near where size > 1), "
+    + "m as (select c, size, k, count(*) over (partition by c order by x range between half preceding and half following) as m from r) "
+    + f"select c as column_name, round(greatest({_digamma('count(*)')} + avg({_digamma('k')} - {_digamma('size')} - {_digamma('m')}), 0), 4) as mi from m group by c"
+)
+def mi_nearest(spark, d):
+    return synth.mi_nearest(read(spark, d, "lineitem"), list(_MI), "l_returnflag", ["l_orderkey", "l_linenumber"])
+
+
+
 @query(union(f"select '{c}' as column_name, round(avg(length({c})), 4) as mean_length, avg(length({c})) > 10 as is_text from documents" for c in ("text", "lang", "source")))
 def text_columns(spark, d):
     return synth.text_columns(read(spark, d, "documents").select("text", "lang", "source"))

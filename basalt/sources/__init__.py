@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +63,23 @@ def read_source(spark: SparkSession, url: str, **options) -> DataFrame:
 READ_ONLY = {"postgresql": "SET SESSION CHARACTERISTICS AS TRANSACTION READ ONLY", "mysql": "SET SESSION TRANSACTION READ ONLY", "mariadb": "SET SESSION TRANSACTION READ ONLY", "sqlite": "PRAGMA query_only = ON"}
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
-    """A database table or read-only query, over a read-only session where the database has one; ``partition`` (column, low, high, parts) reads in parallel."""
-    reader = spark.read.format("jdbc").option("url", url)
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, partition: tuple[str, int] | None = None, **options) -> DataFrame:
+    """A database table or read-only query, over a read-only session where the database has one.
+
+    ``partition`` (column, parts) reads in parallel: the column's ends are asked from
+    the database, and rows without a value go with the first part.
+    """
+    source = f"({check_read_only(query)}) t" if query else table
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
     if statement := READ_ONLY.get(url.split(":")[1] if url.count(":") > 1 else ""):
         reader = reader.option("sessionInitStatement", statement)
-    reader = reader.options(**options)
     if partition:
-        column, low, high, parts = partition
-        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
-    return reader.option("dbtable", f"({check_read_only(query)}) t" if query else table).load()
+        column, parts = partition
+        low, high = reader.option("dbtable", f"(select min({column}) as low_end, max({column}) as high_end from {source}) e").load().first()
+        if low is not None and low < high:
+            # The upper bound itself would be a part of its own.
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.option("dbtable", source).load()
 
 
 def query_rows(spark: SparkSession, url: str, query: str, **options) -> int:
@@ -78,6 +87,52 @@ def query_rows(spark: SparkSession, url: str, query: str, **options) -> int:
     return read_jdbc(spark, url, query=f"select count(*) as n from ({check_read_only(query)}) q", **options).first()[0]
 
 
+@contextmanager
+def _metadata(spark: SparkSession, url: str, options: dict):
+    """The driver's own description of a database, over a connection that is read-only."""
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for name, value in options.items():
+        properties.setProperty(name, str(value))
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setReadOnly(True)
+        yield connection.getMetaData()
+    finally:
+        connection.close()
+
+
+def _rows(found, names: tuple[str, ...]) -> list[tuple]:
+    out = []
+    while found.next():
+        out.append(tuple(found.getString(n) for n in names))
+    return out
+
+
+def database_tables(spark: SparkSession, url: str, **options) -> list[tuple[str, str]]:
+    """(schema, table) of every user table of a database."""
+    with _metadata(spark, url, options) as told:
+        return sorted((s or "", t) for s, t, kind in _rows(told.getTables(None, None, "%", None), ("TABLE_SCHEM", "TABLE_NAME", "TABLE_TYPE")) if kind in ("TABLE", "BASE TABLE"))
+
+
+def foreign_keys(spark: SparkSession, url: str, **options) -> list[tuple[str, str, str, str]]:
+    """(child table, child column, parent table, parent column) of every declared foreign key."""
+    with _metadata(spark, url, options) as told:
+        tables = [t for _, t, kind in _rows(told.getTables(None, None, "%", None), ("TABLE_SCHEM", "TABLE_NAME", "TABLE_TYPE")) if kind in ("TABLE", "BASE TABLE")]
+        return [k for t in tables for k in _rows(told.getImportedKeys(None, None, t), ("FKTABLE_NAME", "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME"))]
+
+
+def sampling_query(kind: str, table: str, total: int, n: int = 50_000) -> str:
+    """A query for about ``n`` of ``total`` rows of a database table, in the database's own words."""
+    if total <= n:
+        return f"select * from {table}"
+    percent = min(max(100 * n / total, 0.1), 100)
+    forms = {"postgresql": f"select * from {table} tablesample bernoulli ({percent:.4f})", "oracle": f"select * from {table} sample ({percent:.4f})", "sqlserver": f"select * from {table} tablesample ({percent:.4f} percent)", "sqlite": f"select * from {table} order by random() limit {n}"}
+    return forms.get(kind, f"select * from {table} fetch first {n} rows only" if kind in ("derby", "db2") else f"select * from {table} limit {n}")
+
+
 def query_over_files(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """A read-only query over named DataFrames."""
     check_read_only(sql)
@@ -97,8 +152,7 @@ def list_tables(spark: SparkSession, source: str | None = None, **options) -> Da
     if source is None:
         return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()], "table_name string")
     if detect_kind(source) == "jdbc":
-        found = read_jdbc(spark, source, query="select table_name from information_schema.tables", **options)
-        return found.toDF("table_name")
+        return spark.createDataFrame([(t,) for _, t in database_tables(spark, source, **options)], "table_name string")
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
     return spark.createDataFrame([(n.rsplit(".", 1)[0],) for n in names if n.rsplit(".", 1)[-1].lower() in FORMATS], "table_name string")
@@ -117,15 +171,45 @@ def hash_sample(df: DataFrame, key: str, per_mille: int, seed: str = "42") -> Da
     return df.where(bucket(key, 1000, seed) < per_mille)
 
 
-def adaptive_sample(df: DataFrame, threshold: int = 50_000, seed: int = 42) -> DataFrame:
-    """A uniform sample of about ``threshold`` rows if there are more (0: never)."""
-    total = df.count() if threshold else 0
-    return df if total <= threshold else df.sample(min(1.0, threshold / total), seed)
+#: Rows in the last bin of an exact sample that are few enough to be sorted.
+FEW = 100_000
 
 
-def exact_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Exactly n rows (or all), those with the smallest hash of their key."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+def exact_sample(df: DataFrame, key: str | list[str], n: int, few: int = FEW) -> DataFrame:
+    """Exactly n rows (or all), those with the smallest hash of their key; equal keys by a hash of the row.
+
+    Rows are counted by the first digits of their hash.  Bins below the cut are taken
+    whole; the bin in which it falls is counted by further digits until few rows are
+    left, and only these are sorted.  The result is the same for any partitioning.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in df.columns])
+    marked = df.withColumn("__hash", F.concat(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), F.md5(row)))
+    inside, left, taken = "", n, F.lit(False)
+    rest = marked
+    for digits in range(4, 65, 4):
+        bins = sorted(map(tuple, rest.groupBy(F.substring("__hash", 1, digits).alias("bin")).agg(F.count("*")).collect()))  # 65,536 at most
+        size = 0
+        for prefix, size in bins:
+            if size > left:
+                inside = prefix
+                break
+            left -= size
+        else:
+            return df  # all rows
+        taken = F.substring("__hash", 1, digits) < inside
+        rest = marked.where(F.substring("__hash", 1, digits) == inside)
+        if size <= few or not left:
+            break
+    below = marked.where(taken)
+    if left:
+        below = below.unionByName(rest.orderBy("__hash").limit(left) if size <= few else rest.limit(left))  # beyond all digits rows are equal
+    return below.drop("__hash")
+
+
+def adaptive_sample(df: DataFrame, key: str | list[str], threshold: int = 50_000) -> DataFrame:
+    """A uniform sample of exactly ``threshold`` rows if there are more (0: never)."""
+    return exact_sample(df, key, threshold) if threshold and df.count() > threshold else df
 
 
 def truncate_text(df: DataFrame, size: int = 200) -> DataFrame:
@@ -176,6 +260,16 @@ def verify_frozen(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, intact boolean")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the whole cluster shares: in ``spark.checkpoint.dir``, or of this machine where that is unset and all runs on it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.match(r"local(\[|$)", master := spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-work-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 class FeatureStore:
     """Feature tables kept as Parquet under the fingerprint of their input."""
 
