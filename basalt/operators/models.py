@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -14,6 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .extra_trees import ExtraTrees
+from .neural import NeuralRegressor
+
 BASELINES = ("GlobalStat", "OneSplit")
 
 
@@ -35,15 +40,40 @@ def assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(ready)
 
 
-def candidates(task: str, n_features: int, n_classes: int = 2, seed: int = 42, trees: int = 100, rounds: int = 100, hidden: tuple[int, ...] = (128, 64)) -> dict:
-    """Estimators by name, with the one-split baseline; ``trees`` are bagged, ``rounds`` boosted."""
+def candidates(task: str, n_features: int, n_classes: int = 2, seed: int = 42, trees: int = 100, rounds: int = 100, hidden: tuple[int, ...] = (128, 64), weight: str | None = None) -> dict:
+    """Estimators by name, with the one-split baseline; ``trees`` are bagged, ``rounds`` boosted.
+
+    ``weight`` names a column of row weights for every model that takes one (the
+    classifying network doesn't).
+    """
+    extra = ExtraTrees(task, trees=trees, seed=seed, weight=weight)
     if task == "regression":
-        return {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed), "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)}
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)
-    return {
-        "OneSplit": DecisionTreeClassifier(maxDepth=1), "LogisticRegression": LogisticRegression(), "RandomForest": RandomForestClassifier(numTrees=trees, seed=seed),
-        "GradientBoosting": boosted if task == "binary" else OneVsRest(classifier=boosted), "NeuralNet": MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=30, seed=seed),
-    }
+        out = {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed), "ExtraTrees": extra, "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed), "NeuralNet": NeuralRegressor(hidden, seed=seed, weight=weight)}
+    else:
+        boosted = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)
+        out = {
+            "OneSplit": DecisionTreeClassifier(maxDepth=1), "LogisticRegression": LogisticRegression(), "RandomForest": RandomForestClassifier(numTrees=trees, seed=seed), "ExtraTrees": extra,
+            "GradientBoosting": boosted if task == "binary" else OneVsRest(classifier=boosted), "NeuralNet": MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=30, seed=seed),
+        }
+    for model in out.values():
+        if weight and hasattr(model, "hasParam") and model.hasParam("weightCol"):
+            model.set(model.getParam("weightCol"), weight)
+    return out
+
+
+def class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
+    """``df`` with each row's balanced weight, rows / (classes * rows of its class), as a column for ``weight``."""
+    counts = [tuple(r) for r in df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*")).orderBy(target).collect()]  # a row for each class
+    total = sum(n for _, n in counts)
+    worth = F.lit(None).cast("double")
+    for value, n in counts:
+        worth = F.when(F.col(target) == F.lit(value), F.lit(total / (len(counts) * n))).otherwise(worth)
+    return df.withColumn(name, worth)
+
+
+def first_metric(predicted: DataFrame, task: str) -> float:
+    """The metric that models are ranked by."""
+    return RegressionEvaluator(metricName="r2").evaluate(predicted) if task == "regression" else MulticlassClassificationEvaluator(metricName="f1").evaluate(predicted)
 
 
 def evaluate(predicted: DataFrame, task: str) -> dict[str, float]:
@@ -55,21 +85,33 @@ def evaluate(predicted: DataFrame, task: str) -> dict[str, float]:
     return out
 
 
+#: Fits that run side by side; Spark shares the executors among their jobs.
+SIDE_BY_SIDE = 3
+
+
+def at_once(run, jobs) -> list:
+    """``run`` of each job, a few at a time; the results are in the order of the jobs."""
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        return pool.map(inheritable_thread_target(run), jobs)
+
+
 def cross_validate(data: DataFrame, estimator, task: str, k: int) -> tuple[dict[str, float], float]:
     """Mean fold metrics and the mean training score; ``data`` has a fold column."""
-    scores, trained = [], []
-    for fold in range(k):
+
+    def one(fold: int) -> tuple[dict[str, float], float]:
         train = data.where(F.col("fold") != fold)
         model = estimator.fit(train)
-        scores.append(evaluate(model.transform(data.where(F.col("fold") == fold)), task))
-        trained.append(next(iter(evaluate(model.transform(train), task).values())))
+        return evaluate(model.transform(data.where(F.col("fold") == fold)), task), first_metric(model.transform(train), task)
+
+    scores, trained = zip(*at_once(one, range(k)), strict=True)
     return {m: sum(s[m] for s in scores) / k for m in scores[0]}, sum(trained) / k
 
 
 def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: int = 3, fold: str = "fold", names: list[str] | None = None, **sizes) -> DataFrame:
     """One row for each model: score, all metrics, overfit gap, time and rank; failures keep a row.
 
-    ``df`` has a column of fold numbers, the same for all models; ``sizes`` go to ``candidates``.
+    ``df`` has a column of fold numbers, the same for all models; ``sizes`` (and the
+    name of a column of weights) go to ``candidates``.  Metrics count every row once.
     """
     data = assemble(df, features, target).withColumn("fold", F.col(fold)).cache()
     n_classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0]) + 1
@@ -94,11 +136,45 @@ def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: i
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "model")))
 
 
+def weighted_comparison(df: DataFrame, features: list[str], target: str, names: list[str], k: int = 3, points: int = 99, **sizes) -> DataFrame:
+    """(model, weighted, recall, precision, f1, best_threshold, best_f1) of class 1 over all folds, without and with balanced class weights.
+
+    Each fold's weights come from its training rows; scores of the left-out rows
+    are counted on a grid of thresholds, whose best f1 is told too.
+    """
+    from .stats import threshold_counts
+
+    data = assemble(df, features, target).select("features", "label", "fold").persist()
+
+    def scored(job: tuple[str, bool]) -> DataFrame:
+        name, weighted = job
+        out = None
+        for fold in range(k):
+            train = data.where(F.col("fold") != fold)
+            train = class_weights(train, "label", "__weight") if weighted else train
+            model = candidates("binary", len(features), weight="__weight" if weighted else None, **sizes)[name].fit(train)
+            part = model.transform(data.where(F.col("fold") == fold)).select("label", "prediction", F.element_at(vector_to_array("probability"), -1).alias("score"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    div = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
+    rows = []
+    jobs = [(name, weighted) for name in names for weighted in (False, True)]
+    for (name, weighted), own in zip(jobs, at_once(scored, jobs), strict=True):
+        hit = F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
+        plain = own.agg(div(hit, F.count_if(F.col("label") == 1)).alias("recall"), div(hit, F.count_if(F.col("prediction") == 1)).alias("precision"), div(2 * hit, F.count_if(F.col("label") == 1) + F.count_if(F.col("prediction") == 1)).alias("f1"))
+        grid = threshold_counts(own, "label", "score", 0.01, 0.01, points).withColumn("f", div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+        best = grid.agg(F.min_by(F.struct("threshold", "f"), F.struct(-F.col("f"), "threshold")).alias("b")).first().b
+        rows.append((name, weighted, *plain.first(), best.threshold, best.f))
+    data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, weighted boolean, recall double, precision double, f1 double, best_threshold double, best_f1 double")
+
+
 def leaderboard_labels(board: DataFrame, best: str) -> DataFrame:
     """``board`` (model, rank, is_baseline) with each model's role, family and complexity."""
     m = F.col("model")
     role = F.when(m == best, "champion").when(m == "GlobalStat", "baseline: overall statistic").when(m == "OneSplit", "baseline: segment rule").when(F.col("rank") <= 2, "runner-up").otherwise("alternative")
-    family = F.when(m.isin(*BASELINES), "heuristic baseline").when(m.contains("Boosting"), "boosted trees").when(m.contains("Net"), "neural network").when(m.contains("Forest"), "bagged trees").when(m.rlike("Logistic|Ridge|Elastic"), "linear").otherwise("machine learning")
+    family = F.when(m.isin(*BASELINES), "heuristic baseline").when(m.contains("Boosting"), "boosted trees").when(m.contains("Net"), "neural network").when(m.rlike("Forest|ExtraTrees"), "bagged trees").when(m.rlike("Logistic|Ridge|Elastic"), "linear").otherwise("machine learning")
     cost = F.when(m == "GlobalStat", "minimal").when((m == "OneSplit") | m.rlike("Logistic|Ridge"), "low").when(m.contains("Net"), "high").otherwise("medium")
     return board.withColumns({"role": role, "family": family, "complexity": cost})
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantiles
-from .models import assemble, candidates, cross_validate
+from .models import assemble, at_once, candidates, cross_validate
 
 
 def attribute(model: Model, df: DataFrame, features: list[str], key: str) -> DataFrame:
@@ -116,19 +116,24 @@ def elbow(curve: DataFrame, at_least: int = 3, retention: float = 0.97, gain: fl
     return step.withColumn("is_elbow", F.col("k") == F.coalesce(first, F.max("k").over(Window.partitionBy())))
 
 
+def _held(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The columns that fits read, kept for all of them, so that no fit computes the mart again."""
+    return df.select(*dict.fromkeys([*features, target, "fold"])).persist()
+
+
 def pareto_curve(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, model: str = "RandomForest", **sizes) -> DataFrame:
     """Cross-validated score of the first 1, 2, ... features; ``df`` has a fold column."""
-    rows = []
-    for size in range(1, len(ranked) + 1):
-        data = assemble(df, ranked[:size], target)
-        metrics, _ = cross_validate(data, candidates(task, size, **sizes)[model], task, k)
-        rows.append((size, float(next(iter(metrics.values())))))
+    df = _held(df, ranked, target)
+    fit = lambda size: cross_validate(assemble(df, ranked[:size], target), candidates(task, size, **sizes)[model], task, k)[0]
+    rows = [(i + 1, float(next(iter(metrics.values())))) for i, metrics in enumerate(at_once(fit, range(1, len(ranked) + 1)))]
+    df.unpersist()
     return elbow(df.sparkSession.createDataFrame(rows, "k int, score double"))
 
 
 def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, tolerance: float = 0.0, model: str = "RandomForest", **sizes) -> DataFrame:
     """Add features one by one; one that lowers the best score by more than the tolerance is left out."""
     rows, kept, best = [], [], float("-inf")
+    df = _held(df, ranked, target)
     for f in ranked:
         metrics, _ = cross_validate(assemble(df, [*kept, f], target), candidates(task, len(kept) + 1, **sizes)[model], task, k)
         score = float(next(iter(metrics.values())))
@@ -136,6 +141,7 @@ def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str,
         rows.append((len(rows) + 1, f, score, keep))
         if keep:
             kept, best = [*kept, f], max(best, score)
+    df.unpersist()
     out = df.sparkSession.createDataFrame(rows, "step int, feature string, score double, kept boolean")
     w = Window.orderBy("step")
     return out.withColumns({"lift": F.col("score") - F.lag("score").over(w), "total_lift": F.col("score") - F.first("score").over(w)})
@@ -171,10 +177,12 @@ def scout(df: DataFrame, features: list[str], target: str, task: str, k: int = 3
 
     own = screen_features(df, features, target, task, **sizes)
     name = "RandomForest" if task == "multiclass" else "GradientBoosting"
+    df = _held(df, own, target)
     n_classes = 0 if task == "regression" else int(df.agg(F.max(target)).first()[0]) + 1
     metrics, _ = cross_validate(assemble(df, own, target), candidates(task, len(own), n_classes, **sizes)[name], task, k)
     score = metrics.get("auc", next(iter(metrics.values())))
     made = importances(refit(df, own, target, task, name, **sizes), own, df.sparkSession)
+    df.unpersist()
     return made.withColumns({"score": F.lit(float(score)), "rank": F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))})  # a row for each feature
 
 
@@ -183,13 +191,17 @@ def feature_ab(df: DataFrame, base: list[str], engineered: list[str], target: st
     from .models import evaluate
     from .stats import t_p
 
-    scores: list[list[float]] = []
-    for features in (base, engineered):
-        data, own = assemble(df, features, target), []
-        for fold in range(k):
-            fitted = candidates(task, len(features), **sizes)[model].fit(data.where(F.col("fold") != fold))
-            own.append(float(next(iter(evaluate(fitted.transform(data.where(F.col("fold") == fold)), task).values()))))
-        scores.append(own)
+    df = _held(df, [*base, *engineered], target)
+
+    def fold_score(job: tuple[list[str], int]) -> float:
+        features, fold = job
+        data = assemble(df, features, target)
+        fitted = candidates(task, len(features), **sizes)[model].fit(data.where(F.col("fold") != fold))
+        return float(next(iter(evaluate(fitted.transform(data.where(F.col("fold") == fold)), task).values())))
+
+    every = at_once(fold_score, [(features, fold) for features in (base, engineered) for fold in range(k)])
+    scores = [every[:k], every[k:]]
+    df.unpersist()
     a, b = (sum(s) / k for s in scores)
     gaps = [y - x for x, y in zip(*scores, strict=True)]
     mean = sum(gaps) / k

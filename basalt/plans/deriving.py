@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import audit, clean, models, profile, recommend, select, stats, synth
+from ..operators import audit, clean, mart, models, profile, recommend, select, stats, synth
 from .profiling import union
 from .recommending import WITH, items
 from .registry import query, read
@@ -89,13 +89,16 @@ def shared_items(spark, d):
 
 # -- runs of models, made from the orders of each clerk-like group: what is checked are the rules over them --
 
-_RUNS = "select o_custkey % 50 as run, case when o_custkey % 2 = 0 then 'regression' else 'binary' end as task, round(avg(o_totalprice % 1000) / 1000, 4) as score, round(avg(o_totalprice % 17), 4) as lift_global, round(avg(o_totalprice % 13), 4) as lift_segment, round(avg(o_totalprice % 31) / 100, 4) as overfit_gap, round(avg(o_totalprice % 71), 4) as sparsity from orders group by 1, 2"
+# Means are quotients of whole numbers (prices in cents), rounded half up to four digits in whole numbers too, so they don't depend on the order of the rows.
+_MEANS = {"score": (1000, 1000), "lift_global": (17, 1), "lift_segment": (13, 1), "overfit_gap": (31, 100), "sparsity": (71, 1)}  # modulus and divisor
+_RUNS = "select run, task, " + ", ".join(f"((20000 * {n} + 100 * {by} * c) // (200 * {by} * c)) / 10000::double as {n}" for n, (_, by) in _MEANS.items()) + " from (select o_custkey % 50 as run, case when o_custkey % 2 = 0 then 'regression' else 'binary' end as task, count(*) as c, " + ", ".join(f"sum(round(100 * o_totalprice)::bigint % {100 * m})::bigint as {n}" for n, (m, _) in _MEANS.items()) + " from orders group by 1, 2)"
 
 
 def runs(spark, d):
-    mean = lambda m, by, name: F.round(F.avg(F.col("o_totalprice") % m) / by, 4).alias(name)
+    cents = F.round(100 * F.col("o_totalprice")).cast("long")
     df = read(spark, d, "orders").withColumns({"run": F.col("o_custkey") % 50, "task": F.when(F.col("o_custkey") % 2 == 0, "regression").otherwise("binary")})
-    return df.groupBy("run", "task").agg(mean(1000, 1000, "score"), mean(17, 1, "lift_global"), mean(13, 1, "lift_segment"), mean(31, 100, "overfit_gap"), mean(71, 1, "sparsity"))
+    summed = df.groupBy("run", "task").agg(F.count("*").alias("c"), *[F.sum(cents % (100 * m)).alias(n) for n, (m, _) in _MEANS.items()])
+    return summed.select("run", "task", *[(F.expr(f"(20000 * {n} + {100 * by} * c) div ({200 * by} * c)") / 10000.0).alias(n) for n, (_, by) in _MEANS.items()])
 
 
 _TRIGGERS = "list_filter([case when lift_global < 5 and lift_segment < 5 then 'MARGINAL_LIFT' end, case when overfit_gap > 0.15 then 'HIGH_OVERFITTING' end, case when score < case when task = 'regression' then 0.10 else 0.58 end then 'SIGNAL_DEFICIENCY' end, case when sparsity > 35 then 'HIGH_SPARSITY' end], lambda t: t is not null)"
@@ -112,14 +115,17 @@ def parameter_sensitivity(spark, d):
 
 
 _NAMES = "['GlobalStat', 'OneSplit', 'Ridge', 'RandomForest', 'GradientBoosting', 'NeuralNet']"
-_BOARD = f"select * from (select ({_NAMES})[(run % 6 + 1)::int] as model, round(avg(score), 4) as score, run % 6 < 2 as is_baseline, row_number() over (order by round(avg(score), 4) desc, ({_NAMES})[(run % 6 + 1)::int])::int as rank from ({_RUNS}) group by run % 6)"
+#: The mean of four-digit scores, in whole numbers.
+_MEAN = "((2 * sum(round(10000 * score)::bigint) + count(*)) // (2 * count(*)))::bigint / 10000::double"
+_BOARD = f"select * from (select ({_NAMES})[(run % 6 + 1)::int] as model, {_MEAN} as score, run % 6 < 2 as is_baseline, row_number() over (order by {_MEAN} desc, ({_NAMES})[(run % 6 + 1)::int])::int as rank from ({_RUNS}) group by run % 6)"
 
 
 def board(spark, d):
     from pyspark.sql import Window
 
     names = F.array(*map(F.lit, ("GlobalStat", "OneSplit", "Ridge", "RandomForest", "GradientBoosting", "NeuralNet")))
-    rows = runs(spark, d).groupBy((F.col("run") % 6).cast("int").alias("i")).agg(F.round(F.avg("score"), 4).alias("score")).select(names[F.col("i")].alias("model"), "score", (F.col("i") < 2).alias("is_baseline"))
+    summed = runs(spark, d).groupBy((F.col("run") % 6).cast("int").alias("i")).agg(F.sum(F.round(10000 * F.col("score")).cast("long")).alias("s"), F.count("*").alias("c"))
+    rows = summed.select("i", (F.expr("(2 * s + c) div (2 * c)") / 10000.0).alias("score")).select(names[F.col("i")].alias("model"), "score", (F.col("i") < 2).alias("is_baseline"))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "model")))  # a row for each model
 
 
@@ -253,16 +259,40 @@ def threshold_curve(spark, d):
     return stats.threshold_curve(scores(spark, d), "y", "s")
 
 
-@query("select least(count(*), 60000000)::bigint as n_rows from lineitem")
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_LINE = "md5(" + " || '|' || ".join(_LINE_KEY) + ")"
+
+
+@query(f"select count(*) as n_rows, sum(l_orderkey)::bigint as orders, sum(l_partkey)::bigint as parts, max({_LINE}) as last_hash from (select * from lineitem order by {_LINE} limit 50000)")
 def adaptive_sample(spark, d):
-    """A table below the threshold comes back whole."""
-    return sources.adaptive_sample(read(spark, d, "lineitem"), 60_000_000).agg(F.count("*").alias("n_rows"))
+    """Exactly 50,000 rows of a larger table, by the hash of its key."""
+    sample = sources.adaptive_sample(read(spark, d, "lineitem"), _LINE_KEY)
+    return sample.agg(F.count("*").alias("n_rows"), F.sum("l_orderkey").alias("orders"), F.sum("l_partkey").alias("parts"), F.max(F.md5(F.concat_ws("|", *_LINE_KEY))).alias("last_hash"))
+
 
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
-@query("select '" + "' as table_name union all select '".join(("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")) + "' as table_name")
+@query(" union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in TABLES))
 def list_tables(spark, d):
-    return sources.list_tables(spark, d)
+    """The tables of a folder with their rows."""
+    names = [r.table_name for r in sources.list_tables(spark, d).collect()]
+    return sources.row_counts({n: read(spark, d, n) for n in names})
+
+
+# Columns of the tables that end like a key, by their names without the tables' prefixes.
+_KEYS = {"regionkey": ("region.r_regionkey", "nation.n_regionkey"), "nationkey": ("nation.n_nationkey", "customer.c_nationkey", "supplier.s_nationkey"), "custkey": ("customer.c_custkey", "orders.o_custkey"), "suppkey": ("supplier.s_suppkey", "lineitem.l_suppkey"), "partkey": ("part.p_partkey", "lineitem.l_partkey"), "orderkey": ("orders.o_orderkey", "lineitem.l_orderkey"), "doc_id": ("documents.doc_id", "labels.doc_id")}
+_PAIRS = [(*a.split("."), *b.split(".")) for columns in _KEYS.values() for a in columns for b in columns if a != b]
+
+
+@query(
+    "select child_table, child_column, parent_table, parent_column, source, child_keys, orphan_keys, parent_rows from ("
+    + " union all ".join(f"select '{ct}' as child_table, '{cc}' as child_column, '{pt}' as parent_table, '{pc}' as parent_column, 'name' as source, (select count(distinct {cc}) from {ct}) as child_keys, (select count(distinct {cc}) from {ct} where {cc} not in (select {pc} from {pt})) as orphan_keys, (select count(*) from {pt}) as parent_rows, (select count(distinct {pc}) from {pt}) as parent_keys" for ct, cc, pt, pc in _PAIRS)
+    + ") r where orphan_keys = 0 and parent_rows = parent_keys"
+)
+def relations(spark, d):
+    """Keys between all tables, found by sketches of their columns."""
+    return mart.discover_relations({t: read(spark, d, t) for t in TABLES})
 
 
 @query("select c_mktsegment, k, count(*) as n from (select c_mktsegment, case when c_acctbal is null then 1 else 0 end as k from customer) group by 1, 2")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantiles
 from ..operators import drift
+from ..sources import work_folder
+from ..streaming import LatestDrift, latest
 from .registry import query, read
 
 _RISK = "(select event_id, least(1, round(value / (select quantile_cont(value, 0.9) from events), 4)) as risk, value from events)"
@@ -118,6 +120,31 @@ def drift_last_n(spark, d):
     return drift.psi(drift.numeric_bins(base, ["value"], edges), drift.numeric_bins(now, ["value"], edges))
 
 
+@query(f"select feature, psi, 1000::bigint as n from ({_psi('value', _grid(_B), _grid('(select * from events order by ts desc, event_id desc limit 1000)'))})")
+def drift_latest_stream(spark, d):
+    """The same from a stream of the events, in as many micro-batches as there are files."""
+    base, _ = halves(spark, d)
+    edges = drift.numeric_edges(base, ["value"])
+    events = read(spark, d, "events")
+    monitor = LatestDrift(spark, work_folder(spark, "drift"), ["ts", "event_id"], ["value"], edges, drift.numeric_bins(base, ["value"], edges))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet")
+    monitor.start(stream.select("ts", "event_id", "value")).awaitTermination()
+    return monitor.last()
+
+
+# Of each kind of event its latest 50, by the hour of the day that they stand for.
+_KINDS = "(select event_type, value, row_number() over (partition by event_type order by ts desc, event_id desc) as place from events)"
+
+
+@query(f"with k as (select * from {_KINDS} where place <= 50), g as (select t.event_type, b.bin, b.n as a from (select distinct event_type from k) t, {_grid(_B)} b), c as (select event_type, len(list_filter({_E}, lambda e: e < value))::int as bin, count(*) as b from k group by 1, 2), s as (select event_type, coalesce(b, 0) as b, (coalesce(b, 0) + 0.5::double) / (sum(coalesce(b, 0)) over (partition by event_type) + 4) as now, (a + 0.5::double) / (sum(a) over (partition by event_type) + 4) as base from g left join c using (event_type, bin)) select event_type, 'value' as feature, round(sum((now - base) * ln(now / base)), 4) as psi, sum(b)::bigint as n from s group by 1")
+def drift_latest_by_type(spark, d):
+    base, _ = halves(spark, d)
+    edges = drift.numeric_edges(base, ["value"])
+    monitor = LatestDrift(spark, "", ["ts", "event_id"], ["value"], edges, drift.numeric_bins(base, ["value"], edges), 50, "event_type")
+    return monitor.scores(latest(read(spark, d, "events"), ["ts", "event_id"], 50, "event_type"))
+
+
+
 @query(f"with s as ({_NUM} union all {_CATS}), t as (select string_agg(feature, ',' order by psi desc, feature) as drifted_features from s) select event_id, risk, case when risk >= 0.7 then 'URGENT' else 'CAUTION' end as level, drifted_features from {_RISK}, t where risk >= 0.4")
 def alerts(spark, d):
     return drift.alerts(risks(spark, d), "risk", "event_id", numeric(spark, d).unionByName(categorical(spark, d)))

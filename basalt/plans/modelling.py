@@ -37,7 +37,16 @@ def leaderboard(spark, d):
 
 @query()
 def regression_leaderboard(spark, d):
-    return models.leaderboard(customers(spark, d), FEATURES, "c_acctbal", "regression", names=["Ridge", "ElasticNet", "RandomForest"], **SIZES)
+    return models.leaderboard(customers(spark, d), FEATURES, "c_acctbal", "regression", names=["Ridge", "ElasticNet", "RandomForest", "ExtraTrees", "NeuralNet"], **SIZES)
+
+
+@query()
+def weighted_leaderboard(spark, d):
+    """Models of the rarest order status, with and without class weights: what of the small class they find."""
+    df = read(spark, d, "lineitem").join(read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = df.groupBy("o_orderkey", "o_orderstatus", "o_totalprice").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("pieces"), F.max("l_discount").alias("discount"), F.count_if(F.col("l_linestatus") == "O").alias("open_lines"))
+    df = clean.kfold(df.withColumn("target", (F.col("o_orderstatus") == "P").cast("int")), "o_orderkey", 3, "target")
+    return models.weighted_comparison(df, ["o_totalprice", "lines", "pieces", "discount", "open_lines"], "target", ["LogisticRegression", "ExtraTrees"], **SIZES)
 
 
 @query()
