@@ -515,12 +515,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     each = F.sort_array(F.collect_set(F.struct("line", "class_id", "copies", "linked_classes", "linked_lines", "gone")))
     found = of_lines.groupBy("id", "h").agg(each.alias(found_lines)).withColumnsRenamed({"id": of_id, "h": of_text})
     own = quoted(key).cast("long")
-    joined = docs.join(found, own.eqNullSafe(F.col(of_id)) & (F.xxhash64(own, quoted(text)) == F.col(of_text)), "left")
+    # Hashing the lines' side spares a sort of all texts.
+    joined = docs.join(found.hint("shuffle_hash"), own.eqNullSafe(F.col(of_id)) & (F.xxhash64(own, quoted(text)) == F.col(of_text)), "left")
     joined = joined.withColumn(cut, F.transform(F.filter(found_lines, lambda x: x["gone"]), lambda x: x["line"]))
     parts = F.split(quoted(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
     rest = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     cleaned = F.when(F.size(cut) > 0, rest).otherwise(quoted(text)).alias(text)
     names = others(docs, "n_lines", "n_removed", "line_classes")
-    counts = (F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
+    breaks = F.octet_length(quoted(text)) - F.octet_length(F.replace(quoted(text), F.lit("\n"), F.lit("")))
+    counts = (F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
     return joined.select(*(cleaned if c == text else quoted(c) for c in names), *counts, F.coalesce(found_lines, F.array().cast(found.schema[found_lines].dataType)).alias("line_classes"))

@@ -48,8 +48,13 @@ def any_of(*parts: Query) -> Query:
     return True if True in rest else rest[0] if len(rest) == 1 else ("or", tuple(rest))
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case and nothing else, as the index has it."""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
 def literal(text: str) -> Query:
-    raw = text.lower().encode()
+    raw = lowered(text).encode(errors="replace")
     return all_of(*(("has", raw[i : i + 3]) for i in range(len(raw) - 2)))
 
 
@@ -84,11 +89,11 @@ def _derive(parsed) -> tuple[set[str] | None, Query]:
 
 def _node(op, arg) -> tuple[set[str] | None, Query]:
     if op is C.LITERAL:
-        return {chr(arg).lower()}, True
+        return {lowered(chr(arg))}, True
     if op is C.IN:
         if any(o is not C.LITERAL for o, _ in arg) or len(arg) > MOST_STRINGS:
             return None, True
-        return {chr(a).lower() for _, a in arg}, True
+        return {lowered(chr(a)) for _, a in arg}, True
     if op is C.SUBPATTERN:
         return _derive(arg[-1])
     if op is C.BRANCH:

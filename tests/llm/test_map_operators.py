@@ -218,3 +218,11 @@ def test_viterbi_equals_library(documents):
             assert own >= other, word
             same += own == other
     assert same > 0.8 * len(words)
+
+
+def test_rules_with_letters_beyond_ascii(spark):
+    rows = [(1, "CLÉ=abc"), (2, "clé=abc"), (3, "Clé=x CLÉ=yz"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = (secrets.SecretRule("key", "CLÉ=([a-z]+)"), secrets.SecretRule("any", "clé=[a-z]+", ignore_case=True))
+    out = {r.doc_id: (r.kinds, r.starts) for r in secrets.scan_secrets(df, rules=rules).collect()}
+    assert out == {1: (["key"], [0]), 2: (["any"], [0]), 3: (["any", "key"], [0, 6]), 4: ([], [])}
