@@ -192,7 +192,8 @@ class OneHot:
 def freq_encode(df: DataFrame, column: str) -> DataFrame:
     """``{column}_freq``: the value's share of all rows.  (The table of shares is joined, not broadcast by force.)"""
     counted = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    shares = counted.select("__v", (F.col("__n") / F.sum("__n").over(Window.partitionBy())).alias(f"{column}_freq"))
+    every = df.agg(F.count("*").alias("__every"))
+    shares = counted.join(every, how="cross").select("__v", (F.col("__n") / F.col("__every")).alias(f"{column}_freq"))  # a row for all
     return df.join(shares, F.col(column).eqNullSafe(F.col("__v")), "left").drop("__v")
 
 

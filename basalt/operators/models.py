@@ -48,7 +48,7 @@ def candidates(task: str, n_features: int, n_classes: int = 2, seed: int = 42, t
     """
     extra = ExtraTrees(task, trees=trees, seed=seed, weight=weight)
     if task == "regression":
-        out = {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed), "ExtraTrees": extra, "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed), "NeuralNet": NeuralRegressor(hidden, seed=seed, weight=weight)}
+        out = {"OneSplit": DecisionTreeRegressor(maxDepth=1), "Ridge": LinearRegression(regParam=0.1), "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5), "RandomForest": RandomForestRegressor(numTrees=trees, seed=seed), "ExtraTrees": extra, "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed), "NeuralNet": NeuralRegressor(hidden, steps=max(30, rounds), seed=seed, weight=weight)}
     else:
         boosted = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.08, seed=seed)
         out = {

@@ -35,7 +35,7 @@ def cold_start(history: DataFrame, threshold: int = 3) -> DataFrame:
 
 def guidance_items(users: DataFrame, history: DataFrame, profile: DataFrame, outcomes: int = 3, k: int = 2) -> DataFrame:
     """For cold users: the top items of the first outcomes that they do not hold."""
-    first = profile.select("target").distinct().withColumn("o", F.row_number().over(Window.orderBy("target"))).where(F.col("o") <= outcomes)
+    first = profile.select("target").distinct().orderBy("target").limit(outcomes)
     offers = top_nodes(profile, k).join(first, "target").select("target", "item")
     return users.select("user").join(offers, how="cross").join(history.select("user", "item").distinct(), ["user", "item"], "left_anti")  # at most outcomes * k offers
 
@@ -214,10 +214,13 @@ def credit_simulation(taken: DataFrame, planned: DataFrame, types: DataFrame, re
 
 
 def remaining_mandatory(taken: DataFrame, planned: DataFrame, mandatory: DataFrame) -> DataFrame:
-    """(user, item) of the mandatory items that a user has neither taken nor planned; there are few mandatory items."""
+    """(user, item) of the mandatory items that a user has neither taken nor planned; of mandatory items there may be ``MOST_BROADCAST``."""
     users = taken.select("user").unionByName(planned.select("user")).distinct()
     held = taken.select("user", "item").unionByName(planned.select("user", "item"))
-    return users.join(F.broadcast(mandatory.select("item").distinct()), how="cross").join(held, ["user", "item"], "left_anti")
+    items = mandatory.select("item").distinct()
+    if items.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} mandatory items for each user")
+    return users.join(F.broadcast(items), how="cross").join(held, ["user", "item"], "left_anti")  # every user needs every such item
 
 
 def guardrails(df: DataFrame, domain: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantiles
 from ..operators import drift
-from ..sources import work_folder
+from ..sources import read_stream, work_folder
 from ..streaming import LatestDrift, latest
 from .registry import query, read
 
@@ -127,7 +127,7 @@ def drift_latest_stream(spark, d):
     edges = drift.numeric_edges(base, ["value"])
     events = read(spark, d, "events")
     monitor = LatestDrift(spark, work_folder(spark, "drift"), ["ts", "event_id"], ["value"], edges, drift.numeric_bins(base, ["value"], edges))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet")
+    stream = read_stream(spark, f"{d}/events.parquet", events.schema, maxFilesPerTrigger=1)
     monitor.start(stream.select("ts", "event_id", "value")).awaitTermination()
     return monitor.last()
 

@@ -260,6 +260,14 @@ def verify_frozen(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "split string, intact boolean")
 
 
+def read_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory():
+        return spark.readStream.schema(schema).options(**options).parquet(path)
+    return spark.readStream.schema(schema).options(pathGlobFilter=own.getName(), **options).parquet(str(own.getParent().toString()))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the whole cluster shares: in ``spark.checkpoint.dir``, or of this machine where that is unset and all runs on it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
