@@ -519,8 +519,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     joined = docs.join(found.hint("shuffle_hash"), own.eqNullSafe(F.col(of_id)) & (F.xxhash64(own, quoted(text)) == F.col(of_text)), "left")
     joined = joined.withColumn(cut, F.transform(F.filter(found_lines, lambda x: x["gone"]), lambda x: x["line"]))
     parts = F.split(quoted(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
-    rest = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    # The outer transform binds the lines, so that they are cut out once and not for each line.
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut)), lambda i: F.get(lines, i))
+    rest = F.array_join(F.flatten(F.transform(F.array(parts), stay)), "\n")
     cleaned = F.when(F.size(cut) > 0, rest).otherwise(quoted(text)).alias(text)
     names = others(docs, "n_lines", "n_removed", "line_classes")
     breaks = F.octet_length(quoted(text)) - F.octet_length(F.replace(quoted(text), F.lit("\n"), F.lit("")))

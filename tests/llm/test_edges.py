@@ -221,6 +221,7 @@ def test_scores_do_not_depend_on_ids(spark):
 
 def test_many_removed_lines_of_one_document(spark):
     lines = [f"line number{i} of the long text" for i in range(20_000)]
-    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::2], "a line that stays"]))], "doc_id long, text string")
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).select("doc_id", "text", "n_removed").collect()}
-    assert out[2].text == "a line that stays" and out[2].n_removed == 10_000
+    own = [f"only{i} in document number{i} two{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[::2], *own, "", "a line that stays"]))], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).select("doc_id", "text", "n_lines", "n_removed").collect()}
+    assert out[2].text == "\n".join([*own, "", "a line that stays"]) and (out[2].n_removed, out[2].n_lines, out[1].n_lines) == (10_000, 30_002, 20_000)
