@@ -2,9 +2,11 @@
 
 Texts are cut into windows of ``WINDOW`` bytes (the last one padded); the whole
 text is covered.  Filters of several widths over byte embeddings, rectified and
-max-pooled over a window, feed a softmax layer.  Training is plain numpy on all
-windows of about ``per_lang`` labelled documents of each language (a documented
-bound on rows, drawn by a hash of their id).  A text's prediction is the mean of
+max-pooled over a window, feed a softmax layer.  Training is plain numpy on the
+windows of about ``per_lang`` labelled documents of each language, drawn by a hash
+of their id (a documented bound: ``max_rows`` documents and ``max_windows`` windows in
+all; of a document with more than its part, windows evenly spread over its whole
+length).  They are cut on the executors.  A text's prediction is the mean of
 its windows' probabilities, weighted by their bytes.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, quoted, text_udf, with_fields
+from .common import Block, map_blocks, quoted, text_udf, with_fields
 
 WINDOW, WIDTHS, EMBED, FILTERS = 64, (2, 3, 4), 8, 16
 #: A softmax over more languages than this is refused.
@@ -74,14 +76,20 @@ def cut(raw: np.ndarray) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 5) -> ByteConv:
+def spread_windows(raw: np.ndarray, most: int) -> np.ndarray:
+    """All windows of a document, or ``most`` of them, evenly spread over its whole length."""
+    windows = cut(raw)
+    return windows if len(windows) <= most else windows[np.arange(most) * len(windows) // most]
+
+
+def fit(texts: list[str | bytes], langs: list[str], epochs: int = 3, seed: int = 5) -> ByteConv:
     """Adam on softmax cross-entropy, over all windows of every labelled text; each language weighs the same."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     number = {n: i for i, n in enumerate(names)}
     x, y = [], []
     for text, lang in zip(texts, langs, strict=True):
-        windows = cut(np.frombuffer(text.encode(), np.uint8))
+        windows = cut(np.frombuffer(text if isinstance(text, bytes) else text.encode(), np.uint8))
         x.append(windows)
         y += [number[lang]] * len(windows)
     model = ByteConv(names, rng.normal(0, 0.3, (256, EMBED)), [rng.normal(0, (k * EMBED) ** -0.5, (k * EMBED, FILTERS)) for k in WIDTHS], [np.zeros(FILTERS) for _ in WIDTHS], np.zeros((FILTERS * len(WIDTHS), len(names))), np.zeros(len(names)))
@@ -133,16 +141,26 @@ def _gradients(model: ByteConv, x: np.ndarray, y: np.ndarray, w: np.ndarray) ->
     return [embed, *filters, *bias, act.T @ p, p.sum(0)]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 100, max_rows: int = 20_000, **options) -> ByteConv:
-    """Fit on the whole texts of about ``per_lang`` rows of each language and at most ``max_rows`` in all, drawn by a hash of their id."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 100, max_rows: int = 20_000, max_windows: int = 1 << 19, **options) -> ByteConv:
+    """Fit on about ``per_lang`` rows of each language and at most ``max_rows`` in all, drawn by a hash of their id, with at most about ``max_windows`` windows."""
     rows = docs.select(quoted(lang).alias("lang"), quoted(text).alias("text"), F.pmod(F.xxhash64(quoted(key), F.lit(11)), F.lit(1 << 30)).alias("draw"))
     rows = rows.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     shares = docs.sparkSession.createDataFrame([(r[0], int(per_lang / r[1] * (1 << 30))) for r in sizes], "lang string, most long")
-    got = rows.join(F.broadcast(shares), "lang").where("draw < most").orderBy("draw", "text", "lang").limit(max_rows).toArrow()
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), **options)
+    most = max(1, max_windows // max(1, min(max_rows, sum(min(per_lang, r[1]) for r in sizes))))
+
+    def make():
+        def work(block: Block, table: pa.Table) -> list:
+            windows = [spread_windows(block.data[block.offs[i] : block.offs[i + 1]], most).tobytes() for i in range(block.n)]
+            return [table.column("draw"), table.column("lang"), windows]
+
+        return work
+
+    drawn = rows.join(F.broadcast(shares), "lang").where("draw < most").select("draw", "lang", "text")
+    got = map_blocks(drawn, "text", make, "draw long, lang string, windows binary").orderBy("draw", "lang", "windows").limit(max_rows).toArrow()
+    return fit(got.column("windows").to_pylist(), got.column("lang").to_pylist(), **options)
 
 
 def identify(docs: DataFrame, model: ByteConv, text: str = "text", at_once: int = 2048) -> DataFrame:

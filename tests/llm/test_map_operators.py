@@ -226,3 +226,17 @@ def test_rules_with_letters_beyond_ascii(spark):
     rules = (secrets.SecretRule("key", "CLÉ=([a-z]+)"), secrets.SecretRule("any", "clé=[a-z]+", ignore_case=True))
     out = {r.doc_id: (r.kinds, r.starts) for r in secrets.scan_secrets(df, rules=rules).collect()}
     assert out == {1: (["key"], [0]), 2: (["any"], [0]), 3: (["any", "key"], [0, 6]), 4: ([], [])}
+
+
+def test_training_windows_are_bounded_and_spread():
+    raw = np.arange(64 * 100 + 5) // 64 % 251
+    windows = language_id.spread_windows(raw.astype(np.uint8), 7)
+    assert windows.shape == (7, 64) and [int(w[0]) for w in windows] == [i * 101 // 7 for i in range(7)]
+    assert len(language_id.spread_windows(raw.astype(np.uint8), 101)) == 101
+
+
+def test_language_of_very_long_texts_with_few_windows(spark):
+    rows = [(i, "abc def gha " * (20_000 if i == 1 else 30), "a") for i in range(12)] + [(100 + i, "xyz uvw rst " * (20_000 if i == 1 else 30), "b") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, max_windows=200)
+    assert all(r.lang_pred == r.lang for r in language_id.identify(df, model).collect())
