@@ -24,29 +24,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[
     if not columns:
         return {}
     value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
-    counts = df.agg(*[F.count(v).alias(str(i)) for i, v in enumerate(value.values())]).first()
-    size = dict(zip(columns, counts, strict=True))
-    asked = [(c, p) for c in columns if size[c] for p in at]
+    # One pass gives sizes, ends and first brackets.
+    inner = sorted({p for p in at if 0 < p < 1})
+    near = [max(0.0, min(1.0, p + s * 3 / ACCURACY)) for p in inner for s in (-1, 1)]
+    first = df.agg(*[f.alias(f"{n}{i}") for i, v in enumerate(value.values()) for n, f in (("n", F.count(v)), ("lo", F.min(v)), ("hi", F.max(v)), *([("near", F.percentile_approx(v, near, ACCURACY))] if near else []))]).first()
+    size = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    ends_of = {c: {0: first[f"lo{i}"], 1: first[f"hi{i}"]} for i, c in enumerate(columns)}
+    asked = [(c, p) for c in columns if size[c] for p in inner]
     bounds: dict[tuple[str, float], list] = {k: [float("-inf"), float("inf"), 0, size[k[0]]] for k in asked}  # from, to, rows below, rows inside
 
     def ranks(key: tuple[str, float]) -> tuple[int, int]:
         r = key[1] * (size[key[0]] - 1)
         return math.floor(r), math.ceil(r)
 
-    for _ in range(6):
+    for turn in range(6):
         wide = [k for k in asked if bounds[k][3] > FEW and bounds[k][0] < bounds[k][1]]
         if not wide:
             break
         inside = [F.when(value[c].between(F.lit(bounds[c, p][0]), F.lit(bounds[c, p][1])), value[c]) for c, p in wide]
         shares = [[min(max((r - bounds[k][2] + d) / bounds[k][3] + s * 2 / ACCURACY, 0.0), 1.0) for r, d, s in zip(ranks(k), (0, 1), (-1, 1), strict=True)] for k in wide]
-        found = df.agg(*[F.percentile_approx(v, s, ACCURACY).alias(str(i)) for i, (v, s) in enumerate(zip(inside, shares, strict=True))]).first()
-        ends = [tuple(found[i]) for i in range(len(wide))]
+        if turn:
+            found = df.agg(*[F.percentile_approx(v, s, ACCURACY).alias(str(i)) for i, (v, s) in enumerate(zip(inside, shares, strict=True))]).first()
+            ends = [tuple(found[i]) for i in range(len(wide))]
+        else:
+            ends = [tuple(first[f"near{columns.index(c)}"][2 * inner.index(p) :][:2]) for c, p in wide]
         counted = df.agg(*[f(e).alias(f"{n}{i}") for i, (k, (a, b)) in enumerate(zip(wide, ends, strict=True)) for n, f, e in (("b", F.count_if, value[k[0]] < a), ("i", F.count_if, value[k[0]].between(a, b)))]).first()
         for i, (k, (a, b)) in enumerate(zip(wide, ends, strict=True)):
             bounds[k] = [a, b, counted[f"b{i}"], counted[f"i{i}"]]
-    out: dict[str, list[float] | None] = {c: [] if size[c] else None for c in columns}
+    found_at: dict[tuple[str, float], float] = {(c, p): ends_of[c][p] for c in columns if size[c] for p in at if p in (0, 1)}
+    told = lambda: {c: [found_at[c, p] for p in at] if size[c] else None for c in columns}
     if not asked:
-        return out
+        return told()
     held = F.array(*[F.struct(F.lit(i).alias("i"), F.when(value[c].between(F.lit(bounds[c, p][0]), F.lit(bounds[c, p][1])), value[c]).alias("v")) for i, (c, p) in enumerate(asked)])
     by_value = df.select(F.explode(F.filter(held, lambda x: x["v"].isNotNull())).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -58,8 +66,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[
     for i, k in enumerate(asked):
         (_, low), (_, high) = min(picked[i]), max(picked[i])
         r = k[1] * (size[k[0]] - 1)
-        out[k[0]].append(low if low == high else (math.ceil(r) - r) * low + (r - math.floor(r)) * high)
-    return out
+        found_at[k] = low if low == high else (math.ceil(r) - r) * low + (r - math.floor(r)) * high
+    return told()
 
 
 def block_of(df: DataFrame, order: str, blocks: int = 128, by: tuple[str, ...] = ()) -> Column:

@@ -29,6 +29,7 @@ def leak_scan(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return out.select("column_name", "distinct_values", "most_targets", leak.alias("is_leak"))
 
 
+# Parts of names that hint at identifiers.
 ID_HINTS = ("id", "code", "name", "sn", "num", "token", "key")
 
 

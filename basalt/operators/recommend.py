@@ -106,18 +106,57 @@ def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
-    """The k most similar corpus documents of every query (ties by id), by an inverted index.
+#: Postings that a query's rarest tokens may have for a first guess of its k-th similarity.
+FIRST_POSTINGS = 1000
+#: Similarities that are this close count as equal when documents are ruled out.
+SLACK = 1e-9
+
+
+def pruned_postings(queries: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What ``cosine_topk`` needs of the inverted index: (query, token, a, is_essential, rest, least), and the corpus in (id, token, b).
 
-    Query tokens are broadcast if there are at most ``MOST_BROADCAST``: common
-    words then need no task of their own, and as ``tfidf`` deals the corpus by
-    document, sums are complete without a shuffle.  More are joined by token.
+    No token adds more to a similarity than its weight in the query times its
+    largest weight in the corpus.  The similarities over a query's rarest tokens give
+    ``least``, which k documents reach for certain.  Then the most common tokens are
+    set aside as long as their bounds together (``rest``) stay below it: a document
+    that has nothing but these can't be among the first k.
     """
     asked = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a"))
-    if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        asked = F.broadcast(asked)
-    hits = asked.join(corpus.select("id", "token", F.col("weight").alias("b")), "token")
-    sims = hits.groupBy("query", "id").agg(F.round(F.sum(F.col("a") * F.col("b")), digits).alias("sim"))
+    held = corpus.select("id", "token", F.col("weight").alias("b")).persist()
+    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    small = F.broadcast if few else lambda df: df
+    wanted = held.join(small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.max("b").alias("top"))
+    bounds = asked.join(wanted, "token").select("query", "token", "a", "df", (F.col("a") * F.col("top")).alias("bound")).persist()
+    rare = Window.partitionBy("query").orderBy("df", "token")
+    first = bounds.withColumn("sum", F.sum("df").over(rare)).where((F.col("sum") <= FIRST_POSTINGS) | (F.col("sum") == F.col("df"))).select("query", "token", "a")
+    some = small(first).join(held, "token").groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
+    least = some.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim")))).where(F.col("place") == k).select("query", F.col("sim").alias("least"))
+    common = Window.partitionBy("query").orderBy(F.desc("df"), F.desc("token"))
+    aside = bounds.join(least, "query", "left").withColumn("sum", F.sum("bound").over(common))
+    aside = aside.withColumn("is_essential", F.col("least").isNull() | (F.col("sum") >= F.col("least") - SLACK))
+    rest = F.coalesce(F.max(F.when(~F.col("is_essential"), F.col("sum"))).over(Window.partitionBy("query")), F.lit(0.0))
+    return aside.select("query", "token", "a", "df", "is_essential", rest.alias("rest"), F.coalesce("least", F.lit(0.0)).alias("least")).persist(), held
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
+    """The k most similar corpus documents of every query (ties by id), by an inverted index without the postings that can't matter.
+
+    Documents that share an essential token (see ``pruned_postings``) get their
+    similarity over these; those that can't reach the k-th any more go, and only the
+    others meet the query's common tokens.  Weights must not be negative.
+
+    Query tokens are broadcast if there are at most ``MOST_BROADCAST``, so that no
+    token needs a task of its own; more are joined by token.  The corpus is kept
+    for the passes over it.
+    """
+    asked, held = pruned_postings(queries, corpus, k)
+    small = F.broadcast if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
+    hits = small(asked.where("is_essential")).join(held, "token")
+    near = hits.groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("part"), F.max("rest").alias("rest"), F.max("least").alias("least"))
+    near = near.where(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query", "id", "part").persist()
+    more = near.select("query", "id").join(asked.where("not is_essential").select("query", "token", "a"), "query").join(held, ["id", "token"])
+    more = more.groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("more"))
+    sims = near.join(more, ["query", "id"], "left").select("query", "id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), digits).alias("sim"))
     return sims.withColumn("place", _place(["query"], F.desc("sim"), "id")).where(F.col("place") <= k)
 
 
@@ -276,6 +315,7 @@ NEEDS_LIST = rf"({NAME})\s*(?:의|은|는)?\s*선수\s*(?:과목|교과목)?\s*(
 NEEDS_ONE = rf"({NAME})\s*(?:과목|교과목)?\s*(?:을|를|은|는)?\s*(?:수강하려면|이수하려면|들으려면|수강하기\s*위해|이수하기\s*위해|듣기\s*위해)[^.\n]*?({NAME})\s*(?:과목|교과목)?\s*(?:을|를)?\s*(?:선수|필수|먼저|선이수)\s*(?:이수|수강|들어야)"
 TYPE_LIST = r"(전공필수|전필|전공선택|전선|교양필수|교필)\s*(?:과목|교과목)?\s*(?:은|는|:)\s*([가-힣A-Za-z0-9_,\s]+)"
 # The credits that a line or a table row asks for, and their names in results.
+#: The unit after a number may be left out, so lines without it count too.
 CREDITS = {"total": ("총학점", r"(?:총\s*(?:이수)?학점|졸업학점|전체학점)\s*[:=\s]*(\d+)"), "mandatory": ("전필", r"(?:전공필수|전필)\s*[:=\s]*(\d+)"), "elective": ("전선", r"(?:전공선택|전선)\s*[:=\s]*(\d+)"), "general": ("교양", r"(?:교양|교양학점)\s*[:=\s]*(\d+)")}
 #: Words that are no course.
 FILLERS = ("반드시", "과목", "교과목", "필수", "선수")
@@ -293,6 +333,7 @@ def normal_type(c: Column) -> Column:
 
 def clean_course(token: Column) -> Column:
     """A course's name without the word for course, a particle, or the word for must."""
+    # The three endings and beginnings that go, which the result depends on.
     t = F.trim(F.regexp_replace(F.trim(token), "(?:과목|교과목)$", ""))
     t = F.trim(F.regexp_replace(t, "(?:을|를|은|는|이|가|의)$", ""))
     return F.trim(F.regexp_replace(t, r"^(?:반드시|필수|선수)\s*", ""))
@@ -347,6 +388,7 @@ def requirement_cells(docs: DataFrame, key: str, cells: list[str], order: str |
     """Credit requirements found anywhere in a row's cells, Korean or English; of several of a key the last counts (by ``order`` and line)."""
     line = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in cells])
     number = lambda name, p: F.coalesce(F.nullif(F.regexp_extract("line", p, 1), F.lit("")), F.regexp_extract("line", rf"(?i){name}\D*(\d+)", 1)).try_cast("int")
+    # How cells name these two credits.
     patterns = {name: p for name, (_, p) in CREDITS.items()} | {"total": r"(?:총학점|졸업학점|총이수학점|전체학점)\s*[:=\s]*(\d+)", "semester": r"학기당\s*[:=\s]*(\d+)"}
     rows = docs.select(F.col(key), (F.col(order) if order else F.lit(0)).alias("row_no"), F.posexplode(F.split(line, "\n")).alias("line_no", "line"))
     found = rows.select(key, "row_no", "line_no", *[number(n, p).alias(n) for n, p in patterns.items()])

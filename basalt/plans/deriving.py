@@ -161,10 +161,19 @@ _SKEW = "(select avg(power({c} - m, 3)) / power(var_pop({c}), 1.5) from {t}, (se
 _WIDE = "(select *, power(l_quantity, 6) as wide, l_suppkey % 3 as tri, l_suppkey % 40 as forty from lineitem)"
 
 
-@query(f"select * from (select 'log1p_wide' as feature, 'log transform' as type, 'log1p(wide)' as formula, true as selected where abs({_SKEW.format(c='wide', t=_WIDE)}) > 1.2 union all select 'wide_per_l_tax', 'ratio', 'wide / l_tax', false union all select 'wide_dev_from_tri_avg', 'group deviation', 'wide - mean(wide by tri)', true union all select 'l_tax_dev_from_tri_avg', 'group deviation', 'l_tax - mean(l_tax by tri)', false)")
+_AUDITED = {"wide": "power(l_quantity, 6)", "l_tax": "l_tax"}
+_GROUPED = {"tri": "l_suppkey % 3", "forty": "l_suppkey % 40", "flag": "l_returnflag"}
+
+
+@query(
+    "with t as (select " + ", ".join(f"{e} as {c}" for c, e in (_AUDITED | _GROUPED).items()) + " from lineitem) "
+    + union(f"select 'log1p_{c}' as feature, 'log transform' as type, 'log1p({c})' as formula, '{c}' = 'wide' as selected from (select min({c}) as low, abs({_SKEW.format(c=c, t='t')}) as skew from t) where low >= 0 and skew > 1.2" for c in _AUDITED)
+    + " union all select 'wide_per_l_tax', 'ratio', 'wide / l_tax', false union all "
+    + union(f"select '{c}_dev_from_{g}_avg', 'group deviation', '{c} - mean({c} by {g})', '{c}' = 'wide' and '{g}' = 'tri' where (select count(distinct {g}) from t) between 2 and 15" for g in _GROUPED for c in _AUDITED)
+)
 def synthesis_audit(spark, d):
-    df = read(spark, d, "lineitem").withColumns({"wide": F.pow("l_quantity", F.lit(6.0)), "tri": F.col("l_suppkey") % 3, "forty": F.col("l_suppkey") % 40})
-    return synth.synthesis_audit(df, ["wide", "l_tax"], ["tri", "forty"], ["log1p_wide", "wide_dev_from_tri_avg"], 1.2)
+    df = read(spark, d, "lineitem").withColumns({"wide": F.pow("l_quantity", F.lit(6.0)), "tri": F.col("l_suppkey") % 3, "forty": F.col("l_suppkey") % 40, "flag": F.col("l_returnflag")})
+    return synth.synthesis_audit(df, ["wide", "l_tax"], ["tri", "forty", "flag"], ["log1p_wide", "wide_dev_from_tri_avg"], 1.2)
 
 
 def _summary():
@@ -206,9 +215,11 @@ def select_features(spark, d):
     return selection(spark, d).select("feature", "rank", "status")
 
 
-@query("select 5::bigint as before, 3::bigint as after, 40::double as reduced_pct from (select count(*) as n from lineitem) where n > 0")
+@query(f"with r as ({_RANKED}), s as (select importance / sum(importance) over () >= 0.05 as strong from r) select count(*) as before, greatest(3, count(*) filter (where strong)) as after, round(100 * (count(*) - greatest(3, count(*) filter (where strong))) / count(*)::double, 4) as reduced_pct from s")
 def reduction_summary(spark, d):
-    return select.reduction_summary(selection(spark, d))
+    """What is left of the features when weak ones go, but for three at least."""
+    none = spark.createDataFrame([], "column_a string, column_b string, r double")
+    return select.reduction_summary(select.select_features(ranked(spark, d), none, coverage=2.0, least_share=0.05))
 
 
 _MI_EDGES = ", ".join(str(i / 10) for i in range(1, 10))
