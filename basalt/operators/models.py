@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -71,20 +74,52 @@ def class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame
     return df.withColumn(name, worth)
 
 
+def _told(predicted: DataFrame) -> dict[str, float]:
+    """f1 (by class, weighted by the classes' rows) and accuracy, from one count of label and prediction."""
+    counts = {(r.label, r.prediction): r.n for r in predicted.groupBy("label", "prediction").agg(F.count("*").alias("n")).collect()}  # a row for each pair of classes
+    total = sum(counts.values())
+    if not total:
+        raise ValueError("no rows to score")
+    side = lambda i, v: sum(n for k, n in counts.items() if k[i] == v)
+    f1 = sum(side(0, v) * 2 * counts.get((v, v), 0) / (side(0, v) + side(1, v)) for v in sorted({k[0] for k in counts})) / total
+    return {"f1": f1, "accuracy": sum(n for (a, b), n in counts.items() if a == b) / total}
+
+
 def first_metric(predicted: DataFrame, task: str) -> float:
     """The metric that models are ranked by."""
-    return RegressionEvaluator(metricName="r2").evaluate(predicted) if task == "regression" else MulticlassClassificationEvaluator(metricName="f1").evaluate(predicted)
+    return RegressionEvaluator(metricName="r2").evaluate(predicted) if task == "regression" else _told(predicted)["f1"]
 
 
 def evaluate(predicted: DataFrame, task: str) -> dict[str, float]:
     if task == "regression":
         return {m: RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("r2", "rmse", "mae")}
-    out = {n: MulticlassClassificationEvaluator(metricName=m).evaluate(predicted) for n, m in (("f1", "f1"), ("accuracy", "accuracy"))}
+    out = _told(predicted)
     if task == "binary" and "rawPrediction" in predicted.columns:
         out["auc"] = BinaryClassificationEvaluator().evaluate(predicted)
     return out
 
 
+#: Tasks of a table kept for fits: the root of its rows over this, so both tasks and rows of a task grow.
+PACK = 2_000
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept for the passes of fits, in as many tasks as its rows are worth.
+
+    A fit runs hundreds of short jobs; over the partitions of the last shuffle,
+    whose number is a setting and not the table's, starting tasks takes all the time.
+    """
+    wide = df.persist()
+    packed = wide.coalesce(max(1, math.ceil((wide.count() / PACK) ** 0.5))).persist()
+    packed.count()
+    wide.unpersist()
+    try:
+        yield packed
+    finally:
+        packed.unpersist()
+
+
 #: Fits that run side by side; Spark shares the executors among their jobs.
 SIDE_BY_SIDE = 3
 
@@ -113,20 +148,20 @@ def leaderboard(df: DataFrame, features: list[str], target: str, task: str, k: i
     ``df`` has a column of fold numbers, the same for all models; ``sizes`` (and the
     name of a column of weights) go to ``candidates``.  Metrics count every row once.
     """
-    data = assemble(df, features, target).withColumn("fold", F.col(fold)).cache()
-    n_classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0]) + 1
-    rows = [("GlobalStat", *_global(data, task, k), 0.0, 0.0, None)]
-    for name, estimator in candidates(task, len(features), n_classes, **sizes).items():
-        if names and name not in names and name not in BASELINES:
-            continue
-        began = time.time()
-        try:
-            metrics, train = cross_validate(data, estimator, task, k)
-            score = next(iter(metrics.values()))
-            rows.append((name, score, {m: float(v) for m, v in metrics.items()}, abs(train - score), time.time() - began, None))
-        except Exception as error:  # a model that cannot be fitted keeps its row
-            rows.append((name, None, {}, None, time.time() - began, str(error)[:200]))
-    data.unpersist()
+    weights = [sizes["weight"]] if sizes.get("weight") else []
+    with held(assemble(df, features, target).select("features", "label", F.col(fold).alias("fold"), *weights)) as data:
+        n_classes = 0 if task == "regression" else int(data.agg(F.max("label")).first()[0]) + 1
+        rows = [("GlobalStat", *_global(data, task, k), 0.0, 0.0, None)]
+        for name, estimator in candidates(task, len(features), n_classes, **sizes).items():
+            if names and name not in names and name not in BASELINES:
+                continue
+            began = time.time()
+            try:
+                metrics, train = cross_validate(data, estimator, task, k)
+                score = next(iter(metrics.values()))
+                rows.append((name, score, {m: float(v) for m, v in metrics.items()}, abs(train - score), time.time() - began, None))
+            except Exception as error:  # a model that cannot be fitted keeps its row
+                rows.append((name, None, {}, None, time.time() - began, str(error)[:200]))
     out = df.sparkSession.createDataFrame(rows, "model string, score double, metrics map<string,double>, overfit_gap double, seconds double, error string")
     gap = F.col("overfit_gap")
     out = out.withColumns({"is_baseline": F.col("model").isin(*BASELINES), "overfit": F.when(gap > 0.15, "High").when(gap > 0.08, "Moderate").otherwise("Low")})
@@ -144,29 +179,28 @@ def weighted_comparison(df: DataFrame, features: list[str], target: str, names:
     """
     from .stats import threshold_counts
 
-    data = assemble(df, features, target).select("features", "label", "fold").persist()
-
-    def scored(job: tuple[str, bool]) -> DataFrame:
-        name, weighted = job
-        out = None
-        for fold in range(k):
-            train = data.where(F.col("fold") != fold)
-            train = class_weights(train, "label", "__weight") if weighted else train
-            model = candidates("binary", len(features), weight="__weight" if weighted else None, **sizes)[name].fit(train)
-            part = model.transform(data.where(F.col("fold") == fold)).select("label", "prediction", F.element_at(vector_to_array("probability"), -1).alias("score"))
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    div = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
     rows = []
+    div = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
     jobs = [(name, weighted) for name in names for weighted in (False, True)]
-    for (name, weighted), own in zip(jobs, at_once(scored, jobs), strict=True):
-        hit = F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
-        plain = own.agg(div(hit, F.count_if(F.col("label") == 1)).alias("recall"), div(hit, F.count_if(F.col("prediction") == 1)).alias("precision"), div(2 * hit, F.count_if(F.col("label") == 1) + F.count_if(F.col("prediction") == 1)).alias("f1"))
-        grid = threshold_counts(own, "label", "score", 0.01, 0.01, points).withColumn("f", div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
-        best = grid.agg(F.min_by(F.struct("threshold", "f"), F.struct(-F.col("f"), "threshold")).alias("b")).first().b
-        rows.append((name, weighted, *plain.first(), best.threshold, best.f))
-    data.unpersist()
+    with held(assemble(df, features, target).select("features", "label", "fold")) as data:
+
+        def scored(job: tuple[str, bool]) -> DataFrame:
+            name, weighted = job
+            out = None
+            for fold in range(k):
+                train = data.where(F.col("fold") != fold)
+                train = class_weights(train, "label", "__weight") if weighted else train
+                model = candidates("binary", len(features), weight="__weight" if weighted else None, **sizes)[name].fit(train)
+                part = model.transform(data.where(F.col("fold") == fold)).select("label", "prediction", F.element_at(vector_to_array("probability"), -1).alias("score"))
+                out = part if out is None else out.unionByName(part)
+            return out
+
+        for (name, weighted), own in zip(jobs, at_once(scored, jobs), strict=True):
+            hit = F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
+            plain = own.agg(div(hit, F.count_if(F.col("label") == 1)).alias("recall"), div(hit, F.count_if(F.col("prediction") == 1)).alias("precision"), div(2 * hit, F.count_if(F.col("label") == 1) + F.count_if(F.col("prediction") == 1)).alias("f1"))
+            grid = threshold_counts(own, "label", "score", 0.01, 0.01, points).withColumn("f", div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+            best = grid.agg(F.min_by(F.struct("threshold", "f"), F.struct(-F.col("f"), "threshold")).alias("b")).first().b
+            rows.append((name, weighted, *plain.first(), best.threshold, best.f))
     return df.sparkSession.createDataFrame(rows, "model string, weighted boolean, recall double, precision double, f1 double, best_threshold double, best_f1 double")
 
 
