@@ -13,8 +13,8 @@ ACCURACY = 10_000
 FEW = 200_000
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float] | None]:
-    """Quantiles of each column, interpolated between neighbours; None for a column without values.
+def exact_quantiles(df: DataFrame, columns: list[str], at: list[float], discrete: bool = False) -> dict[str, list[float] | None]:
+    """Quantiles of each column, interpolated between neighbours (or the least value that reaches the share, if ``discrete``); None for a column without values.
 
     Approximate quantiles a little below and above each wanted rank bracket it;
     rows below and inside the brackets are counted, and brackets with many rows
@@ -33,9 +33,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[
     asked = [(c, p) for c in columns if size[c] for p in inner]
     bounds: dict[tuple[str, float], list] = {k: [float("-inf"), float("inf"), 0, size[k[0]]] for k in asked}  # from, to, rows below, rows inside
 
+    def rank(key: tuple[str, float]) -> float:
+        n = size[key[0]]
+        return max(1, n - math.floor(n - key[1] * n)) - 1 if discrete else key[1] * (n - 1)
+
     def ranks(key: tuple[str, float]) -> tuple[int, int]:
-        r = key[1] * (size[key[0]] - 1)
-        return math.floor(r), math.ceil(r)
+        return math.floor(rank(key)), math.ceil(rank(key))
 
     for turn in range(6):
         wide = [k for k in asked if bounds[k][3] > FEW and bounds[k][0] < bounds[k][1]]
@@ -65,7 +68,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[
         picked.setdefault(r.i, []).append((r.before, r.v))
     for i, k in enumerate(asked):
         (_, low), (_, high) = min(picked[i]), max(picked[i])
-        r = k[1] * (size[k[0]] - 1)
+        r = rank(k)
         found_at[k] = low if low == high else (math.ceil(r) - r) * low + (r - math.floor(r)) * high
     return told()
 
@@ -79,10 +82,15 @@ def block_of(df: DataFrame, order: str, blocks: int = 128, by: tuple[str, ...] =
     sample = [tuple(r) for r in df.where(F.col(order).isNotNull()).select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(32 * blocks).collect()]
     sample.sort(key=lambda r: [(v is not None, v) for v in r])
     edges = list(dict.fromkeys(sample[:: max(1, len(sample) // blocks)])) if len(sample) > blocks else []
+    if not edges:
+        return F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.lit(0))
     kinds = [df.schema[k].dataType for k in keys]
     edge = lambda r: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(r, kinds, strict=True))])
     own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    inside = F.size(F.filter(F.array(*map(edge, edges)), lambda e: e <= own)) if edges else F.lit(0)
+    # Edges up to the row's own, by bisection: a look at each of them would take over a hundred comparisons a row.
+    ordered, steps = F.sort_array(F.array(*map(edge, edges))), [1 << i for i in reversed(range(len(edges).bit_length()))]
+    reached = lambda at: F.when(at <= len(edges), F.get(ordered, at - 1) <= own).otherwise(False)
+    inside = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(reached(at + step), at + step).otherwise(at))
     return F.when(F.col(order).isNull(), F.lit(-1)).otherwise(inside)
 
 

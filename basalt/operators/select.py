@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import exact_quantiles
-from .models import assemble, at_once, candidates, cross_validate
+from .models import assemble, at_once, candidates, cross_validate, held
 
 
 def attribute(model: Model, df: DataFrame, features: list[str], key: str) -> DataFrame:
@@ -51,10 +53,13 @@ def effect_direction(contributions: DataFrame, values: DataFrame, key: str, feat
 
 def representative_cases(contributions: DataFrame, key: str, drivers: int = 6) -> DataFrame:
     """Rows of the highest, middle and lowest prediction with their strongest drivers."""
-    preds = contributions.select(key, "prediction").distinct()
-    mid = preds.agg(F.percentile_approx("prediction", 0.5).alias("mid"))
-    picked = preds.join(mid, how="cross").agg(F.max_by(key, F.struct("prediction", F.col(key))).alias("highest"), F.min_by(key, F.struct(F.abs(F.col("prediction") - F.col("mid")), F.col(key))).alias("median"), F.min_by(key, F.struct("prediction", F.col(key))).alias("lowest"))
-    cases = picked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias(key)) for c in ("highest", "median", "lowest")])).alias("x")).select("x.*")
+    preds = contributions.select(key, "prediction").distinct().persist()
+    mid = (exact_quantiles(preds, ["prediction"], [0.5], discrete=True)["prediction"] or [None])[0]
+    away = F.abs(F.col("prediction") - F.lit(mid).cast("double"))
+    found = preds.agg(F.max_by(key, F.struct("prediction", F.col(key))).alias("highest"), F.min_by(key, F.struct(away, F.col(key))).alias("median"), F.min_by(key, F.struct("prediction", F.col(key))).alias("lowest"))
+    picked = contributions.sparkSession.createDataFrame([tuple(found.first())], found.schema)
+    preds.unpersist()
+    cases = F.broadcast(picked.select(F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias(key)) for c in ("highest", "median", "lowest")])).alias("x")).select("x.*"))  # three rows
     place = F.row_number().over(Window.partitionBy("case").orderBy(F.desc(F.abs("contribution")), "feature"))
     return contributions.join(cases, key).withColumn("place", place).where(F.col("place") <= drivers)
 
@@ -116,32 +121,33 @@ def elbow(curve: DataFrame, at_least: int = 3, retention: float = 0.97, gain: fl
     return step.withColumn("is_elbow", F.col("k") == F.coalesce(first, F.max("k").over(Window.partitionBy())))
 
 
-def _held(df: DataFrame, features: list[str], target: str) -> DataFrame:
+def _held(df: DataFrame, features: list[str], target: str, *more: str):
     """The columns that fits read, kept for all of them, so that no fit computes the mart again."""
-    return df.select(*dict.fromkeys([*features, target, "fold"])).persist()
+    own = list(dict.fromkeys([*features, target, *more]))
+    if set(own) <= set(df.columns) and df.storageLevel.useMemory:
+        return nullcontext(df)  # kept by the caller
+    return held(df.select(*own))
 
 
 def pareto_curve(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, model: str = "RandomForest", **sizes) -> DataFrame:
     """Cross-validated score of the first 1, 2, ... features; ``df`` has a fold column."""
-    df = _held(df, ranked, target)
-    fit = lambda size: cross_validate(assemble(df, ranked[:size], target), candidates(task, size, **sizes)[model], task, k)[0]
-    rows = [(i + 1, float(next(iter(metrics.values())))) for i, metrics in enumerate(at_once(fit, range(1, len(ranked) + 1)))]
-    df.unpersist()
+    with _held(df, ranked, target, "fold") as data:
+        fit = lambda size: cross_validate(assemble(data, ranked[:size], target), candidates(task, size, **sizes)[model], task, k)[0]
+        rows = [(i + 1, float(next(iter(metrics.values())))) for i, metrics in enumerate(at_once(fit, range(1, len(ranked) + 1)))]
     return elbow(df.sparkSession.createDataFrame(rows, "k int, score double"))
 
 
 def forward_selection(df: DataFrame, ranked: list[str], target: str, task: str, k: int = 3, tolerance: float = 0.0, model: str = "RandomForest", **sizes) -> DataFrame:
     """Add features one by one; one that lowers the best score by more than the tolerance is left out."""
     rows, kept, best = [], [], float("-inf")
-    df = _held(df, ranked, target)
-    for f in ranked:
-        metrics, _ = cross_validate(assemble(df, [*kept, f], target), candidates(task, len(kept) + 1, **sizes)[model], task, k)
-        score = float(next(iter(metrics.values())))
-        keep = score >= best - tolerance
-        rows.append((len(rows) + 1, f, score, keep))
-        if keep:
-            kept, best = [*kept, f], max(best, score)
-    df.unpersist()
+    with _held(df, ranked, target, "fold") as data:
+        for f in ranked:
+            metrics, _ = cross_validate(assemble(data, [*kept, f], target), candidates(task, len(kept) + 1, **sizes)[model], task, k)
+            score = float(next(iter(metrics.values())))
+            keep = score >= best - tolerance
+            rows.append((len(rows) + 1, f, score, keep))
+            if keep:
+                kept, best = [*kept, f], max(best, score)
     out = df.sparkSession.createDataFrame(rows, "step int, feature string, score double, kept boolean")
     w = Window.orderBy("step")
     return out.withColumns({"lift": F.col("score") - F.lag("score").over(w), "total_lift": F.col("score") - F.first("score").over(w)})
@@ -151,11 +157,15 @@ def segment_importance(df: DataFrame, features: list[str], target: str, segment:
     """Importances in every segment (segments are few), with their spread; too small ones use all rows."""
     from .models import importances, refit
 
-    every = importances(refit(df, features, target, "binary", "RandomForest", **sizes), features, df.sparkSession)
+    with _held(df, features, target, segment) as data:
+        fit = lambda rows: importances(refit(rows, features, target, "binary", "RandomForest", **sizes), features, df.sparkSession)
+        segments = data.groupBy(segment).agg(F.count("*").alias("n"), F.countDistinct(target).alias("c")).orderBy(segment).collect()
+        large = [row[0] for row in segments if row.n >= least and row.c >= 2]
+        every, *made = at_once(fit, [data, *[data.where(F.col(segment).eqNullSafe(v)) for v in large]])
+    own = dict(zip(large, made, strict=True))
     out = every.withColumn("segment", F.lit("ALL"))
-    for row in df.groupBy(segment).agg(F.count("*").alias("n"), F.countDistinct(target).alias("c")).orderBy(segment).collect():
-        own = every if row.n < least or row.c < 2 else importances(refit(df.where(F.col(segment).eqNullSafe(row[0])), features, target, "binary", "RandomForest", **sizes), features, df.sparkSession)
-        out = out.unionByName(own.withColumn("segment", F.lit(str(row[0]))))
+    for row in segments:
+        out = out.unionByName(own.get(row[0], every).withColumn("segment", F.lit(str(row[0]))))
     w = Window.partitionBy("feature")
     return out.withColumns({"divergence": F.max("importance").over(w) - F.min("importance").over(w), "top_segment": F.max_by("segment", F.struct("importance", "segment")).over(w)})
 
@@ -177,12 +187,11 @@ def scout(df: DataFrame, features: list[str], target: str, task: str, k: int = 3
 
     own = screen_features(df, features, target, task, **sizes)
     name = "RandomForest" if task == "multiclass" else "GradientBoosting"
-    df = _held(df, own, target)
-    n_classes = 0 if task == "regression" else int(df.agg(F.max(target)).first()[0]) + 1
-    metrics, _ = cross_validate(assemble(df, own, target), candidates(task, len(own), n_classes, **sizes)[name], task, k)
-    score = metrics.get("auc", next(iter(metrics.values())))
-    made = importances(refit(df, own, target, task, name, **sizes), own, df.sparkSession)
-    df.unpersist()
+    with _held(df, own, target, "fold") as data:
+        n_classes = 0 if task == "regression" else int(data.agg(F.max(target)).first()[0]) + 1
+        metrics, _ = cross_validate(assemble(data, own, target), candidates(task, len(own), n_classes, **sizes)[name], task, k)
+        score = metrics.get("auc", next(iter(metrics.values())))
+        made = importances(refit(data, own, target, task, name, **sizes), own, df.sparkSession)
     return made.withColumns({"score": F.lit(float(score)), "rank": F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))})  # a row for each feature
 
 
@@ -191,17 +200,16 @@ def feature_ab(df: DataFrame, base: list[str], engineered: list[str], target: st
     from .models import evaluate
     from .stats import t_p
 
-    df = _held(df, [*base, *engineered], target)
+    with _held(df, [*base, *engineered], target, "fold") as kept:
 
-    def fold_score(job: tuple[list[str], int]) -> float:
-        features, fold = job
-        data = assemble(df, features, target)
-        fitted = candidates(task, len(features), **sizes)[model].fit(data.where(F.col("fold") != fold))
-        return float(next(iter(evaluate(fitted.transform(data.where(F.col("fold") == fold)), task).values())))
+        def fold_score(job: tuple[list[str], int]) -> float:
+            features, fold = job
+            data = assemble(kept, features, target)
+            fitted = candidates(task, len(features), **sizes)[model].fit(data.where(F.col("fold") != fold))
+            return float(next(iter(evaluate(fitted.transform(data.where(F.col("fold") == fold)), task).values())))
 
-    every = at_once(fold_score, [(features, fold) for features in (base, engineered) for fold in range(k)])
+        every = at_once(fold_score, [(features, fold) for features in (base, engineered) for fold in range(k)])
     scores = [every[:k], every[k:]]
-    df.unpersist()
     a, b = (sum(s) / k for s in scores)
     gaps = [y - x for x, y in zip(*scores, strict=True)]
     mean = sum(gaps) / k
