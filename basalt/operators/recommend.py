@@ -89,8 +89,9 @@ def profile_document(df: DataFrame, major: str, items: str) -> Column:
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\w-]+"), F.lit(0))
-    return df.select(F.col(key).alias("id"), F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    """(id, token, tf); texts are shuffled by id, and nothing by token: all that follows by id needs no other shuffle."""
+    own = df.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    return own.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\w-]+"), F.lit(0))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -99,11 +100,34 @@ def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return held.select("token", (F.log((1 + F.col("docs")) / (1 + F.col("n"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """L2-normalised smooth tf-idf in long form; the norm is an aggregate joined back, not a window."""
-    raw = counts.join(weights, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+def tfidf(counts: DataFrame, weights: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """L2-normalised smooth tf-idf in long form; the norm is an aggregate joined back, not a window.
+
+    The ``most`` most common tokens' weights are broadcast, so almost all postings stay
+    where ``token_counts`` left them, by id; only those of rarer tokens, which have few
+    each, are shuffled by token.  Norms are a row for each id and the side of a hash
+    join that is built.
+    """
+    weights = weights.persist()
+    cut, room, left = None, most, False
+    for r in weights.groupBy("idf").agg(F.count("*").alias("n")).orderBy("idf").toLocalIterator():  # a row for each number of documents that a token is in
+        left = r.n > room
+        if left:
+            break
+        cut, room = r.idf, room - r.n
+    worth = lambda df: df.select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    parts = []
+    if cut is not None or not left:
+        common = F.broadcast(weights if not left else weights.where(F.col("idf") <= F.lit(cut)))
+        parts.append(worth(counts.join(common, "token")))
+        counts = counts.join(common, "token", "left_anti")
+    if left:
+        parts.append(worth(counts.join(weights if cut is None else weights.where(F.col("idf") > F.lit(cut)), "token")))
+    squares = [p.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s")) for p in parts]
+    every = squares[0] if len(squares) == 1 else squares[0].unionByName(squares[1]).groupBy("id").agg(F.sum("s").alias("s"))
+    norm = every.select("id", F.sqrt("s").alias("norm")).hint("shuffle_hash")
+    made = [p.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight")) for p in parts]
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
 #: Postings that a query's rarest tokens may have for a first guess of its k-th similarity.
@@ -113,7 +137,7 @@ SLACK = 1e-9
 
 
 def pruned_postings(queries: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """What ``cosine_topk`` needs of the inverted index: (query, token, a, is_essential, rest, least), and the corpus in (id, token, b).
+    """What ``cosine_topk`` needs of the inverted index: (query, token, a, is_essential, rest, least), and the corpus' postings of the queries' tokens in (id, token, b).
 
     No token adds more to a similarity than its weight in the query times its
     largest weight in the corpus.  The similarities over a query's rarest tokens give
@@ -122,10 +146,10 @@ def pruned_postings(queries: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[
     that has nothing but these can't be among the first k.
     """
     asked = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a"))
-    held = corpus.select("id", "token", F.col("weight").alias("b")).persist()
     few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     small = F.broadcast if few else lambda df: df
-    wanted = held.join(small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.max("b").alias("top"))
+    held = corpus.select("id", "token", F.col("weight").alias("b")).join(small(asked.select("token").distinct()), "token", "left_semi").persist()  # no other token is ever met
+    wanted = held.groupBy("token").agg(F.count("*").alias("df"), F.max("b").alias("top"))
     bounds = asked.join(wanted, "token").select("query", "token", "a", "df", (F.col("a") * F.col("top")).alias("bound")).persist()
     rare = Window.partitionBy("query").orderBy("df", "token")
     first = bounds.withColumn("sum", F.sum("df").over(rare)).where((F.col("sum") <= FIRST_POSTINGS) | (F.col("sum") == F.col("df"))).select("query", "token", "a")
