@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..operators import clean, models, profile, select, synth
@@ -23,11 +26,13 @@ def customers(spark, d):
     return clean.kfold(df, "c_custkey", 3, "target")
 
 
-def ranked(spark, d):
-    df = customers(spark, d)
-    importance = models.importances(models.refit(df, FEATURES, "target", "binary", "RandomForest", **SIZES), FEATURES, spark)
-    mi = synth.mi_scores(df, FEATURES, "target").withColumnRenamed("column_name", "feature")
-    return df, select.consensus_rank(importance, mi)
+@contextmanager
+def ranked(spark, d) -> Iterator[tuple]:
+    """The mart's columns for fits, kept while they are used, and the features' ranks."""
+    with models.held(customers(spark, d).select(*FEATURES, "target", "fold")) as df:
+        importance = models.importances(models.refit(df, FEATURES, "target", "binary", "RandomForest", **SIZES), FEATURES, spark)
+        mi = synth.mi_scores(df, FEATURES, "target").withColumnRenamed("column_name", "feature")
+        yield df, select.consensus_rank(importance, mi)
 
 
 @query()
@@ -84,20 +89,21 @@ def representative_cases(spark, d):
 
 @query()
 def consensus_selection(spark, d):
-    df, ranks = ranked(spark, d)
-    return select.select_features(ranks, profile.corr_pairs(df, FEATURES, 0.0))
+    with ranked(spark, d) as (df, ranks):
+        found = [tuple(r) for r in ranks.collect()]  # a row for each feature
+        return select.select_features(spark.createDataFrame(found, ranks.schema), profile.corr_pairs(df, FEATURES, 0.0))
 
 
 @query()
 def pareto_curve(spark, d):
-    df, ranks = ranked(spark, d)
-    return select.pareto_curve(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
+    with ranked(spark, d) as (df, ranks):
+        return select.pareto_curve(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
 
 
 @query()
 def forward_selection(spark, d):
-    df, ranks = ranked(spark, d)
-    return select.forward_selection(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
+    with ranked(spark, d) as (df, ranks):
+        return select.forward_selection(df, [r.feature for r in ranks.orderBy("rank").collect()], "target", "binary", **SIZES)
 
 
 @query()
