@@ -37,12 +37,15 @@ class Forest:
 
     def leaves(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
         """The node of each row in each tree, after so many levels."""
-        node = np.zeros((len(x), len(self.feature)), np.int64)
-        tree = np.arange(len(self.feature))
-        row = np.arange(len(x))[:, None]
+        n = self.feature.shape[1]
+        first = np.arange(len(self.feature)) * n
+        row = (np.arange(len(x)) * x.shape[1])[:, None]
+        feature, cut, x = self.feature.ravel(), self.cut.ravel(), x.ravel()
+        node = np.zeros((len(row), len(first)), np.int64)
         for _ in range(self.depth if levels is None else levels):
-            f = self.feature[tree, node]
-            right = x[row, np.maximum(f, 0)] > self.cut[tree, node]
+            at = first + node
+            f = feature.take(at)
+            right = x.take(row + np.maximum(f, 0)) > cut.take(at)
             node = np.where(f < 0, node, 2 * node + 1 + right)
         return node
 
@@ -140,15 +143,17 @@ class ExtraTrees:
                     own = place[np.arange(len(place)), forest.leaves(x, level)]
                     row, tree = np.nonzero(own >= 0)
                     node = own[row, tree]
-                    worth = np.rint((y - middle) / span * w).astype(np.int64) if regression else w
+                    # Whole numbers, whose sums over a part are far below 2**53, so adding them as doubles is exact.
+                    values = (w, np.rint((y - middle) / span * w)) if regression else (w,)
+                    kind = 0 if regression else y.astype(np.int64)[row]
+                    groups = 1 if regression else cells
+                    flat, own_values = x.ravel(), [v.take(row).astype(np.float64) for v in values]
                     for j in range(tried + 1):
-                        inside = np.ones(len(row), bool) if j == tried else x[row, drawn[node, j]] <= cuts[node, j]
-                        slot, r = node[inside] * (tried + 1) + j, row[inside]
-                        if regression:
-                            np.add.at(sums, (slot, 0), w[r])
-                            np.add.at(sums, (slot, 1), worth[r])
-                        else:
-                            np.add.at(sums, (slot, y[r].astype(np.int64)), worth[r])
+                        inside = 1.0 if j == tried else flat.take(row * x.shape[1] + drawn[:, j].take(node)) <= cuts[:, j].take(node)
+                        slot = node * groups + kind
+                        for i, v in enumerate(own_values):
+                            found = np.bincount(slot, v * inside, minlength=len(drawn) * groups).reshape(len(drawn), groups)
+                            sums[j :: tried + 1, i : i + groups] += np.rint(found).astype(np.int64)
             used = np.flatnonzero(sums.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["slot", "sums"])
 
