@@ -283,6 +283,7 @@ def remaining_mandatory(taken: DataFrame, planned: DataFrame, mandatory: DataFra
     items = mandatory.select("item").distinct()
     if items.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
         raise ValueError(f"more than {MOST_BROADCAST} mandatory items for each user")
+    held = held.join(F.broadcast(items), "item", "left_semi").select("user", "item").distinct()  # once each, and nothing else, is joined and sorted
     return users.join(F.broadcast(items), how="cross").join(held, ["user", "item"], "left_anti")  # every user needs every such item
 
 
