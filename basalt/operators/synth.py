@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import digamma
 from ..functions.expressions import bucket, safe_ratio, words
-from ..functions.ordered import exact_quantiles, running_sums
+from ..functions.ordered import exact_quantiles
 from .profile import stack
 
 
@@ -75,7 +80,7 @@ def mi_scores(df: DataFrame, columns: list[str], target: str, bins: int = 10) ->
 VALUE_BITS, NOISE_BITS = 36, 26
 
 
-def mi_nearest(df: DataFrame, columns: list[str], target: str, key: list[str], k: int = 3, block: int = 100_000) -> DataFrame:
+def mi_nearest(df: DataFrame, columns: list[str], target: str, key: list[str], k: int = 3, block: int = 250_000) -> DataFrame:
     """Mutual information (nats) of each number with a discrete target, by nearest neighbours (Ross, "Mutual information between discrete and continuous data sets").
 
     A row's radius reaches to its k-th neighbour of the same class (or as many as
@@ -84,57 +89,183 @@ def mi_nearest(df: DataFrame, columns: list[str], target: str, key: list[str], k
     Values become integers between the column's ends, and equal ones are set apart
     by a hash of the row's ``key``, so the result is the same for any partitioning.
 
-    Rows are numbered by running sums and dealt to blocks of that many distinct
-    places of a class; a block also gets the k places on either side, so every
-    neighbour is at hand and no class meets in one task.  Rows inside a radius come
-    from the running count at its two ends.
+    Each column is cut into blocks of about ``block`` rows that follow each other
+    (the cuts are those of a sample, and the result doesn't depend on them), and
+    rows meet once, in their block.  A place with k places of its class on either
+    side in the block has its radius and every row inside it there.  The first and
+    last k places of a class in a block look at the class's places of other blocks,
+    of which the first and last 2k suffice; those are found before, inside the
+    tasks that read the rows.  The two ends of such a radius are sent to the blocks
+    they lie in, which count the rows up to them.
 
     Null and NaN values and null targets are left out, and so are classes of one
     row; a constant column has 0.
     """
     value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    ends = df.where(F.col(target).isNotNull()).agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(value.values()) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = df.where(F.col(target).isNotNull()).agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(value.values()) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
     wide = [(i, c) for i, c in enumerate(columns) if ends[f"lo{i}"] is not None and ends[f"lo{i}"] < ends[f"hi{i}"]]
-    flat = df.sparkSession.createDataFrame([(c, 0.0) for c in columns if c not in {w for _, w in wide}], "column_name string, mi double")
+    schema = "column_name string, mi double"
     if not wide:
-        return flat
+        return df.sparkSession.createDataFrame([(c, 0.0) for c in columns], schema)
     row = F.concat_ws(",", *[F.col(c).cast("string") for c in key])
     noise = lambda c: bucket(F.concat(row, F.lit(f",{c}")), 1 << NOISE_BITS)
     place = lambda i, c: F.floor((value[c] - ends[f"lo{i}"]) / (ends[f"hi{i}"] - ends[f"lo{i}"]) * ((1 << VALUE_BITS) - 1)).cast("long")
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), (F.shiftleft(place(i, c), NOISE_BITS) + noise(c)).alias("x")) for i, c in wide])
-    rows = df.where(F.col(target).isNotNull()).select(F.explode(pairs).alias("p"), F.col(target).alias("y")).select("p.*", "y").where("x is not null")
-    counted = rows.groupBy("c", "y", "x").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    counted = counted.persist()
-    numbered = running_sums(counted, "x", ["n", "one"], by=("c", "y")).where("n_total > 1").select("c", "y", "x", "n", F.col("n_total").alias("size"), F.col("one_before").alias("at")).persist()
-
-    own, inside = F.floor(F.col("at") / block), F.col("at") % block
-    near = F.array_compact(F.array(own, F.when((inside < k) & (own > 0), own - 1), F.when(inside >= block - k, own + 1)))
-    dealt = numbered.withColumn("own", own).withColumn("block", F.explode(near))
-    line = Window.partitionBy("c", "y", "block").orderBy("x")
-    beside = [F.struct(F.abs(f("x", j).over(line) - F.col("x")).alias("d"), f("n", j).over(line).alias("n")) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    places = lambda some: some.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), *[(F.shiftleft(place(i, c), NOISE_BITS) + noise(c)).alias(f"x{j}") for j, (i, c) in enumerate(wide)])
+    rows = places(df)
+    kind = rows.schema["y"].dataType.simpleString()
+
+    # Cuts of each column, and the number of its first block.
+    sizes = [ends[f"n{i}"] for i, _ in wide]
+    sample = places(df.sample(min(1.0, 32 / block), 42)).drop("y").toArrow() if max(sizes) > block else None
+    edges = []
+    for j, n in enumerate(sizes):
+        seen = np.sort(sample.column(j).drop_null().to_numpy()) if sample is not None else np.zeros(0, np.int64)
+        blocks = math.ceil(n / block)
+        edges.append(np.unique(seen[np.arange(1, blocks) * len(seen) // blocks]) if len(seen) else seen)
+    base = np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])])
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Block, place and class of a batch's rows, column by column."""
+        for j, cuts in enumerate(edges):
+            x = batch.column(f"x{j}")
+            there = x.is_valid()
+            x = x.filter(there).to_numpy()
+            yield (base[j] + np.searchsorted(cuts, x, "right")).astype(np.int32), x, batch.column("y").filter(there)
+
+    def groups(*keys: np.ndarray) -> np.ndarray:
+        """Where runs of equal keys start."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in keys])
+        return np.flatnonzero(new)
+
+    def ranks(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of n places, how many come before and after it in its run."""
+        length = np.diff(np.append(starts, n))
+        before = np.arange(n) - np.repeat(starts, length)
+        return before, np.repeat(length, length) - 1 - before
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and last 2k places of each class in each block, of a task's rows; the first of them carries the number of rows."""
+        kept: list[tuple] = []
+
+        def reduced() -> tuple:
+            b, x, n, rows = (np.concatenate([t[i] for t in kept]) for i in (0, 1, 3, 4))
+            y = pa.concat_arrays([t[2] for t in kept])
+            code = y.dictionary_encode().indices.to_numpy()
+            order = np.lexsort((x, code, b))
+            b, x, code, n, rows = b[order], x[order], code[order], n[order], rows[order]
+            at = groups(b, code, x)
+            n, rows, order, b, x, code = np.add.reduceat(n, at), np.add.reduceat(rows, at), order[at], b[at], x[at], code[at]
+            starts = groups(b, code)
+            before, after = ranks(starts, len(b))
+            every = np.zeros(len(b), np.int64)
+            every[starts] = np.add.reduceat(rows, starts)
+            near = np.minimum(before, after) < 2 * k
+            return b[near], x[near], y.take(pa.array(order[near])), n[near], every[near]
+
+        for batch in batches:
+            for b, x, y in dealt(batch):
+                if len(b):
+                    kept.append((b, x, y, np.ones(len(b), np.int64), np.ones(len(b), np.int64)))
+            if sum(len(t[0]) for t in kept[1:]) >= 1 << 20:
+                kept = [reduced()]
+        if kept:
+            b, x, y, n, every = reduced()
+            for i in range(0, len(b), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(b[part]), y.slice(i, 1 << 16), pa.array(x[part]), pa.array(n[part]), pa.array(every[part])], names=["block", "y", "x", "n", "rows"])
+
+    own = Window.partitionBy("block", "y")
+    met = rows.mapInArrow(outer, f"block int, y {kind}, x long, n long, rows long")
+    met = met.groupBy("block", "y", "x").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    met = met.withColumns({"before": F.row_number().over(own.orderBy("x")), "after": F.row_number().over(own.orderBy(F.desc("x"))), "every": F.sum("rows").over(own)})
+    met = met.where(F.least("before", "after") <= 2 * k).withColumns({"j": sum((F.when(F.col("block") >= int(b), 1).otherwise(0) for b in base[1:-1]), F.lit(0)), "rows": F.when(F.col("before") == 1, F.col("every")).otherwise(0)})
+    line = Window.partitionBy("j", "y").orderBy("x")
+    beside = [F.struct(F.abs(f("x", s).over(line) - F.col("x")).alias("d"), f("n", s).over(line).alias("n")) for s in range(1, k + 1) for f in (F.lag, F.lead)]
     others = F.array_sort(F.filter(F.array(F.struct(F.lit(0).cast("long").alias("d"), (F.col("n") - 1).alias("n")), *beside), lambda b: b["d"].isNotNull()))
-    reach = F.least(F.lit(k), F.col("size") - 1)
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("d"))
     radius = lambda kth: F.aggregate("others", start, lambda s, b: F.when(s["n"] >= kth, s).otherwise(F.struct((s["n"] + b["n"]).alias("n"), b["d"].alias("d"))), lambda s: s["d"])
-    reached = dealt.withColumn("others", others).where("block = own").withColumn("reach", reach).withColumn("half", F.greatest(radius(F.col("reach")) - 1, F.lit(0).cast("long")))
-    reached = reached.select("c", "x", "n", "size", "reach", (F.col("x") + F.col("half")).alias("high"), (F.col("x") - F.col("half") - 1).alias("low")).persist()
-
-    # How many rows stand at or before each place that is asked for.
-    asked = [reached.select("c", F.col(e).alias("x"), F.lit(0).cast("long").alias("n")) for e in ("low", "high")]
-    points = numbered.select("c", "x", "n").unionByName(asked[0]).unionByName(asked[1]).groupBy("c", "x").agg(F.sum("n").alias("n")).persist()
-    upto = running_sums(points, "x", ["n"], by=("c",)).select(F.col("c").alias("pc"), F.col("x").alias("px"), (F.col("n_before") + F.col("n")).alias("upto"))
-    joined = reached
-    for e in ("low", "high"):
-        joined = joined.join(upto.select("pc", "px", F.col("upto").alias(f"upto_{e}")), (F.col("c") == F.col("pc")) & (F.col(e) == F.col("px"))).drop("pc", "px")
-    m = (F.col("upto_high") - F.col("upto_low")).cast("double")
-    terms = digamma(F.col("reach").cast("double")) - digamma(F.col("size").cast("double")) - digamma(m)
+    met = met.withColumns({"others": others, "size": F.sum("rows").over(Window.partitionBy("j", "y"))}).withColumn("reach", F.least(F.lit(k), F.col("size") - 1))
+    met = met.withColumn("half", F.when((F.least("before", "after") <= k) & (F.col("size") > 1), F.greatest(radius(F.col("reach")) - 1, F.lit(0).cast("long")))).drop("others").persist()
+    inside = dict(tuple(r) for r in met.where("size > 1").groupBy("block").agg(F.sum("rows")).collect())  # a row for each block
+    totals = np.array([inside.get(b, 0) for b in range(base[-1])], np.int64)
+    earlier = np.concatenate([np.cumsum(totals[a:b]) - totals[a:b] for a, b in zip(base, base[1:], strict=False)])
+
+    fields = f"block int, sign int, x long, y {kind}, own long, n long"
+    names = ["block", "sign", "x", "y", "own", "n"]
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x, y in dealt(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.zeros(len(b), np.int32)), pa.array(x), y, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=names)
+
+    def ends_to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            j, x = batch.column("j").to_numpy(), batch.column("x").to_numpy()
+            b = np.zeros(len(x), np.int32)
+            for i, cuts in enumerate(edges):
+                b[j == i] = base[i] + np.searchsorted(cuts, x[j == i], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(b), *(batch.column(c) for c in names[1:])], names=names)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows lie inside the radius of each place whose class goes on for k places on either side (m, and how many rows have it), and how many lie up to each end sent here."""
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        block, sign, x = (table.column(c).to_numpy() for c in ("block", "sign", "x"))
+        y = table.column("y").combine_chunks()
+        code = y.dictionary_encode().indices.to_numpy()
+        order = np.lexsort((x, block))
+        starts = groups(block[order])
+        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            at = order[a:b]
+            number = int(block[at[0]])
+            j = int(np.searchsorted(base, number, "right")) - 1
+            line = at[(sign[at] == 0) | (sign[at] == 2)]
+            xs, upto = x[line], np.concatenate([[0], np.cumsum(np.where(sign[line] == 0, 1, -1))])
+            reached = lambda p: upto[np.searchsorted(xs, p, "right")]  # noqa: B023, E731
+            real = line[sign[line] == 0]
+            real = real[np.argsort(code[real], kind="stable")]
+            if len(real):
+                first = groups(code[real], x[real])
+                px, pc, n = x[real][first], code[real][first], np.diff(np.append(first, len(real)))
+                near = np.flatnonzero(np.minimum(*ranks(groups(pc), len(px))) >= k)
+                if len(near):
+                    spot = near[:, None] + np.array([0, *(s for i in range(1, k + 1) for s in (-i, i))])
+                    d, others = np.abs(px[spot] - px[near][:, None]), n[spot]
+                    others[:, 0] -= 1
+                    by = np.argsort(d, axis=1, kind="stable")
+                    d, others = np.take_along_axis(d, by, 1), np.cumsum(np.take_along_axis(others, by, 1), axis=1)
+                    half = np.maximum(d[np.arange(len(near)), (others >= k).argmax(1)] - 1, 0)
+                    m, which = np.unique(reached(px[near] + half) - reached(px[near] - half - 1), return_inverse=True)
+                    rows = np.bincount(which, n[near]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), j, np.int32)), pa.nulls(len(m), y.type), pa.array(m), pa.array(rows), pa.nulls(len(m), pa.int64())], names=["j", "y", "x", "n", "m"])
+            asked = at[np.abs(sign[at]) == 1]
+            if len(asked):
+                m = sign[asked] * (earlier[number] + reached(x[asked]))
+                taken = pa.array(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), j, np.int32)), y.take(taken), table.column("own").take(taken).combine_chunks(), table.column("n").take(taken).combine_chunks(), pa.array(m)], names=["j", "y", "x", "n", "m"])
+
+    # Places whose radius may leave their block ask at both ends of it; the only row of a class is taken back.
+    whole = lambda v: F.lit(v).cast("long")
+    asked = met.where("half is not null").select("j", F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("x") + F.col("half")).alias("at"), F.col("n").alias("n")), F.struct(F.lit(-1).alias("sign"), (F.col("x") - F.col("half") - 1).alias("at"), whole(0).alias("n")))).alias("e"), "y", "x")
+    asked = asked.select("j", "e.sign", F.col("e.at").alias("x"), "y", F.col("x").alias("own"), "e.n")
+    alone = met.where("size = 1").select("j", F.lit(2).alias("sign"), "x", "y", whole(None).alias("own"), whole(None).alias("n"))
+    sent = rows.mapInArrow(to_blocks, fields).unionByName(asked.unionByName(alone).mapInArrow(ends_to_blocks, fields))
+    found = sent.repartitionById(int(base[-1]), F.col("block")).mapInArrow(counted, f"j int, y {kind}, x long, n long, m long")
+    # A radius of one block comes as (null, m, rows); one of ends as two counts, whose difference is m.
+    found = found.groupBy("j", "y", "x").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select("j", "n", F.when(F.col("y").isNull(), F.col("x")).otherwise(F.col("m")).cast("double").alias("m"))
     # Whole billionths add up to the same sum in any order.
-    made = joined.groupBy("c").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.round(terms * 1e9).cast("decimal(20,0)")).cast("double") / 1e9).alias("terms"))
-    mi = F.round(F.greatest(digamma(F.col("total").cast("double")) + F.col("terms") / F.col("total"), F.lit(0.0)), 4)
-    found = made.select(F.col("c").alias("column_name"), mi.alias("mi")).collect()  # a row for each column
-    for held in (counted, numbered, reached, points):
-        held.unpersist()
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], flat.schema).unionByName(flat)
+    billionths = lambda v: F.round(v * 1e9).cast("decimal(20,0)")
+    psi = lambda c: digamma(F.col(c).cast("double"))
+    classes = met.where("size > 1 and rows > 0").groupBy("j", "y").agg(F.max("size").alias("n"), F.max("reach").alias("reach"))
+    terms = found.select("j", whole(0).alias("total"), (F.col("n") * billionths(-psi("m"))).alias("t")).unionByName(classes.select("j", F.col("n").alias("total"), (F.col("n") * billionths(psi("reach") - psi("n"))).alias("t")))
+    made = terms.groupBy("j").agg(F.sum("total").alias("total"), (F.sum("t").cast("double") / 1e9).alias("terms"))
+    mi = F.round(F.greatest(psi("total") + F.col("terms") / F.col("total"), F.lit(0.0)), 4)
+    told = {wide[r.j][1]: r.mi for r in made.select("j", mi.alias("mi")).collect()}  # a row for each column
+    met.unpersist()
+    return df.sparkSession.createDataFrame([(c, told.get(c, 0.0)) for c in columns], schema)
 
 
 def mi_gate(scores: DataFrame, k: int = 6) -> DataFrame:
