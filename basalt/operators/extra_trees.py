@@ -4,7 +4,8 @@ All trees grow together.  At each level every open node draws a few features and
 one cut for each, uniformly between the ends that the node's path leaves of the
 feature's range.  One pass over the rows sends each through all trees and adds up
 what lies left of every drawn cut: class weights, or weights and targets; the sums
-of the tasks meet in one aggregation, and the driver keeps each node's best cut.
+of the tasks are added up, and the driver keeps each node's best cut.  The rows are
+kept as numpy blocks for these passes.
 The trees, and so everything that is broadcast or brought back, have a size that
 the parameters fix.  Targets and weights are summed as whole numbers, so the trees
 are the same for any partitioning.
@@ -18,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import Fit, packed, together
+
 #: Whole numbers that targets and weights are counted in.
 UNITS = 1 << 20
 
@@ -57,6 +60,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _ends(own: list[tuple]) -> tuple | None:
+    """Least and greatest of each feature and of the target, and the greatest weight; None without rows."""
+    out = None
+    for x, y, w in own:
+        out = _wider(out, (np.fmin.reduce(x), x.max(0), (y.min(), y.max()), w.max()))
+    return out
+
+
+def _wider(a: tuple | None, b: tuple | None) -> tuple | None:
+    if a is None or b is None:
+        return b if a is None else a
+    return np.fmin(a[0], b[0]), np.maximum(a[1], b[1]), (min(a[2][0], b[2][0]), max(a[2][1], b[2][1])), max(a[3], b[3])
+
+
 class ExtraTrees:
     """An estimator with ``fit``; the fitted model has ``transform`` and ``featureImportances`` like those of Spark's library."""
 
@@ -65,16 +82,27 @@ class ExtraTrees:
 
     def fit(self, data: DataFrame) -> ExtraTreesModel:
         """Fit on the columns ``features`` (a vector) and ``label``."""
+        return self._fits(data, F.lit(-1), [None])[0]
+
+    def fit_folds(self, data: DataFrame, k: int) -> list[ExtraTreesModel]:
+        """For each of k folds (column ``fold``) a model of the other folds' rows; they are grown together."""
+        return self._fits(data.where("fold is not null"), F.col("fold"), list(range(k)))
+
+    def _fits(self, data: DataFrame, fold: Column, folds: list) -> list[ExtraTreesModel]:
         weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        rows = data.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w")).where("y is not null")
-        ends = rows.agg(F.max(F.size("x")).alias("p"), F.min("y").alias("low"), F.max("y").alias("high"), F.max("w").alias("w")).first()
-        if ends.p is None:
+        rows = data.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"), fold.alias("fold"), F.lit(0).alias("b")).where("y is not null")
+        with packed(rows) as blocks:
+            made = together(blocks, {f: self._grown() for f in folds})
+        return [made[f] for f in folds]
+
+    def _grown(self) -> Fit:
+        ends = yield None, _ends, _wider
+        if ends is None:
             raise ValueError("no rows to fit")
-        p, regression = ends.p, self.task == "regression"
-        width = 1 if regression else int(ends.high) + 1
-        columns = rows.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(p) for n, f in (("a", F.min), ("b", F.max))]).first()
-        low, high = (np.array([columns[f"{n}{i}"] for i in range(p)], float) for n in "ab")
-        middle, span = (ends.low + ends.high) / 2, max(ends.high - ends.low, 1e-300)
+        low, high, (y_low, y_high), most = ends
+        p, regression = len(low), self.task == "regression"
+        width = 1 if regression else int(y_high) + 1
+        middle, span = (y_low + y_high) / 2, max(y_high - y_low, 1e-300)
         rng, tried = np.random.default_rng(self.seed), min(p, self.tried or (max(1, p // 3) if regression else max(1, round(p**0.5))))
         forest, gains = Forest(self.trees, self.depth, width), np.zeros(p)
         boxes = {(t, 0): (low, high) for t in range(self.trees)}
@@ -85,7 +113,7 @@ class ExtraTrees:
             drawn = np.array([rng.permutation(p)[:tried] for _ in nodes])
             at = rng.random((len(nodes), tried))
             cuts = np.array([[boxes[k][0][f] + u * (boxes[k][1][f] - boxes[k][0][f]) for f, u in zip(fs, us, strict=True)] for k, fs, us in zip(nodes, drawn, at, strict=True)])
-            total, left = self._sums(rows, forest, level, nodes, drawn, cuts, width, regression, middle, span, ends.w)
+            total, left = yield from self._sums(forest, level, nodes, drawn, cuts, width, regression, middle, span, most)
             grown: dict[tuple[int, int], tuple] = {}
             for i, (t, node) in enumerate(nodes):
                 own = total[i]
@@ -93,7 +121,7 @@ class ExtraTrees:
                 if n <= 0:
                     continue
                 forest.value[t, node] = middle + span * own[0, 1] / own[0, 0] if regression else own / n
-                if level == self.depth or n < self.least * UNITS / max(ends.w, 1e-300):
+                if level == self.depth or n < self.least * UNITS / max(most, 1e-300):
                     continue
                 gain = [self._gain(own, left[i, j], regression) for j in range(tried)]
                 best = int(np.argmax(gain))
@@ -126,43 +154,35 @@ class ExtraTrees:
         gain = float(score(left) + score(right) - whole)
         return gain if gain > 1e-12 * max(abs(whole), 1.0) else 0.0
 
-    def _sums(self, rows: DataFrame, forest: Forest, level: int, nodes: list, drawn: np.ndarray, cuts: np.ndarray, width: int, regression: bool, middle: float, span: float, most: float):
+    def _sums(self, forest: Forest, level: int, nodes: list, drawn: np.ndarray, cuts: np.ndarray, width: int, regression: bool, middle: float, span: float, most: float) -> Fit:
         """What each open node holds, and what of it lies left of each drawn cut."""
         place = np.full(forest.feature.shape, -1, np.int64)
         for i, (t, node) in enumerate(nodes):
             place[t, node] = i
         tried, cells = drawn.shape[1], 2 if regression else width
-        shared = rows.sparkSession.sparkContext.broadcast((forest, place, drawn, cuts))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forest, place, drawn, cuts = shared.value
+        def run(own_blocks: list[tuple]) -> np.ndarray:
             sums = np.zeros((len(drawn) * (tried + 1), cells), np.int64)
-            for batch in batches:
-                for part in (batch.slice(a, 4096) for a in range(0, batch.num_rows, 4096)):
-                    x, y, w = _matrix(part.column("x")), part.column("y").to_numpy(), np.rint(part.column("w").to_numpy() * (UNITS / most)).astype(np.int64)
-                    own = place[np.arange(len(place)), forest.leaves(x, level)]
-                    row, tree = np.nonzero(own >= 0)
-                    node = own[row, tree]
-                    # Whole numbers, whose sums over a part are far below 2**53, so adding them as doubles is exact.
-                    values = (w, np.rint((y - middle) / span * w)) if regression else (w,)
-                    kind = 0 if regression else y.astype(np.int64)[row]
-                    groups = 1 if regression else cells
-                    flat, own_values = x.ravel(), [v.take(row).astype(np.float64) for v in values]
-                    for j in range(tried + 1):
-                        inside = 1.0 if j == tried else flat.take(row * x.shape[1] + drawn[:, j].take(node)) <= cuts[:, j].take(node)
-                        slot = node * groups + kind
-                        for i, v in enumerate(own_values):
-                            found = np.bincount(slot, v * inside, minlength=len(drawn) * groups).reshape(len(drawn), groups)
-                            sums[j :: tried + 1, i : i + groups] += np.rint(found).astype(np.int64)
-            used = np.flatnonzero(sums.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["slot", "sums"])
-
-        total = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).cast("double").alias(f"s{i}") for i in range(cells)]
-        got = rows.mapInArrow(run, "slot long, sums array<long>").groupBy("slot").agg(*total).collect()  # a row for each open node and cut
-        shared.unpersist()
-        out = np.zeros((len(nodes), tried + 1, cells))
-        for r in got:
-            out[r.slot // (tried + 1), r.slot % (tried + 1)] = r[1:]
+            for x, y, w in own_blocks:
+                w = np.rint(w * (UNITS / most)).astype(np.int64)
+                own = place[np.arange(len(place)), forest.leaves(x, level)]
+                row, tree = np.nonzero(own >= 0)
+                node = own[row, tree]
+                # Whole numbers, whose sums over a block are far below 2**53, so adding them as doubles is exact.
+                values = (w, np.rint((y - middle) / span * w)) if regression else (w,)
+                kind = 0 if regression else y.astype(np.int64)[row]
+                groups = 1 if regression else cells
+                flat, own_values = x.ravel(), [v.take(row).astype(np.float64) for v in values]
+                for j in range(tried + 1):
+                    inside = 1.0 if j == tried else flat.take(row * x.shape[1] + drawn[:, j].take(node)) <= cuts[:, j].take(node)
+                    slot = node * groups + kind
+                    for i, v in enumerate(own_values):
+                        found = np.bincount(slot, v * inside, minlength=len(drawn) * groups).reshape(len(drawn), groups)
+                        sums[j :: tried + 1, i : i + groups] += np.rint(found).astype(np.int64)
+            return sums
+
+        got = yield None, run, lambda a, b: a + b  # a row for each open node and cut
+        out = got.astype(np.float64).reshape(len(nodes), tried + 1, cells)
         out = out[:, :, None, :] if regression else out
         return out[:, tried], out[:, :tried]
 

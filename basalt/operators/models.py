@@ -11,7 +11,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -74,29 +74,44 @@ def class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame
     return df.withColumn(name, worth)
 
 
-def _told(predicted: DataFrame) -> dict[str, float]:
-    """f1 (by class, weighted by the classes' rows) and accuracy, from one count of label and prediction."""
-    counts = {(r.label, r.prediction): r.n for r in predicted.groupBy("label", "prediction").agg(F.count("*").alias("n")).collect()}  # a row for each pair of classes
+def _told(predicted: DataFrame, task: str, by: str) -> dict:
+    """The metrics (but for auc) of each value of ``by``, a column of few values, from one pass.
+
+    Of numbers r2, rmse and mae; of classes f1 (by class, weighted by the classes'
+    rows) and accuracy, from a count of label and prediction.
+    """
+    if task == "regression":
+        off = F.col("prediction") - F.col("label")
+        rows = predicted.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("n"), F.sum(off * off).alias("e"), F.sum(F.abs(off)).alias("a"), F.var_pop("label").alias("v")).collect()
+        # As the library's: without spread of the labels r2 is minus infinity, or no number if nothing is off.
+        share = lambda e, v: e / v if v else math.inf if e else math.nan
+        return {r["__by"]: {"r2": 1 - share(r.e, r.v * r.n), "rmse": math.sqrt(r.e / r.n), "mae": r.a / r.n} for r in rows}
+    told: dict = {}
+    for r in predicted.groupBy(F.col(by).alias("__by"), "label", "prediction").agg(F.count("*").alias("n")).collect():  # a row for each pair of classes
+        told.setdefault(r["__by"], {})[r.label, r.prediction] = r.n
+    return {key: _of_counts(counts) for key, counts in told.items()}
+
+
+def _of_counts(counts: dict[tuple, int]) -> dict[str, float]:
     total = sum(counts.values())
-    if not total:
-        raise ValueError("no rows to score")
     side = lambda i, v: sum(n for k, n in counts.items() if k[i] == v)
     f1 = sum(side(0, v) * 2 * counts.get((v, v), 0) / (side(0, v) + side(1, v)) for v in sorted({k[0] for k in counts})) / total
     return {"f1": f1, "accuracy": sum(n for (a, b), n in counts.items() if a == b) / total}
 
 
+def _with_auc(metrics: dict[str, float] | None, predicted: DataFrame, task: str) -> dict[str, float]:
+    if metrics is None:
+        raise ValueError("no rows to score")
+    return metrics | ({"auc": BinaryClassificationEvaluator().evaluate(predicted)} if task == "binary" and "rawPrediction" in predicted.columns else {})
+
+
 def first_metric(predicted: DataFrame, task: str) -> float:
     """The metric that models are ranked by."""
-    return RegressionEvaluator(metricName="r2").evaluate(predicted) if task == "regression" else _told(predicted)["f1"]
+    return next(iter(_with_auc(_told(predicted.withColumn("__all", F.lit(True)), task, "__all").get(True), predicted.select("label"), task).values()))
 
 
 def evaluate(predicted: DataFrame, task: str) -> dict[str, float]:
-    if task == "regression":
-        return {m: RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("r2", "rmse", "mae")}
-    out = _told(predicted)
-    if task == "binary" and "rawPrediction" in predicted.columns:
-        out["auc"] = BinaryClassificationEvaluator().evaluate(predicted)
-    return out
+    return _with_auc(_told(predicted.withColumn("__all", F.lit(True)), task, "__all").get(True), predicted, task)
 
 
 #: Tasks of a table kept for fits: the root of its rows over this, so both tasks and rows of a task grow.
@@ -132,11 +147,13 @@ def at_once(run, jobs) -> list:
 
 def cross_validate(data: DataFrame, estimator, task: str, k: int) -> tuple[dict[str, float], float]:
     """Mean fold metrics and the mean training score; ``data`` has a fold column."""
+    together = estimator.fit_folds(data, k) if hasattr(estimator, "fit_folds") else None
 
     def one(fold: int) -> tuple[dict[str, float], float]:
-        train = data.where(F.col("fold") != fold)
-        model = estimator.fit(train)
-        return evaluate(model.transform(data.where(F.col("fold") == fold)), task), first_metric(model.transform(train), task)
+        model = together[fold] if together else estimator.fit(data.where(F.col("fold") != fold))
+        made = model.transform(data).withColumn("__out", F.col("fold") == fold)
+        told = _told(made, task, "__out")  # both sides in one pass
+        return _with_auc(told.get(True), made.where("__out"), task), next(iter(_with_auc(told.get(False), made.select("label"), task).values()))
 
     scores, trained = zip(*at_once(one, range(k)), strict=True)
     return {m: sum(s[m] for s in scores) / k for m in scores[0]}, sum(trained) / k
@@ -225,11 +242,13 @@ def legacy_comparison(board: DataFrame, best: str, legacy: str | None = None) ->
 
 def _global(data: DataFrame, task: str, k: int) -> tuple[float, dict[str, float]]:
     """The constant model: majority class or mean of the other folds."""
-    totals = []
-    for fold in range(k):
+
+    def one(fold: int) -> dict[str, float]:
         train = data.where(F.col("fold") != fold)
         value = train.agg(F.avg("label")).first()[0] if task == "regression" else baseline_global(train, "label").first()[0]
-        totals.append(evaluate(data.where(F.col("fold") == fold).withColumn("prediction", F.lit(float(value))), task))
+        return evaluate(data.where(F.col("fold") == fold).withColumn("prediction", F.lit(float(value))), task)
+
+    totals = at_once(one, range(k))
     metrics = {m: sum(t[m] for t in totals) / k for m in totals[0]}
     return next(iter(metrics.values())), metrics
 

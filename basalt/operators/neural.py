@@ -1,8 +1,9 @@
 """A neural regressor with hidden layers, trained by mini-batch gradients.
 
-Rows are dealt to mini-batches by a hash.  For each step every task adds up the
-gradients of its rows of the batch; the tasks' sums meet in a few tasks and then on
-the driver, where an Adam step moves the weights, whose number the layers fix.
+Rows are dealt to mini-batches by a hash and kept as numpy blocks.  For each step
+every task adds up the gradients of its rows of the batch; the tasks' sums meet on
+the driver (many of them in a few tasks before), where an Adam step moves the
+weights, whose number the layers fix.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import Fit, packed, together
+
 
 def shapes(layers: tuple[int, ...]) -> list[tuple[int, ...]]:
     return [s for a, b in zip(layers, layers[1:], strict=False) for s in ((a, b), (b,))]
@@ -58,23 +61,34 @@ class NeuralRegressor:
         self.hidden, self.steps, self.batch, self.rate, self.seed, self.weight = hidden, steps, batch, rate, seed, weight
 
     def fit(self, data: DataFrame) -> NeuralRegressorModel:
+        return self._fits(data, F.lit(-1), [None])[0]
+
+    def fit_folds(self, data: DataFrame, k: int) -> list[NeuralRegressorModel]:
+        """For each of k folds (column ``fold``) a model of the other folds' rows; they are trained together."""
+        return self._fits(data.where("fold is not null"), F.col("fold"), list(range(k)))
+
+    def _fits(self, data: DataFrame, fold: Column, folds: list) -> list[NeuralRegressorModel]:
         weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        rows = data.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w")).where("y is not null")
-        first = rows.first()
-        if first is None:
+        rows = data.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"), fold.alias("fold")).where("y is not null")
+        sizes = dict(tuple(r) for r in rows.groupBy("fold").agg(F.count("*")).collect())  # a row for each fold
+        least = min(sum(n for g, n in sizes.items() if g != f) for f in folds)
+        if not least:
             raise ValueError("no rows to fit")
-        p = len(first.x)
-        moments = rows.agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("s"), *[f(F.col("x")[i]).alias(f"{k}{i}") for i in range(p) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        scale = lambda k: np.array([moments[f"{k}{i}"] for i in range(p)])
-        mean, spread = scale("m"), np.maximum(scale("s"), 1e-9)
-        y_mean, y_spread = moments.m, max(moments.s, 1e-9)
-        layers, rng = (p, *self.hidden, 1), np.random.default_rng(self.seed)
+        batches = max(1, round(least / self.batch))
+        dealt = rows.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(batches)) if batches > 1 else F.lit(0))
+        with packed(dealt) as blocks:
+            made = together(blocks, {f: self._trained(batches) for f in folds})
+        return [made[f] for f in folds]
+
+    def _trained(self, batches: int) -> Fit:
+        _, middle, squares = moments = yield None, _moments, _joined
+        spreads = np.sqrt(squares / moments[0])
+        mean, spread, y_mean, y_spread = middle[:-1], np.maximum(spreads[:-1], 1e-9), middle[-1], max(spreads[-1], 1e-9)
+        layers, rng = (len(mean), *self.hidden, 1), np.random.default_rng(self.seed)
         flat = np.concatenate([(rng.normal(0, (2 / s[0]) ** 0.5, s) if len(s) == 2 else np.zeros(s)).ravel() for s in shapes(layers)])
-        batches = max(1, round(moments.n / self.batch))
-        dealt = rows.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(batches)))
         speed, size = np.zeros_like(flat), np.zeros_like(flat)
         for step in range(1, self.steps + 1):
-            total, n = self._sum(dealt.where(F.col("b") == (step - 1) % batches) if batches > 1 else dealt, flat, layers, (mean, spread, y_mean, y_spread))
+            total, n = yield (step - 1) % batches, self._gradients(flat, layers, (mean, spread, y_mean, y_spread)), lambda a, b: (a[0] + b[0], a[1] + b[1])
             if not n:
                 continue
             g = total / n + 1e-5 * flat
@@ -84,33 +98,32 @@ class NeuralRegressor:
         return NeuralRegressorModel(flat, layers, mean, spread, y_mean, y_spread)
 
     @staticmethod
-    def _sum(rows: DataFrame, flat: np.ndarray, layers: tuple[int, ...], scale: tuple) -> tuple[np.ndarray, float]:
-        shared = rows.sparkSession.sparkContext.broadcast((flat, scale))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            flat, (mean, spread, y_mean, y_spread) = shared.value
-            total, n = np.zeros_like(flat), 0.0
-            for batch in batches:
-                for part in (batch.slice(a, 8192) for a in range(0, batch.num_rows, 8192)):
-                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    w = part.column("w").to_numpy()
-                    total += gradient((x - mean) / spread, (part.column("y").to_numpy() - y_mean) / y_spread, flat, layers, w)[0]
-                    n += w.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n])], names=["g", "n"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _gradients(flat: np.ndarray, layers: tuple[int, ...], scale: tuple):
+        def run(own: list[tuple]) -> tuple[np.ndarray, float]:
+            mean, spread, y_mean, y_spread = scale
             total, n = np.zeros_like(flat), 0.0
-            for batch in batches:
-                for g, own in zip(batch.column("g"), batch.column("n").to_pylist(), strict=True):
-                    total, n = total + np.frombuffer(g.as_buffer()), n + own
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n])], names=["g", "n"])
-
-        parts = rows.select("x", "y", "w").mapInArrow(run, "g binary, n double")
-        if (tasks := rows.rdd.getNumPartitions()) > 64:
-            parts = parts.repartition(round(tasks**0.5)).mapInArrow(add, "g binary, n double")
-        got = parts.collect()  # a row for each task, or for each of their square root
-        shared.unpersist()
-        return sum((np.frombuffer(r.g) for r in got), np.zeros_like(flat)), sum(r.n for r in got)
+            for x, y, w in own:
+                total += gradient((x - mean) / spread, (y - y_mean) / y_spread, flat, layers, w)[0]
+                n += w.sum()
+            return total, n
+
+        return run
+
+
+def _moments(own: list[tuple]) -> tuple | None:
+    """Rows, means and sums of squares about them, of the features and then the target."""
+    out = None
+    for x, y, _ in own:
+        z = np.column_stack([x, y])
+        out = _joined(out, (len(z), z.mean(0), ((z - z.mean(0)) ** 2).sum(0)))
+    return out
+
+
+def _joined(a: tuple | None, b: tuple | None) -> tuple | None:
+    if a is None or b is None:
+        return b if a is None else a
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart**2 * (a[0] * b[0] / n)
 
 
 class NeuralRegressorModel:
