@@ -5,15 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import work_folder
 
-#: Rows of a query side that may be broadcast.
-MOST_BROADCAST = 1_000_000
+#: Rows with a token that may be broadcast, and the bytes that each one's token may have: some 20 MB as a hash table, whatever the input.
+MOST_BROADCAST, LONGEST_BROADCAST = 100_000, 64
 
 
 def _place(by: list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def _small(df: DataFrame):
+    """``broadcast`` for what has no more rows and bytes of tokens than ``df``, if these are few enough."""
+    n = df.select(F.octet_length("token").alias("bytes")).limit(MOST_BROADCAST + 1).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    return F.broadcast if n.rows <= MOST_BROADCAST and (n.bytes or 0) <= MOST_BROADCAST * LONGEST_BROADCAST else lambda x: x
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table that is small, or a row for each id, written and read back.
+
+    The driver holds the text of each plan, and in it a table that is kept in memory
+    stands with the plans of all that it was made of, once for every use.
+    """
+    df.write.parquet(path := work_folder(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # -- pathways ---------------------------------------------------------------------------
 
 
@@ -100,33 +117,48 @@ def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return held.select("token", (F.log((1 + F.col("docs")) / (1 + F.col("n"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, weights: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+def weights_of(weights: DataFrame, counts: DataFrame) -> DataFrame:
+    """The (token, idf) that ``counts`` have a use for."""
+    tokens = counts.select("token").distinct()
+    return weights.join(_small(tokens)(tokens), "token", "left_semi")
+
+
+def tfidf(counts: DataFrame, weights: DataFrame, most: int = MOST_BROADCAST, tokens: DataFrame | None = None) -> DataFrame:
     """L2-normalised smooth tf-idf in long form; the norm is an aggregate joined back, not a window.
 
     The ``most`` most common tokens' weights are broadcast, so almost all postings stay
     where ``token_counts`` left them, by id; only those of rarer tokens, which have few
-    each, are shuffled by token.  Norms are a row for each id and the side of a hash
-    join that is built.
+    each, and of tokens beyond ``LONGEST_BROADCAST`` bytes are shuffled by token.  Norms
+    are a row for each id and the side of a hash join that is built.
+
+    With ``tokens`` only their postings come out (norms are of all).  ``counts`` are
+    read several times and are best kept.
     """
     weights = weights.persist()
+    short = F.octet_length("token") <= LONGEST_BROADCAST
     cut, room, left = None, most, False
-    for r in weights.groupBy("idf").agg(F.count("*").alias("n")).orderBy("idf").toLocalIterator():  # a row for each number of documents that a token is in
-        left = r.n > room
-        if left:
+    for r in weights.groupBy("idf").agg(F.count_if(short).alias("n"), F.count_if(~short).alias("long")).orderBy("idf").toLocalIterator():  # a row for each number of documents that a token is in
+        left = left or r.long > 0
+        if r.n > room:
+            left = True
             break
         cut, room = r.idf, room - r.n
     worth = lambda df: df.select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    parts = []
+    parts, rest = [], counts
     if cut is not None or not left:
-        common = F.broadcast(weights if not left else weights.where(F.col("idf") <= F.lit(cut)))
+        is_common = short & (F.col("idf") <= F.lit(cut)) if left else F.lit(True)
+        common = F.broadcast(weights.where(is_common))
         parts.append(worth(counts.join(common, "token")))
-        counts = counts.join(common, "token", "left_anti")
+        rest = counts.join(common, "token", "left_anti")
     if left:
-        parts.append(worth(counts.join(weights if cut is None else weights.where(F.col("idf") > F.lit(cut)), "token")))
+        parts.append(worth(rest.join(weights if cut is None else weights.where(~is_common), "token")))
     squares = [p.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("s")) for p in parts]
     every = squares[0] if len(squares) == 1 else squares[0].unionByName(squares[1]).groupBy("id").agg(F.sum("s").alias("s"))
-    norm = every.select("id", F.sqrt("s").alias("norm")).hint("shuffle_hash")
-    made = [p.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight")) for p in parts]
+    norm = every.select("id", F.sqrt("s").alias("norm"))
+    if tokens is not None:
+        norm, weights = _written(norm, "norms"), _written(weights_of(weights, tokens), "weights")
+        parts = [worth(counts.join(_small(weights)(weights), "token"))]
+    made = [p.join(norm.hint("shuffle_hash"), "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight")) for p in parts]
     return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
@@ -145,12 +177,11 @@ def pruned_postings(queries: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[
     set aside as long as their bounds together (``rest``) stay below it: a document
     that has nothing but these can't be among the first k.
     """
-    asked = queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a"))
-    few = queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    small = F.broadcast if few else lambda df: df
+    asked = _written(queries.select(F.col("id").alias("query"), "token", F.col("weight").alias("a")), "asked")
+    small = _small(asked)
     held = corpus.select("id", "token", F.col("weight").alias("b")).join(small(asked.select("token").distinct()), "token", "left_semi").persist()  # no other token is ever met
     wanted = held.groupBy("token").agg(F.count("*").alias("df"), F.max("b").alias("top"))
-    bounds = asked.join(wanted, "token").select("query", "token", "a", "df", (F.col("a") * F.col("top")).alias("bound")).persist()
+    bounds = _written(asked.join(wanted, "token").select("query", "token", "a", "df", (F.col("a") * F.col("top")).alias("bound")), "bounds")
     rare = Window.partitionBy("query").orderBy("df", "token")
     first = bounds.withColumn("sum", F.sum("df").over(rare)).where((F.col("sum") <= FIRST_POSTINGS) | (F.col("sum") == F.col("df"))).select("query", "token", "a")
     some = small(first).join(held, "token").groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
@@ -159,7 +190,7 @@ def pruned_postings(queries: DataFrame, corpus: DataFrame, k: int = 5) -> tuple[
     aside = bounds.join(least, "query", "left").withColumn("sum", F.sum("bound").over(common))
     aside = aside.withColumn("is_essential", F.col("least").isNull() | (F.col("sum") >= F.col("least") - SLACK))
     rest = F.coalesce(F.max(F.when(~F.col("is_essential"), F.col("sum"))).over(Window.partitionBy("query")), F.lit(0.0))
-    return aside.select("query", "token", "a", "df", "is_essential", rest.alias("rest"), F.coalesce("least", F.lit(0.0)).alias("least")).persist(), held
+    return _written(aside.select("query", "token", "a", "df", "is_essential", rest.alias("rest"), F.coalesce("least", F.lit(0.0)).alias("least")), "postings"), held
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int = 9) -> DataFrame:
@@ -167,20 +198,24 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, digits: int =
 
     Documents that share an essential token (see ``pruned_postings``) get their
     similarity over these; those that can't reach the k-th any more go, and only the
-    others meet the query's common tokens.  Weights must not be negative.
+    others meet the query's common tokens, as one row for each document.  Weights must
+    not be negative.
 
     Query tokens are broadcast if there are at most ``MOST_BROADCAST``, so that no
-    token needs a task of its own; more are joined by token.  The corpus is kept
-    for the passes over it.
+    token needs a task of its own and postings that lie by id (as those of ``tfidf``
+    do) stay where they are; more are joined by token.  The corpus is kept for the
+    passes over it, the queries' own tables are written (see ``_written``).
     """
     asked, held = pruned_postings(queries, corpus, k)
-    small = F.broadcast if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
-    hits = small(asked.where("is_essential")).join(held, "token")
-    near = hits.groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("part"), F.max("rest").alias("rest"), F.max("least").alias("least"))
-    near = near.where(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query", "id", "part").persist()
-    more = near.select("query", "id").join(asked.where("not is_essential").select("query", "token", "a"), "query").join(held, ["id", "token"])
-    more = more.groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("more"))
-    sims = near.join(more, ["query", "id"], "left").select("query", "id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), digits).alias("sim"))
+    small = _small(asked)
+    others = asked.where("not is_essential")
+    rule = asked.groupBy("query").agg(F.max("rest").alias("rest"), F.max("least").alias("least"), F.collect_list(F.when(~F.col("is_essential"), F.struct("token", "a"))).alias("others"))
+    near = small(asked.where("is_essential").select("query", "token", "a")).join(held, "token").groupBy("query", "id").agg(F.sum(F.col("a") * F.col("b")).alias("part"))
+    near = near.join(small(rule), "query").where(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("query", "id", "part", "others")
+    own = held.join(small(others.select("token").distinct()), "token", "left_semi").groupBy("id", "token").agg(F.sum("b").alias("b"))
+    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "b"))).alias("own"))
+    more = F.aggregate("others", F.lit(0.0), lambda s, t: s + t["a"] * F.coalesce(F.col("own")[t["token"]], F.lit(0.0)))
+    sims = near.join(own.hint("shuffle_hash"), "id", "left").select("query", "id", F.round(F.col("part") + more, digits).alias("sim"))
     return sims.withColumn("place", _place(["query"], F.desc("sim"), "id")).where(F.col("place") <= k)
 
 

@@ -79,9 +79,8 @@ def recency_filter(spark, d):
 
 def weights(spark, d):
     docs = read(spark, d, "documents")
-    counts = recommend.token_counts(docs, "doc_id", "text")
-    idf = recommend.idf(counts, docs.agg(F.count("*").alias("docs")))
-    return recommend.tfidf(counts, idf), idf
+    counts = recommend.token_counts(docs, "doc_id", "text").persist()  # texts are split once
+    return counts, recommend.idf(counts, docs.agg(F.count("*").alias("docs"))).persist()
 
 
 _TOK = "select {k} as id, unnest(regexp_extract_all(lower(text), '[\\w-]+')) as token from {t}"
@@ -90,13 +89,14 @@ _TFIDF = "d as (" + _TOK.format(k="doc_id", t="documents") + "), c as (select id
 
 @query(f"with {_TFIDF} select id, token, round(weight, 6) as weight from v")
 def tfidf(spark, d):
-    return weights(spark, d)[0].withColumn("weight", F.round("weight", 6))
+    return recommend.tfidf(*weights(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 def neighbours(spark, d):
-    corpus, idf = weights(spark, d)
-    asked = recommend.tfidf(recommend.token_counts(read(spark, d, "benchmark"), "item_id", "text"), idf)
-    return recommend.cosine_topk(asked, corpus)
+    counts, idf = weights(spark, d)
+    own = recommend.token_counts(read(spark, d, "benchmark"), "item_id", "text").persist()
+    asked = recommend.tfidf(own, recommend.weights_of(idf, own))
+    return recommend.cosine_topk(asked, recommend.tfidf(counts, idf, tokens=own))
 
 
 _NEAR = f"{_TFIDF}, q as (" + _TOK.format(k="item_id", t="benchmark") + "), qr as (select q.id, token, count(*) * any_value(idf) as w from q join w using (token) group by 1, 2), qv as (select id, token, w / sqrt(sum(w * w) over (partition by id)) as weight from qr), s as (select qv.id as query, v.id, round(sum(qv.weight * v.weight), 9) as sim from qv join v using (token) group by 1, 2), n as (select * from (select *, row_number() over (partition by query order by sim desc, id)::int as place from s) where place <= 5)"
